@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnengine.llm import mixing, packing, pfor, secret_scan
+from turnengine.llm import mixing, packing, pfor, secret_scan, simhash, toxicity
 from turnengine.llm.common import table
 from turnengine.llm.tokens import public_path
 
 
+def op2_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.read_store(pfor.write_store(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), "spaced", end_id=0))
 
@@ -23,6 +28,10 @@ def op7_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"), "bare", end_id=1)
 
@@ -46,9 +55,11 @@ FROM drawn, LATERAL (SELECT unnest(range(0, n)) AS copy_no) AS c
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_weak_toxicity": op2_weak_toxicity,
         "op4_token_blocks": op4_token_blocks,
         "op6_secret_scan": op6_secret_scan,
         "op7_poisson_mix": op7_poisson_mix,
+        "op8_simhash_groups": op8_simhash_groups,
         "op10_vector_packing": op10_vector_packing,
     }
 
