@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnengine.llm import mixing, packing, pfor, secret_scan, simhash, toxicity
+from turnengine.llm import embed_forest, mixing, packing, pfor, pivot_topk, secret_scan, simhash, toxicity
 from turnengine.llm.common import table
 from turnengine.llm.tokens import public_path
 
@@ -20,6 +20,10 @@ def op4_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.read_store(pfor.write_store(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), "spaced", end_id=0))
 
 
+def op5_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_forest.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digest(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,10 @@ def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op9_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"), "bare", end_id=1)
 
@@ -53,16 +61,39 @@ FROM drawn, LATERAL (SELECT unnest(range(0, n)) AS copy_no) AS c
 """
 
 
+OP9_SQL = """
+WITH usable AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+                WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+           FROM usable q JOIN usable c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
+"""
+
+OP5_SQL = """
+WITH RECURSIVE good AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+              WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.93),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a),
+part AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+degree AS (SELECT a AS vec_id, count(*) AS n FROM pairs GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, p.component_id, e.vec_id = p.component_id AS kept
+FROM embeddings e JOIN part p USING (vec_id) LEFT JOIN degree d USING (vec_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_weak_toxicity": op2_weak_toxicity,
         "op4_token_blocks": op4_token_blocks,
+        "op5_projection_forest": op5_projection_forest,
         "op6_secret_scan": op6_secret_scan,
         "op7_poisson_mix": op7_poisson_mix,
         "op8_simhash_groups": op8_simhash_groups,
+        "op9_pivot_topk": op9_pivot_topk,
         "op10_vector_packing": op10_vector_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_poisson_mix": OP7_SQL}
+    return {"op5_projection_forest": OP5_SQL, "op7_poisson_mix": OP7_SQL, "op9_pivot_topk": OP9_SQL}
