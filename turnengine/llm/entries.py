@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnengine.llm import embed_forest, mixing, packing, pfor, pivot_topk, secret_scan, simhash, toxicity
+from turnengine.llm import embed_forest, mixing, ngram_lm, packing, pfor, pivot_topk, secret_scan, simhash, toxicity
 from turnengine.llm.common import table
 from turnengine.llm.tokens import public_path
 
@@ -16,6 +16,10 @@ def op2_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_corpus(table(spark, sf_dir, "documents"))
+
+
 def op4_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.read_store(pfor.write_store(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), "spaced", end_id=0))
 
@@ -85,6 +89,7 @@ FROM embeddings e JOIN part p USING (vec_id) LEFT JOIN degree d USING (vec_id)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_weak_toxicity": op2_weak_toxicity,
+        "op3_stupid_backoff": op3_stupid_backoff,
         "op4_token_blocks": op4_token_blocks,
         "op5_projection_forest": op5_projection_forest,
         "op6_secret_scan": op6_secret_scan,
