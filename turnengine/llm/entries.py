@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnengine.llm import embed_forest, mixing, ngram_lm, packing, pfor, pivot_topk, secret_scan, simhash, toxicity
+from turnengine.llm import embed_forest, mixing, ngram_lm, packing, pfor, pivot_topk, secret_scan, simhash, tool_chat, toxicity
 from turnengine.llm.common import table
 from turnengine.llm.tokens import public_path
 
 
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_chat.link_tool_calls(tool_chat.demo_messages(table(spark, sf_dir, "conversations")), tool_chat.DEMO_SCHEMAS)
+
+
 def op2_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
@@ -88,6 +92,7 @@ FROM embeddings e JOIN part p USING (vec_id) LEFT JOIN degree d USING (vec_id)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_tool_calls": op1_tool_calls,
         "op2_weak_toxicity": op2_weak_toxicity,
         "op3_stupid_backoff": op3_stupid_backoff,
         "op4_token_blocks": op4_token_blocks,

@@ -144,32 +144,46 @@ def forest(pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(x, root) for x in list(parent) if (root := find(x)) != x]
 
 
-def cell_links(rows: DataFrame, radius: int) -> DataFrame:
-    """Spanning edges (u, v) of the links among rows (key, fp, rep) that share a key, within radius bits."""
+def cell_links(rows: DataFrame, radius: int, sketches: DataFrame | None = None, share: float = 0.0) -> DataFrame:
+    """Spanning edges (u, v) of the links among rows (key, fp, rep) that share a key, within radius bits.
+
+    sketches (rep, sketch): links must also agree in at least this share of their sketch's bytes.
+    """
     ship(rows.sparkSession)
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("fp", F.lit(7)), blocks).cast("int")
     others = F.transform(F.filter(F.sequence(F.lit(0), blocks - 1), lambda o: o != own), lambda o: F.xxhash64("key", F.least(own, o), F.greatest(own, o)))
     dealt = rows.join(sizes, "key").select(F.explode(F.when(blocks == 1, F.array("key")).otherwise(others)).alias("cell"), "fp", "rep")
+    with_sketch = sketches is not None
+    if with_sketch:
+        dealt = dealt.join(sketches, "rep").select("cell", "fp", "rep", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(keys: np.ndarray, fps: np.ndarray, reps: np.ndarray) -> pa.RecordBatch:
-            i, j = linked_pairs(keys, fps.view(np.uint64), radius)
+        def links(t: pa.Table) -> pa.RecordBatch:
+            reps = t.column("rep").to_numpy()
+            i, j = linked_pairs(t.column("cell").to_numpy(), t.column("fp").to_numpy().view(np.uint64), radius)
+            if with_sketch and len(i):
+                marks = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(reps), -1)
+                alike = np.concatenate([(marks[i[k : k + 4096]] == marks[j[k : k + 4096]]).mean(axis=1) for k in range(0, len(i), 4096)])
+                i, j = i[alike >= share], j[alike >= share]
             found = forest(zip(reps[i].tolist(), reps[j].tolist(), strict=True))
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
-        rest = [np.zeros(0, np.int64)] * 3
+        rest: pa.Table | None = None
         for batch in batches:
-            held = [np.concatenate([r, batch.column(i).to_numpy(zero_copy_only=False)]) for i, r in enumerate(rest)]
-            if not len(held[0]):
+            if not batch.num_rows:
                 continue
-            last = int(np.flatnonzero(held[0] != held[0][-1])[-1] + 1) if (held[0] != held[0][-1]).any() else 0
-            if last:
-                yield links(*(h[:last] for h in held))
-            rest = [h[last:] for h in held]
-        if len(rest[0]) > 1:
-            yield links(*rest)
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([rest, table]) if rest is not None else table
+            cells = table.column("cell").to_numpy()
+            other = np.flatnonzero(cells != cells[-1])
+            cut = int(other[-1] + 1) if len(other) else 0
+            if cut:
+                yield links(table.slice(0, cut))
+            rest = table.slice(cut)
+        if rest is not None and rest.num_rows > 1:
+            yield links(rest)
 
     return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long")
 
@@ -182,3 +196,67 @@ def simhash_components(docs: DataFrame, size: int = 3) -> DataFrame:
     parts = connected_components(cell_links(rows, RADIUS))
     named = nodes.join(parts, nodes["rep"] == parts["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Stage on near copies: words of a shingle, least similarity, and the widest Hamming distance such copies show.
+NEAR_WORDS, SIMILARITY, NEAR_RADIUS = 5, 0.8, 16
+#: Min-wise sketch: BANDS bands of ROWS permutations. Texts of similarity 0.8 share a band with chance 0.9998.
+BANDS, ROWS = 36, 7
+
+
+def _permutations() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(42)
+    return rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Least value of a set of shingle hashes under each permutation."""
+    times, plus = _permutations()
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1024):
+        mixed = hashes[at : at + 1024, None] * times + plus
+        mixed ^= mixed >> np.uint64(32)
+        np.minimum(least, mixed.min(axis=0), out=least)
+    return least
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id) of every row: groups of texts whose sets of five-word shingles are alike at 0.8.
+
+    A 64-bit SimHash of such texts differs in up to 16 bits, and no grid over 64 bits is selective at that radius. So
+    here cells are bands of a min-wise sketch; within a cell, pairs pass the Manhattan and Hamming bounds of their
+    fingerprints, then must agree in SIMILARITY of their sketches (a byte of each of 252 values).
+    """
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [shingle_hashes(t, NEAR_WORDS) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            fps = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
+            marks = np.array([sketch(h) for h in hashes], np.uint64).reshape(len(hashes), BANDS, ROWS)
+            odd = np.arange(1, 2 * ROWS, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            bands = (marks * odd).sum(axis=2, dtype=np.uint64) ^ np.arange(BANDS, dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).cast(pa.int64()), pa.array(fps), pa.array(list(bands.view(np.int64)), pa.list_(pa.int64())), pa.array([(m >> np.uint64(8)).astype(np.uint8).tobytes() for m in marks.reshape(len(hashes), -1)], pa.binary())],
+                names=["doc_id", "fp", "bands", "sketch"],
+            )
+
+    marked = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, bands array<long>, sketch binary")
+    marked = materialize(marked.withColumn("same", F.xxhash64("fp", "bands", "sketch")), "near-marks")
+    nodes = materialize(marked.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.min(F.struct("fp", "bands", "sketch")).alias("m")).select("same", "rep", "m.*"), "near-nodes")
+    rows = nodes.select(F.explode("bands").alias("key"), "fp", "rep")
+    parts = connected_components(cell_links(rows, NEAR_RADIUS, nodes.select("rep", "sketch"), SIMILARITY))
+    named = nodes.join(parts, nodes["rep"] == parts["node"], "left").select("same", F.coalesce("component", "rep").alias("component_id"))
+    return marked.select("doc_id", "same").join(named, "same", "left").select("doc_id", "component_id")
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """docs with one row of each near-duplicate group, that of the smallest doc_id; rows without doc_id all stay.
+
+    Repeated rows (one doc_id, one text) are copies of each other and leave one.
+    """
+    groups = materialize(near_groups(docs), "near-groups")
+    lost = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    return kept if repeated.isEmpty() else kept.where("doc_id is null").union(kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
