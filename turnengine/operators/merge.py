@@ -24,7 +24,8 @@ def merge(structure: DataFrame, decisions: DataFrame, threshold: float | None =
 
     decisions: KEY, italiano, gemma, golden, similarita, sostituire, ord; the last of a key wins.
     """
-    decided = dedupe_last(decide(decisions, threshold, golden_only), KEY, "ord").drop("ord").withColumnRenamed("italiano", "decided_italiano")
+    decisions = decide(decisions, threshold, golden_only).select(*KEY, "italiano", "gemma", "golden", "similarita", "sostituire", "ord")
+    decided = dedupe_last(decisions, KEY, "ord").drop("ord").withColumnRenamed("italiano", "decided_italiano")
     joined = structure.drop("napoletano", "note", "fonte").join(decided, KEY)
     return joined.select(
         *KEY, "regione", "macro_regione", "languages", "tu_id", "speaker", "italiano", F.when(F.col("sostituire"), F.col("golden")).otherwise(F.col("gemma")).alias("napoletano"), F.lit("").alias("note"),

@@ -52,7 +52,7 @@ def drift(turns: DataFrame, source: DataFrame) -> DataFrame:
     mine = turns.join(known, "conversazione", "left_semi")
     counts = mine.groupBy("conversazione").agg(F.count("*").alias("n")).join(source.groupBy("conversazione").agg(F.count("*").alias("m")), "conversazione").where("n <> m")
     fields = ["italiano", "speaker", "tu_id"]
-    other = source.groupBy("conversazione", "turn_index").agg(*[F.max_by(c, F.coalesce("ord", F.lit(0)) if "ord" in source.columns else F.lit(0)).alias(f"s_{c}") for c in fields], F.lit(1).alias("there"))
+    other = source.groupBy("conversazione", "turn_index").agg(*[F.max_by(c, F.col("ord") if "ord" in source.columns else F.lit(0)).alias(f"s_{c}") for c in fields], F.lit(1).alias("there"))
     joined = mine.join(other, ["conversazione", "turn_index"], "left")
     changed = F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"s_{c}")), F.lit(f"changed_{c}")) for c in fields]))
     checks = F.when(F.col("there").isNull(), F.array(F.lit("missing_in_source"))).otherwise(changed)
