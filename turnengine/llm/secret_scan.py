@@ -48,7 +48,7 @@ ALLOWED = re.compile(
     r"|(?:[A-Za-z]{1,14}|[0-9]{1,4})(?:[-_/=+]+(?:[A-Za-z]{1,14}|[0-9]{1,4}))+"  # words or short numbers with separators
     r"|[A-Za-z0-9+/_=-]*(?:EXAMPLE|example|xxxxxx|XXXXXX|000000)[A-Za-z0-9+/_=-]*"  # placeholders
 )
-_CLOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
+_CLOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 2)]  # one more while a character enters
 _FULL = math.log2(WINDOW)
 
 
