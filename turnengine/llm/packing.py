@@ -88,7 +88,7 @@ class DotPacker:
                 start += size
         elif length > size or (loss or 0) > self.limits.max_loss:
             raise ValueError(f"item {key!r} is over a limit and may not be cut")
-        if start < length:
+        if start < length or not self.cut:
             if self.n == POOL:
                 while self.n > POOL * 3 // 4:
                     yield from self._fill()
