@@ -12,7 +12,8 @@ most k rows per query, and a window over those picks the k best. Pivots are the
 Defined cases: rows without vec_id, and vectors that are null, empty or hold null or non-finite components take no
 part; shorter vectors count as filled up with zeros; ties go to the smaller vec_id; a row is known by its vec_id, so
 a query never meets rows of its own vec_id, and a query row that repeats is asked once; repeated candidates are
-candidates each; fewer candidates than k give all; an empty table gives no rows; extra columns are not read.
+candidates each; fewer candidates than k give all; an empty table gives no rows; extra columns are not read. A score beyond
+64 bits raises an error.
 """
 
 from __future__ import annotations

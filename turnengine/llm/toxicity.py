@@ -8,8 +8,9 @@
 3. Voters: one per lexicon word, and patterns over the whole text (any hit, several, dense or sparse hits, two in a
    row, no hit at all). A voter says toxic, clean or nothing.
 4. Label model: a generative model of the votes, fitted by EM without labels but for the share of toxic rows:
-   each voter's chances of each vote under either class (its accuracies), then the correlations of the voters'
-   residuals given the class; a voter that repeats what others say counts for less, and EM runs again.
+   each voter's chances of each vote under either class (its accuracies), and the correlations of the voters'
+   residuals given the class, first under the majority vote, then under the fit; a voter that repeats what others
+   say counts for less, and EM runs again.
 5. Classifier: logistic regression on the voters' features, trained on the posterior labels; its scale, offset
    and the weights of the patterns are then corrected on the sample's own labels, so that 0.3 means what it says.
 
@@ -80,20 +81,24 @@ def label_model(v: np.ndarray, share: float, rounds: int = 25) -> tuple[np.ndarr
     """(posterior of toxic per row, accuracy table [voter, class, vote + 1], correlation matrix) from votes and the share of toxic rows."""
     n, m = v.shape
     said = np.stack([(v == s).astype(np.float64) for s in (-1, 0, 1)], axis=2)
-    post = np.where(v.sum(axis=1) > 0, 0.9, 0.02)  # majority vote
     prior = np.clip(np.array([1 - share, share]), 0.005, 0.995)
     weight = np.ones(m)
-    for stage in range(2):
-        for _ in range(rounds):
-            both = np.stack([1 - post, post], axis=1)
-            table = np.einsum("nc,nmv->mcv", both, said) + 0.1
-            table /= table.sum(axis=2, keepdims=True)
-            log = np.einsum("nmv,mcv,m->nc", said, np.log(table), weight, optimize=True) + np.log(prior)
+
+    def accuracies(post: np.ndarray) -> np.ndarray:
+        table = np.einsum("nc,nmv->mcv", np.stack([1 - post, post], axis=1), said) + 0.1
+        return table / table.sum(axis=2, keepdims=True)
+
+    for stage in range(3):
+        post = np.where(v @ weight > 0, 0.9, 0.02)  # weighted majority vote
+        for _ in range(rounds if stage else 0):
+            log = np.einsum("nmv,mcv,m->nc", said, np.log(accuracies(post)), weight, optimize=True) + np.log(prior)
             post = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -40, 40)))
+        table = accuracies(post)
         mean = table @ np.array([-1.0, 0.0, 1.0])
         rest = v - (np.outer(1 - post, mean[:, 0]) + np.outer(post, mean[:, 1]))
+        rest = rest - rest.mean(axis=0)
         spread = np.maximum(rest.std(axis=0), 1e-6)
-        corr = (rest - rest.mean(axis=0)).T @ (rest - rest.mean(axis=0)) / max(n, 1) / np.outer(spread, spread)
+        corr = rest.T @ rest / max(n, 1) / np.outer(spread, spread)
         np.fill_diagonal(corr, 1.0)
         weight = 1 / np.maximum(np.clip(corr, 0, 1).sum(axis=1), 1.0)
     return post, table, corr
