@@ -69,6 +69,27 @@ FROM drawn, LATERAL (SELECT unnest(range(0, n)) AS copy_no) AS c
 """
 
 
+OP1_SQL = """
+WITH RECURSIVE base AS (SELECT conv_id, turn, role, text, (conv_id + turn) % 3 AS tool, (7 * conv_id + turn) % 11 AS flaw FROM conversations),
+asked AS (SELECT *, 'c' || turn AS call_id, ['fetch', 'score', 'search'][tool + 1] AS name, ['url', 'text', 'query'][tool + 1] AS field, CASE WHEN turn % 8 IN (3, 5, 7) THEN 'c' || (turn - 2) END AS dep FROM base WHERE role = 'assistant'),
+parts AS (SELECT *, CASE flaw WHEN 0 THEN NULL WHEN 1 THEN '"' || field || '":7' ELSE '"' || field || '":' || CAST(to_json(text) AS VARCHAR) END AS main, CASE tool WHEN 2 THEN '"limit":' || turn WHEN 1 THEN '"weight":' || turn || '.5' END AS more, CASE flaw WHEN 2 THEN '"zz":true' END AS extra FROM asked),
+calls AS (SELECT *, CASE WHEN flaw = 3 THEN CAST(to_json('{ ' || concat_ws(' , ', '"' || field || '": ' || CAST(to_json(text) AS VARCHAR), replace(more, ':', ': '))) AS VARCHAR)
+    ELSE '{' || concat_ws(',', CASE tool WHEN 2 THEN more END, main, CASE tool WHEN 1 THEN more END, extra) || '}' END AS arguments,
+    CASE flaw WHEN 0 THEN 'missing:' || field WHEN 1 THEN 'type:' || field WHEN 2 THEN 'unknown:zz' WHEN 3 THEN 'not_an_object' ELSE '' END AS errors FROM parts),
+results AS (SELECT *, CASE WHEN (conv_id + turn) % 17 = 0 THEN 'x' ELSE 'c' END || (turn - 1) AS call_id FROM base WHERE role <> 'assistant' AND turn > 0 AND (conv_id + turn) % 13 <> 0),
+linked AS (SELECT c.*, r.turn AS result_turn FROM calls c LEFT JOIN results r USING (conv_id, call_id)),
+edges AS (SELECT l.conv_id, l.call_id, l.dep FROM linked l JOIN linked d ON l.conv_id = d.conv_id AND l.dep = d.call_id),
+levels AS (SELECT conv_id, call_id, 0 AS level, turn AS reach, greatest(turn, result_turn) AS after FROM linked ANTI JOIN edges USING (conv_id, call_id)
+  UNION ALL SELECT l.conv_id, l.call_id, p.level + 2, greatest(l.turn, p.after), greatest(l.turn, p.after, l.result_turn) FROM levels p JOIN edges e ON p.conv_id = e.conv_id AND p.call_id = e.dep JOIN linked l ON l.conv_id = e.conv_id AND l.call_id = e.call_id),
+known AS (SELECT l.*, v.level, v.reach FROM linked l JOIN levels v USING (conv_id, call_id))
+SELECT conv_id, turn, CAST(-1 AS INTEGER) AS place, 'message' AS node, CAST(NULL AS VARCHAR) AS call_id, 'plain' AS status, CAST(NULL AS BOOLEAN) AS args_valid, CAST(NULL AS VARCHAR) AS arg_errors, turn AS topo_turn, CAST(0 AS INTEGER) AS topo_level,
+  '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":"' || role || '"}' AS canonical FROM base ANTI JOIN results USING (conv_id, turn)
+UNION ALL SELECT conv_id, turn, 0, 'call', call_id, CASE WHEN dep IS NOT NULL AND NOT EXISTS (FROM edges e WHERE e.conv_id = known.conv_id AND e.call_id = known.call_id) THEN 'lost_dependency' WHEN result_turn IS NULL THEN 'no_result' ELSE 'linked' END,
+  errors = '', errors, reach, level, '{"arguments":' || arguments || ',"id":"' || call_id || '","name":"' || name || '","role":"assistant","type":"call"}' FROM known
+UNION ALL SELECT r.conv_id, r.turn, -1, 'result', r.call_id, CASE WHEN k.turn IS NULL THEN 'no_call' ELSE 'linked' END, NULL, NULL, greatest(r.turn, coalesce(k.reach, r.turn)), coalesce(k.level + 1, 0),
+  '{"content":' || CAST(to_json(r.text) AS VARCHAR) || ',"id":"' || r.call_id || '","role":"tool","type":"result"}' FROM results r LEFT JOIN known k ON r.conv_id = k.conv_id AND r.call_id = k.call_id
+"""
+
 OP9_SQL = """
 WITH usable AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
                 WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -106,4 +127,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_projection_forest": OP5_SQL, "op7_poisson_mix": OP7_SQL, "op9_pivot_topk": OP9_SQL}
+    return {"op1_tool_calls": OP1_SQL, "op5_projection_forest": OP5_SQL, "op7_poisson_mix": OP7_SQL, "op9_pivot_topk": OP9_SQL}
