@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from turnengine.functions.text import words
 from turnengine.operators import align, build, merge, metrics, patch, quality, translate
 from turnengine.plans import adapters as data
+from turnengine.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 PROMPT = "Translate into the dialect."
@@ -370,8 +371,16 @@ _QUERIES: dict[str, tuple[Query, str | None]] = {
 }
 
 
+def _shipped(q: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return q(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
-    return {name: q for name, (q, _) in _QUERIES.items()}
+    return {name: _shipped(q) for name, (q, _) in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnengine.functions.ordinal import with_ordinal
 from turnengine.functions.text import digits_or_zero, null_to_empty, strip_ws
 
 #: Token types that exclude their unit, and the one that makes text (fixed values).
@@ -71,8 +72,7 @@ def select_conversations(known: DataFrame, everything: bool = False, conversatio
     not in known (code)."""
     spark = known.sparkSession
     if everything:
-        order = Window.orderBy("code")  # one row per conversation
-        return known.select("code").distinct().withColumn("conv_ord", F.row_number().over(order)), known.select("code").limit(0)
+        return with_ordinal(known.select("code").distinct(), ["code"], "conv_ord"), known.select("code").limit(0)
     codes = conversations or ([conversation] if conversation else DEFAULT_CONVERSATIONS)
     asked = spark.createDataFrame([(c, i) for i, c in enumerate(codes, 1)], "code string, conv_ord int")
     return asked.join(known.select("code").distinct(), "code", "left_semi"), asked.select("code").join(known, "code", "left_anti").distinct()
