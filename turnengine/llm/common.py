@@ -1,37 +1,22 @@
-"""Shared plumbing of the training-data operators: inputs, shared storage, shipping the package to executors."""
+"""Shared plumbing of the training-data operators: inputs and shared storage."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SHIPPED: set[str] = set()
+from turnengine.shipping import ship
+
+__all__ = ["drop_materialized", "free_name", "materialize", "shared_dir", "ship", "shuffle_partitions", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers when neither PYTHONPATH nor the working directory has it."""
-    root = Path(__file__).resolve().parents[2]
-    known = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    context = spark.sparkContext
-    if os.getcwd() == str(root) or str(root) in known or context.applicationId in _SHIPPED:
-        return
-    target = Path(tempfile.mkdtemp(prefix="turnengine-")) / "turnengine.zip"
-    with zipfile.ZipFile(target, "w") as archive:
-        for source in sorted((root / "turnengine").rglob("*.py")):
-            archive.write(source, source.relative_to(root))
-    context.addPyFile(str(target))
-    _SHIPPED.add(context.applicationId)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as named by spark.checkpoint.dir; set here only where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
