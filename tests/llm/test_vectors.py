@@ -76,6 +76,6 @@ def test_top_k_odd_rows(spark):
     rows = [(100 * (i or 0) if i in (8, 9) else i, v, l) for i, v, l in odd()]
     got = sorted(tuple(r) for r in P.top_k(frame(spark, rows), 10, 100).collect())
     assert {g[0] for g in got} == {800, 900}
-    assert [(g[1], g[2]) for g in got if g[0] == 800] == [(1, 900), (2, 900), (3, 7), (4, 10), (5, 11), (6, 3), (7, 12)]
+    assert [(g[1], g[2]) for g in got if g[0] == 800] == [(1, 900), (2, 900), (3, 7), (4, 10), (5, 11), (6, 2), (7, 3), (8, 12)]
     assert P.top_k(frame(spark, rows).limit(0)).count() == 0
     assert P.top_k(frame(spark, [(100, [1.0], 0)])).count() == 0

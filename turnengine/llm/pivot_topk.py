@@ -9,8 +9,8 @@ cannot enter, so the result is exact.
 Queries (vec_id divisible by QUERY_EVERY) and candidates meet in blocks of bounded size; each block pair yields at
 most k rows per query, and a window over those picks the k best. Pivots are the PIVOTS rows of least hash.
 
-Defined cases: rows without vec_id, and vectors that are null, empty or hold null or non-finite components take no
-part; shorter vectors count as filled up with zeros; ties go to the smaller vec_id; a row is known by its vec_id, so
+Defined cases: rows without vec_id, and vectors that are null or hold null or non-finite components take no part;
+shorter and empty vectors count as filled up with zeros; ties go to the smaller vec_id; a row is known by its vec_id, so
 a query never meets rows of its own vec_id, and a query row that repeats is asked once; repeated candidates are
 candidates each; fewer candidates than k give all; an empty table gives no rows; extra columns are not read. A score beyond
 64 bits raises an error.
@@ -65,7 +65,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFrame
     ship(vectors.sparkSession)
     usable = vectors.where(F.col("vec_id").isNotNull() & finite(F.col("embedding"))).select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding")
     pivots = matrix(usable.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(PIVOTS).select("embedding").toArrow().column(0))  # PIVOTS rows
-    stats = usable.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(1)).alias("width"), F.count_if(F.col("vec_id") % every == 0).alias("q")).first()
+    stats = usable.agg(F.count("*").alias("n"), F.greatest(F.max(F.size("embedding")), F.lit(1)).alias("width"), F.count_if(F.col("vec_id") % every == 0).alias("q")).first()
     width = int(stats["width"])
     pivots = integers(np.pad(pivots, ((0, 0), (0, width - pivots.shape[1]))))
 

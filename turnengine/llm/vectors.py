@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 
 def finite(vector: Column) -> Column:
-    """Not null, not empty, no null or non-finite component."""
+    """Not null, no null or non-finite component."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & ~bad, F.lit(False))
+    return F.coalesce(vector.isNotNull() & ~bad, F.lit(False))
 
 
 def matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
