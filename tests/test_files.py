@@ -82,6 +82,9 @@ def test_score_merge_fix_commands(spark, tmp_path):
     cli.main(["score", "--draft", p("draft.json"), "--golden", p("golden.json"), "--out", p("report.txt"), "--csv", p("scores.csv")])
     report = (tmp_path / "report.txt").read_text()
     assert "pairs: 2" in report and "warning: draft only a 4" in report and "REPLACE" in report
+    assert "BERTScore n/d" in report
+    with pytest.raises(SystemExit, match="BERTScore needs"):
+        cli.main(["score", "--draft", p("draft.json"), "--golden", p("golden.json"), "--out", p("r"), "--csv", p("c"), "--bertscore"])
     decided = {r.turn_index: r for r in files.read_decisions(spark, p("scores.csv")).collect()}
     assert decided[1].sostituire and not decided[2].sostituire and decided[2].gemma == 'stessa "frase", qui'
     cli.main(["merge", "--decisions", p("scores.csv"), "--structure", p("structure.json"), "--out", p("final")])

@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnengine.operators import align, build, merge, metrics, patch, quality, translate
+from turnengine.operators import align, bertscore, build, merge, metrics, patch, quality, translate
 from turnengine.schema import CORRECTION, EngineError
 from turnengine.sinks import files as sinks
 from turnengine.sources import files, workbook
@@ -32,7 +32,7 @@ def parser() -> argparse.ArgumentParser:
     command("export", ("--json", need), ("--xlsx", need), split="one sheet per conversation")
     command("import", ("--xlsx", need), ("--csv", need), ("--json", need), ("--source", {}), allow_source_edits="take workbooks whose source texts were edited")
     command("verify", ("--xlsx", need), ("--json", need))
-    command("score", ("--draft", need), ("--golden", need), ("--out", need), ("--csv", need), ("--only", {"nargs": "*"}), ("--limit", {"type": int}), ("--threshold", {"type": float, "default": metrics.THRESHOLD}), ("--chrf-word-order", {"type": int, "default": 0, "choices": (0, 2)}))
+    command("score", ("--draft", need), ("--golden", need), ("--out", need), ("--csv", need), ("--only", {"nargs": "*"}), ("--limit", {"type": int}), ("--threshold", {"type": float, "default": metrics.THRESHOLD}), ("--chrf-word-order", {"type": int, "default": 0, "choices": (0, 2)}), ("--bert-model", {"default": bertscore.MODEL}), ("--bert-batch", {"type": int, "default": bertscore.BATCH}), bertscore="add BERTScore; its libraries and model must be installed")
     command("merge", ("--decisions", need), ("--structure", need), ("--out", need), ("--threshold", {"type": float}), ("--preview", {"type": int, "default": 10}), golden_only="always the golden text", no_source="leave out fonte and similarita")
     return top
 
@@ -100,15 +100,18 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         mine = quality.rows_to_turns(rows).withColumn("turn_ord", F.col("turn_index"))
         quality.gate(quality.verify(mine, _flat(spark, a.json)), "differences", shown=20)
     elif a.command == "score":
+        if a.bertscore:
+            bertscore.require()
         draft, golden = _flat(spark, a.draft), _flat(spark, a.golden)
         pairs = align.align_pairs(draft, golden, _codes(spark, draft, a.only))
         pairs = align.first_pairs(pairs, a.limit) if a.limit else pairs
         if pairs.isEmpty():
             raise EngineError("no aligned turns")
-        scored = metrics.decisions(pairs, a.threshold, a.chrf_word_order).cache()
+        pairs = bertscore.add_bertscore(pairs, a.bert_model, a.bert_batch) if a.bertscore else pairs
+        scored = metrics.decisions(pairs, a.threshold, a.chrf_word_order, F.col("bertscore") if a.bertscore else None).cache()
         warned = [(side, *r) for side, rows in zip(("draft only", "golden only"), align.misaligned(draft, golden), strict=True) for r in rows.orderBy(*align.KEY).limit(20).collect()]
         warned += [("source text differs", r["conversazione"], r["turn_index"]) for r in align.source_mismatch(pairs).limit(20).collect()]
-        sinks.write_report(scored, metrics.score_summary(scored), (" ".join(map(str, w)) for w in warned), a.out)
+        sinks.write_report(scored, metrics.score_summary(scored), (" ".join(map(str, w)) for w in warned), a.out, a.bertscore)
         sinks.write_scores(scored, a.csv)
     elif a.command == "merge":
         structure, decided = _flat(spark, a.structure), files.read_decisions(spark, a.decisions)

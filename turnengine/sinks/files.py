@@ -14,6 +14,7 @@ from typing import IO
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnengine.operators.bertscore import bert_text
 from turnengine.schema import FLAT_COLUMNS, META_SHEET, SCORE_COLUMNS, TURN_SHEET, EngineError
 from turnengine.sources.workbook import CONVERSATIONS, MAX_TITLE, SINGLE, render
 
@@ -80,11 +81,11 @@ def report_lines(scored: DataFrame, summary: DataFrame, warnings: Iterable[str],
     return lines
 
 
-def write_report(scored: DataFrame, summary: DataFrame, warnings: Iterable[str], path: str) -> None:
+def write_report(scored: DataFrame, summary: DataFrame, warnings: Iterable[str], path: str, with_bert: bool = False) -> None:
     """The report: its head, then one block per pair in draft order."""
     block = F.format_string(
-        "[%s #%d] %s\n  it: %s\n  draft: %s\n  golden: %s\n  chrF %.2f  BLEU %.2f  ROUGE-L %.2f  similarity %.2f  %s",
-        "conversazione", "turn_index", "speaker", "italiano", "gemma", "golden", "chrf", "bleu", "rouge", "similarita", F.when(F.col("sostituire"), "REPLACE").otherwise("keep"),
+        "[%s #%d] %s\n  it: %s\n  draft: %s\n  golden: %s\n  chrF %.2f  BLEU %.2f  ROUGE-L %.2f  BERTScore %s  similarity %.2f  %s",
+        "conversazione", "turn_index", "speaker", "italiano", "gemma", "golden", "chrf", "bleu", "rouge", bert_text(F.col("bertscore"), with_bert), "similarita", F.when(F.col("sostituire"), "REPLACE").otherwise("keep"),
     )
 
     def write(f: IO) -> None:
