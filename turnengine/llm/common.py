@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back.
 
     This cuts the lineage in a way that survives lost executors, and gives the planner the true size of the
@@ -34,10 +34,7 @@ def materialize(df: DataFrame, tag: str, partition_by: str | None = None) -> Dat
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._turnengine_path = path
     return back
