@@ -14,6 +14,7 @@ one once, with its count in the chunk, to the bucket its hash belongs to (bucket
 tables; their number follows the size of the corpus). A bucket adds up counts and joins them back to the chunks'
 requests; the answers return to the chunk, which looks every n-gram up and sums per document. A frequent n-gram is
 one request per chunk, so no bucket is hot. The empty n-gram is counted like any other: its count is N.
+Requests are sorted, so they travel as gaps of about 30 bits, and counts deflate to a fraction of a byte.
 Requests hold 40 bits of a hash inside a bucket of about BUCKET n-grams: the chance that two n-grams share a key is
 about 2e-6 at any corpus size. The texts cross the network once (both uses share one exchange).
 
@@ -24,6 +25,8 @@ scored whole; extra columns are not read.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -83,14 +86,28 @@ def locate(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(40)) % np.uint64(n_buckets)) << np.uint64(40) | (hashes & _LOW40)
 
 
-def _five(keys: np.ndarray) -> bytes:
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending 40-bit keys as gaps: their low 24 bits as they are, the 16 above them deflated."""
+    gaps = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
+    return np.uint32(len(keys)).tobytes() + np.ascontiguousarray(gaps[:, :3]).tobytes() + zlib.compress(np.ascontiguousarray(gaps[:, 3:5]).tobytes(), 1)
+
+
+def unpack_keys(raw: bytes) -> np.ndarray:
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    gaps = np.zeros((n, 8), np.uint8)
+    gaps[:, :3] = np.frombuffer(raw, np.uint8, 3 * n, 4).reshape(n, 3)
+    gaps[:, 3:5] = np.frombuffer(zlib.decompress(raw[4 + 3 * n :]), np.uint8).reshape(n, 2)
+    return np.cumsum(gaps.view("<u8").reshape(n), dtype=np.uint64)
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts in the narrowest width that holds them all, deflated; the first byte is the width."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or int(counts.max(initial=0)) < 1 << (8 * w))
+    return bytes([width]) + zlib.compress(counts.astype(f"<u{width}").tobytes(), 1)
 
 
-def _eight(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.view("<u8").reshape(-1)
+def unpack_counts(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw[1:]), f"<u{raw[0]}").astype(np.int64)
 
 
 def backoff(doc: np.ndarray, place: np.ndarray, hashes: list[np.ndarray], sizes: np.ndarray, counts: list[np.ndarray], total: int, alpha: float = ALPHA) -> np.ndarray:
@@ -133,22 +150,22 @@ def score_corpus(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> D
         parts = list(zip(cuts, cuts[1:], strict=False))
         return pa.table({
             "chunk": pa.array([block.column("chunk")[0].as_py()] * len(parts), pa.int64()), "bucket": pa.array([int(bucket[a]) for a, _ in parts], pa.int64()),
-            "keys": pa.array([_five(keys[a:b]) for a, b in parts], pa.binary()), "counts": pa.array([counts[a:b].astype("<u4").tobytes() for a, b in parts], pa.binary()),
+            "keys": pa.array([pack_keys(keys[a:b] & _LOW40) for a, b in parts], pa.binary()), "counts": pa.array([pack_counts(counts[a:b]) for a, b in parts], pa.binary()),
         })
 
     def answer(block: pa.Table) -> pa.Table:
-        keys = [_eight(k) for k in block.column("keys").to_pylist()]
-        counts = np.frombuffer(b"".join(block.column("counts").to_pylist()), "<u4")
+        keys = [unpack_keys(k) for k in block.column("keys").to_pylist()]
+        counts = np.concatenate([unpack_counts(c) for c in block.column("counts").to_pylist()])
         _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = np.bincount(inverse, counts).astype("<u8")[inverse]
+        totals = np.bincount(inverse, counts).astype(np.int64)[inverse]
         cuts = np.cumsum([0, *map(len, keys)]).tolist()
-        return pa.table({"chunk": block.column("chunk"), "bucket": block.column("bucket"), "totals": pa.array([totals[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())})
+        return pa.table({"chunk": block.column("chunk"), "bucket": block.column("bucket"), "totals": pa.array([pack_counts(totals[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())})
 
     def look_up(block: pa.Table, answers: pa.Table) -> pa.Table:
         doc, place, hashes = ngrams(block.column("text").to_pylist(), order)
         keys, _ = requests(hashes, place, n_buckets)
         by_bucket = sorted(zip(answers.column("bucket").to_pylist(), answers.column("totals").to_pylist(), strict=True))
-        totals = np.frombuffer(b"".join(t for _, t in by_bucket), "<u8").astype(np.int64)
+        totals = np.concatenate([np.zeros(0, np.int64), *(unpack_counts(t) for _, t in by_bucket)])
         if len(totals) != len(keys):
             raise RuntimeError("a chunk's answers do not match its requests")
         counts = [totals[np.searchsorted(keys, locate(h, n_buckets))] if len(keys) else h.astype(np.int64) for h in hashes]
