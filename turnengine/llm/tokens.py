@@ -8,6 +8,9 @@ joins the stored ids. The result equals encoding the whole text at once:
   stand in one run of white space the pre-tokenizer may keep them together, so such texts are encoded whole.
 - "bare" (white space dropped): a split at spaces and newlines; other white space stays inside the words.
 
+Both kinds also split letters from punctuation, so a Latin word that ends in a comma or a full stop is the word and
+the mark; only the word is encoded, and it is mostly known already.
+
 The store is bounded: it is emptied when it would pass MAX_WORDS, and words over MAX_WORD characters are not kept.
 """
 
@@ -19,9 +22,10 @@ from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-MAX_WORDS = 1_000_000
+MAX_WORDS = 1_200_000
 MAX_WORD = 48
 _TWO_SPACES = re.compile(r" \s* ")
+_ODD = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f]")
 _OPEN: dict[tuple[str, str], WordTokenizer] = {}
 
 
@@ -36,6 +40,7 @@ class WordTokenizer:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.words: dict[str, bytes] = {"": self._ids([" "])[0] if kind == "spaced" else b""}
         self._blank = self.words[""]
+        self.marks = dict(zip(",.", self._ids([",", "."]), strict=True))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -50,7 +55,7 @@ class WordTokenizer:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         spaced = self.kind == "spaced"
-        whole = [i for i, t in enumerate(texts) if spaced and _TWO_SPACES.search(t)]
+        whole = [i for i, t in enumerate(texts) if spaced and ("  " in t or " \n" in t or not t.isascii() or _ODD.search(t)) and _TWO_SPACES.search(t)]
         apart = set(whole)
         split = [[] if i in apart else t.split(" ") if spaced else t.replace("\n", " ").split(" ") for i, t in enumerate(texts)]
         first = self._ids([w[0] if w else "" for w in split]) if spaced else [b""] * len(texts)
@@ -61,8 +66,14 @@ class WordTokenizer:
         if len(words) + len(new) > MAX_WORDS:
             words.clear()
             words[""] = self._blank
-        new = list(new.difference(words))
+        new = new.difference(words)
+        marked = [w for w in new if w[-1] in ",." and w[:-1].isalpha() and max(w) < "\u0250"]
+        new.difference_update(marked)
+        new.update(w[:-1] for w in marked if w[:-1] not in words)
+        new = list(new)
         words.update(zip(new, self._ids([" " + w for w in new] if spaced else new), strict=True))
+        words.update([(w, words[w[:-1]] + self.marks[w[-1]]) for w in marked])
+        new += marked
         get = words.__getitem__
         out = [b"".join((a, *map(get, w))) for a, w in zip(first, split, strict=True)]
         for w in new:
