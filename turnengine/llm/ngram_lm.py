@@ -36,7 +36,7 @@ from turnengine.llm.common import ship
 
 ALPHA, ORDER = 0.4, 3
 #: Documents of a chunk, n-grams of a bucket (64 buckets at least).
-CHUNK, BUCKET = 512, 2_000_000
+CHUNK, BUCKET = 1024, 2_000_000
 _LOW40 = np.uint64((1 << 40) - 1)
 _EMPTY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -101,13 +101,18 @@ def unpack_keys(raw: bytes) -> np.ndarray:
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    """Counts in the narrowest width that holds them all, deflated; the first byte is the width."""
-    width = next(w for w in (1, 2, 4, 8) if w == 8 or int(counts.max(initial=0)) < 1 << (8 * w))
-    return bytes([width]) + zlib.compress(counts.astype(f"<u{width}").tobytes(), 1)
+    """Counts as one byte each, deflated; those of 255 and more follow as 64-bit integers."""
+    large = counts[counts >= 255].astype("<u8")
+    return zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes() + large.tobytes() + np.uint64(len(large)).tobytes(), 1)
 
 
 def unpack_counts(raw: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(raw[1:]), f"<u{raw[0]}").astype(np.int64)
+    raw = zlib.decompress(raw)
+    n_large = int(np.frombuffer(raw, "<u8", 1, len(raw) - 8)[0])
+    n = len(raw) - 8 - 8 * n_large
+    counts = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(raw[n:-8], "<u8").astype(np.int64)
+    return counts
 
 
 def backoff(doc: np.ndarray, place: np.ndarray, hashes: list[np.ndarray], sizes: np.ndarray, counts: list[np.ndarray], total: int, alpha: float = ALPHA) -> np.ndarray:
