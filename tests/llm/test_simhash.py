@@ -113,3 +113,26 @@ def test_near_copies(make_docs, odd_rows):
     ids = sorted((r.doc_id for r in kept.collect()), key=str)
     assert ids == sorted([1, 4, 5, 6, None, 8, *range(100, 130)], key=str)
     assert S.drop_near_copies(docs.limit(0)).count() == 0
+
+
+def plain_similarity(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_near_groups_are_exact_around_the_threshold(make_docs, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 16)  # so that components split into blocks
+    rng = random.Random(12)
+    texts, shares = [], []
+    for _ in range(120):
+        base = [f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(204)]  # 200 shingles, all distinct
+        cut = rng.randint(18, 27)  # J = (200 - cut) / (200 + cut): 0.835 to 0.762
+        other = base[: 204 - cut] + [f"z{rng.randrange(10**6)}" for _ in range(cut)]
+        texts += [" ".join(base), " ".join(other)]
+        shares.append(plain_similarity(*texts[-2:]))
+    family = [f"w{i}" for i in range(204)]  # a chain of copies, each like its neighbours only
+    texts += [" ".join(f"{'v' if i < k else 'w'}{i}" for i in range(204)) for k in range(0, 200, 10)] + [" ".join(family)]
+    expected = classes(len(texts), lambda a, b: plain_similarity(texts[a], texts[b]) >= 0.8)
+    got = {r.doc_id: r.component_id for r in S.near_groups(make_docs(list(enumerate(texts)))).collect()}
+    assert got == dict(enumerate(expected))
+    assert min(shares) < 0.78 and max(shares) > 0.82

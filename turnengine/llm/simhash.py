@@ -109,8 +109,8 @@ def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def linked_pairs(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions i < j of linked rows within runs of equal keys."""
+def linked_pairs(keys: np.ndarray, fps: np.ndarray, radius: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions i < j of linked rows within runs of equal keys; all pairs of a run if radius is None."""
     left, right = [], []
     at = np.arange(len(keys) - 1)
     for step in range(1, len(keys)):
@@ -118,11 +118,14 @@ def linked_pairs(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.nda
         at = at[keys[at] == keys[at + step]]
         if not len(at):
             break
-        a, b = fps[at], fps[at + step]
-        near = manhattan(a, b) <= radius
-        near[near] = np.bitwise_count(a[near] ^ b[near]) <= radius
-        left.append(at[near])
-        right.append(at[near] + step)
+        i = at
+        if radius is not None:
+            a, b = fps[at], fps[at + step]
+            near = manhattan(a, b) <= radius
+            near[near] = np.bitwise_count(a[near] ^ b[near]) <= radius
+            i = at[near]
+        left.append(i)
+        right.append(i + step)
     none = np.zeros(0, np.int64)
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
@@ -144,10 +147,34 @@ def forest(pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(x, root) for x in list(parent) if (root := find(x)) != x]
 
 
-def cell_links(rows: DataFrame, radius: int, sketches: DataFrame | None = None, share: float = 0.0) -> DataFrame:
-    """Spanning edges (u, v) of the links among rows (key, fp, rep) that share a key, within radius bits.
+def verified(pairs: Iterator[tuple[int, int]], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """The pairs of positions whose sets (sorted, distinct) are alike at SIMILARITY; pairs already united are passed over."""
+    parent = list(range(len(sets)))
 
-    sketches (rep, sketch): links must also agree in at least this share of their sketch's bytes.
+    def find(x: int) -> int:
+        while (p := parent[x]) != x:
+            parent[x] = parent[p]
+            x = p
+        return x
+
+    top, of = SIMILARITY
+    for i, j in pairs:
+        a, b = find(i), find(j)
+        few, many = sorted((sets[i], sets[j]), key=len)
+        if a == b or of * len(few) < top * len(many):
+            continue
+        places = np.searchsorted(many, few)
+        both = int((many[np.minimum(places, len(many) - 1)] == few).sum())
+        if of * both >= top * (len(few) + len(many) - both):
+            parent[max(a, b)] = min(a, b)
+            yield i, j
+
+
+def cell_links(rows: DataFrame, radius: int | None, sketches: DataFrame | None = None, share: float = 0.0) -> DataFrame:
+    """Spanning edges (u, v) of the links among rows (key, fp, rep) that share a key, within radius bits if radius is given.
+
+    sketches (rep, sketch[, shingles]): links must also agree in at least this share of their sketch's bytes, and their
+    shingle sets, where they are given, must be alike at SIMILARITY.
     """
     ship(rows.sparkSession)
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -156,8 +183,9 @@ def cell_links(rows: DataFrame, radius: int, sketches: DataFrame | None = None,
     others = F.transform(F.filter(F.sequence(F.lit(0), blocks - 1), lambda o: o != own), lambda o: F.xxhash64("key", F.least(own, o), F.greatest(own, o)))
     dealt = rows.join(sizes, "key").select(F.explode(F.when(blocks == 1, F.array("key")).otherwise(others)).alias("cell"), "fp", "rep")
     with_sketch = sketches is not None
+    with_sets = with_sketch and "shingles" in sketches.columns
     if with_sketch:
-        dealt = dealt.join(sketches, "rep").select("cell", "fp", "rep", "sketch")
+        dealt = dealt.join(sketches, "rep").select("cell", "fp", *sketches.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(t: pa.Table) -> pa.RecordBatch:
@@ -167,6 +195,10 @@ def cell_links(rows: DataFrame, radius: int, sketches: DataFrame | None = None,
                 marks = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(reps), -1)
                 alike = np.concatenate([(marks[i[k : k + 4096]] == marks[j[k : k + 4096]]).mean(axis=1) for k in range(0, len(i), 4096)])
                 i, j = i[alike >= share], j[alike >= share]
+            if with_sets and len(i):
+                sets = [np.frombuffer(b, "<u8") for b in t.column("shingles").to_pylist()]
+                sure = np.array(list(verified(zip(i.tolist(), j.tolist(), strict=True), sets)), np.int64).reshape(-1, 2)
+                i, j = sure[:, 0], sure[:, 1]
             found = forest(zip(reps[i].tolist(), reps[j].tolist(), strict=True))
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
@@ -198,12 +230,12 @@ def simhash_components(docs: DataFrame, size: int = 3) -> DataFrame:
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Stage on near copies at similarity 0.8: words of a shingle, and the widest Hamming distance such copies show.
-NEAR_WORDS, NEAR_RADIUS = 5, 16
-#: Min-wise sketch: BANDS bands of ROWS permutations. Texts of similarity 0.8 share a band with chance 0.9998.
-BANDS, ROWS = 36, 7
-#: Agreement of sketches that links: a standard error (0.025) or so below 0.8, so that chance rarely loses a link.
-AGREEMENT = 0.78
+#: Stage on near copies: words of a shingle, and the least similarity (Jaccard, as a fraction) of two sets that link.
+NEAR_WORDS, SIMILARITY = 5, (4, 5)
+#: Min-wise sketch: BANDS bands of ROWS permutations. Texts of similarity 0.8 share no band with chance 3e-6.
+BANDS, ROWS = 42, 6
+#: Agreement of sketches that makes a candidate: 4.7 standard errors (0.025) below 0.8. Candidates are verified exactly.
+CANDIDATE = 0.68
 
 
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -225,32 +257,48 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
 def near_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) of every row: groups of texts whose sets of five-word shingles are alike at 0.8.
 
-    A 64-bit SimHash of such texts differs in up to 16 bits, and no grid over 64 bits is selective at that radius. So
-    here cells are bands of a min-wise sketch; within a cell, pairs pass the Manhattan and Hamming bounds of their
-    fingerprints, then must agree in AGREEMENT of their sketches (a byte of each of 252 values), which estimates the
-    similarity with a standard error of 0.025 at 0.8.
+    A 64-bit SimHash of such texts differs in up to 25 bits, and no grid over 64 bits is selective at that radius. So
+    here cells are bands of a min-wise sketch, and pairs of a cell that agree in CANDIDATE of their sketches (a byte of
+    each of 252 values) are candidates. Then the members of each component of candidates bring their shingle sets, and
+    every pair of them that may matter is verified by its exact similarity. Nodes are sets, named by a hash.
     """
     ship(docs.sparkSession)
 
+    def named(hashes: np.ndarray) -> int:
+        from xxhash import xxh64_intdigest
+
+        return xxh64_intdigest(hashes.astype("<u8").tobytes(), 42)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [shingle_hashes(t, NEAR_WORDS) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            fps = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
+            hashes = [np.unique(shingle_hashes(t, NEAR_WORDS)) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            same = np.array([named(h) for h in hashes], np.uint64).view(np.int64)
             marks = np.array([sketch(h) for h in hashes], np.uint64).reshape(len(hashes), BANDS, ROWS)
             odd = np.arange(1, 2 * ROWS, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             bands = (marks * odd).sum(axis=2, dtype=np.uint64) ^ np.arange(BANDS, dtype=np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(fps), pa.array(list(bands.view(np.int64)), pa.list_(pa.int64())), pa.array([(m >> np.uint64(8)).astype(np.uint8).tobytes() for m in marks.reshape(len(hashes), -1)], pa.binary())],
-                names=["doc_id", "fp", "bands", "sketch"],
+                [batch.column(0).cast(pa.int64()), pa.array(same), pa.array(list(bands.view(np.int64)), pa.list_(pa.int64())), pa.array([(m >> np.uint64(8)).astype(np.uint8).tobytes() for m in marks.reshape(len(hashes), -1)], pa.binary())],
+                names=["doc_id", "same", "bands", "sketch"],
             )
 
-    marked = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, bands array<long>, sketch binary")
-    marked = materialize(marked.withColumn("same", F.xxhash64("fp", "bands", "sketch")), "near-marks")
-    nodes = materialize(marked.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.min(F.struct("fp", "bands", "sketch")).alias("m")).select("same", "rep", "m.*"), "near-nodes")
-    rows = nodes.select(F.explode("bands").alias("key"), "fp", "rep")
-    parts = connected_components(cell_links(rows, NEAR_RADIUS, nodes.select("rep", "sketch"), AGREEMENT))
-    named = nodes.join(parts, nodes["rep"] == parts["node"], "left").select("same", F.coalesce("component", "rep").alias("component_id"))
-    return marked.select("doc_id", "same").join(named, "same", "left").select("doc_id", "component_id")
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [np.unique(shingle_hashes(t, NEAR_WORDS)) for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([named(h) for h in hashes], np.uint64).view(np.int64)), pa.array([h.astype("<u8").tobytes() for h in hashes], pa.binary())], names=["rep", "shingles"])
+
+    marked = materialize(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, same long, bands array<long>, sketch binary"), "near-marks")
+    nodes = marked.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("first"), F.min(F.struct("bands", "sketch")).alias("m"))
+    nodes = materialize(nodes.select(F.col("same").alias("rep"), "first", "m.*"), "near-nodes")
+    rows = nodes.select(F.explode("bands").alias("key"), F.col("rep").alias("fp"), "rep")
+    linked = connected_components(cell_links(rows, None, nodes.select("rep", "sketch"), CANDIDATE))  # without the components' names
+    maybe = materialize(linked.select(F.col("node").alias("rep"), "component").union(linked.select("component", "component").distinct()), "near-maybe")
+    asked = nodes.join(maybe, "rep").select("rep", "first", "sketch")
+    texts = docs.select("doc_id", "text").join(asked.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
+    sets = materialize(asked.select("rep", "sketch").join(texts.mapInArrow(shingles, "rep long, shingles binary").dropDuplicates(["rep"]), "rep"), "near-sets")
+    parts = connected_components(cell_links(maybe.select(F.col("component").alias("key"), F.col("rep").alias("fp"), "rep"), None, sets, CANDIDATE))
+    group = nodes.join(parts, nodes["rep"] == parts["node"], "left").select(F.col("rep").alias("same"), "first", F.coalesce("component", "rep").alias("part"))
+    least = group.groupBy("part").agg(F.min("first").alias("component_id"))
+    return marked.select("doc_id", "same").join(group.join(least, "part"), "same", "left").select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
