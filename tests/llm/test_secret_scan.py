@@ -59,6 +59,37 @@ def test_candidates_and_allow_list():
         assert S.scan(calm)[1] == []
 
 
+def found(make, n=300):
+    rng = random.Random(6)
+    return sum(any(k == 3 for _, k, _ in S.scan(make(rng))[1]) for _ in range(n)) / n
+
+
+def test_a_name_beside_a_secret_hides_nothing():
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    secret = lambda rng, n=24, of="0123456789abcdef": "".join(rng.choice(of) for _ in range(n))
+    for before in ("", "key_", "id=", "x", "SESSION=", "example_key=", "000000-"):
+        assert found(lambda rng, b=before: b + secret(rng)) > 0.95
+    assert found(lambda rng: secret(rng, 40, letters)) > 0.95
+    assert found(lambda rng: secret(rng, 30) + "=EXAMPLE") > 0.95
+    for calm in ("id=12345678901234567890", "example=2024-01-02-2024-01-03", "getElementsByClassNameOrTagName"):
+        assert S.scan(calm)[1] == []
+
+
+def test_windows_are_judged_by_their_own_class():
+    rng = random.Random(7)
+    for _ in range(300):
+        run = "1" + "".join(rng.choice(rng.choice(("0123456789abcdef", "ghijkXYZ", "=_-")[: rng.randint(1, 3)])) for _ in range(rng.randint(19, 70)))
+        if S.PLACEHOLDER.search(run):
+            continue
+        covered = set()
+        for i in range(len(run) - S.WINDOW + 1):
+            part = run[i : i + S.WINDOW]
+            least = next(c[2] for c in S.CLASSES if set(part) <= c[1])
+            if not part.isdigit() and plain_entropy(part, least):
+                covered |= set(range(i, i + S.WINDOW))
+        assert {x for a, b in S.run_spans(run) for x in range(a, b)} == covered
+
+
 def test_digest_and_redaction(make_docs, odd_rows):
     secret = 'x token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" y'
     docs = make_docs([*odd_rows, (20, secret), (20, secret)], extra=True)

@@ -1,13 +1,14 @@
 """Secret scans: fixed patterns plus sliding-window Shannon entropy per character class.
 
 Base kinds (assign, access, hex) are regular expressions over the whole text. The entropy kind looks at
-candidate strings: maximal runs of [A-Za-z0-9+/_=-] of at least WINDOW characters that hold a digit. Each run is
-assigned the narrowest character class that holds it; a window of WINDOW characters slides over it, and the
-window's entropy is kept by incremental counts: when one character enters and one leaves, two terms of
-sum(c * log2 c) change. Windows at or above the class's threshold merge into spans. The allow list then
-suppresses spans whose text is known to be harmless (UUIDs, dates, phone-like digit groups, URLs' hosts, words
-with separators, placeholder strings). Base spans are never suppressed. The result per text is one map step: no
-shuffle, memory bounded by an Arrow batch, and a lost task is simply run again.
+candidate strings: maximal runs of [A-Za-z0-9+/_=-] of at least WINDOW characters. A window of WINDOW characters
+slides over each run, and the window's entropy is kept by incremental counts: when one character enters and one
+leaves, two terms of sum(c * log2 c) change. A window is held to the threshold of the narrowest character class that
+holds it, whatever stands beside it in the run; runs without a digit have a higher threshold. Windows at or above
+their threshold merge into spans. The allow list suppresses runs that are known to be harmless (UUIDs, dates,
+phone-like digit groups, URLs' hosts, words with separators), and windows that touch a placeholder string. Base spans
+are never suppressed. The result per text is one map step: no shuffle, memory bounded by an Arrow batch, and a lost
+task is simply run again.
 
 Defined cases: null and empty texts have no spans; ties cannot occur (a span is its kind, start and end); offsets
 are code points, end exclusive; repeated rows are scanned one by one; columns of other names are not read.
@@ -39,15 +40,19 @@ CLASSES = (
     ("alnum", frozenset("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), 3.7),
     ("base64", frozenset("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/=_-"), 3.9),
 )
-#: A candidate starts where no class character stands before it; the lookahead asks for a digit in the run.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}")
+#: In runs without a digit: no hex, and more for letters, which may be words.
+LETTERS = (("letters", CLASSES[1][1], 3.75), CLASSES[2])
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_PARTS = {c[0]: re.compile(f"[{re.escape(''.join(sorted(c[1])))}]{{{WINDOW},}}") for c in (*CLASSES, *LETTERS)}
+_DIGIT = re.compile("[0-9]")
 #: Allow list, matched against the whole candidate.
 ALLOWED = re.compile(
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"  # UUID
     r"|[0-9][0-9/_=+-]*"  # dates, phone numbers, ids of digits and separators
     r"|(?:[A-Za-z]{1,14}|[0-9]{1,4})(?:[-_/=+]+(?:[A-Za-z]{1,14}|[0-9]{1,4}))+"  # words or short numbers with separators
-    r"|[A-Za-z0-9+/_=-]*(?:EXAMPLE|example|xxxxxx|XXXXXX|000000)[A-Za-z0-9+/_=-]*"  # placeholders
 )
+#: Placeholders: they cut a candidate, so no window holds one.
+PLACEHOLDER = re.compile(r"EXAMPLE|example|x{6,}|X{6,}|0{6,}")
 _CLOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 2)]  # one more while a character enters
 _FULL = math.log2(WINDOW)
 
@@ -75,6 +80,28 @@ def entropy_spans(run: str, least: float) -> list[tuple[int, int]]:
     return spans
 
 
+def run_spans(run: str) -> list[tuple[int, int]]:
+    """Merged [start, end) of all windows of a candidate that reach the threshold of their own class.
+
+    A window lies in a class just if it lies in a maximal part of that class, so each class scans its parts.
+    """
+    found = []
+    classes = CLASSES if _DIGIT.search(run) else LETTERS
+    cuts = [0, *(at for m in PLACEHOLDER.finditer(run) for at in m.span()), len(run)]
+    for low, high in zip(cuts[::2], cuts[1::2], strict=True):
+        for name, _, least in classes:
+            for m in _PARTS[name].finditer(run, low, high):
+                if not m.group().isdigit():  # an id or a phone number, as in the allow list
+                    found += [(m.start() + a, m.start() + b) for a, b in entropy_spans(m.group(), least)]
+    spans: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if spans and spans[-1][1] >= a:
+            spans[-1] = (spans[-1][0], max(spans[-1][1], b))
+        else:
+            spans.append((a, b))
+    return spans
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind index, end) of assign, access and hex matches that pass their length limits."""
     found = []
@@ -97,9 +124,7 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
         run = m.group()
         if ALLOWED.fullmatch(run):
             continue
-        chars = set(run)
-        _, _, least = next(c for c in CLASSES if chars <= c[1])
-        extra += [(m.start() + a, 3, m.start() + b) for a, b in entropy_spans(run, least)]
+        extra += [(m.start() + a, 3, m.start() + b) for a, b in run_spans(run)]
     return base, sorted(base + extra)
 
 
