@@ -45,6 +45,22 @@ def test_forest(spark, monkeypatch, blocks):
     assert all(k == (i == c) for i, (_, c, k) in got.items())
 
 
+@pytest.mark.parametrize("share", [0.33, 1.0])
+def test_forest_keeps_the_pairs_of_a_dense_group(share):
+    rng = np.random.default_rng(6)
+    centre = E._unit(rng.standard_normal((1, 64)))
+    dense = lambda n: E._unit(centre + 0.23 / 8 * rng.standard_normal((n, 64)))  # noqa: E731  pairs at about 0.95
+    n = int(6000 * share)
+    x = rng.permutation(np.concatenate([dense(n), E._unit(rng.standard_normal((6000 - n, 64)))]))
+    a, b = dense(1000), dense(1000)
+    near = (a * b).sum(axis=1) >= E.COSINE
+    met = np.zeros(1000, bool)
+    for t in range(E.TREES):
+        root = E.grow(x, t, 10)
+        met |= [bool(set(p) & set(q)) for p, q in zip(E.leaves(a, t, root), E.leaves(b, t, root), strict=True)]
+    assert near.sum() > 500 and met[near].mean() >= 0.95
+
+
 def test_forest_odd_rows(spark):
     rows = sorted((r.vec_id, r.n_links, r.component_id) for r in E.near_vectors(frame(spark, odd())).collect())
     alone = [(i, 0, i) for i in (1, 2, 3, 4, 5, 6, 7, 10)]

@@ -1,7 +1,9 @@
 """Embedding near-deduplication with a forest of random-projection trees.
 
 TREES trees split the unit vectors by random directions at the median, again and again; vectors near a split go
-to both sides (spill). Vectors that share a leaf and a label are compared exactly; links from all trees unite.
+to both sides (spill). Vectors that share a leaf and a label are compared exactly; links from all trees unite. A node
+is not split where that would part too many of its near pairs, as it does inside a dense group: of the near pairs of a
+tree's sample, about KEPT at least stay together all the way down, whatever the depth.
 
 Scale: equal vectors of a label are one node with a count. The splits are fitted on at most SAMPLE vectors; the
 depth follows the size of the largest label. Leaves that are still large are cut into blocks of about BLOCK vectors
@@ -34,6 +36,8 @@ COSINE, TREES, SPILL = 0.93, 6, 0.13
 LEAF, BLOCK, SAMPLE = 512, 512, 20_000
 #: The least sample vectors of a node that is split.
 _LEAST = 16
+#: Near pairs that the splits down to a leaf may leave together, and the sample vectors of a node they are counted on.
+KEPT, SEEN = 0.6, 512
 
 #: A node: (direction seed, low, high, left, right), or None for a leaf. Projections below high go left, above low right.
 Node = tuple | None
@@ -49,13 +53,24 @@ def _direction(seed: tuple[int, ...], width: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal(width)
 
 
-def grow(x: np.ndarray, tree: int, depth: int, node: int = 1) -> Node:
+def parted(x: np.ndarray, at: np.ndarray, low: float, high: float) -> float:
+    """Share of the near pairs of x that a split parts; a few pairs that stay are added, so that chance alone stops no split."""
+    step = -(-len(x) // SEEN)
+    x, at = x[::step], at[::step]
+    near = x @ x.T >= COSINE
+    return float(near[at < low][:, at > high].sum() / ((near.sum() - np.trace(near)) / 2 + 8))
+
+
+def grow(x: np.ndarray, tree: int, depth: int, node: int = 1, kept: float = 1.0) -> Node:
     """A tree of random splits, fitted on the rows of x; they follow the spill as all rows will."""
     if not depth or len(x) < _LEAST:
         return None
     at = x @ _direction((tree, node), x.shape[1])
     low, high = np.quantile(at, [0.5 - SPILL, 0.5 + SPILL])
-    return (node, float(low), float(high), grow(x[at <= high], tree, depth - 1, 2 * node), grow(x[at >= low], tree, depth - 1, 2 * node + 1))
+    kept *= 1 - parted(x, at, low, high)
+    if kept < KEPT:
+        return None
+    return (node, float(low), float(high), grow(x[at <= high], tree, depth - 1, 2 * node, kept), grow(x[at >= low], tree, depth - 1, 2 * node + 1, kept))
 
 
 def leaves(x: np.ndarray, tree: int, root: Node) -> list[list[int]]:
