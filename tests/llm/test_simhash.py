@@ -136,3 +136,13 @@ def test_near_groups_are_exact_around_the_threshold(make_docs, monkeypatch):
     got = {r.doc_id: r.component_id for r in S.near_groups(make_docs(list(enumerate(texts)))).collect()}
     assert got == dict(enumerate(expected))
     assert min(shares) < 0.78 and max(shares) > 0.82
+
+
+def test_a_repeated_id_keeps_its_unique_text(make_docs):
+    rng = random.Random(2)
+    one, two = (" ".join(f"{c}{rng.randrange(10**6)}" for _ in range(200)) for c in "ab")
+    near = " ".join(["new", *two.split()[1:]])
+    rows = [(1, one), (2, one), (2, two), (2, near), (3, two), (3, "quite another text of the same id"), (3, "quite another text of the same id")]
+    kept = S.drop_near_copies(make_docs(rows)).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 2, 3] and {r.text for r in kept if r.doc_id != 2} == {one, rows[5][1]}
+    assert {r.text for r in kept if r.doc_id == 2} < {two, near}

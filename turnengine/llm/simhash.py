@@ -254,8 +254,10 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return least
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id) of every row: groups of texts whose sets of five-word shingles are alike at 0.8.
+def near_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, keeper) of every row: groups of texts whose sets of five-word shingles are alike at 0.8.
+
+    text_key is Spark's hash of the text; keeper (doc_id, text_key) is the smallest row of the group that has a doc_id.
 
     A 64-bit SimHash of such texts differs in up to 25 bits, and no grid over 64 bits is selective at that radius. So
     here cells are bands of a min-wise sketch, and pairs of a cell that agree in CANDIDATE of their sketches (a byte of
@@ -277,8 +279,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
             odd = np.arange(1, 2 * ROWS, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             bands = (marks * odd).sum(axis=2, dtype=np.uint64) ^ np.arange(BANDS, dtype=np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(same), pa.array(list(bands.view(np.int64)), pa.list_(pa.int64())), pa.array([(m >> np.uint64(8)).astype(np.uint8).tobytes() for m in marks.reshape(len(hashes), -1)], pa.binary())],
-                names=["doc_id", "same", "bands", "sketch"],
+                [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(same), pa.array(list(bands.view(np.int64)), pa.list_(pa.int64())), pa.array([(m >> np.uint64(8)).astype(np.uint8).tobytes() for m in marks.reshape(len(hashes), -1)], pa.binary())],
+                names=["doc_id", "text_key", "same", "bands", "sketch"],
             )
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,28 +288,34 @@ def near_groups(docs: DataFrame) -> DataFrame:
             hashes = [np.unique(shingle_hashes(t, NEAR_WORDS)) for t in batch.column(0).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.array([named(h) for h in hashes], np.uint64).view(np.int64)), pa.array([h.astype("<u8").tobytes() for h in hashes], pa.binary())], names=["rep", "shingles"])
 
-    marked = materialize(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, same long, bands array<long>, sketch binary"), "near-marks")
-    nodes = marked.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("first"), F.min(F.struct("bands", "sketch")).alias("m"))
+    marked = materialize(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "doc_id long, text_key long, same long, bands array<long>, sketch binary"), "near-marks")
+    nodes = marked.where("doc_id is not null").groupBy("same").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.min(F.struct("bands", "sketch")).alias("m"))
     nodes = materialize(nodes.select(F.col("same").alias("rep"), "first", "m.*"), "near-nodes")
     rows = nodes.select(F.explode("bands").alias("key"), F.col("rep").alias("fp"), "rep")
     linked = connected_components(cell_links(rows, None, nodes.select("rep", "sketch"), CANDIDATE))  # without the components' names
     maybe = materialize(linked.select(F.col("node").alias("rep"), "component").union(linked.select("component", "component").distinct()), "near-maybe")
     asked = nodes.join(maybe, "rep").select("rep", "first", "sketch")
-    texts = docs.select("doc_id", "text").join(asked.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
+    texts = docs.select("doc_id", "text").join(asked.select("first.doc_id").distinct(), "doc_id", "left_semi").select("text")
     sets = materialize(asked.select("rep", "sketch").join(texts.mapInArrow(shingles, "rep long, shingles binary").dropDuplicates(["rep"]), "rep"), "near-sets")
     parts = connected_components(cell_links(maybe.select(F.col("component").alias("key"), F.col("rep").alias("fp"), "rep"), None, sets, CANDIDATE))
     group = nodes.join(parts, nodes["rep"] == parts["node"], "left").select(F.col("rep").alias("same"), "first", F.coalesce("component", "rep").alias("part"))
-    least = group.groupBy("part").agg(F.min("first").alias("component_id"))
-    return marked.select("doc_id", "same").join(group.join(least, "part"), "same", "left").select("doc_id", "component_id")
+    least = group.groupBy("part").agg(F.min("first").alias("keeper"))
+    return marked.select("doc_id", "text_key", "same").join(group.join(least, "part"), "same", "left").select("doc_id", "text_key", "keeper")
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id) of every row: the smallest doc_id of its group, see near_rows."""
+    return near_rows(docs).select("doc_id", F.col("keeper.doc_id").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """docs with one row of each near-duplicate group, that of the smallest doc_id; rows without doc_id all stay.
 
-    Repeated rows (one doc_id, one text) are copies of each other and leave one.
+    Repeated rows (one doc_id, one text) are copies of each other and leave one. Where a doc_id repeats with other texts,
+    each text goes or stays by its own group.
     """
-    groups = materialize(near_groups(docs), "near-groups")
-    lost = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
-    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    groups = materialize(near_rows(docs), "near-groups").where("doc_id is not null")
+    lost = groups.where("doc_id <> keeper.doc_id or text_key <> keeper.text_key").select(F.col("doc_id").alias("lost_id"), F.col("text_key").alias("lost_key")).distinct()
+    kept = docs.join(lost, (docs["doc_id"] == lost["lost_id"]) & (F.xxhash64(docs["text"]) == lost["lost_key"]), "left_anti").select(*docs.columns)
+    repeated = groups.groupBy("doc_id", "text_key").count().where("count > 1")
     return kept if repeated.isEmpty() else kept.where("doc_id is null").union(kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
