@@ -196,7 +196,7 @@ def cell_links(rows: DataFrame, radius: int | None, sketches: DataFrame | None =
                 alike = np.concatenate([(marks[i[k : k + 4096]] == marks[j[k : k + 4096]]).mean(axis=1) for k in range(0, len(i), 4096)])
                 i, j = i[alike >= share], j[alike >= share]
             if with_sets and len(i):
-                sets = [np.frombuffer(b, "<u8") for b in t.column("shingles").to_pylist()]
+                sets = [np.frombuffer(b.as_buffer(), "<u8") for b in t.column("shingles")]
                 sure = np.array(list(verified(zip(i.tolist(), j.tolist(), strict=True), sets)), np.int64).reshape(-1, 2)
                 i, j = sure[:, 0], sure[:, 1]
             found = forest(zip(reps[i].tolist(), reps[j].tolist(), strict=True))
@@ -211,8 +211,12 @@ def cell_links(rows: DataFrame, radius: int | None, sketches: DataFrame | None =
             cells = table.column("cell").to_numpy()
             other = np.flatnonzero(cells != cells[-1])
             cut = int(other[-1] + 1) if len(other) else 0
-            if cut:
-                yield links(table.slice(0, cut))
+            ends = (np.flatnonzero(cells[1:cut] != cells[: max(cut - 1, 0)]) + 1).tolist() + [cut]
+            at = 0
+            for end in ends:  # a few cells at a time, so that pairs and sets take little memory
+                if end - at >= 2 * BLOCK or at < end == cut:
+                    yield links(table.slice(at, end - at))
+                    at = end
             rest = table.slice(cut)
         if rest is not None and rest.num_rows > 1:
             yield links(rest)
@@ -266,13 +270,16 @@ def near_rows(docs: DataFrame) -> DataFrame:
     """
     ship(docs.sparkSession)
 
+    def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return (batch.slice(at, 512) for batch in batches for at in range(0, batch.num_rows, 512))
+
     def named(hashes: np.ndarray) -> int:
         from xxhash import xxh64_intdigest
 
         return xxh64_intdigest(hashes.astype("<u8").tobytes(), 42)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches):
             hashes = [np.unique(shingle_hashes(t, NEAR_WORDS)) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             same = np.array([named(h) for h in hashes], np.uint64).view(np.int64)
             marks = np.array([sketch(h) for h in hashes], np.uint64).reshape(len(hashes), BANDS, ROWS)
@@ -284,7 +291,7 @@ def near_rows(docs: DataFrame) -> DataFrame:
             )
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches):
             hashes = [np.unique(shingle_hashes(t, NEAR_WORDS)) for t in batch.column(0).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.array([named(h) for h in hashes], np.uint64).view(np.int64)), pa.array([h.astype("<u8").tobytes() for h in hashes], pa.binary())], names=["rep", "shingles"])
 
