@@ -9,14 +9,18 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from turnengine.llm import packing, pfor
+from tokenizers import Tokenizer
+
+from turnengine.llm import tokens
 from turnengine.llm.tokens import WordTokenizer, public_path
 
 KINDS = [("byte_bpe_50k.json", "spaced"), ("word_bpe_49k.json", "bare")]
 OPEN = {kind: WordTokenizer(public_path(name), kind) for name, kind in KINDS}
+FRESH = {kind: Tokenizer.from_file(public_path(name)) for name, kind in KINDS}
 
 
 def whole(kind, text):
-    return OPEN[kind].tokenizer.encode(text or "", add_special_tokens=False).ids
+    return FRESH[kind].encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("kind", ["spaced", "bare"])
@@ -27,6 +31,27 @@ def test_words_equal_whole(kind, parts):
     assert np.frombuffer(OPEN[kind].encode([text])[0], "<u4").tolist() == whole(kind, text)
 
 
+def test_added_tokens_are_cut_out_as_the_library_does():
+    assert np.frombuffer(OPEN["spaced"].encode(["a <|endoftext|> b"])[0], "<u4").tolist() == whole("spaced", "a <|endoftext|> b") == [64, 220, 50256, 275]
+    assert np.frombuffer(OPEN["bare"].encode(["A <|endoftext|> b"])[0], "<u4").tolist() == whole("bare", "A <|endoftext|> b")
+
+
+@pytest.mark.parametrize("kind", ["spaced", "bare"])
+def test_small_store_and_colliding_hashes(kind, monkeypatch):
+    monkeypatch.setattr(tokens, "MAX_WORDS", 8)
+    monkeypatch.setattr(tokens, "MAX_WORD", 5)
+    monkeypatch.setattr(tokens, "AT_ONCE", 40)
+    texts = ["One two, three four.\nFive six; seven.", "two three longerword, two", None, "", "Ünder süß, über.", "many words of one very long text, " * 9 + "end\n"] * 3
+    reader = WordTokenizer(public_path(dict((k, n) for n, k in KINDS)[kind]), kind)
+    assert [np.frombuffer(b, "<u4").tolist() for b in reader.encode(texts)] == [whole(kind, t) for t in texts]
+    monkeypatch.setattr(tokens, "_BASES", (np.uint64(1), tokens._BASES[1]))  # a first hash that anagrams share
+    tokens._POWERS.clear()
+    signs = np.frombuffer(b" ab ba ab cd", np.uint8)
+    group, first = tokens.distinct_words(signs, tokens.word_starts(signs))
+    assert group.tolist() == [0, 1, 0, 2] and first.tolist() == [0, 1, 3]
+    tokens._POWERS.clear()
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 60), st.integers(0, 50_000), st.integers(0, 2**32 - 1)), max_size=700), st.sampled_from([0.5, 0.9, 1.0]))
 def test_blocks_round_trip(ids, percentile):

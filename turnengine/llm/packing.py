@@ -175,8 +175,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, kind: str = "bare", end
             return done
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 for doc_id, ids in zip(part.column(0).to_pylist(), tokenizer.encode(part.column(1).to_pylist()), strict=True):
                     ids += end
                     total = len(ids) // 4

@@ -190,8 +190,8 @@ def write_store(docs: DataFrame, tokenizer_path: str, kind: str = "spaced", end_
         schema = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("shard_start", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
         held = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 for doc_id, ids in zip(part.column(0).to_pylist(), tokenizer.encode(part.column(1).to_pylist()), strict=True):
                     doc_ids.append(doc_id)
                     documents.append(ids + end)
