@@ -74,7 +74,7 @@ def test_structural(spark):
         quality.import_rows(rows, None)
     fine = _rows(spark, [("a", "1", "n"), ("a", "2", "n")])
     assert quality.import_rows(fine, None).count() == 2
-    edited = quality.rows_to_turns(fine).withColumn("speaker", F.lit("B"))
+    edited = quality.rows_to_turns(fine).withColumn("speaker", F.lit("B")).withColumn("ord", F.col("turn_index"))
     assert [r.check for r in quality.drift(quality.rows_to_turns(fine), edited).collect()] == ["changed_speaker"] * 2
     with pytest.raises(EngineError):
         quality.import_rows(fine, edited)

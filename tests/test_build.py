@@ -1,7 +1,7 @@
 """Micro-fixtures of the corpus build."""
 
 from turnengine.operators import build
-from turnengine.schema import TOKEN
+TOKEN = "conversazione string, pos long, speaker string, tu string, form string, type string, variation string, feats string"
 
 ROWS = [
     ("A", "10", "ciao", "linguistic", "none", "_"),

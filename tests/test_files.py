@@ -1,15 +1,19 @@
 """Readers, writers, workbook and command line, through real files."""
 
 import json
+import threading
+import zipfile
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 from pyspark.sql import functions as F
 
 from turnengine import cli
-from turnengine.operators import build
+from turnengine.operators import bertscore, build, metrics, translate
 from turnengine.schema import EngineError
 from turnengine.sinks import files as sinks
 from turnengine.sources import files, workbook
+from turnengine.sources.chat import ChatBackend
 from turnengine.streaming.translate import translate_stream
 
 
@@ -78,17 +82,21 @@ def test_score_merge_fix_commands(spark, tmp_path):
     write("draft.json", turn(1, "uno", "why not"), turn(2, "due", 'stessa "frase", qui'), turn(4, "x", "y"))
     write("golden.json", turn(1, "uno", "pecché no"), turn(2, "due", 'stessa "frase", qui'))
     write("structure.json", turn(1, "uno", ""), turn(2, "due!", ""), turn(3, "tre", ""))
+    whole = json.loads((tmp_path / "structure.json").read_text())
+    (tmp_path / "structure.json").write_text(json.dumps([whole[0] | {"id": "z"}, *whole, {"id": "b", "n_turni_italiani": 0, "turni": []}]))
     p = lambda n: str(tmp_path / n)
     cli.main(["score", "--draft", p("draft.json"), "--golden", p("golden.json"), "--out", p("report.txt"), "--csv", p("scores.csv")])
     report = (tmp_path / "report.txt").read_text()
-    assert "pairs: 2" in report and "warning: draft only a 4" in report and "REPLACE" in report
-    assert "BERTScore n/d" in report
+    assert "pairs: 2" in report and "  - draft only a 4" in report and "warnings: 1" in report and "corpus chrF: " in report and "tu_id 1 | speaker A" in report and "to replace: 1/2 (50.0%)" in report and "REPLACE" in report
+    assert "BERTScore n/d" in report and "weights: chrf 57%, bleu 21%, rouge 21%" in report
     with pytest.raises(SystemExit, match="BERTScore needs"):
         cli.main(["score", "--draft", p("draft.json"), "--golden", p("golden.json"), "--out", p("r"), "--csv", p("c"), "--bertscore"])
     decided = {r.turn_index: r for r in files.read_decisions(spark, p("scores.csv")).collect()}
     assert decided[1].sostituire and not decided[2].sostituire and decided[2].gemma == 'stessa "frase", qui'
     cli.main(["merge", "--decisions", p("scores.csv"), "--structure", p("structure.json"), "--out", p("final")])
     final = json.loads((tmp_path / "final.json").read_text())
+    assert [(s["id"], s["n_turni_italiani"]) for s in final] == [("z", 0), ("a", 2), ("b", 0)]  # the file's order, and those that lost all turns
+    final = final[1]
     assert [(t["turn_index"], t["napoletano"], t["fonte"]) for t in final["turni"]] == [(1, "pecché no", "golden"), (2, 'stessa "frase", qui', "gemma4")]
     (tmp_path / "fix.csv").write_text("conversazione,turn_index,ord,old,new\na,1,1,why,pecché\n")
     cli.main(["fix", "--json", p("draft.json"), "--corrections", p("fix.csv"), "--apply"])
@@ -118,3 +126,110 @@ def test_stream(spark, tmp_path):
         translate_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), lambda m: "T").awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted((r.conversazione, r.turn_index, r.napoletano) for r in rows) == [("c1", 1, "T"), ("c1", 2, "T"), ("c2", 1, "T"), ("c2", 2, "T")]
+
+
+def sample(name, *texts):
+    return {"id": name, "turni": [{"turn_index": i, "tu_id": str(i), "speaker": "A", "italiano": t, "napoletano": ""} for i, t in enumerate(texts, 1)]}
+
+
+@pytest.fixture
+def chat_server():
+    """A chat endpoint: it refuses texts with "refuse", and answers with the last line of the prompt in upper case."""
+    asked = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            asked.append((self.headers.get("Authorization"), body))
+            text = body["messages"][-1]["content"].split("\n")[-1]
+            self.send_response(500 if "refuse" in text else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"message": {"content": f"  {text.upper()} "}}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/chat", asked
+    server.shutdown()
+
+
+def test_translate_command(spark, tmp_path, chat_server, monkeypatch):
+    url, asked = chat_server
+    (tmp_path / "in.json").write_text(json.dumps([sample("z", "uno", "due"), sample("b", "tre", "quattro")]))
+    (tmp_path / "prompt").write_text("system")
+    monkeypatch.setenv("CHAT_API_KEY", "k")
+    command = ["translate", "--input", str(tmp_path / "in.json"), "--output", str(tmp_path / "out.json"), "--key-file", str(tmp_path / "no"), "--url", url, "--model", "m", "--prompt-file", str(tmp_path / "prompt"), "--save-every", "2"]
+    cli.main([*command, "--limit", "3"])
+    read = lambda: [(s["id"], [t["napoletano"] for t in s["turni"]]) for s in json.loads((tmp_path / "out.json").read_text())]
+    assert read() == [("z", ["UNO", ""]), ("b", ["TRE", "QUATTRO"])]  # by name and turn, in the file's order
+    assert (tmp_path / "out.csv").exists() and asked[0][0] == "Bearer k" and asked[0][1]["messages"][0] == {"role": "system", "content": "system"}
+    cli.main(command)  # takes the output up where it was
+    assert read()[0] == ("z", ["UNO", "DUE"]) and len(asked) == 4
+
+
+def test_chat_backend_raises_on_errors(chat_server):
+    with pytest.raises(OSError):
+        ChatBackend(chat_server[0], "m")([{"role": "user", "content": "refuse"}])
+
+
+def test_limit_counts_successes_and_saves_survive_an_interrupt(spark):
+    turns = spark.createDataFrame([("a", i, i, f"t{i}", "") for i in range(6)], "conversazione string, turn_index int, turn_ord int, italiano string, napoletano string")
+    saved = []
+
+    def backend(messages):
+        text = messages[1]["content"].split("\n")[-1]
+        if text in ("t0", "t2"):
+            raise OSError("no")
+        return text.upper()
+
+    keep = lambda done: saved.append([r.napoletano for r in done.orderBy("turn_ord").collect()])
+    _, n = translate.translate_in_steps(turns, 2, keep, limit=3, backend=backend)
+    assert n == 3 and saved[-1] == ["", "T1", "", "T3", "T4", ""] and len(saved) == 3
+
+    def stop(done):
+        keep(done)
+        if len(saved) == 5:
+            raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        translate.translate_in_steps(turns, 2, stop, backend=backend)
+    assert saved[-1] == ["", "T1", "", "T3", "", ""]
+
+
+def test_bertscore_through_a_stand_in(spark, tmp_path, monkeypatch):
+    """The model's path with stand-in libraries: F1 of 0.5 for every pair of texts that are not empty."""
+    (tmp_path / "torch.py").write_text("class cuda:\n    is_available = staticmethod(lambda: False)\n")
+    (tmp_path / "bert_score.py").write_text(
+        "import numpy as np\n\n\nclass F1(np.ndarray):\n    def numpy(self):\n        return np.asarray(self)\n\n\n"
+        "class BERTScorer:\n    def __init__(self, model_type, batch_size, device):\n        assert (model_type, batch_size, device) == ('m', 2, 'cpu')\n\n"
+        "    def score(self, a, b):\n        return None, None, np.full(len(a), 0.5).view(F1)\n"
+    )
+    for name in ("torch.py", "bert_score.py"):
+        spark.sparkContext.addPyFile(str(tmp_path / name))
+    pairs = spark.createDataFrame([("a", 1, "x", "x", ""), ("a", 2, "", "y", "")], "conversazione string, turn_index int, gemma string, golden string, note string")
+    scored = bertscore.add_bertscore(pairs, "m", 2)
+    rows = metrics.decisions(scored, bertscore=F.col("bertscore")).orderBy("turn_index").select("bertscore", "similarita", bertscore.bert_text(F.col("bertscore"), True).alias("shown")).collect()
+    assert [tuple(r) for r in rows] == [(50.0, pytest.approx(0.4 * 100 + 0.3 * 50 + 0.15 * 100 + 0.15 * 100), "0.5000"), (0.0, 0.0, "0.0000")]
+
+
+def test_workbook_layout(spark, tmp_path):
+    name = "a" * 40
+    turns = spark.createDataFrame([(name, "r", "m", "l", 1, "1", "A", "x", "y", "n")], TURNS)
+    sinks.write_workbook(turns, str(tmp_path / "w.xlsx"), split=True)
+    with zipfile.ZipFile(tmp_path / "w.xlsx") as z:
+        sheet = z.read("xl/worksheets/sheet2.xml").decode()
+        assert name[:31] in z.read("xl/workbook.xml").decode() and name not in z.read("xl/workbook.xml").decode()
+    for part in ('state="frozen"', "<autoFilter", 'type="textLength"', 'width="60"', 'autoFilter="0" sort="0"'):
+        assert part in sheet
+    assert workbook.read_workbook(spark, str(tmp_path / "w.xlsx")).first()["conversazione"] == name
+    with pytest.raises(EngineError):
+        sinks.write_workbook(turns.union(turns.withColumn("conversazione", F.lit(name + "b"))), str(tmp_path / "w.xlsx"), split=True)
+
+
+def test_requested_order_is_kept(spark, corpus):
+    for code in ("K0", "K5"):
+        (corpus / f"tsv/{code}.vert.tsv").write_text((corpus / "tsv/K1.b.vert.tsv").read_text(encoding="utf-8"), encoding="utf-8")
+    cli.main(["build", "--corpus", str(corpus), "--conversations", "K5", "K1", "K0", "--out", str(corpus / "out")])
+    assert [s["id"] for s in json.loads((corpus / "out.json").read_text(encoding="utf-8"))] == ["K5", "K1", "K0"]

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnengine.functions.text import words
-from turnengine.operators import align, build, merge, metrics, patch, quality, translate
+from turnengine.operators import align, bertscore, build, merge, metrics, patch, quality, translate
 from turnengine.plans import adapters as data
+from turnengine.plans import exchange
 from turnengine.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,13 +117,12 @@ SCORED = (
   FROM pairs p JOIN s_chrf c USING ({KEY}) JOIN s_bleu b USING ({KEY}) JOIN s_rouge r USING ({KEY})),
 decided AS (SELECT *, greatest(0, least(100, 0.4 / 0.7 * chrf + 0.15 / 0.7 * bleu + 0.15 / 0.7 * rouge)) AS similarita FROM scores)"""
 )
-#: A cheap stand-in for scores, so that queries on decisions need no n-grams: similarity from lengths.
-CHEAP = SIDES + """, decisions AS (SELECT *, CASE WHEN length(golden) = 0 OR length(gemma) = 0 THEN 0.0 ELSE round(100.0 * least(length(gemma), length(golden)) / greatest(length(gemma), length(golden)), 4) END AS similarita FROM pairs WHERE ord % 10 <> 7),
-stored AS (SELECT *, similarita < 85.0 AS sostituire FROM decisions)"""
+#: Decisions as they are stored.
+STORED = SCORED + """, stored AS (SELECT *, similarita < 85.0 AS sostituire FROM decided)"""
 
 
 def _final(choice: str) -> str:
-    return CHEAP + f""", final AS (SELECT s.conversazione, s.turn_index, s.regione, s.macro_regione, s.languages, s.tu_id, s.speaker, s.italiano, CASE WHEN {choice} THEN d.golden ELSE d.gemma END AS napoletano, '' AS note,
+    return STORED + f""", final AS (SELECT s.conversazione, s.turn_index, s.regione, s.macro_regione, s.languages, s.tu_id, s.speaker, s.italiano, CASE WHEN {choice} THEN d.golden ELSE d.gemma END AS napoletano, '' AS note,
     CASE WHEN {choice} THEN 'golden' ELSE 'gemma4' END AS fonte, round(d.similarita, 2) AS similarita, d.gemma, d.golden FROM structure s JOIN stored d USING ({KEY}))"""
 
 
@@ -138,11 +138,41 @@ ROWS = STRUCTURE + """, wb AS (SELECT CASE WHEN k % 19 = 0 THEN '' ELSE conversa
 numbered AS (SELECT *, CAST(row_number() OVER (ORDER BY pos) + 1 AS INTEGER) AS data_row, TRY_CAST(turn_index AS INTEGER) AS turn_no FROM wb),
 marked AS (SELECT *, CASE WHEN conversazione = '' THEN 'empty_conversation' WHEN turn_no IS NULL THEN 'bad_turn_index' WHEN row_number() OVER (PARTITION BY conversazione, turn_no ORDER BY pos) > 1 THEN 'duplicate_turn_index' END AS problem FROM numbered)"""
 EDITED = STRUCTURE + """, edited AS (SELECT conversazione, turn_index, tu_id, CASE WHEN k % 17 = 0 THEN 'other' ELSE speaker END AS speaker, CASE WHEN k % 13 = 0 THEN substr(italiano, 2) ELSE italiano END AS italiano, regione, macro_regione, languages, napoletano, turn_ord
-  FROM (SELECT *, conv_id * 7 + turn AS k FROM structure) WHERE NOT (conv_id % 8 = 0 AND turn = 0))"""
+  FROM (SELECT *, conv_id * 7 + turn AS k FROM structure) WHERE NOT (conv_id % 8 = 0 AND turn = 1))"""
 CONTEXT = TURNS + """, shown AS (SELECT *, CASE WHEN (conv_id + turn) % 6 = 1 THEN '' ELSE italiano END AS nap FROM turns),
 lines AS (SELECT *, coalesce(string_agg('- ' || italiano || CASE WHEN nap <> '' THEN '  ->  ' || nap ELSE '' END, chr(10) ) OVER (PARTITION BY conversazione ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), '') AS context_text,
     count(*) OVER (PARTITION BY conversazione ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS n_context FROM shown)"""
 
+REVIEW = STRUCTURE + """, review AS (SELECT conversazione, regione, macro_regione, languages, turn_index, tu_id, speaker, italiano, CASE WHEN k % 11 = 0 THEN chr(39) ELSE '' END || italiano AS napoletano, CASE WHEN k % 3 = 0 THEN 'checked' ELSE '' END AS note
+  FROM (SELECT *, conv_id * 7 + turn AS k FROM structure)),
+as_text AS (SELECT * REPLACE (CAST(turn_index AS VARCHAR) AS turn_index) FROM review)"""
+
+
+def _toy(chosen: str) -> str:
+    """CTEs that translate turn by turn as exchange.toy does; chosen: which open turns of toy_turns are translated."""
+    return f"""WITH RECURSIVE {TURNS}, toy_turns AS (SELECT *, CASE WHEN (conv_id + turn) % 6 = 1 THEN '' ELSE italiano END AS given, CAST(row_number() OVER (PARTITION BY conversazione ORDER BY turn) AS INTEGER) AS i FROM turns),
+  ranked AS (SELECT *, given = '' AND length(italiano) % 5 <> 0 AS may, sum(CASE WHEN given = '' AND length(italiano) % 5 <> 0 THEN 1 ELSE 0 END) OVER (ORDER BY conversazione, turn) AS nth FROM toy_turns),
+  marked AS (SELECT *, {chosen} AS chosen FROM ranked),
+  steps AS (SELECT conversazione, 0 AS i, CAST(NULL AS INTEGER) AS turn_index, CAST(NULL AS VARCHAR) AS napoletano, false AS fresh, CAST([] AS VARCHAR[]) AS before FROM (SELECT DISTINCT conversazione FROM turns)
+    UNION ALL SELECT s.conversazione, m.i, m.turn_index, n.nap, m.chosen, list_append(s.before, '- ' || m.italiano || CASE WHEN n.nap <> '' THEN '  ->  ' || n.nap ELSE '' END)[-4:]
+    FROM steps s JOIN marked m ON m.conversazione = s.conversazione AND m.i = s.i + 1,
+    LATERAL (SELECT CASE WHEN len(s.before) > 0 THEN 'Context:' || chr(10) || array_to_string(s.before, chr(10)) || chr(10) || chr(10) ELSE '' END || 'Translate:' || chr(10) || m.italiano AS asked) q,
+    LATERAL (SELECT CASE WHEN m.given <> '' THEN m.given WHEN m.chosen THEN length(q.asked) || ':' || right(q.asked, 20) ELSE '' END AS nap) n)"""
+
+
+#: Paragraphs of a score report: parameters, means, warnings, pairs.
+REPORT = SCORED + CHRF_CTE.replace("cc", "rc") + BLEU_CTE.replace("cb", "rb") + f""", tc AS (SELECT 1 AS one, n, sum(h) AS h, sum(r) AS r, sum(m) AS m FROM rc GROUP BY n), tb AS (SELECT 1 AS one, n, sum(h) AS h, sum(r) AS r, sum(m) AS m, sum(hl) AS hl, sum(rl) AS rl FROM rb GROUP BY n),
+  totals AS (SELECT count(*) AS n, avg(chrf) AS c, avg(bleu) AS b, avg(rouge) AS r, avg(similarita) AS s, count(*) FILTER (similarita < 85.0) AS bad, count(*) FILTER (similarita >= 99.995) AS same FROM decided),
+  corpus AS (SELECT chrf, bleu FROM ({_f_chrf(['tc'], 'one')}) JOIN ({_f_bleu('tb', 'one', False)}) USING (one)),
+  lonely AS (SELECT conversazione, turn_index, row_number() OVER (ORDER BY conversazione, turn_index) AS nth FROM (SELECT conversazione, turn_index FROM draft EXCEPT SELECT conversazione, turn_index FROM golden)),
+  lf AS (SELECT chr(10) AS nl)
+SELECT 'hypothesis: draft.json' || nl || 'reference: golden.json' || nl || 'pairs: ' || n || nl || 'BERTScore: off' || nl || 'chrF word order: 0' || nl || 'weights: chrf 57%, bleu 21%, rouge 21%' || nl || 'threshold: replace below 85.0%' AS paragraph FROM totals, lf
+UNION ALL SELECT 'mean BERTScore F1: n/d' || nl || printf('mean sentence BLEU: %.2f', b) || nl || printf('mean ROUGE-L F1: %.4f', r / 100) || nl || printf('mean sentence chrF: %.2f', c) || nl || printf('corpus BLEU: %.2f', bleu) || nl || printf('corpus chrF: %.2f', chrf) || nl || printf('mean similarity: %.2f %%', s) || nl
+  || printf('to replace: %d/%d (%.1f%%)', bad, n, 100.0 * bad / n) || nl || 'identical: ' || same FROM totals, corpus, lf
+UNION ALL SELECT 'warnings: ' || count(*) || nl || string_agg('  - draft only ' || conversazione || ' ' || turn_index, chr(10) ORDER BY nth) FILTER (nth <= 30) || CASE WHEN count(*) > 30 THEN nl || '  ... and ' || (count(*) - 30) || ' more' ELSE '' END FROM lonely, lf GROUP BY nl
+UNION ALL SELECT '[' || conversazione || ' | turn ' || turn_index || ' | tu_id ' || tu_id || ' | speaker ' || speaker || ']' || nl || '  it: ' || italiano || nl || '  draft: ' || gemma || nl || '  golden: ' || golden || nl
+  || printf('  chrF %.2f  BLEU %.2f  ROUGE-L %.4f  BERTScore n/d  similarity %.2f %%  ', round(chrf, 2), round(bleu, 2), round(rouge / 100, 4), round(similarita, 2)) || CASE WHEN similarita < 85.0 THEN 'REPLACE' ELSE 'keep' END || CASE WHEN note <> '' THEN nl || '  note: ' || note ELSE '' END FROM decided, lf"""
+
 # ---------------------------------------------------------------------------------------------------------------
 # queries
 
@@ -159,14 +189,8 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
     return metrics.decisions(_pairs(spark, d))
 
 
-def _stored(spark: SparkSession, d: str) -> DataFrame:
-    a, b = F.length("gemma"), F.length("golden")
-    value = F.when((a == 0) | (b == 0), 0.0).otherwise(F.round(100.0 * F.least(a, b) / F.greatest(a, b), 4))
-    return _pairs(spark, d).where("ord % 10 <> 7").withColumn("similarita", value).withColumn("sostituire", F.col("similarita") < 85.0).select("conversazione", "turn_index", "italiano", "gemma", "golden", "similarita", "sostituire", "ord")
-
-
 def _merged(spark: SparkSession, d: str, **how: object) -> DataFrame:
-    return merge.merge(data.structure(spark, d), _stored(spark, d), **how)
+    return merge.merge(data.structure(spark, d), _scored(spark, d), **how)
 
 
 def _shown(spark: SparkSession, d: str) -> DataFrame:
@@ -204,7 +228,7 @@ def similarity_decision(spark: SparkSession, d: str) -> DataFrame:
 
 def score_summary(spark: SparkSession, d: str) -> DataFrame:
     s = metrics.score_summary(_scored(spark, d))
-    return s.select("pairs", "to_replace", "identical", *[F.round(c, 4).alias(c) for c in s.columns if c.startswith("mean_")])
+    return s.select("pairs", "to_replace", "identical", *[F.round(c, 4).alias(c) for c in ("mean_chrf", "mean_bleu", "mean_rouge", "mean_similarita")])
 
 
 def corpus_chrf_bleu(spark: SparkSession, d: str) -> DataFrame:
@@ -243,13 +267,38 @@ def build_messages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def translate_sequential(spark: SparkSession, d: str) -> DataFrame:
-    """A toy backend that shows what it was given: the length of its prompt, and the end of the text."""
+    """Every backend call fails twice and is asked again."""
+    backend = translate.with_retries(exchange.Flaky(), sleep=lambda seconds: None)
+    return translate.translate(_shown(spark, d), backend, PROMPT).select("conversazione", "turn_index", "napoletano", "fresh")
+
+
+def _bert_stand_in(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions of the composite with all four terms; the ratio of the lengths stands in for the model's score."""
+    a, b = F.length("gemma"), F.length("golden")
+    return metrics.decisions(_pairs(spark, d), bertscore=F.when((a == 0) | (b == 0), 0.0).otherwise(100.0 * F.least(a, b) / F.greatest(a, b)))
+
+
+def similarity_with_bertscore(spark: SparkSession, d: str) -> DataFrame:
+    return _bert_stand_in(spark, d).select("conversazione", "turn_index", F.round("bertscore", 4).alias("bertscore"), F.round("similarita", 4).alias("similarita"), "sostituire", bertscore.bert_text(F.col("bertscore"), True).alias("shown"))
+
+
+def score_report(spark: SparkSession, d: str) -> DataFrame:
+    pairs = _pairs(spark, d)
+    warned = [f"draft only {r['conversazione']} {r['turn_index']}" for r in align.misaligned(data.draft(spark, d), data.golden(spark, d))[0].orderBy(*align.KEY).limit(30).collect()]
+    return exchange.report_file(spark, pairs, _scored(spark, d).orderBy("ord"), warned, align.misaligned(data.draft(spark, d), data.golden(spark, d))[0].count())
+
 
-    def toy(messages: list[dict[str, str]]) -> str:
-        user = messages[1]["content"]
-        return f"{len(user)}:{user[-20:]}"
+def score_file(spark: SparkSession, d: str) -> DataFrame:
+    return exchange.score_file(spark, _scored(spark, d))
 
-    return translate.translate(_shown(spark, d), toy, PROMPT).select("conversazione", "turn_index", "napoletano", "fresh")
+
+def final_files(spark: SparkSession, d: str) -> DataFrame:
+    return exchange.final_files(spark, d, _scored(spark, d))
+
+
+def translated_file(spark: SparkSession, d: str) -> DataFrame:
+    rows = _shown(spark, d).select("conversazione", F.lit("").alias("regione"), F.lit("").alias("macro_regione"), F.lit("").alias("languages"), "turn_index", "tu_id", "speaker", "italiano", "napoletano", F.lit("").alias("note"), "turn_ord")
+    return exchange.translated_file(spark, rows, PROMPT, 40, 25)
 
 
 def quality_structural(spark: SparkSession, d: str) -> DataFrame:
@@ -261,15 +310,15 @@ def imported_turns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus_drift(spark: SparkSession, d: str) -> DataFrame:
-    return quality.drift(data.edited(spark, d), data.structure(spark, d).where("conv_id % 5 <> 4"))
+    return quality.drift(data.edited(spark, d), data.renamed(data.structure(spark, d), 4, 5, "z"))
 
 
 def verify_fields(spark: SparkSession, d: str) -> DataFrame:
-    return quality.verify(data.edited(spark, d).where("conv_id <> 0"), data.structure(spark, d).where("conv_id <> 0")).select("check", "conversazione", "i", "left", "right")
+    return quality.verify(data.edited(spark, d), data.structure(spark, d)).select("check", "conversazione", "i", "left", "right")
 
 
 def verify_ids(spark: SparkSession, d: str) -> DataFrame:
-    return quality.verify(data.edited(spark, d).where("conv_id % 3 <> 0"), data.structure(spark, d).where("conv_id % 3 <> 1")).select("check", "conversazione", "i", "left", "right")
+    return quality.verify(data.renamed(data.edited(spark, d), 0, 3, "x"), data.renamed(data.structure(spark, d), 1, 3, "y")).select("check", "conversazione", "i", "left", "right")
 
 
 UNIT = ("conversazione", "tu_id", "first_pos", "speaker", "text")
@@ -324,7 +373,7 @@ _QUERIES: dict[str, tuple[Query, str | None]] = {
     "merge_without_source": (lambda s, d: _merged(s, d).select(*_FINAL[:-2]), f"WITH {_final('d.sostituire')} SELECT {', '.join(_FINAL[:-2])} FROM final"),
     "merge_conversations": (lambda s, d: merge.all_conversations(data.structure(s, d), _merged(s, d)), f"WITH {_final('d.sostituire')} SELECT conversazione, count(f.turn_index) AS n_turni_italiani FROM (SELECT DISTINCT conversazione FROM structure) LEFT JOIN final f USING (conversazione) GROUP BY ALL"),
     "source_counts": (lambda s, d: merge.source_counts(_merged(s, d)), f"WITH {_final('d.sostituire')} SELECT count(*) AS total, count(*) FILTER (fonte = 'golden') AS golden, count(*) FILTER (fonte = 'golden') * 100.0 / count(*) AS golden_pct, count(*) FILTER (fonte = 'gemma4') AS gemma4, count(*) FILTER (fonte = 'gemma4') * 100.0 / count(*) AS gemma4_pct FROM final"),
-    "turns_without_decision": (lambda s, d: merge.undecided(data.structure(s, d), _stored(s, d)), f"WITH {CHEAP} SELECT conversazione, turn_index, italiano FROM structure ANTI JOIN stored USING ({KEY})"),
+    "turns_without_decision": (lambda s, d: merge.undecided(data.structure(s, d), _pairs(s, d)), f"WITH {SIDES} SELECT conversazione, turn_index, italiano FROM structure ANTI JOIN pairs USING ({KEY})"),
     "riskiest_kept_topk": (lambda s, d: merge.riskiest(_merged(s, d, threshold=60.0)), f"WITH {_final('d.similarita < 60.0')} SELECT similarita, conversazione, turn_index, gemma, golden FROM final WHERE fonte = 'gemma4' AND gemma <> golden ORDER BY similarita, conversazione, turn_index, gemma, golden LIMIT 10"),
     "apply_corrections": (corrected_turns, f"WITH {CORRECTIONS} SELECT t.conversazione, t.turn_index, coalesce(s.text, t.italiano) AS napoletano FROM turns t LEFT JOIN status s USING ({KEY})"),
     "correction_status": (correction_status, f"WITH {CORRECTIONS} SELECT conversazione, CAST(turn_index AS INTEGER) AS turn_index, status, text FROM status"),
@@ -337,7 +386,7 @@ _QUERIES: dict[str, tuple[Query, str | None]] = {
     "imported_turns": (imported_turns, f"WITH {ROWS} SELECT conversazione, regione, macro_regione, languages, turn_no AS turn_index, tu_id, speaker, italiano, napoletano, note FROM marked WHERE problem IS NULL"),
     "corpus_drift": (
         corpus_drift,
-        f"""WITH {EDITED}, source AS (SELECT * FROM structure WHERE conv_id % 5 <> 4), mine AS (SELECT * FROM edited WHERE conversazione IN (SELECT conversazione FROM source)),
+        f"""WITH {EDITED}, source AS (SELECT * REPLACE (CASE WHEN conv_id % 5 = 4 THEN 'z' ELSE '' END || conversazione AS conversazione) FROM structure), mine AS (SELECT * FROM edited WHERE conversazione IN (SELECT conversazione FROM source)),
     j AS (SELECT m.*, s.italiano AS s_italiano, s.speaker AS s_speaker, s.tu_id AS s_tu FROM mine m LEFT JOIN source s USING ({KEY}))
     SELECT 'turn_count' AS "check", conversazione, CAST(NULL AS INTEGER) AS turn_index FROM (SELECT conversazione, count(*) AS n FROM mine GROUP BY ALL) JOIN (SELECT conversazione, count(*) AS m FROM source GROUP BY ALL) USING (conversazione) WHERE n <> m
     UNION ALL SELECT 'missing_in_source', conversazione, turn_index FROM j WHERE s_tu IS NULL
@@ -347,8 +396,8 @@ _QUERIES: dict[str, tuple[Query, str | None]] = {
     ),
     "verify_fields": (
         verify_fields,
-        f"""WITH {EDITED}, a AS (SELECT *, CAST(row_number() OVER (PARTITION BY conversazione ORDER BY turn_ord) AS INTEGER) AS i FROM edited WHERE conversazione <> '0' AND conversazione IN (SELECT conversazione FROM structure)),
-    b AS (SELECT *, CAST(row_number() OVER (PARTITION BY conversazione ORDER BY turn_ord) AS INTEGER) AS i FROM structure WHERE conversazione <> '0'),
+        f"""WITH {EDITED}, a AS (SELECT *, CAST(row_number() OVER (PARTITION BY conversazione ORDER BY turn_ord) AS INTEGER) AS i FROM edited),
+    b AS (SELECT *, CAST(row_number() OVER (PARTITION BY conversazione ORDER BY turn_ord) AS INTEGER) AS i FROM structure),
     lost AS (SELECT 'only_left' AS "check", conversazione FROM a ANTI JOIN b USING (conversazione) UNION SELECT 'only_right', conversazione FROM b ANTI JOIN a USING (conversazione)),
     d AS (SELECT conversazione, i, unnest([{{'c': 'turn_index', 'l': CAST(a.turn_index AS VARCHAR), 'r': CAST(b.turn_index AS VARCHAR)}}, {{'c': 'tu_id', 'l': a.tu_id, 'r': b.tu_id}}, {{'c': 'speaker', 'l': a.speaker, 'r': b.speaker}}, {{'c': 'italiano', 'l': a.italiano, 'r': b.italiano}}, {{'c': 'napoletano', 'l': a.napoletano, 'r': b.napoletano}}]) AS x FROM a JOIN b USING (conversazione, i))
     SELECT "check", conversazione, CAST(NULL AS INTEGER) AS i, CAST(NULL AS VARCHAR) AS "left", CAST(NULL AS VARCHAR) AS "right" FROM lost
@@ -357,17 +406,65 @@ _QUERIES: dict[str, tuple[Query, str | None]] = {
     ),
     "verify_ids": (
         verify_ids,
-        f"""WITH {STRUCTURE}, a AS (SELECT DISTINCT conversazione FROM structure WHERE conv_id % 3 <> 0 AND NOT (conv_id % 8 = 0 AND turn = 0)), b AS (SELECT DISTINCT conversazione FROM structure WHERE conv_id % 3 <> 1)
+        f"""WITH {STRUCTURE}, a AS (SELECT DISTINCT CASE WHEN conv_id % 3 = 0 THEN 'x' ELSE '' END || conversazione AS conversazione FROM structure WHERE NOT (conv_id % 8 = 0 AND turn = 1)), b AS (SELECT DISTINCT CASE WHEN conv_id % 3 = 1 THEN 'y' ELSE '' END || conversazione AS conversazione FROM structure)
     SELECT CASE WHEN conversazione IN (FROM a) THEN 'only_left' ELSE 'only_right' END AS "check", conversazione, CAST(NULL AS INTEGER) AS i, CAST(NULL AS VARCHAR) AS "left", CAST(NULL AS VARCHAR) AS "right"
     FROM (FROM a UNION FROM b) WHERE (conversazione IN (FROM a)) <> (conversazione IN (FROM b))""",
     ),
+    "token_files": (
+        exchange.token_files,
+        f"WITH {TOKENS} SELECT conversazione, CAST(CASE WHEN nth = 1 THEN 1 ELSE nth + 1 END AS BIGINT) AS pos, speaker, tu, form, type, variation, feats FROM (SELECT *, row_number() OVER (PARTITION BY conversazione ORDER BY pos) AS nth FROM tokens)",
+    ),
+    "metadata_file": (exchange.metadata_file, f"WITH {META} SELECT code, regione, macro_regione, languages FROM meta"),
+    "sample_files": (exchange.sample_files, f"WITH {REVIEW} SELECT kind, review.* FROM review, (VALUES ('array'), ('lines'), ('object')) AS k(kind) WHERE kind <> 'object' OR conversazione = (SELECT min(conversazione) FROM review)"),
+    "saved_files": (exchange.saved_files, f"WITH {REVIEW} SELECT 'csv' AS kind, * FROM as_text UNION ALL SELECT 'json', * REPLACE ('' AS note) FROM as_text"),
+    "import_files": (exchange.import_files, f"WITH {REVIEW} SELECT 'csv' AS kind, * FROM as_text UNION ALL SELECT 'json', * REPLACE ('' AS note) FROM as_text"),
+    "workbook_files": (
+        exchange.workbook_files,
+        f"WITH {REVIEW} SELECT kind, as_text.*, row_number() OVER (PARTITION BY kind ORDER BY conversazione, CAST(turn_index AS INTEGER)) - 1 AS pos FROM as_text, (VALUES ('single'), ('split')) AS k(kind)",
+    ),
+    "score_file": (
+        score_file,
+        f"WITH {SCORED} SELECT conversazione, turn_index, tu_id, speaker, italiano, gemma, golden, note, '0.0' AS bertscore, CAST(round(bleu, 4) AS VARCHAR) AS bleu, CAST(round(rouge, 4) AS VARCHAR) AS rouge, CAST(round(chrf, 4) AS VARCHAR) AS chrf, round(similarita, 4) AS similarita, similarita < 85.0 AS sostituire FROM decided",
+    ),
+    "score_report": (score_report, f"WITH {REPORT}"),
+    "final_files": (
+        final_files,
+        f"""WITH {_final('d.sostituire').replace('round(d.similarita, 2)', 'round(round(d.similarita, 4), 2)')}, t AS (SELECT {FINAL_COLUMNS} FROM final)
+    SELECT 'with' AS kind, * REPLACE (CAST(turn_index AS VARCHAR) AS turn_index) FROM t UNION ALL SELECT 'without', * REPLACE (CAST(turn_index AS VARCHAR) AS turn_index, '' AS fonte, NULL AS similarita) FROM t
+    UNION ALL SELECT 'json', * REPLACE (CAST(turn_index AS VARCHAR) AS turn_index, NULL AS similarita) FROM t""",
+    ),
+    "regrouped_conversations": (
+        lambda s, d: exchange.regrouped(s, d, _scored(s, d)),
+        f"""WITH {_final('d.sostituire')}, left_over AS (SELECT * FROM final WHERE CAST(conversazione AS INTEGER) % 4 <> 1)
+    SELECT s.conversazione AS id, any_value(s.regione) AS regione, any_value(s.macro_regione) AS macro_regione, any_value(s.languages) AS languages, CAST(count(f.turn_index) AS INTEGER) AS n_turni_italiani, CAST(count(f.turn_index) AS INTEGER) AS n,
+      coalesce(string_agg(f.turn_index || ':' || f.fonte, '|' ORDER BY f.turn_index), '') AS turns FROM structure s LEFT JOIN left_over f USING ({KEY}) GROUP BY s.conversazione""",
+    ),
+    "gates": (
+        exchange.gates,
+        f"""WITH {ROWS}, problems AS (SELECT 1 FROM marked WHERE problem IS NOT NULL UNION ALL SELECT 1 FROM marked WHERE problem IS NULL AND napoletano = '' UNION ALL SELECT 1 FROM marked WHERE problem IS NULL GROUP BY conversazione HAVING min(turn_no) <> 1 OR max(turn_no) <> count(*)),
+    mine AS (SELECT *, conv_id * 7 + turn AS k FROM structure WHERE NOT (conv_id % 8 = 0 AND turn = 1)),
+    drifted AS (SELECT 1 FROM mine WHERE k % 13 = 0 UNION ALL SELECT 1 FROM mine WHERE k % 17 = 0 UNION ALL SELECT DISTINCT ON (conversazione) 1 FROM structure WHERE conv_id % 8 = 0 AND turn = 1)
+    SELECT 'structural' AS gate, CAST(least(count(*), 25) AS INTEGER) AS shown, count(*) > 25 AS more FROM problems UNION ALL SELECT 'drift', CAST(least(count(*), 25) AS INTEGER), count(*) > 25 FROM drifted UNION ALL SELECT 'none', 0, false""",
+    ),
+    "fixed_file": (exchange.fixed_file, f"WITH {CORRECTIONS} SELECT t.conversazione, t.turn_index, coalesce(s.text, t.italiano) AS napoletano FROM turns t LEFT JOIN status s USING ({KEY})"),
+    "built_file": (
+        exchange.built_file,
+        f"WITH {BUILT} SELECT CAST(CASE conversazione WHEN '7' THEN 1 WHEN '3' THEN 2 ELSE 3 END AS INTEGER) AS place, built.* REPLACE (CAST(turn_index AS VARCHAR) AS turn_index) FROM built WHERE conversazione IN ('7', '3', '10')",
+    ),
+    "similarity_with_bertscore": (
+        similarity_with_bertscore,
+        f"""WITH {SCORED}, four AS (SELECT *, CASE WHEN {EMPTY} THEN 0.0 ELSE 100.0 * least(length(gemma), length(golden)) / greatest(length(gemma), length(golden)) END AS bert FROM scores),
+    comp AS (SELECT *, greatest(0, least(100, 0.4 * chrf + 0.3 * bert + 0.15 * bleu + 0.15 * rouge)) AS s FROM four)
+    SELECT conversazione, turn_index, round(bert, 4) AS bertscore, round(s, 4) AS similarita, s < 85.0 AS sostituire, printf('%.4f', round(bert / 100, 4)) AS shown FROM comp""",
+    ),
+    "translated_file": (translated_file, f"{_toy('may AND nth <= 40')} SELECT conversazione, turn_index, napoletano FROM steps WHERE i > 0"),
     "context_window": (context_window, f"WITH {CONTEXT} SELECT conversazione, turn_index, n_context, context_text FROM lines"),
     "build_messages": (build_messages, f"WITH {CONTEXT} SELECT conversazione, turn_index, '{PROMPT}' AS system_text, CASE WHEN n_context > 0 THEN 'Context:' || chr(10) || context_text || chr(10) || chr(10) ELSE '' END || 'Translate:' || chr(10) || italiano AS user_text FROM lines"),
     "todo_turns": (lambda s, d: build.todo_turns(_shown(s, d)).select("conversazione", "turn_index", "italiano"), f"WITH {TURNS} SELECT conversazione, turn_index, italiano FROM turns WHERE (conv_id + turn) % 6 = 1"),
     "todo_counts": (lambda s, d: _shown(s, d).groupBy("conversazione").agg(F.count("*").alias("turns"), F.count_if(F.col("napoletano") == "").alias("todo")), f"WITH {TURNS} SELECT conversazione, count(*) AS turns, count(*) FILTER ((conv_id + turn) % 6 = 1) AS todo FROM turns GROUP BY ALL"),
     "flatten_roundtrip": (flatten_roundtrip, f"WITH {BUILT} SELECT * FROM built"),
-    "notes_per_conversation": (lambda s, d: build.notes_per_conversation(data.golden(s, d)), f"WITH {SIDES} SELECT conversazione, count(*) FILTER (note <> '') AS notes FROM golden_all GROUP BY ALL"),
-    "translate_sequential": (translate_sequential, None),
+    "notes_per_conversation": (lambda s, d: build.conversation_counts(data.golden(s, d)).select("conversazione", "notes"), f"WITH {SIDES} SELECT conversazione, count(*) FILTER (note <> '') AS notes FROM golden_all GROUP BY ALL"),
+    "translate_sequential": (translate_sequential, f"""{_toy("given = ''")} SELECT conversazione, turn_index, napoletano, fresh FROM steps WHERE i > 0"""),
 }
 
 

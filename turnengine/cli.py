@@ -28,7 +28,7 @@ def parser() -> argparse.ArgumentParser:
     need = {"required": True}
     command("build", ("--corpus", need), ("--out", need), ("--conversations", {"nargs": "*"}), ("--conversation", {}), all="every conversation")
     command("fix", ("--json", need), ("--corrections", need), apply="write the result; otherwise only show it")
-    command("translate", ("--input", need), ("--output", need), ("--only", {"nargs": "*"}), ("--key-file", {"default": ".api_key"}), ("--key-env", {"default": "CHAT_API_KEY"}), ("--url", need), ("--model", need), ("--prompt-file", need), ("--context", {"type": int, "default": 4}), ("--limit", {"type": int}), ("--temperature", {"type": float, "default": 0.0}), ("--sleep", {"type": float, "default": 0.0}))
+    command("translate", ("--input", need), ("--output", need), ("--only", {"nargs": "*"}), ("--key-file", {"default": ".api_key"}), ("--key-env", {"default": "CHAT_API_KEY"}), ("--url", need), ("--model", need), ("--prompt-file", need), ("--context", {"type": int, "default": 4}), ("--limit", {"type": int}), ("--temperature", {"type": float, "default": 0.0}), ("--sleep", {"type": float, "default": 0.0}), ("--save-every", {"type": int, "default": 10, "help": "turns between saves, and turns worked on at once"}))
     command("export", ("--json", need), ("--xlsx", need), split="one sheet per conversation")
     command("import", ("--xlsx", need), ("--csv", need), ("--json", need), ("--source", {}), allow_source_edits="take workbooks whose source texts were edited")
     command("verify", ("--xlsx", need), ("--json", need))
@@ -38,11 +38,32 @@ def parser() -> argparse.ArgumentParser:
 
 
 def _flat(spark: SparkSession, path: str) -> DataFrame:
-    """Flat turns of a sample file, with ord in file order."""
-    samples = files.read_samples(spark, path).withColumnRenamed("ord", "sample_ord")
-    order = samples.select(F.col("id").alias("conversazione"), "sample_ord")
-    rows = build.flatten(samples.drop("sample_ord")).join(order, "conversazione")
-    return rows.withColumn("ord", F.struct("sample_ord", "turn_ord"))
+    """Flat turns of a sample file, with conv_ord and ord in file order."""
+    samples = files.read_samples(spark, path).withColumnRenamed("ord", "conv_ord")
+    order = samples.select(F.col("id").alias("conversazione"), "conv_ord")
+    rows = build.flatten(samples.drop("conv_ord")).join(order, "conversazione")
+    return rows.withColumn("ord", F.struct("conv_ord", "turn_ord"))
+
+
+def _examples(rows: DataFrame, n: int, what: str) -> None:
+    """The first n rows of a check that only warns, and how many there are."""
+    total = rows.count()
+    if total:
+        print(f"{what}: {total}")
+        for r in rows.orderBy(*align.KEY).limit(n).collect():
+            print("  " + " | ".join(map(str, r)))
+
+
+def merge_lines(final: DataFrame, rule: str, n: int) -> list[str]:
+    """Console summary of a merge: totals, shares of either source, and the riskiest kept drafts."""
+    counts, per = merge.source_counts(final).first(), final.groupBy("conversazione").count().orderBy("conversazione").limit(20).collect()
+    lines = [f"turns: {counts['total']} ({', '.join(f'{r[0]} {r[1]}' for r in per)})", f"rule: {rule}"]
+    lines += [f"  from {s}: {counts[s]} ({counts[f'{s}_pct'] or 0:.1f}%)" for s in (merge.GOLDEN, merge.DRAFT)]
+    if apart := merge.kept_apart(final).count():
+        lines.append(f"kept drafts that differ from the golden text: {apart}; the most distant:")
+        for r in merge.riskiest(final, n).collect():
+            lines += [f"  [{r['conversazione']} t{r['turn_index']}] {r['similarita']:.1f}%", f"     kept: {r['gemma']}", f"     left: {r['golden']}"]
+    return lines
 
 
 def _codes(spark: SparkSession, turns: DataFrame, only: list[str] | None) -> DataFrame | None:
@@ -64,12 +85,14 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
             return
         sinks.write_samples(build.nest(turns.drop("note")), f"{a.out}.json")
         sinks.write_flat(turns, f"{a.out}.csv")
-        build.dataset_summary(turns).show()
+        s = build.dataset_summary(turns).first()
+        print(f"conversations: {s['conversations']}, turns: {s['turns']} ({s['turns_per_conversation']:.1f} each), Italian only: {s['italian_only']} ({100 * s['italian_only'] / s['conversations']:.1f}%)")
     elif a.command == "fix":
         turns = _flat(spark, a.json)
         table = spark.read.schema(CORRECTION).csv(a.corrections, header=True, escape='"', multiLine=True)
         status = patch.correction_status(turns, table)
-        status.orderBy("conversazione", "turn_index").show(1000, truncate=False)
+        for r in status.orderBy("conversazione", "turn_index").toLocalIterator():
+            print(f"[{r['conversazione']} t{r['turn_index']}] {r['status']}: {r['text']}")
         if a.apply and not status.where("status = 'modified'").isEmpty():
             sinks.write_samples(build.nest(patch.corrected(turns, table).drop("note")), a.json)
     elif a.command == "translate":
@@ -81,8 +104,9 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
             return
         backend = translate.with_retries(ChatBackend(a.url, a.model, files.load_key(a.key_file, a.key_env), a.temperature))
         with open(a.prompt_file, encoding="utf-8") as f:
-            done = translate.translate(work, backend, f.read(), a.context, a.limit, a.sleep).cache()
-        sinks.write_samples(build.nest(translate.resume(turns, done).drop("note")), a.output)
+            system = f.read()
+        _, n = translate.translate_in_steps(work, a.save_every, lambda done: sinks.save(translate.resume(turns, done), a.output), a.limit, backend=backend, system_prompt=system, context=a.context, pause=a.sleep)
+        print(f"translated: {n}")
     elif a.command == "export":
         sinks.write_workbook(_flat(spark, a.json), a.xlsx, a.split)
     elif a.command == "import":
@@ -93,7 +117,8 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         turns = quality.import_rows(rows, source, a.allow_source_edits)
         sinks.write_flat(turns, a.csv)
         sinks.write_samples(build.nest(turns.drop("note")), a.json)
-        build.notes_per_conversation(turns).show()
+        for r in build.conversation_counts(turns).orderBy("conversazione").toLocalIterator():
+            print(f"  {r['conversazione']}: {r['turns']} turns" + (f", {r['notes']} with a note" if r["notes"] else ""))
     elif a.command == "verify":
         rows = workbook.read_workbook(spark, a.xlsx)
         quality.gate(quality.structural(rows), "structural problems")
@@ -109,19 +134,21 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
             raise EngineError("no aligned turns")
         pairs = bertscore.add_bertscore(pairs, a.bert_model, a.bert_batch) if a.bertscore else pairs
         scored = metrics.decisions(pairs, a.threshold, a.chrf_word_order, F.col("bertscore") if a.bertscore else None).cache()
-        warned = [(side, *r) for side, rows in zip(("draft only", "golden only"), align.misaligned(draft, golden), strict=True) for r in rows.orderBy(*align.KEY).limit(20).collect()]
-        warned += [("source text differs", r["conversazione"], r["turn_index"]) for r in align.source_mismatch(pairs).limit(20).collect()]
-        sinks.write_report(scored, metrics.score_summary(scored), (" ".join(map(str, w)) for w in warned), a.out, a.bertscore)
+        checks = [*zip(("draft only", "golden only"), align.misaligned(draft, golden), strict=True), ("source text differs", align.source_mismatch(pairs).select(*align.KEY))]
+        warned = [f"{what} {r['conversazione']} {r['turn_index']}" for what, rows in checks for r in rows.orderBy(*align.KEY).limit(sinks.SHOWN).collect()]
+        n_warned = sum(rows.count() for _, rows in checks)
+        about = sinks.About(a.draft, a.golden, a.threshold, a.chrf_word_order, a.bert_model if a.bertscore else None)
+        print("\n".join(sinks.write_report(scored, metrics.score_summary(scored), metrics.corpus_scores(pairs, a.chrf_word_order), about, warned, a.out, n_warned)))
         sinks.write_scores(scored, a.csv)
     elif a.command == "merge":
-        structure, decided = _flat(spark, a.structure), files.read_decisions(spark, a.decisions)
+        samples, structure, decided = files.read_samples(spark, a.structure), _flat(spark, a.structure), files.read_decisions(spark, a.decisions)
         final = merge.merge(structure.drop("ord"), decided, a.threshold, a.golden_only).cache()
-        merge.undecided(structure, decided).show(5)
-        merge.merged_mismatch(final).show(5)
+        _examples(merge.undecided(structure, decided), 5, "turns without a decision, left out")
+        _examples(merge.merged_mismatch(final), 5, "source texts that differ from the scored ones")
         sinks.write_final(final, f"{a.out}.csv", not a.no_source)
-        sinks.write_samples(build.nest(final.drop("note") if not a.no_source else final.drop("note", "fonte")), f"{a.out}.json")
-        merge.source_counts(final).show()
-        merge.riskiest(final, a.preview).show(a.preview, truncate=False)
+        sinks.write_samples(merge.regroup(samples, final.drop("note") if not a.no_source else final.drop("note", "fonte")), f"{a.out}.json")
+        rule = "always golden" if a.golden_only else "the decisions' own" if a.threshold is None else f"golden below {a.threshold}"
+        print("\n".join(merge_lines(final, rule, a.preview)))
 
 
 def main(argv: list[str] | None = None) -> None:

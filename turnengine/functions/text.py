@@ -35,15 +35,6 @@ def to_bool(text: Column) -> Column:
     return F.coalesce(F.lower(strip_ws(text)) == "true", F.lit(False))
 
 
-def number_text(value: Column) -> Column:
-    """A double as text; whole numbers without a fraction."""
-    return F.when(value == F.floor(value), value.cast("bigint").cast("string")).otherwise(value.cast("string"))
-
-
-def strip_bom(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\x{FEFF}+", "")
-
-
 def tokens_13a(text: Column) -> Column:
     """Words of the mteval-13a tokenisation."""
     out = null_to_empty(text)

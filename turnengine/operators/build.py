@@ -55,16 +55,23 @@ def add_metadata(rows: DataFrame, meta: DataFrame) -> DataFrame:
 def build_turns(tokens: DataFrame, meta: DataFrame, conversations: DataFrame | None = None) -> DataFrame:
     """Flat turns of token rows, renumbered from 1 over the kept units.
 
-    conversations (code, conv_ord): the requested ones, in order; None takes all. The metadata is joined without a
-    hint: it is broadcast while its size is known to be small.
+    conversations (code, conv_ord): the requested ones; the turns then carry conv_ord, the first place asked for. None
+    takes all. The metadata is joined without a hint: it is broadcast while its size is known to be small.
     """
-    if conversations is not None:
-        tokens = tokens.join(conversations.select(F.col("code").alias("conversazione")).distinct(), "conversazione", "left_semi")
+    asked = None if conversations is None else conversations.groupBy(F.col("code").alias("conversazione")).agg(F.min("conv_ord").alias("conv_ord"))
+    if asked is not None:
+        tokens = tokens.join(asked, "conversazione", "left_semi")
     order = Window.partitionBy("conversazione").orderBy(digits_or_zero(F.col("tu_id")), "first_pos")
     turns = kept_units(tokens).withColumn("turn_index", F.row_number().over(order))
-    return add_metadata(turns, meta).select(
+    turns = add_metadata(turns, meta).select(
         "conversazione", "regione", "macro_regione", "languages", "turn_index", "tu_id", "speaker", F.col("text").alias("italiano"), F.lit("").alias("napoletano"), F.lit("").alias("note"),
     )
+    return turns if asked is None else turns.join(asked, "conversazione")
+
+
+def file_order(turns: DataFrame) -> list[str]:
+    """The columns that give the order of a file: of its source where the turns know it, else of names and numbers."""
+    return ["conv_ord" if "conv_ord" in turns.columns else "conversazione", "turn_ord" if "turn_ord" in turns.columns else "turn_index"]
 
 
 def select_conversations(known: DataFrame, everything: bool = False, conversations: list[str] | None = None, conversation: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -79,14 +86,17 @@ def select_conversations(known: DataFrame, everything: bool = False, conversatio
 
 
 def nest(turns: DataFrame) -> DataFrame:
-    """Flat turns as one row per conversation with its turns in order."""
+    """Flat turns as one row per conversation with its turns in order; conv_ord is kept where the turns have it."""
+    by = file_order(turns)[1]
+    own = [F.min("conv_ord").alias("conv_ord")] if "conv_ord" in turns.columns else []
     fields = [c for c in ("turn_index", "tu_id", "speaker", "italiano", "napoletano", "note", "fonte") if c in turns.columns]
     return (
         turns.groupBy(F.col("conversazione").alias("id"))
         .agg(
-            *[F.min_by(c, "turn_index").alias(c) for c in ("regione", "macro_regione", "languages")],
+            *[F.min_by(c, by).alias(c) for c in ("regione", "macro_regione", "languages")],
             F.count("*").cast("int").alias("n_turni_italiani"),
-            F.array_sort(F.collect_list(F.struct(*fields))).alias("turni"),
+            F.transform(F.array_sort(F.collect_list(F.struct(F.col(by).alias("by"), F.struct(*fields).alias("turn")))), lambda t: t["turn"]).alias("turni"),
+            *own,
         )
     )
 
@@ -114,5 +124,6 @@ def dataset_summary(turns: DataFrame) -> DataFrame:
     )
 
 
-def notes_per_conversation(turns: DataFrame) -> DataFrame:
-    return turns.groupBy("conversazione").agg(F.count_if(null_to_empty(F.col("note")) != "").alias("notes"))
+def conversation_counts(turns: DataFrame) -> DataFrame:
+    """Turns, and turns with a note, of every conversation."""
+    return turns.groupBy("conversazione").agg(F.count("*").alias("turns"), F.count_if(null_to_empty(F.col("note")) != "").alias("notes"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnengine.functions.text import null_to_empty
 from turnengine.operators.align import KEY, dedupe_last
+from turnengine.operators.build import nest
 
 #: Names of the two sources in the result (fixed values).
 GOLDEN, DRAFT = "golden", "gemma4"
@@ -27,9 +28,10 @@ def merge(structure: DataFrame, decisions: DataFrame, threshold: float | None =
     decisions = decide(decisions, threshold, golden_only).select(*KEY, "italiano", "gemma", "golden", "similarita", "sostituire", "ord")
     decided = dedupe_last(decisions, KEY, "ord").drop("ord").withColumnRenamed("italiano", "decided_italiano")
     joined = structure.drop("napoletano", "note", "fonte").join(decided, KEY)
+    own = [c for c in ("conv_ord", "turn_ord") if c in structure.columns]
     return joined.select(
         *KEY, "regione", "macro_regione", "languages", "tu_id", "speaker", "italiano", F.when(F.col("sostituire"), F.col("golden")).otherwise(F.col("gemma")).alias("napoletano"), F.lit("").alias("note"),
-        F.when(F.col("sostituire"), F.lit(GOLDEN)).otherwise(F.lit(DRAFT)).alias("fonte"), F.round("similarita", 2).alias("similarita"), "gemma", "golden", "decided_italiano",
+        F.when(F.col("sostituire"), F.lit(GOLDEN)).otherwise(F.lit(DRAFT)).alias("fonte"), F.round("similarita", 2).alias("similarita"), "gemma", "golden", "decided_italiano", *own,
     )
 
 
@@ -54,6 +56,19 @@ def all_conversations(structure: DataFrame, final: DataFrame) -> DataFrame:
     return structure.select("conversazione").distinct().join(final.groupBy("conversazione").agg(F.count("*").alias("n")), "conversazione", "left").select("conversazione", F.coalesce("n", F.lit(0)).alias("n_turni_italiani"))
 
 
+def regroup(samples: DataFrame, final: DataFrame) -> DataFrame:
+    """Nested conversations of a merge: every conversation of samples, in their order; those that lost all turns stay."""
+    heads = samples.select("id", *[null_to_empty(F.col(c)).alias(c) for c in ("regione", "macro_regione", "languages")], F.col("ord").alias("conv_ord"))
+    nested = nest(final).select("id", "n_turni_italiani", "turni")
+    none = F.array().cast(nested.schema["turni"].dataType)
+    return heads.join(nested, "id", "left").select("id", "regione", "macro_regione", "languages", F.coalesce("n_turni_italiani", F.lit(0)).alias("n_turni_italiani"), F.coalesce("turni", none).alias("turni"), "conv_ord")
+
+
+def kept_apart(final: DataFrame) -> DataFrame:
+    """Kept drafts that differ from the golden text."""
+    return final.where((F.col("fonte") == DRAFT) & (F.col("gemma") != F.col("golden")))
+
+
 def riskiest(final: DataFrame, n: int = 10) -> DataFrame:
-    """The n kept drafts of least similarity that differ from the golden text; a top-k, not a full sort."""
-    return final.where((F.col("fonte") == DRAFT) & (F.col("gemma") != F.col("golden"))).select("similarita", *KEY, "gemma", "golden").orderBy("similarita", *KEY, "gemma", "golden").limit(n)
+    """The n rows of kept_apart of least similarity; a top-k, not a full sort."""
+    return kept_apart(final).select("similarita", *KEY, "gemma", "golden").orderBy("similarita", *KEY, "gemma", "golden").limit(n)

@@ -169,7 +169,7 @@ def corpus_scores(pairs: DataFrame, word_order: int = 0) -> DataFrame:
 
 def score_summary(scored: DataFrame) -> DataFrame:
     """One row: pairs, to_replace, identical, and the mean of every score (zeros included)."""
-    means = [F.avg(c).alias(f"mean_{c}") for c in ("chrf", "bleu", "rouge", "similarita")]
+    means = [F.avg(c).alias(f"mean_{c}") for c in ("chrf", "bleu", "rouge", "similarita", "bertscore")]
     return scored.agg(F.count("*").alias("pairs"), F.count_if("sostituire").alias("to_replace"), F.count_if(F.col("similarita") >= IDENTICAL).alias("identical"), *means)
 
 

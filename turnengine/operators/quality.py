@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnengine.functions.text import null_to_empty, strip_ws
+from turnengine.functions.ordinal import with_ordinal
+from turnengine.functions.text import null_to_empty
 from turnengine.schema import EngineError
 
 FIELDS = ["turn_index", "tu_id", "speaker", "italiano", "napoletano"]
@@ -15,10 +16,9 @@ def classify(rows: DataFrame) -> DataFrame:
     """Rows of a workbook (all text, pos) with data_row (from 2, blank rows not counted) and problem.
 
     problem: empty_conversation, bad_turn_index, duplicate_turn_index (all but the first), or null for valid rows.
-    The numbering needs the rows of one workbook in order, so it is one ordered window over a sheet's rows.
     """
     index = F.when(F.col("turn_index").rlike(r"^\p{Nd}+$"), F.col("turn_index").try_cast("int"))
-    numbered = rows.withColumn("data_row", F.row_number().over(Window.orderBy("pos")) + 1).withColumn("turn_no", index)
+    numbered = with_ordinal(rows, ["pos"], "data_row").withColumn("data_row", F.col("data_row") + 1).withColumn("turn_no", index)
     problem = F.when(null_to_empty(F.col("conversazione")) == "", "empty_conversation").when(F.col("turn_no").isNull(), "bad_turn_index")
     marked = numbered.withColumn("problem", problem)
     nth = F.row_number().over(Window.partitionBy("conversazione", "turn_no", F.col("problem").isNull()).orderBy("pos"))
@@ -39,20 +39,22 @@ def structural(rows: DataFrame) -> DataFrame:
 def rows_to_turns(rows: DataFrame) -> DataFrame:
     """Valid rows as flat turns; a conversation's metadata come from its first valid-index row."""
     marked = classify(rows)
-    head = Window.partitionBy("conversazione").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    meta = ["regione", "macro_regione", "languages"]
     numeric = marked.where(F.col("problem").isNull() | (F.col("problem") == "duplicate_turn_index"))
-    for c in ("regione", "macro_regione", "languages"):
-        numeric = numeric.withColumn(c, null_to_empty(F.first(c).over(head)))
-    return numeric.where("problem is null").select("conversazione", "regione", "macro_regione", "languages", F.col("turn_no").alias("turn_index"), "tu_id", "speaker", "italiano", "napoletano", null_to_empty(F.col("note")).alias("note"))
+    heads = numeric.groupBy("conversazione").agg(F.min_by(F.struct(*[null_to_empty(F.col(c)).alias(c) for c in meta]), "pos").alias("head")).select("conversazione", "head.*")
+    return numeric.where("problem is null").drop(*meta).join(heads, "conversazione").select("conversazione", "regione", "macro_regione", "languages", F.col("turn_no").alias("turn_index"), "tu_id", "speaker", "italiano", "napoletano", null_to_empty(F.col("note")).alias("note"))
 
 
 def drift(turns: DataFrame, source: DataFrame) -> DataFrame:
-    """Differences (check, conversazione, turn_index) of turns from their source; unknown conversations are skipped."""
+    """Differences (check, conversazione, turn_index) of turns from their source; unknown conversations are skipped.
+
+    source has ord, by which the last row of a key wins.
+    """
     known = source.select("conversazione").distinct()
     mine = turns.join(known, "conversazione", "left_semi")
     counts = mine.groupBy("conversazione").agg(F.count("*").alias("n")).join(source.groupBy("conversazione").agg(F.count("*").alias("m")), "conversazione").where("n <> m")
     fields = ["italiano", "speaker", "tu_id"]
-    other = source.groupBy("conversazione", "turn_index").agg(*[F.max_by(c, F.col("ord") if "ord" in source.columns else F.lit(0)).alias(f"s_{c}") for c in fields], F.lit(1).alias("there"))
+    other = source.groupBy("conversazione", "turn_index").agg(*[F.max_by(c, "ord").alias(f"s_{c}") for c in fields], F.lit(1).alias("there"))
     joined = mine.join(other, ["conversazione", "turn_index"], "left")
     changed = F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"s_{c}")), F.lit(f"changed_{c}")) for c in fields]))
     checks = F.when(F.col("there").isNull(), F.array(F.lit("missing_in_source"))).otherwise(changed)
@@ -87,11 +89,6 @@ def _differing(joined: DataFrame, fields: list[str]) -> DataFrame:
     return joined.select("conversazione", "i", F.explode(F.array_compact(F.array(*cells))).alias("d")).select("d.check", "conversazione", "i", "d.left", "d.right")
 
 
-def not_blank(rows: DataFrame, fields: list[str]) -> DataFrame:
-    """Rows with a cell that is not blank."""
-    return rows.where(F.exists(F.array(*[strip_ws(null_to_empty(F.col(c))) for c in fields]), lambda c: c != ""))
-
-
 def gate(violations: DataFrame, what: str, shown: int = 25) -> None:
     """Raise with the first violations if there are any."""
     found = violations.limit(shown + 1).collect()

@@ -13,6 +13,8 @@ from turnengine.functions.text import null_to_empty
 
 #: Turns before the one to translate that the prompt shows (a fixed value).
 CONTEXT = 4
+#: What the prompt's two parts are headed by.
+TITLES = ("Context:", "Translate:")
 #: A backend: chat messages to a translation.
 Backend = Callable[[list[dict[str, str]]], str]
 
@@ -30,8 +32,18 @@ def context_lines(context: Column) -> Column:
     return F.array_join(F.transform(context, lambda t: F.concat(F.lit("- "), t["italiano"], F.when(t["napoletano"] != "", F.concat(F.lit("  ->  "), t["napoletano"])).otherwise(F.lit("")))), "\n")
 
 
-def build_messages(turns: DataFrame, system_prompt: str, context_title: str = "Context:", task_title: str = "Translate:") -> DataFrame:
+def prompt(context: list[tuple[str, str]], text: str, titles: tuple[str, str] = TITLES) -> str:
+    """The user's message for a text, in plain Python; build_messages is the same as a column.
+
+    context: text and translation (may be empty) of the turns before.
+    """
+    lines = [f"- {source}" + (f"  ->  {done}" if done else "") for source, done in context]
+    return "\n".join([*([titles[0], *lines, ""] if lines else []), titles[1], text])
+
+
+def build_messages(turns: DataFrame, system_prompt: str, titles: tuple[str, str] = TITLES) -> DataFrame:
     """turns (with context) plus messages: array of struct(role, content)."""
+    context_title, task_title = titles
     user = F.concat(F.when(F.size("context") > 0, F.concat(F.lit(context_title + "\n"), context_lines(F.col("context")), F.lit("\n\n"))).otherwise(F.lit("")), F.lit(task_title + "\n"), F.col("italiano"))
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
     return turns.withColumn("messages", F.array(message("system", F.lit(system_prompt)), message("user", user)))
@@ -56,20 +68,21 @@ def with_retries(backend: Backend, tries: int = 3, base: float = 2.0, sleep: Cal
 TRANSLATED = "conversazione string, turn_index int, turn_ord int, napoletano string, fresh boolean, failed boolean"
 
 
-def translate(turns: DataFrame, backend: Backend, system_prompt: str = "", context: int = CONTEXT, limit: int | None = None, pause: float = 0.0) -> DataFrame:
+def translate(turns: DataFrame, backend: Backend, system_prompt: str = "", context: int = CONTEXT, limit: int | None = None, pause: float = 0.0, titles: tuple[str, str] = TITLES, passed: DataFrame | None = None) -> DataFrame:
     """Translations of turns without one. Turn i sees the translations made just before it, so a conversation is
     worked through in order in one task; conversations run in parallel. A turn whose backend fails stays empty.
 
     turns: conversazione, turn_index, turn_ord, italiano, napoletano. limit: the first so many open turns over all
-    conversations, by (conversazione, turn_ord), are tried.
+    conversations, by (conversazione, turn_ord), are tried. passed (conversazione, turn_ord): open turns that are not.
     """
     open_ = null_to_empty(F.col("napoletano")) == ""
-    work = turns.select("conversazione", "turn_index", F.col("turn_ord").cast("int").alias("turn_ord"), null_to_empty(F.col("italiano")).alias("italiano"), null_to_empty(F.col("napoletano")).alias("napoletano"))
+    if passed is not None:
+        turns = turns.join(passed.select("conversazione", "turn_ord", F.lit(True).alias("passed")), ["conversazione", "turn_ord"], "left")
+        open_ = open_ & F.col("passed").isNull()
+    work = turns.withColumn("chosen", open_).select("conversazione", "turn_index", F.col("turn_ord").cast("int").alias("turn_ord"), null_to_empty(F.col("italiano")).alias("italiano"), null_to_empty(F.col("napoletano")).alias("napoletano"), "chosen")
     if limit is not None:
-        chosen = work.where(open_).orderBy("conversazione", "turn_ord").limit(limit).select("conversazione", "turn_ord", F.lit(True).alias("chosen"))
-        work = work.join(chosen, ["conversazione", "turn_ord"], "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
-    else:
-        work = work.withColumn("chosen", open_)
+        chosen = work.where("chosen").orderBy("conversazione", "turn_ord").limit(limit).select("conversazione", "turn_ord", F.lit(True).alias("chosen"))
+        work = work.drop("chosen").join(chosen, ["conversazione", "turn_ord"], "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("turn_ord", ignore_index=True)
@@ -79,8 +92,7 @@ def translate(turns: DataFrame, backend: Backend, system_prompt: str = "", conte
             text, bad = row.napoletano, False
             new = row.chosen and text == ""
             if new:
-                lines = "\n".join(f"- {pdf.italiano[k]}" + (f"  ->  {done[k]}" if done[k] else "") for k in range(max(0, i - context), i))
-                user = (f"Context:\n{lines}\n\n" if lines else "") + f"Translate:\n{row.italiano}"
+                user = prompt([(pdf.italiano[k], done[k]) for k in range(max(0, i - context), i)], row.italiano, titles)
                 try:
                     text = backend([{"role": "system", "content": system_prompt}, {"role": "user", "content": user}])
                 except Exception:  # noqa: BLE001  a failed turn is skipped
@@ -95,6 +107,33 @@ def translate(turns: DataFrame, backend: Backend, system_prompt: str = "", conte
     return work.groupBy("conversazione").applyInPandas(run, TRANSLATED)
 
 
+def translate_in_steps(turns: DataFrame, step: int, save: Callable[[DataFrame], None], limit: int | None = None, **how: object) -> tuple[DataFrame, int]:
+    """(turns with their translations, number of new ones): at most step open turns are tried at a time, and save is
+    called with all turns after each step and, if a step is interrupted or fails, with what was done before it.
+
+    limit: that many turns are translated; turns whose backend fails do not count and are passed over. The driver holds
+    the keys and texts that this run translated, as many as it then writes into one file. how: as for translate.
+    """
+    spark, fresh, lost = turns.sparkSession, [], []
+    kept = "conversazione string, turn_index int, turn_ord int, napoletano string"
+    state = turns
+    try:
+        while limit is None or len(fresh) < limit:
+            n = step if limit is None else min(step, limit - len(fresh))
+            passed = spark.createDataFrame(lost, "conversazione string, turn_ord int") if lost else None
+            tried = translate(state, limit=n, passed=passed, **how).where("fresh or failed").collect()  # n rows at most
+            if not tried:
+                break
+            fresh += [(r["conversazione"], r["turn_index"], r["turn_ord"], r["napoletano"]) for r in tried if r["fresh"]]
+            lost += [(r["conversazione"], r["turn_ord"]) for r in tried if r["failed"]]
+            state = resume(turns, spark.createDataFrame(fresh, kept))
+            save(state)
+    except BaseException:
+        save(state)
+        raise
+    return state, len(fresh)
+
+
 def resume(turns: DataFrame, earlier: DataFrame) -> DataFrame:
     """turns with translations from an earlier run; turns the earlier run did not know stay open."""
     known = earlier.where(null_to_empty(F.col("napoletano")) != "").select("conversazione", "turn_index", F.col("napoletano").alias("earlier")).dropDuplicates(["conversazione", "turn_index"])

@@ -93,7 +93,12 @@ def workbook_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The structure after edits: turns with k mod 13 = 0 lose their first letter, k mod 17 = 0 change speaker, and
-    conversations with conv_id mod 8 = 0 lose turn 0."""
+    conversations with conv_id mod 8 = 0 lose turn 1."""
     k = F.col("conv_id") * 7 + F.col("turn")
-    rows = structure(spark, sf_dir).where("not (conv_id % 8 = 0 and turn = 0)")
+    rows = structure(spark, sf_dir).where("not (conv_id % 8 = 0 and turn = 1)")
     return rows.withColumn("italiano", F.when(k % 13 == 0, F.expr("substring(italiano, 2)")).otherwise(F.col("italiano"))).withColumn("speaker", F.when(k % 17 == 0, "other").otherwise(F.col("speaker")))
+
+
+def renamed(rows: DataFrame, rest: int, by: int, mark: str) -> DataFrame:
+    """rows with a mark before the names of the conversations with conv_id mod by = rest."""
+    return rows.withColumn("conversazione", F.concat(F.when(F.col("conv_id") % by == rest, mark).otherwise(""), "conversazione"))

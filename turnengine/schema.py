@@ -1,9 +1,10 @@
-"""Types and column lists of the data model; the lists are contracts of the files read and written."""
+"""Types and column lists of the data model."""
 
 from __future__ import annotations
 
 from pyspark.sql import types as T
 
+#: Columns of the files read and written, in the order in which they stand there.
 FLAT_COLUMNS = ["conversazione", "regione", "macro_regione", "languages", "turn_index", "tu_id", "speaker", "italiano", "napoletano", "note"]
 SCORE_COLUMNS = ["conversazione", "turn_index", "tu_id", "speaker", "italiano", "gemma", "golden", "bertscore", "bleu", "rouge", "chrf", "similarita", "sostituire", "note"]
 FINAL_COLUMNS = [*FLAT_COLUMNS, "fonte", "similarita"]
@@ -23,8 +24,6 @@ def _struct(**fields: T.DataType) -> T.StructType:
 
 TURN = _struct(turn_index=_I, tu_id=_S, speaker=_S, italiano=_S, napoletano=_S, note=_S, fonte=_S)
 SAMPLE = _struct(id=_S, regione=_S, macro_regione=_S, languages=_S, n_turni_italiani=_I, turni=T.ArrayType(TURN))
-FLAT = _struct(**{c: _I if c == "turn_index" else _S for c in FLAT_COLUMNS})
-TOKEN = _struct(conversazione=_S, pos=T.LongType(), speaker=_S, tu=_S, form=_S, type=_S, variation=_S, feats=_S)
 CORRECTION = _struct(conversazione=_S, turn_index=_I, ord=_I, old=_S, new=_S)
 
 

@@ -1,4 +1,5 @@
-"""Single-file exports. Rows stream to the driver one partition at a time; files appear whole or not at all.
+"""Single-file exports. Rows stream to the driver one partition at a time (a workbook is made in memory); files appear
+whole or not at all.
 
 These are hand-over formats for people, as large as a person can read. Data sets go to df.write instead.
 """
@@ -8,17 +9,25 @@ from __future__ import annotations
 import csv
 import json
 import os
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
+from dataclasses import dataclass
+from itertools import chain
 from typing import IO
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnengine.operators.bertscore import bert_text
+from turnengine.operators.build import file_order, nest
+from turnengine.operators.metrics import WEIGHTS
 from turnengine.schema import FLAT_COLUMNS, META_SHEET, SCORE_COLUMNS, TURN_SHEET, EngineError
 from turnengine.sources.workbook import CONVERSATIONS, MAX_TITLE, SINGLE, render
 
 
+#: Warnings that a report lists (a fixed value).
+SHOWN = 30
+
+
 def _whole(path: str, write: Callable[[IO], None], mode: str = "w", **how: object) -> None:
     with open(f"{path}.tmp", mode, **how) as f:
         write(f)
@@ -34,15 +43,24 @@ def sample_text(sample: dict, indent: str = "") -> str:
     return "\n".join([indent + "{", *head, listed, indent + "}"])
 
 
-def write_samples(samples: DataFrame, path: str, order: str = "id", turn_fields: list[str] | None = None) -> None:
-    """Nested conversations as JSON: one is an object, any other number an array."""
-    rows = (r.asDict(recursive=True) for r in samples.orderBy(order).toLocalIterator())
-    found = [{k: v for k, v in r.items() if k not in ("ord",)} | {"turni": [{k: v for k, v in t.items() if v is not None and (turn_fields is None or k in turn_fields)} for t in r["turni"] or []]} for r in rows]
-    if len(found) == 1:
-        text = sample_text(found[0]) + "\n"
-    else:
-        text = "[\n" + ",\n".join(sample_text(s, "  ") for s in found) + ("\n" if found else "") + "]\n"
-    _whole(path, lambda f: f.write(text), encoding="utf-8")
+def write_samples(samples: DataFrame, path: str, turn_fields: list[str] | None = None) -> None:
+    """Nested conversations as JSON: one is an object, any other number an array; by conv_ord if there is one, else by id."""
+    inner = ("ord", "conv_ord")
+    rows = samples.orderBy("conv_ord" if "conv_ord" in samples.columns else "id").toLocalIterator()
+    plain = ({k: v for k, v in r.asDict(recursive=True).items() if k not in inner} for r in rows)
+    found = (r | {"turni": [{k: v for k, v in t.items() if v is not None and (turn_fields is None or k in turn_fields)} for t in r["turni"] or []]} for r in plain)
+
+    def write(f: IO) -> None:
+        first, second = next(found, None), next(found, None)
+        if first is not None and second is None:
+            f.write(sample_text(first) + "\n")
+            return
+        f.write("[\n")
+        for i, sample in enumerate(chain((x for x in (first, second) if x is not None), found)):
+            f.write((",\n" if i else "") + sample_text(sample, "  "))
+        f.write("\n]\n" if first is not None else "]\n")
+
+    _whole(path, write, encoding="utf-8")
 
 
 def write_csv(rows: DataFrame, path: str, fields: list[str], order: list[str]) -> None:
@@ -58,7 +76,13 @@ def write_csv(rows: DataFrame, path: str, fields: list[str], order: list[str]) -
 
 
 def write_flat(turns: DataFrame, path: str) -> None:
-    write_csv(turns, path, FLAT_COLUMNS, ["conversazione", "turn_index"])
+    write_csv(turns, path, FLAT_COLUMNS, file_order(turns))
+
+
+def save(turns: DataFrame, path: str) -> None:
+    """Flat turns as nested JSON without notes, and beside it as CSV with them."""
+    write_samples(nest(turns.drop("note")), path)
+    write_flat(turns, f"{os.path.splitext(path)[0]}.csv")
 
 
 def write_scores(scored: DataFrame, path: str) -> None:
@@ -69,44 +93,72 @@ def write_scores(scored: DataFrame, path: str) -> None:
 
 
 def write_final(final: DataFrame, path: str, with_source: bool = True) -> None:
-    write_csv(final, path, [*FLAT_COLUMNS, *(["fonte", "similarita"] if with_source else [])], ["conversazione", "turn_index"])
-
-
-def report_lines(scored: DataFrame, summary: DataFrame, warnings: Iterable[str], shown: int = 30) -> list[str]:
-    """Head of the report: counts, means, and the first warnings with the number left out."""
-    s, warnings = summary.first(), list(warnings)
-    lines = [f"pairs: {s['pairs']}", f"to replace: {s['to_replace']}", f"identical: {s['identical']}"]
-    lines += [f"mean {c}: {s[f'mean_{c}'] or 0:.2f}" for c in ("chrf", "bleu", "rouge", "similarita")]
-    lines += [f"warning: {w}" for w in warnings[:shown]] + ([f"... and {len(warnings) - shown} more"] if len(warnings) > shown else [])
+    write_csv(final, path, [*FLAT_COLUMNS, *(["fonte", "similarita"] if with_source else [])], file_order(final))
+
+
+@dataclass(frozen=True)
+class About:
+    """What a report says of its run."""
+
+    hypothesis: str
+    reference: str
+    threshold: float
+    word_order: int = 0
+    bert_model: str | None = None
+
+
+def report_lines(summary: DataFrame, corpus: DataFrame, about: About, warnings: list[str], n_warnings: int | None = None, shown: int = SHOWN) -> list[str]:
+    """Head of the report: the run's parameters, counts, means, corpus scores, and the first warnings with the number
+    left out. n_warnings: how many there are in all, where warnings are only the first."""
+    s, c = summary.first(), corpus.first()
+    mean = {k: s[f"mean_{k}"] or 0.0 for k in ("chrf", "bleu", "rouge", "similarita", "bertscore")}
+    mass = 1.0 if about.bert_model else 1.0 - WEIGHTS["bertscore"]
+    weights = ", ".join(f"{k} {w / mass:.0%}" for k, w in WEIGHTS.items() if about.bert_model or k != "bertscore")
+    n_warnings = len(warnings) if n_warnings is None else n_warnings
+    lines = [
+        f"hypothesis: {about.hypothesis}", f"reference: {about.reference}", f"pairs: {s['pairs']}", f"BERTScore: {about.bert_model or 'off'}",
+        f"chrF word order: {about.word_order}" + (" (chrF++)" if about.word_order else ""), f"weights: {weights}", f"threshold: replace below {about.threshold:.1f}%", "",
+        f"mean BERTScore F1: {mean['bertscore'] / 100:.4f}" if about.bert_model else "mean BERTScore F1: n/d",
+        f"mean sentence BLEU: {mean['bleu']:.2f}", f"mean ROUGE-L F1: {mean['rouge'] / 100:.4f}", f"mean sentence chrF: {mean['chrf']:.2f}",
+        f"corpus BLEU: {c['corpus_bleu'] or 0:.2f}", f"corpus chrF: {c['corpus_chrf'] or 0:.2f}", f"mean similarity: {mean['similarita']:.2f} %",
+        f"to replace: {s['to_replace']}/{s['pairs']} ({100 * s['to_replace'] / max(s['pairs'], 1):.1f}%)", f"identical: {s['identical']}",
+    ]
+    if n_warnings:
+        listed = warnings[:shown]
+        lines += ["", f"warnings: {n_warnings}", *(f"  - {w}" for w in listed), *([f"  ... and {n_warnings - len(listed)} more"] if n_warnings > len(listed) else [])]
     return lines
 
 
-def write_report(scored: DataFrame, summary: DataFrame, warnings: Iterable[str], path: str, with_bert: bool = False) -> None:
-    """The report: its head, then one block per pair in draft order."""
+def write_report(scored: DataFrame, summary: DataFrame, corpus: DataFrame, about: About, warnings: list[str], path: str, n_warnings: int | None = None) -> list[str]:
+    """The report: its head, which is returned, then one block per pair in draft order."""
+    head = report_lines(summary, corpus, about, warnings, n_warnings)
+    note = F.when(F.col("note") != "", F.concat(F.lit("\n  note: "), F.col("note"))).otherwise("")
     block = F.format_string(
-        "[%s #%d] %s\n  it: %s\n  draft: %s\n  golden: %s\n  chrF %.2f  BLEU %.2f  ROUGE-L %.2f  BERTScore %s  similarity %.2f  %s",
-        "conversazione", "turn_index", "speaker", "italiano", "gemma", "golden", "chrf", "bleu", "rouge", bert_text(F.col("bertscore"), with_bert), "similarita", F.when(F.col("sostituire"), "REPLACE").otherwise("keep"),
+        "[%s | turn %d | tu_id %s | speaker %s]\n  it: %s\n  draft: %s\n  golden: %s\n  chrF %.2f  BLEU %.2f  ROUGE-L %.4f  BERTScore %s  similarity %.2f %%  %s%s",
+        "conversazione", "turn_index", "tu_id", "speaker", "italiano", "gemma", "golden", "chrf", "bleu", F.col("rouge") / 100, bert_text(F.col("bertscore"), about.bert_model is not None), "similarita", F.when(F.col("sostituire"), "REPLACE").otherwise("keep"), note,
     )
 
     def write(f: IO) -> None:
-        f.write("\n".join(report_lines(scored, summary, warnings)) + "\n")
+        f.write("\n".join(head) + "\n")
         for r in scored.orderBy("ord").select(block.alias("b")).toLocalIterator():
             f.write("\n" + r["b"] + "\n")
 
     _whole(path, write, encoding="utf-8")
+    return head
 
 
 def write_workbook(turns: DataFrame, path: str, split: bool = False) -> None:
     """Flat turns as a workbook for review: one sheet, or one per conversation and one that lists them."""
-    rows = [r.asDict() for r in turns.orderBy("conversazione", "turn_index").toLocalIterator()]
+    rows = [r.asDict() for r in turns.orderBy(*file_order(turns)).toLocalIterator()]
     if not split:
         raw = render({SINGLE: (FLAT_COLUMNS, rows)})
     else:
         by: dict[str, list[dict]] = {}
         for r in rows:
             by.setdefault(r["conversazione"], []).append(r)
-        if long := [c for c in by if len(c) > MAX_TITLE]:
-            raise EngineError(f"too long for a sheet's title: {long}")
+        titles = {c: c[:MAX_TITLE] for c in by}
+        if len(set(titles.values())) < len(titles):
+            raise EngineError(f"several conversations share the first {MAX_TITLE} characters of their names")
         heads = [{"id": c, **{k: t[0][k] for k in ("regione", "macro_regione", "languages")}, "n_turni_italiani": len(t)} for c, t in by.items()]
-        raw = render({CONVERSATIONS: (META_SHEET, heads)} | {c: (TURN_SHEET, t) for c, t in by.items()})
+        raw = render({CONVERSATIONS: (META_SHEET, heads)} | {titles[c]: (TURN_SHEET, t) for c, t in by.items()})
     _whole(path, lambda f: f.write(raw), mode="wb")

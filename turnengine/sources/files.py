@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnengine.functions.text import null_to_empty, strip_bom, strip_ws, to_bool
+from turnengine.functions.text import null_to_empty, strip_ws, to_bool
 from turnengine.operators.align import dedupe_last
 from turnengine.schema import DECISION_REQUIRED, META_HEADERS, SAMPLE, SCORE_COLUMNS, EngineError
 

@@ -18,6 +18,10 @@ from turnengine.schema import FLAT_COLUMNS, META_SHEET, TURN_SHEET, EngineError
 SINGLE, CONVERSATIONS, MAX_TITLE = "Golden", "Conversazioni", 31
 #: Columns a reviewer may edit; the others are locked.
 EDITABLE = ("napoletano", "note")
+#: Columns of running text, and widths of the columns; the rest are narrow and centred.
+TEXTS, WIDE, NARROW = ("italiano", "napoletano", "note"), {"italiano": 60, "napoletano": 60, "note": 30}, 16
+#: Hint shown at the cells of a translation.
+HINT = ("Translation", "The turn in the dialect. Do not leave it empty.")
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 _WB = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -88,10 +92,11 @@ def flat_rows(raw: bytes) -> list[dict[str, str]]:
         raise EngineError("the workbook has neither layout")
     out = []
     for head in sheet_rows(sheets[CONVERSATIONS], META_SHEET, CONVERSATIONS):
-        if head["id"] not in sheets:
-            raise EngineError(f"no sheet {head['id']}")
+        title = head["id"][:MAX_TITLE]
+        if title not in sheets:
+            raise EngineError(f"no sheet {title}")
         meta = {"conversazione": head["id"], **{c: head[c] for c in ("regione", "macro_regione", "languages")}}
-        out += [meta | row for row in sheet_rows(sheets[head["id"]], TURN_SHEET, head["id"])]
+        out += [meta | row for row in sheet_rows(sheets[title], TURN_SHEET, title)]
     return out
 
 
@@ -108,15 +113,56 @@ def read_workbook(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
 
 
+#: Cell styles by number: locked, editable, editable with a quote prefix, header, locked running text.
+_LOCKED, _EDIT, _QUOTED, _HEADER, _LOCKED_TEXT = range(5)
+_CENTRE = '<alignment horizontal="center" vertical="top"/>'
+_WRAP = '<alignment vertical="top" wrapText="1"/>'
+_STYLES = (
+    f'<styleSheet xmlns="{_WB}"><fonts count="2"><font/><font><b/><color rgb="FFFFFFFF"/></font></fonts>'
+    '<fills count="5"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>'
+    + "".join(f'<fill><patternFill patternType="solid"><fgColor rgb="{c}"/></patternFill></fill>' for c in ("FFEFEFEF", "FFFFFBE8", "FF2F4A6D"))
+    + '</fills><borders count="2"><border/><border>' + "".join(f'<{side} style="thin"/>' for side in ("left", "right", "top", "bottom")) + "</border></borders>"
+    '<cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="5">'
+    f'<xf fillId="2" borderId="1" applyFill="1" applyBorder="1" applyAlignment="1">{_CENTRE}</xf>'
+    f'<xf fillId="3" borderId="1" applyFill="1" applyBorder="1" applyAlignment="1" applyProtection="1">{_WRAP}<protection locked="0"/></xf>'
+    f'<xf fillId="3" borderId="1" quotePrefix="1" applyFill="1" applyBorder="1" applyAlignment="1" applyProtection="1">{_WRAP}<protection locked="0"/></xf>'
+    f'<xf fontId="1" fillId="4" borderId="1" applyFont="1" applyFill="1" applyBorder="1" applyAlignment="1"><alignment horizontal="center" vertical="center" wrapText="1"/></xf>'
+    f'<xf fillId="2" borderId="1" applyFill="1" applyBorder="1" applyAlignment="1">{_WRAP}</xf></cellXfs></styleSheet>'
+)
+
+
 def _cell(ref: str, value: object, field: str, header: bool) -> str:
-    # styles: 0 locked, 1 editable, 2 editable with a quote prefix, 3 header
     text = as_text(value) if value is None or isinstance(value, float) else str(value)
-    style = 3 if header else (2 if text.startswith("'") else 1) if field in EDITABLE else 0
+    if header:
+        style = _HEADER
+    elif field in EDITABLE:
+        style = _QUOTED if text.startswith("'") else _EDIT
+    else:
+        style = _LOCKED_TEXT if field in TEXTS else _LOCKED
     if not header and isinstance(value, int):
         return f'<c r="{ref}" s="{style}"><v>{value}</v></c>'
     return f'<c r="{ref}" s="{style}" t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
 
 
+def _sheet(fields: list[str], rows: list[dict[str, object]]) -> str:
+    """A worksheet: frozen header with a filter, widths, locked columns, and a hint at the translations."""
+    last = _letters(len(fields) - 1)
+    lines = [f'<row r="1" ht="24" customHeight="1">{"".join(_cell(f"{_letters(k)}1", f, f, True) for k, f in enumerate(fields))}</row>']
+    lines += [f'<row r="{n}">{"".join(_cell(f"{_letters(k)}{n}", row.get(f), f, False) for k, f in enumerate(fields))}</row>' for n, row in enumerate(rows, 2)]
+    hint = ""
+    if "napoletano" in fields:
+        at = _letters(fields.index("napoletano"))
+        hint = (
+            f'<dataValidations count="1"><dataValidation type="textLength" operator="greaterThan" allowBlank="0" showInputMessage="1" showErrorMessage="0" promptTitle="{HINT[0]}" prompt="{HINT[1]}"'
+            f' sqref="{at}2:{at}{len(rows) + 1}"><formula1>0</formula1></dataValidation></dataValidations>'
+        )
+    return (
+        f'<worksheet xmlns="{_WB}"><sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>'
+        f'<cols>{"".join(f"""<col min="{k}" max="{k}" width="{WIDE.get(f, NARROW)}" customWidth="1"/>""" for k, f in enumerate(fields, 1))}</cols><sheetData>{"".join(lines)}</sheetData>'
+        f'<sheetProtection sheet="1" autoFilter="0" sort="0" formatColumns="0" formatRows="0"/><autoFilter ref="A1:{last}1"/>{hint}</worksheet>'
+    )
+
+
 def _letters(i: int) -> str:
     out = ""
     i += 1
@@ -135,9 +181,7 @@ def render(sheets: dict[str, tuple[list[str], list[dict[str, object]]]]) -> byte
         z.writestr("_rels/.rels", '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         z.writestr("xl/workbook.xml", f'<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="{_WB}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets>' + "".join(f'<sheet name="{escape(t, {chr(34): "&quot;"})}" sheetId="{i}" r:id="rId{i}"/>' for i, t in enumerate(titles, 1)) + "</sheets></workbook>")
         z.writestr("xl/_rels/workbook.xml.rels", '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="rId{i}" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(titles) + 1)) + '<Relationship Id="rId0" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/styles" Target="styles.xml"/></Relationships>')
-        z.writestr("xl/styles.xml", f'<?xml version="1.0" encoding="UTF-8"?><styleSheet xmlns="{_WB}"><fonts count="2"><font/><font><b/></font></fonts><fills count="2"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="4"><xf/><xf applyProtection="1"><protection locked="0"/></xf><xf quotePrefix="1" applyProtection="1"><protection locked="0"/></xf><xf fontId="1" applyFont="1"/></cellXfs></styleSheet>')
+        z.writestr("xl/styles.xml", f'<?xml version="1.0" encoding="UTF-8"?>{_STYLES}')
         for i, (fields, rows) in enumerate(sheets.values(), 1):
-            lines = [f'<row r="1">{"".join(_cell(f"{_letters(k)}1", f, f, True) for k, f in enumerate(fields))}</row>']
-            lines += [f'<row r="{n}">{"".join(_cell(f"{_letters(k)}{n}", row.get(f), f, False) for k, f in enumerate(fields))}</row>' for n, row in enumerate(rows, 2)]
-            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{_WB}"><sheetData>{"".join(lines)}</sheetData><sheetProtection sheet="1" formatColumns="0"/></worksheet>')
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<?xml version="1.0" encoding="UTF-8"?>{_sheet(fields, rows)}')
     return out.getvalue()
