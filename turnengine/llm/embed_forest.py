@@ -1,15 +1,18 @@
 """Embedding near-deduplication with a forest of random-projection trees.
 
-TREES trees split the unit vectors by random directions at the median, again and again; vectors near a split go
-to both sides (spill). Vectors that share a leaf and a label are compared exactly; links from all trees unite. A node
-is not split where that would part too many of its near pairs, as it does inside a dense group: of the near pairs of a
-tree's sample, about KEPT at least stay together all the way down, whatever the depth.
-
-Scale: equal vectors of a label are one node with a count. The splits are fitted on at most SAMPLE vectors; the
-depth follows the size of the largest label. Leaves that are still large are cut into blocks of about BLOCK vectors
-and all pairs of blocks meet, so a task holds two blocks at most and no pair of the leaf is lost. A pair that meets
-in several leaves is counted in the first leaf common to both alone (every row carries its leaves), so link counts
-are exact without emitting pairs: a task returns one count per vector and a spanning forest of its links.
+Trees split the unit vectors by random directions at the median, again and again; vectors near a split go to both
+sides (spill). Vectors that share a leaf and a label are compared exactly; links from all trees unite. A node is not
+split where that would part too many of its near pairs, as it does inside a dense group: of the near pairs of a tree's
+sample, about KEPT at least stay together all the way down, whatever the depth.
+
+Scale: equal vectors of a label are one node with a count. The depth follows the size of the largest label, so that a
+leaf with its spill holds about LEAF vectors: each level keeps 0.5 + SPILL of a node, and rows grow by 1 + 2 SPILL. The
+number of trees follows the depth, so that a pair at the limit meets somewhere with chance MEET. Rows per vector so
+grow as about n ** 0.2. The splits are fitted on at most SAMPLE vectors; below the level at which a node has too few
+of them, directions and thresholds are those of the whole sample. Leaves that are still large are cut into blocks of
+about BLOCK vectors and all pairs of blocks meet, so a task holds two blocks at most and no pair of the leaf is lost. A
+pair that meets in several leaves is counted in the first leaf common to both alone (every row carries its leaves), so
+link counts are exact without emitting pairs: a task returns one count per vector and a spanning forest of its links.
 
 Defined cases: a null label, and vectors that are null, empty, zero or hold null or non-finite components, link
 with nothing: no links, their own component; vectors of different length never link; repeated rows with one vec_id
@@ -26,21 +29,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnengine.llm.common import materialize, ship
+from turnengine.llm.common import drop_materialized, materialize, ship
 from turnengine.llm.components import connected_components
-from turnengine.llm.simhash import forest
 from turnengine.llm.vectors import finite, matrix
 
-COSINE, TREES, SPILL = 0.93, 6, 0.13
+COSINE, SPILL = 0.93, 0.05
 #: Vectors a leaf should hold, of a block of a larger leaf, and of the sample that the splits are fitted on.
-LEAF, BLOCK, SAMPLE = 512, 512, 20_000
+LEAF, BLOCK, SAMPLE = 512, 1024, 20_000
+#: The chance that a pair at the limit meets in a leaf, and that one split parts it: for random directions, vectors at
+#: a cosine of 0.93 differ by 0.37 deviations, and 0.4 * E[(|difference| - width of the spill)+] is 0.045.
+MEET, PARTED, MIN_TREES, MAX_TREES = 0.99, 0.045, 4, 31
 #: The least sample vectors of a node that is split.
 _LEAST = 16
 #: Near pairs that the splits down to a leaf may leave together, and the sample vectors of a node they are counted on.
-KEPT, SEEN = 0.6, 512
+KEPT, SEEN = 0.7, 512
 
-#: A node: (direction seed, low, high, left, right), or None for a leaf. Projections below high go left, above low right.
-Node = tuple | None
+#: A node: (direction seed, low, high, left, right), or a leaf: the number of levels still to go by the whole sample's
+#: splits, 0 where none may follow. Projections below high go left, above low right.
+Node = tuple | int
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -61,52 +67,106 @@ def parted(x: np.ndarray, at: np.ndarray, low: float, high: float) -> float:
     return float(near[at < low][:, at > high].sum() / ((near.sum() - np.trace(near)) / 2 + 8))
 
 
+def shape(n: int) -> tuple[int, int]:
+    """(depth, trees) for a label of n vectors."""
+    depth = max(0, int(np.ceil(np.log(max(n, 1) / LEAF) / -np.log(0.5 + SPILL))))
+    stay = (1 - PARTED) ** depth
+    trees = int(np.ceil(np.log(1 - MEET) / np.log1p(-stay))) if stay < 1 else 1
+    return depth, min(max(trees, MIN_TREES), MAX_TREES) if depth else 1
+
+
+def _cut(x: np.ndarray, seed: tuple[int, ...]) -> tuple[np.ndarray, float, float]:
+    at = x @ _direction(seed, x.shape[1])
+    low, high = np.quantile(at, [0.5 - SPILL, 0.5 + SPILL])
+    return at, float(low), float(high)
+
+
 def grow(x: np.ndarray, tree: int, depth: int, node: int = 1, kept: float = 1.0) -> Node:
     """A tree of random splits, fitted on the rows of x; they follow the spill as all rows will."""
     if not depth or len(x) < _LEAST:
-        return None
-    at = x @ _direction((tree, node), x.shape[1])
-    low, high = np.quantile(at, [0.5 - SPILL, 0.5 + SPILL])
+        return depth
+    at, low, high = _cut(x, (tree, node))
     kept *= 1 - parted(x, at, low, high)
     if kept < KEPT:
-        return None
-    return (node, float(low), float(high), grow(x[at <= high], tree, depth - 1, 2 * node, kept), grow(x[at >= low], tree, depth - 1, 2 * node + 1, kept))
+        return 0
+    return (node, low, high, grow(x[at <= high], tree, depth - 1, 2 * node, kept), grow(x[at >= low], tree, depth - 1, 2 * node + 1, kept))
+
 
+def level_splits(x: np.ndarray, tree: int, depth: int) -> list[tuple[float, float]]:
+    """Low and high of the splits of the whole sample, for each number of levels still to go."""
+    return [_cut(x, (tree, 0, left))[1:] for left in range(depth + 1)] if len(x) else []
 
-def leaves(x: np.ndarray, tree: int, root: Node) -> list[list[int]]:
+
+def leaves(x: np.ndarray, tree: int, root: Node, levels: list[tuple[float, float]]) -> list[list[int]]:
     """The leaves of each row of x: numbers of nodes."""
     out: list[list[int]] = [[] for _ in range(len(x))]
+    at_level: dict[int, np.ndarray] = {}
 
     def walk(node: Node, number: int, rows: np.ndarray) -> None:
-        if node is None or not len(rows):
-            for r in rows:
-                out[r].append(number)
+        if not len(rows):
             return
-        at = x[rows] @ _direction((tree, node[0]), x.shape[1])
-        walk(node[3], 2 * number, rows[at <= node[2]])
-        walk(node[4], 2 * number + 1, rows[at >= node[1]])
+        if isinstance(node, int):
+            if not node or not levels:
+                for r in rows:
+                    out[r].append(number)
+                return
+            if node not in at_level:
+                at_level[node] = x @ _direction((tree, 0, node), x.shape[1])
+            at, (low, high), left, right = at_level[node][rows], levels[node], node - 1, node - 1
+        else:
+            seed, low, high, left, right = node
+            at = x[rows] @ _direction((tree, seed), x.shape[1])
+        walk(left, 2 * number, rows[at <= high])
+        walk(right, 2 * number + 1, rows[at >= low])
 
     walk(root, 1, np.arange(len(x)))
     return out
 
 
-def compare(ids: np.ndarray, counts: np.ndarray, x: np.ndarray, side: np.ndarray, split: bool, cells: list[list[int]], cell: int) -> tuple[dict[int, int], list[tuple[int, int]]]:
-    """Links of one cell or pair of blocks: (links per id, spanning edges). split: only rows of different sides meet."""
-    links: dict[int, int] = {}
-    pairs: list[tuple[int, int]] = []
-    for at in range(0, len(x), 256):
-        near = x[at : at + 256] @ x.T >= COSINE
-        i, j = np.nonzero(near)
-        i += at
-        ok = i < j
-        if split:
-            ok &= side[i] != side[j]
-        for a, b in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
-            pairs.append((int(ids[a]), int(ids[b])))
-            if next(c for c in cells[a] if c in cells[b]) == cell:
-                links[int(ids[a])] = links.get(int(ids[a]), 0) + int(counts[b])
-                links[int(ids[b])] = links.get(int(ids[b]), 0) + int(counts[a])
-    return links, forest(iter(pairs))
+def earlier_meetings(cells: list[list[int]], cell: int) -> np.ndarray:
+    """Which pairs of rows share a leaf with a smaller number than cell."""
+    size = [len(c) for c in cells]
+    row, flat = np.repeat(np.arange(len(cells)), size), np.array([c for own in cells for c in own], np.int64)
+    row, flat = row[flat < cell], flat[flat < cell]
+    _, column, n = np.unique(flat, return_inverse=True, return_counts=True)
+    row, column = row[n[column] > 1], column[n[column] > 1]
+    _, column = np.unique(column, return_inverse=True)
+    met = np.zeros((len(cells), len(cells)), bool)
+    for at in range(0, int(column.max(initial=-1)) + 1, 2048):
+        own = (column >= at) & (column < at + 2048)
+        share = np.zeros((len(cells), 2048), np.float32)
+        share[row[own], column[own] - at] = 1
+        met |= share @ share.T > 0
+    return met
+
+
+def spanning(near: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
+    """(node, smallest node it reaches) of all but the smallest ones, from a matrix of links."""
+    left = np.ones(len(ids), bool)
+    edges: list[tuple[int, int]] = []
+    for i in np.argsort(ids).tolist():
+        if not left[i]:
+            continue
+        left[i] = False
+        latest = np.array([i])
+        while len(latest):
+            latest = np.flatnonzero(near[latest].any(axis=0) & left)
+            left[latest] = False
+            edges += [(int(ids[j]), int(ids[i])) for j in latest]
+    return edges
+
+
+def compare(ids: np.ndarray, counts: np.ndarray, x: np.ndarray, side: np.ndarray, split: bool, cells: list[list[int]], cell: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Links of one cell or pair of blocks: (ids, links of each, spanning edges). split: only rows of different sides meet."""
+    near = x @ x.T >= COSINE
+    np.fill_diagonal(near, False)
+    if split:
+        near &= side[:, None] != side[None]
+    busy = np.flatnonzero(near.any(axis=1))
+    near = near[np.ix_(busy, busy)]
+    here = near & ~earlier_meetings([cells[i] for i in busy], cell)
+    links = (here.astype(np.float64) @ counts[busy].astype(np.float64)).astype(np.int64)
+    return ids[busy], links, spanning(near, ids[busy])
 
 
 def near_vectors(vectors: DataFrame) -> DataFrame:
@@ -118,19 +178,19 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     nodes = materialize(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "forest-nodes")
     stats = nodes.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(1)).alias("width")).first()
     largest = nodes.groupBy("label").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("n")).first()["n"]
-    depth, width = max(0, int(np.ceil(np.log2(max(largest, 1) / LEAF)))), int(stats["width"])
+    (depth, n_trees), width = shape(largest), int(stats["width"])
     share = min(1.0, 0.95 * SAMPLE / max(stats["n"], 1))
     sample = nodes.where(F.pmod(F.xxhash64("rep", F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20))).select("embedding").orderBy(F.xxhash64("embedding")).limit(SAMPLE).toArrow()  # SAMPLE vectors at most
     fitted = _unit(matrix(sample.column(0), width)) if sample.num_rows else np.zeros((0, width))
-    trees = [grow(fitted, t, depth) for t in range(TREES)]
+    trees = [(grow(fitted, t, depth), level_splits(fitted, t, depth)) for t in range(n_trees)]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _unit(matrix(batch.column(0), width))
             own: list[list[int]] = [[] for _ in range(len(x))]
-            for t, root in enumerate(trees):
-                for cells, more in zip(own, leaves(x, t, root), strict=True):
-                    cells += [(leaf << 5) | t for leaf in more]
+            for t, (root, levels) in enumerate(trees):
+                for cells, more in zip(own, leaves(x, t, root, levels), strict=True):
+                    cells += [(t << 56) | leaf for leaf in more]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int64())), batch.column(0), batch.column(1), batch.column(2), batch.column(3)], names=["cells", "embedding", "label", "rep", "copies"])
 
     kind = dict(nodes.dtypes)
@@ -145,10 +205,11 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(t: pa.Table) -> pa.RecordBatch:
-            links, edges = compare(
+            ids, links, edges = compare(
                 t.column("rep").to_numpy(), t.column("copies").to_numpy(), _unit(matrix(t.column("embedding"), width)), t.column("side").to_numpy(), t.column("split")[0].as_py(), t.column("cells").to_pylist(), t.column("cell")[0].as_py(),
             )
-            u, v, n = zip(*[(i, None, c) for i, c in links.items()], *[(a, b, None) for a, b in edges], strict=True) if links or edges else ((), (), ())
+            linked = [(i, None, n) for i, n in zip(ids.tolist(), links.tolist(), strict=True) if n]
+            u, v, n = zip(*linked, *[(a, b, None) for a, b in edges], strict=True) if linked or edges else ((), (), ())
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (u, v, n)], names=["u", "v", "n"])
 
         rest: pa.Table | None = None
@@ -173,4 +234,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     )
     linked = good.join(known, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~linkable).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.union(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    result = materialize(linked.union(alone).withColumn("kept", F.col("vec_id") == F.col("component_id")), "forest")
+    for spent in (nodes, placed, found, parts):
+        drop_materialized(spent)
+    return result
