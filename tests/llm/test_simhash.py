@@ -43,6 +43,14 @@ def test_odd_rows(make_docs, odd_rows):
     assert S.simhash_components(make_docs(odd_rows).limit(0)).count() == 0
 
 
+def test_rows_without_id_link_others(make_docs, monkeypatch):
+    codes = {"a": 0, "b": 0b111, "c": 0b111111, "d": 1 << 40 | 0b111000111000}
+    monkeypatch.setattr(S, "fingerprints", lambda docs, size: docs.selectExpr("doc_id", "CAST(n_chars AS bigint) AS fp"))
+    docs = make_docs([(1, "a"), (None, "b"), (2, "c"), (None, "d")])
+    docs = docs.drop("n_chars").join(docs.sparkSession.createDataFrame(list(codes.items()), "text string, n_chars long"), "text")
+    assert {(r.doc_id, r.component_id) for r in S.simhash_components(docs).collect()} == {(1, 1), (None, 1), (2, 1), (None, None)}
+
+
 def test_against_brute_force(make_docs, monkeypatch):
     monkeypatch.setattr(S, "BLOCK", 16)  # so that cells split into blocks
     rng = random.Random(5)

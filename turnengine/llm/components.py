@@ -19,6 +19,12 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return row["n"], row["h"] or 0
 
 
+def _named(edges: DataFrame) -> DataFrame:
+    found = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    found._turnengine_path = edges._turnengine_path  # the caller may drop it once it has read it
+    return found
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, component) for every node of edges (u, v; integers): the smallest node it reaches.
 
@@ -28,7 +34,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     edges = materialize(edges, "edges")
     before = _state(edges)
     if not before[0]:
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        return _named(edges)
     for _ in range(max_rounds):
         # large star: every larger neighbour of u goes to the smallest node of u's neighbourhood
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -41,6 +47,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         drop_materialized(edges)
         edges, after = after_edges, _state(after_edges)
         if after == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return _named(edges)
         before = after
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

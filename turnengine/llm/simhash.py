@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnengine.llm.common import materialize, ship
+from turnengine.llm.common import drop_materialized, materialize, ship
 from turnengine.llm.components import connected_components
 
 RADIUS = 3
@@ -225,12 +225,19 @@ def cell_links(rows: DataFrame, radius: int | None, sketches: DataFrame | None =
 
 
 def simhash_components(docs: DataFrame, size: int = 3) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row: fingerprints link at RADIUS or fewer differing bits."""
+    """(doc_id, fingerprint, component_id) of every row: fingerprints link at RADIUS or fewer differing bits.
+
+    The graph's nodes are fingerprints, so those of rows without doc_id link others too; a component is then named
+    by the smallest doc_id among its fingerprints.
+    """
     fps = materialize(fingerprints(docs, size), "simhash")
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
-    rows = nodes.where("rep is not null").select(F.explode(grid_cells(F.col("fp"))).alias("key"), "fp", "rep")
+    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    rows = nodes.select(F.explode(grid_cells(F.col("fp"))).alias("key"), "fp", F.col("fp").alias("rep"))
     parts = connected_components(cell_links(rows, RADIUS))
-    named = nodes.join(parts, nodes["rep"] == parts["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    linked = nodes.join(parts, nodes["fp"] == parts["node"], "left").select("fp", F.coalesce("component", "fp").alias("part"), "least")
+    named = materialize(linked.join(linked.groupBy("part").agg(F.min("least").alias("component_id")), "part").select("fp", "component_id"), "simhash-named")
+    drop_materialized(nodes)
+    drop_materialized(parts)
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
