@@ -2,6 +2,7 @@
 
 from pathlib import Path
 import json
+import random
 
 
 from turnengine.llm import tool_chat as C
@@ -50,6 +51,7 @@ def test_arguments_and_canonical_json(spark):
     cases = [
         ('{"i": 1}', ""), ('{ "o": {"z": 1, "y": [2, null]}, "i": 3, "a": [] }', ""), ('{"n": 1.5, "s": "é\\n\\"", "b": true, "i": 0}', ""), ("{}", "missing:i"), ('{"i": "1"}', "type:i"), ('{"i": 1, "q": 1, "p": 2}', "unknown:p,unknown:q"),
         ('{"i": 1.5, "n": "x", "s": 1, "b": 0, "a": {}, "o": []}', "type:a,type:b,type:i,type:n,type:o,type:s"), ("[1]", "not_an_object"), ('{"i": ', "not_an_object"), (None, "not_an_object"), ("", "not_an_object"), ('{"i": null}', "type:i"),
+        ('{"i": 1} tail', "not_an_object"), ('{"i": 1}}', "not_an_object"), ('{"i": 1},{"i": 2}', "not_an_object"), ('{"i": 1}],[{}', "not_an_object"), ('{"i": 1, "i": 2}', "duplicate_key"), ('{"i": 1, "o": {"z": 1, "z": 2}}', "not_an_object"), (' {"i": 1}\n', ""),
     ]
     rows = link(spark, [(1, 0, "assistant", "", [call(str(k), "t", text) for k, (text, _) in enumerate(cases)] + [call("u", "unknown")], None)], tool)
     calls = {r.call_id: r for r in rows if r.node == "call"}
@@ -57,13 +59,30 @@ def test_arguments_and_canonical_json(spark):
         r = calls[str(k)]
         assert r.arg_errors == errors and r.args_valid == (errors == ""), text
         parsed = json.loads(r.canonical)
-        if errors != "not_an_object":
+        if errors in ("not_an_object", "duplicate_key"):
+            assert parsed["arguments"] == ([1] if text == "[1]" else text or "")
+        else:
             value = json.loads(text)
             assert parsed["arguments"] == value
             assert r.canonical == json.dumps({"arguments": value, "id": str(k), "name": "t", "role": "assistant", "type": "call"}, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
     assert calls["u"].arg_errors == "unknown_tool"
 
 
+def test_levels_against_plain_search(spark):
+    """Random graphs with chains, several dependencies and cycles, one long chain, and a very long text."""
+    rng = random.Random(3)
+    deps = {(1, f"n{i}"): {f"n{rng.randrange(i)}" for _ in range(rng.choice((0, 1, 1, 1, 2, 3)))} for i in range(1, 60)} | {(1, "n0"): set()}
+    deps |= {(2, f"k{i}"): {f"k{i - 1}"} if i else set() for i in range(300)}
+    deps |= {(3, "a"): {"b"}, (3, "b"): {"c"}, (3, "c"): {"a"}, (3, "d"): {"c"}, (3, "e"): {"d", "f"}, (3, "f"): set()}
+    turns = {k: rng.randrange(500) for k in deps}
+    rows = [(conv, turns[conv, name], "assistant", "long text " * 20_000 if name == "n0" else "", [call(name, deps=sorted(of))], None) for (conv, name), of in deps.items()]
+    found = {(r.conv_id, r.call_id): (r.status, r.topo_level, r.topo_turn) for r in link(spark, rows) if r.node == "call"}
+    known: dict = {}
+    while more := {k: (max((known[k[0], d][0] + 2 for d in of), default=0), max((known[k[0], d][1] for d in of), default=0)) for k, of in deps.items() if k not in known and all((k[0], d) in known for d in of)}:
+        known |= {k: (level, max(turn, turns[k])) for k, (level, turn) in more.items()}
+    assert {k: ("no_result", *known[k]) if k in known else ("cycle", 0, turns[k]) for k in deps} == found
+
+
 def test_empty(spark):
     assert link(spark, []) == []
 

@@ -7,15 +7,18 @@ call a message answers, or null). Each message, call and result becomes a node:
   turn and place, is the call, the first result is its result; others are kept and marked as repeats.
 - Order: a result comes after its call, and a call after the results of the calls it depends on. topo_level is the
   longest such path before a node and topo_turn the largest turn on it; sorting by (topo_turn, topo_level, turn,
-  place) is a topological order that keeps to the turns where it can. Levels are found by peeling: each round
-  resolves the calls whose dependencies are all resolved, so the number of rounds is the depth of the graph. What
-  never resolves lies on or behind a cycle and is marked. There is no per-conversation task: a conversation of any
-  length is spread over the cluster.
+  place) is a topological order that keeps to the turns where it can. Chains of calls with one dependency each are
+  contracted by pointer doubling, in as many rounds as the logarithm of their length. Calls with several dependencies
+  are peeled: a round resolves those whose dependencies are all resolved and rewrites only the rest, so there are
+  as many rounds as such calls on a path. What never resolves lies on or behind a cycle and is marked. There is no
+  per-conversation task: a conversation of any length is spread over the cluster.
 - Arguments are parsed as JSON and checked against the tool's schema: an object, no field missing, none unknown, each
   of its type. canonical is the node as compact JSON with keys in order and characters unescaped where JSON allows.
 
-Defined cases: null content is an empty string; a call without identifier cannot be linked; a null or malformed
-argument string is not an object, and its canonical form holds the raw string; a dependency on an unknown call is
+Defined cases: null content is an empty string, very long content is one string; a call without identifier cannot be
+linked; a null or malformed argument string, or one with anything but white space behind its object, is not an object;
+one that repeats a key is a duplicate_key (deeper down: not an object); the canonical form of these holds the raw
+string; a dependency on an unknown call is
 marked and ignored; a null conv_id is a conversation of its own; repeated messages are repeats of their calls and
 results; an empty table gives no rows; extra columns are not read.
 """
@@ -47,10 +50,24 @@ def json_object(fields: dict[str, Column]) -> Column:
     return F.concat(F.lit("{"), *parts, F.lit("}"))
 
 
-def argument_errors(name: Column, arguments: Column, schemas: Schemas) -> Column:
-    """Array of errors of a call's arguments: unknown_tool, not_an_object, missing:f, type:f, unknown:f."""
-    parsed, keys = F.try_parse_json(arguments), F.json_object_keys(arguments)
-    found = F.when(keys.isNull(), F.array(F.lit("not_an_object")))
+def parse_arguments(arguments: Column) -> Column:
+    """A text as a variant, or null unless the whole of it is one JSON value without repeated keys.
+
+    Spark's parser ignores what follows a value. So the text is parsed as the first of two elements of an array; the
+    second, which the text cannot know, is only found behind a first that ended where the text did.
+    """
+    seal = F.md5(arguments)
+    both = F.try_parse_json(F.concat(F.lit("["), arguments, F.lit(',"'), seal, F.lit('"]')))
+    return F.when(F.try_variant_get(both, "$[1]", "string") == seal, F.try_variant_get(both, "$[0]", "variant"))
+
+
+def argument_errors(name: Column, arguments: Column, schemas: Schemas, parsed: Column) -> Column:
+    """Array of errors of a call's arguments: unknown_tool, not_an_object, duplicate_key, missing:f, type:f, unknown:f.
+
+    parsed: parse_arguments(arguments).
+    """
+    keys = F.json_object_keys(arguments)
+    found = F.when(F.size(keys) > F.size(F.array_distinct(keys)), F.array(F.lit("duplicate_key"))).when(keys.isNull() | parsed.isNull(), F.array(F.lit("not_an_object")))
     for tool, fields in sorted(schemas.items()):
         errors = []
         for field, (kind, required) in sorted(fields.items()):
@@ -65,38 +82,82 @@ def argument_errors(name: Column, arguments: Column, schemas: Schemas) -> Column
     return found.otherwise(F.array(F.lit("unknown_tool")))
 
 
+_CALL = ["conv", "call_id"]
+
+
+def _chains(singles: DataFrame) -> DataFrame:
+    """(conv, call_id, head, dist, acc) of calls with one dependency, by pointer doubling.
+
+    singles: conv, call_id, head (the dependency), dist, acc (the largest turn on the way). Afterwards head is the first
+    call before it that has none or several dependencies; a head that is itself in singles is on a cycle.
+    """
+    chains = materialize(singles, "call-chains")
+    rounds = chains.count().bit_length() + 1  # after so many every chain without a cycle has reached its head
+    for _ in range(rounds):
+        behind = chains.select("conv", F.col("call_id").alias("head"), F.col("head").alias("h"), F.col("dist").alias("d"), F.col("acc").alias("a"))
+        more = chains.join(behind, ["conv", "head"], "left").select("conv", "call_id", F.coalesce("h", "head").alias("head"), (F.col("dist") + F.coalesce("d", F.lit(0))).alias("dist"), F.greatest("acc", "a").alias("acc"), F.col("h").isNotNull().alias("moved"))
+        more = materialize(more, "call-chains")
+        drop_materialized(chains)
+        chains = more
+        if chains.where("moved").isEmpty():
+            break
+    return chains
+
+
+def _peel(edges: DataFrame, done: DataFrame, calls: DataFrame) -> list[DataFrame]:
+    """done and, round by round, what it resolves: tables of (conv, call_id, level, after).
+
+    edges: conv, call_id, dep, dist, acc of calls with several dependencies. A round reads and writes only what is still
+    unresolved.
+    """
+    resolved, latest = [done], done
+    pending = materialize(edges.withColumns({"level": F.lit(None).cast("bigint"), "after": F.lit(None).cast("bigint")}), "call-pending")
+    while not pending.isEmpty():
+        ready = latest.select("conv", F.col("call_id").alias("dep"), F.col("level").alias("l"), F.col("after").alias("a"))
+        filled = pending.join(ready, ["conv", "dep"], "left").select("conv", "call_id", "dep", "dist", "acc", F.coalesce("level", F.col("l") + F.col("dist")).alias("level"), F.coalesce("after", F.when(F.col("l").isNotNull(), F.greatest("acc", "a"))).alias("after"))
+        filled = materialize(filled, "call-pending")
+        drop_materialized(pending)
+        known = filled.groupBy(_CALL).agg(F.count_if(F.col("level").isNull()).alias("open"), F.max("level").alias("level"), F.max("after").alias("after")).where("open = 0")
+        latest = materialize(known.join(calls.select(*_CALL, "own"), _CALL).select(*_CALL, "level", F.greatest("own", "after").alias("after")), "call-levels")
+        if latest.isEmpty():
+            drop_materialized(filled)
+            drop_materialized(latest)
+            break
+        resolved.append(latest)
+        pending = materialize(filled.join(latest.select(_CALL), _CALL, "left_anti"), "call-pending")
+        drop_materialized(filled)
+    return resolved
+
+
 def _levels(calls: DataFrame) -> DataFrame:
     """(conv, call_id, level, reach, lost): level and largest turn up to each first call; lost dependencies.
 
     calls: conv, call_id, depends_on, call_turn, result_turn of first calls. Calls on cycles have a null level.
     """
-    edges = calls.select("conv", "call_id", F.explode(F.array_distinct("depends_on")).alias("dep"))
+    calls = calls.withColumn("own", F.greatest("call_turn", "result_turn"))
+    edges = calls.select(*_CALL, F.explode(F.array_distinct("depends_on")).alias("dep"))
     known = calls.select("conv", F.col("call_id").alias("dep"), F.lit(1).alias("is_call"))
-    edges = materialize(edges.join(known.hint("shuffle_hash"), ["conv", "dep"], "left"), "call-edges")
-    lost = edges.where("is_call is null").groupBy("conv", "call_id").agg(F.count("*").alias("lost"))
+    stored = edges = materialize(edges.join(known.hint("shuffle_hash"), ["conv", "dep"], "left"), "call-edges")
+    lost = edges.where("is_call is null").groupBy(_CALL).agg(F.count("*").alias("lost"))
     edges = edges.where("is_call is not null").drop("is_call")
-    waiting = edges.select("conv", "call_id").distinct()
-    done = calls.join(waiting, ["conv", "call_id"], "left_anti").select("conv", "call_id", F.lit(0).alias("level"), F.col("call_turn").alias("reach"), F.greatest("call_turn", "result_turn").alias("after"))
-    done = materialize(done, "call-levels")
-    n = done.count()
-    while True:
-        ready = done.select("conv", F.col("call_id").alias("dep"), "level", "after")
-        waiting = (
-            edges.join(done.select("conv", "call_id"), ["conv", "call_id"], "left_anti")
-            .join(ready, ["conv", "dep"], "left")
-            .groupBy("conv", "call_id")
-            .agg(F.count_if(F.col("level").isNull()).alias("open"), F.max("level").alias("level"), F.max("after").alias("after"))
-            .where("open = 0")
-        )
-        step = waiting.join(calls.select("conv", "call_id", "call_turn", "result_turn"), ["conv", "call_id"]).select("conv", "call_id", (F.col("level") + 2).alias("level"), F.greatest("call_turn", "after").alias("reach"), F.greatest("call_turn", "after", "result_turn").alias("after"))
-        more = materialize(done.union(step), "call-levels")
-        total = more.count()
-        drop_materialized(done)
-        done = more
-        if total == n:
-            break
-        n = total
-    return calls.select("conv", "call_id").join(done, ["conv", "call_id"], "left").join(lost, ["conv", "call_id"], "left").select("conv", "call_id", "level", "reach", F.coalesce("lost", F.lit(0)).alias("lost"))
+    fan = edges.groupBy(_CALL).agg(F.count("*").alias("n"), F.min("dep").alias("head"))
+    singles = fan.where("n = 1").join(calls.select(*_CALL, "own"), _CALL).select(*_CALL, "head", F.lit(2).cast("bigint").alias("dist"), F.col("own").alias("acc"))
+    chains = _chains(singles)
+    behind = chains.select("conv", F.col("call_id").alias("dep"), "head", F.col("dist").alias("d"), "acc")
+    several = edges.join(fan.where("n > 1").select(_CALL), _CALL, "left_semi").join(behind, ["conv", "dep"], "left").select(*_CALL, F.coalesce("head", "dep").alias("dep"), (F.coalesce("d", F.lit(0)) + 2).cast("bigint").alias("dist"), "acc")
+    roots = materialize(calls.join(fan.select(_CALL), _CALL, "left_anti").select(*_CALL, F.lit(0).cast("bigint").alias("level"), F.col("own").alias("after")), "call-levels")
+    parts = _peel(several, roots, calls)
+    done = parts[0]
+    for part in parts[1:]:
+        done = done.union(part)
+    heads = done.select("conv", F.col("call_id").alias("head"), "level", F.col("after").alias("a"))
+    done = materialize(done.union(chains.join(heads, ["conv", "head"]).select(*_CALL, F.col("level") + F.col("dist"), F.greatest("acc", "a"))), "call-levels")
+    reach = edges.join(done.select("conv", F.col("call_id").alias("dep"), "after"), ["conv", "dep"]).groupBy(_CALL).agg(F.max("after").alias("after"))
+    found = calls.select(*_CALL, "call_turn").join(done.select(*_CALL, "level"), _CALL, "left").join(reach, _CALL, "left").join(lost, _CALL, "left")
+    found = materialize(found.select(*_CALL, F.col("level").cast("int").alias("level"), F.when(F.col("level").isNotNull(), F.greatest("call_turn", "after")).alias("reach"), F.coalesce("lost", F.lit(0)).alias("lost")), "call-found")
+    for spent in (*parts, chains, done, stored):
+        drop_materialized(spent)
+    return found
 
 
 def link_tool_calls(messages: DataFrame, schemas: Schemas) -> DataFrame:
@@ -115,19 +176,20 @@ def link_tool_calls(messages: DataFrame, schemas: Schemas) -> DataFrame:
     linked = materialize(first_call.join(first_result.hint("shuffle_hash"), ["conv", "call_id"], "left").select("conv", "call_id", F.col("f.turn").alias("call_turn"), F.col("f.place").alias("call_place"), F.col("f.depends_on").alias("depends_on"), "result_turn"), "calls-linked")
     levels = _levels(linked)
     known = materialize(linked.drop("depends_on").join(levels, ["conv", "call_id"]), "calls-known")
+    drop_materialized(levels)
+    drop_materialized(linked)
 
     no = F.lit(None)
     plain = base.where("result_of is null").select("conv_id", "turn", F.lit(-1).alias("place"), F.lit("message").alias("node"), no.cast("string").alias("call_id"), F.lit("plain").alias("status"), no.cast("boolean").alias("args_valid"), no.cast("string").alias("arg_errors"), F.col("turn").alias("topo_turn"), F.lit(0).alias("topo_level"), json_object({"content": json_string(F.col("content")), "role": json_string(F.col("role"))}).alias("canonical"))
 
-    errors = argument_errors(F.col("name"), F.col("arguments"), schemas)
-    parsed = F.try_parse_json("arguments")
-    arguments = F.when(parsed.isNotNull(), F.to_json(parsed)).otherwise(json_string(F.col("arguments")))
+    errors = argument_errors(F.col("name"), F.col("arguments"), schemas, F.col("parsed"))
+    arguments = F.when(F.col("parsed").isNotNull(), F.to_json("parsed")).otherwise(json_string(F.col("arguments")))
     is_first = (F.col("turn") == F.col("call_turn")) & (F.col("place") == F.col("call_place"))
     call_status = (
         F.when(F.col("call_id").isNull(), "no_id").when(~is_first, "repeated").when(F.col("level").isNull(), "cycle").when(F.col("lost") > 0, "lost_dependency").when(F.col("result_turn").isNull(), "no_result").otherwise("linked")
     )
     ordered = is_first & F.col("level").isNotNull()
-    call_rows = calls.join(known.hint("shuffle_hash"), ["conv", "call_id"], "left").withColumn("errors", errors).select(
+    call_rows = calls.join(known.hint("shuffle_hash"), ["conv", "call_id"], "left").withColumn("parsed", parse_arguments(F.col("arguments"))).withColumn("errors", errors).select(
         "conv_id", "turn", "place", F.lit("call").alias("node"), "call_id", call_status.alias("status"), (F.size("errors") == 0).alias("args_valid"), F.concat_ws(",", "errors").alias("arg_errors"),
         F.when(ordered, F.col("reach")).otherwise(F.col("turn")).alias("topo_turn"), F.when(ordered, F.col("level")).otherwise(F.lit(0)).alias("topo_level"),
         json_object({"arguments": arguments, "id": json_string(F.col("call_id")), "name": json_string(F.col("name")), "role": F.lit('"assistant"'), "type": F.lit('"call"')}).alias("canonical"),
