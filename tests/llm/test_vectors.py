@@ -55,12 +55,32 @@ def test_forest_keeps_the_pairs_of_a_dense_group(share):
     a, b = dense(1000), dense(1000)
     near = (a * b).sum(axis=1) >= E.COSINE
     met = np.zeros(1000, bool)
-    for t in range(E.TREES):
-        root = E.grow(x, t, 10)
-        met |= [bool(set(p) & set(q)) for p, q in zip(E.leaves(a, t, root), E.leaves(b, t, root), strict=True)]
+    for t in range(E.shape(200_000)[1]):
+        root, levels = E.grow(x, t, 10), E.level_splits(x, t, 10)
+        met |= [bool(set(p) & set(q)) for p, q in zip(E.leaves(a, t, root, levels), E.leaves(b, t, root, levels), strict=True)]
     assert near.sum() > 500 and met[near].mean() >= 0.95
 
 
+@pytest.mark.parametrize("n", [5_000, 320_000, 20_000_000])
+def test_forest_planted_pairs_and_growth(n):
+    """Recall of pairs between 0.93 and 0.95 at the depth and number of trees of a label of n vectors, and rows per vector."""
+    rng = np.random.default_rng(n)
+    x = E._unit(rng.standard_normal((E.SAMPLE, 64)))
+    a = E._unit(rng.standard_normal((1500, 64)))
+    cosine = rng.uniform(0.93, 0.95, (1500, 1))
+    aside = rng.standard_normal((1500, 64))
+    b = cosine * a + np.sqrt(1 - cosine**2) * E._unit(aside - (aside * a).sum(axis=1, keepdims=True) * a)
+    depth, trees = E.shape(n)
+    met, rows, size = np.zeros(1500, bool), 0, {}
+    for t in range(trees):
+        root, levels = E.grow(x, t, depth), E.level_splits(x, t, depth)
+        of_a, of_b = E.leaves(a, t, root, levels), E.leaves(b, t, root, levels)
+        met |= [bool(set(p) & set(q)) for p, q in zip(of_a, of_b, strict=True)]
+        rows += sum(map(len, of_a)) / 1500
+    assert met.mean() >= 0.98
+    assert rows <= 1.8 * n**0.2
+
+
 def test_forest_odd_rows(spark):
     rows = sorted((r.vec_id, r.n_links, r.component_id) for r in E.near_vectors(frame(spark, odd())).collect())
     alone = [(i, 0, i) for i in (1, 2, 3, 4, 5, 6, 7, 10)]
@@ -95,3 +115,15 @@ def test_top_k_odd_rows(spark):
     assert [(g[1], g[2]) for g in got if g[0] == 800] == [(1, 900), (2, 900), (3, 7), (4, 10), (5, 11), (6, 2), (7, 3), (8, 12)]
     assert P.top_k(frame(spark, rows).limit(0)).count() == 0
     assert P.top_k(frame(spark, [(100, [1.0], 0)])).count() == 0
+
+
+def test_bound_eliminates_most_of_clustered_vectors(spark, monkeypatch):
+    monkeypatch.setattr(P, "CANDIDATES", 300)  # hot regions are several blocks
+    monkeypatch.setattr(P, "QUERIES", 5)
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((40, 32))
+    share = np.r_[np.zeros(1000, int), rng.integers(0, 40, 2000)]  # a third of all vectors in one cluster
+    rows = [(i, v, 0) for i, v in enumerate((centres[share] + 0.05 * rng.standard_normal((3000, 32))).astype(np.float32).tolist())]
+    assert {tuple(r) for r in P.top_k(frame(spark, rows), 10, 60).collect()} == plain_top(rows, 10, 60)
+    done = {r.query_id: r.evaluated for r in P.evaluations(frame(spark, rows), 10, 60).collect()}
+    assert set(done) == set(range(0, 3000, 60)) and sum(done.values()) < 0.3 * 3000 * len(done)
