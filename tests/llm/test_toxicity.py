@@ -1,6 +1,7 @@
 """Weak supervision: held-out accuracy, isolation from held-out labels, odd cases."""
 
 from pathlib import Path
+import math
 import random
 import zlib
 
@@ -76,14 +77,50 @@ def test_label_model_finds_accuracies():
     good = np.where(rng.random((6000, 3)) < 0.9, np.where(y, 1, -1)[:, None], np.where(y, -1, 1)[:, None])
     noise = rng.integers(-1, 2, (6000, 2))
     v = np.column_stack([good, good[:, :1], noise]).astype(np.int8)  # one voter is there twice
-    post, table, corr = T.label_model(v, 0.2)
+    post, table, corr = T.label_model(v, np.ones(len(v)), 0.2)
     assert ((post > 0.5) == y).mean() > 0.93
     assert (np.abs(table[:3, 1, 2] - 0.9) < 0.06).all() and corr[0, 3] > 0.9 and abs(corr[0, 4]) < 0.1
 
 
+def test_em_against_plain_loops():
+    """Posteriors of counted rows against EM written out row by row, with the weights that the correlations give."""
+    rng = np.random.default_rng(4)
+    rows = rng.integers(-1, 2, (12, 4)).astype(np.int8)
+    counts = rng.integers(1, 9, 12)
+    share = 0.3
+    weight = [1.0] * 4
+    whole = np.repeat(rows, counts, axis=0)
+
+    def table_of(post):
+        table = [[[0.1] * 3 for _ in range(2)] for _ in range(4)]
+        for row, p in zip(whole, post, strict=True):
+            for m, vote in enumerate(row):
+                table[m][0][vote + 1] += 1 - p
+                table[m][1][vote + 1] += p
+        return [[[n / sum(of) for n in of] for of in voter] for voter in table]
+
+    for stage in range(3):
+        post = [0.9 if sum(w * v for w, v in zip(weight, row, strict=True)) > 0 else 0.02 for row in whole]
+        for _ in range(25 if stage else 0):
+            table = table_of(post)
+            odds = [sum(weight[m] * math.log(table[m][1][v + 1] / table[m][0][v + 1]) for m, v in enumerate(row)) for row in whole]
+            low, high = -100.0, 100.0
+            for _ in range(60):
+                mid = (low + high) / 2
+                post = [1 / (1 + math.exp(-o - mid)) for o in odds]
+                low, high = (mid, high) if sum(post) < share * len(whole) else (low, mid)
+        table = table_of(post)
+        rest = [[v - sum(c * sum((k - 1) * table[m][y][k] for k in range(3)) for y, c in ((0, 1 - p), (1, p))) for m, v in enumerate(row)] for row, p in zip(whole, post, strict=True)]
+        corr = np.corrcoef(np.array(rest).T)
+        weight = [1 / max(1.0, sum(min(max(c, 0.0), 1.0) ** 3 for c in row)) for row in corr]
+    got, got_table, got_corr = T.label_model(rows, counts, share)
+    assert np.allclose(np.repeat(got, counts), post, atol=1e-4) and np.allclose(got_table, table, atol=1e-4) and np.allclose(got_corr, corr, atol=1e-4)
+    assert abs(got @ counts / counts.sum() - share) < 1e-6
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 def test_on_the_tables(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     out = T.score_toxicity(docs, T.fit_toxicity(docs, labels)).where("held_out").join(labels, "doc_id").select("predicted", "toxic").toPandas()
     hit = ((out.predicted == 1) & (out.toxic == 1)).sum()
-    assert hit / (out.toxic == 1).sum() > 0.85 and hit / (out.predicted == 1).sum() > 0.9
+    assert hit / (out.toxic == 1).sum() >= 0.9 and hit / (out.predicted == 1).sum() > 0.9

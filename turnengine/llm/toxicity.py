@@ -7,12 +7,15 @@
    count again and again.
 3. Voters: one per lexicon word, and patterns over the whole text (any hit, several, dense or sparse hits, two in a
    row, no hit at all). A voter says toxic, clean or nothing.
-4. Label model: a generative model of the votes, fitted by EM without labels but for the share of toxic rows:
-   each voter's chances of each vote under either class (its accuracies), and the correlations of the voters'
-   residuals given the class, first under the majority vote, then under the fit; a voter that repeats what others
-   say counts for less, and EM runs again.
-5. Classifier: logistic regression on the voters' features, trained on the posterior labels; its scale, offset
-   and the weights of the patterns are then corrected on the sample's own labels, so that 0.3 means what it says.
+4. Label model: a generative model of the votes, fitted by EM without labels but for the share of toxic rows, which
+   the posteriors are held to: each voter's chances of each vote under either class (its accuracies), and the
+   correlations of the voters' residuals given the class, first under the majority vote, then under the fit; a voter
+   that repeats what others say counts for less, and EM runs again.
+5. Classifier: logistic regression on the voters' features, trained on the posterior labels and on nothing else. The
+   labels themselves choose the words of step 2 and give the share of step 4; no weight is fitted to them.
+
+Rows with the same features are one row with a count before they reach the driver, and every sum of the fit is over
+those counts. The bounds of the fit are SAMPLE_ROWS and MAX_WORDS.
 
 The score reads the text alone: not labels, lang, source or doc_id. Defined cases: null and empty texts score as
 texts without words; a null doc_id is not held out; labels that are null or of unknown documents are ignored;
@@ -33,10 +36,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnengine.llm.common import materialize, ship
+from turnengine.llm.common import drop_materialized, materialize, ship
 
 #: Bounds of the fit: labelled rows taken, and voters made from words.
-SAMPLE_ROWS, MAX_WORDS = 40_000, 160
+SAMPLE_ROWS, MAX_WORDS = 40_000, 256
 #: A lexicon word has at least this support, and support times the log of how much likelier it is in
 #: toxic rows; and it is at least so many times likelier there.
 MIN_SUPPORT, MIN_EVIDENCE, MIN_ODDS = 3, 14.0, 8.0
@@ -78,42 +81,57 @@ def votes(x: np.ndarray, n_words: int) -> np.ndarray:
     return v
 
 
-def label_model(v: np.ndarray, share: float, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior of toxic per row, accuracy table [voter, class, vote + 1], correlation matrix) from votes and the share of toxic rows."""
-    n, m = v.shape
-    said = np.stack([(v == s).astype(np.float64) for s in (-1, 0, 1)], axis=2)
-    prior = np.clip(np.array([1 - share, share]), 0.005, 0.995)
-    weight = np.ones(m)
+def held_to(log_odds: np.ndarray, counts: np.ndarray, share: float) -> np.ndarray:
+    """Posteriors of rows by their log odds plus an offset that makes their mean, over counts, the share."""
+    low, high = -100.0, 100.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        post = 1 / (1 + np.exp(-np.clip(log_odds + mid, -40, 40)))
+        low, high = (mid, high) if post @ counts < share * counts.sum() else (low, mid)
+    return post
+
+
+def label_model(v: np.ndarray, counts: np.ndarray, share: float, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior of toxic per row, accuracy table [voter, class, vote + 1], correlation matrix) from votes, how often
+    each row of votes occurs, and the share of toxic rows."""
+    counts = counts.astype(np.float64)
+    share = float(np.clip(share, 0.005, 0.995))
+    said = [(v == vote).astype(np.float32) for vote in (-1, 0, 1)]
+    weight = np.ones(v.shape[1])
 
     def accuracies(post: np.ndarray) -> np.ndarray:
-        table = np.einsum("nc,nmv->mcv", np.stack([1 - post, post], axis=1), said) + 0.1
+        mass = np.stack([(1 - post) * counts, post * counts]).astype(np.float32)
+        table = np.stack([mass @ s for s in said], axis=2).transpose(1, 0, 2) + 0.1
         return table / table.sum(axis=2, keepdims=True)
 
     for stage in range(3):
         post = np.where(v @ weight > 0, 0.9, 0.02)  # weighted majority vote
         for _ in range(rounds if stage else 0):
-            log = np.einsum("nmv,mcv,m->nc", said, np.log(accuracies(post)), weight, optimize=True) + np.log(prior)
-            post = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -40, 40)))
+            log = np.log(accuracies(post))
+            odds = (log[:, 1] - log[:, 0]) * weight[:, None]
+            post = held_to(sum(s @ odds[:, k] for k, s in enumerate(said)), counts, share)
         table = accuracies(post)
         mean = table @ np.array([-1.0, 0.0, 1.0])
         rest = v - (np.outer(1 - post, mean[:, 0]) + np.outer(post, mean[:, 1]))
-        rest = rest - rest.mean(axis=0)
-        spread = np.maximum(rest.std(axis=0), 1e-6)
-        corr = rest.T @ rest / max(n, 1) / np.outer(spread, spread)
+        rest -= counts @ rest / max(counts.sum(), 1)
+        cross = (rest * counts[:, None]).T @ rest / max(counts.sum(), 1)
+        spread = np.maximum(np.sqrt(np.diag(cross)), 1e-6)
+        corr = cross / np.outer(spread, spread)
         np.fill_diagonal(corr, 1.0)
-        weight = 1 / np.maximum(np.clip(corr, 0, 1).sum(axis=1), 1.0)
+        # voters that always agree count as one together; the cube lets weak correlations of many voters pass
+        weight = 1 / np.maximum((np.clip(corr, 0, 1) ** 3).sum(axis=1), 1.0)
     return post, table, corr
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Weights (the last is the offset) of a logistic regression on soft labels, by Newton's method."""
+def logistic(x: np.ndarray, y: np.ndarray, counts: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
+    """Weights (the last is the offset) of a logistic regression on soft labels of rows that occur counts times, by Newton's method."""
     x = np.column_stack([x, np.ones(len(x))]).astype(np.float64)
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge)
     penalty[-1] = 1e-3
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty), x.T @ (p - y) + penalty * w)
+        step = np.linalg.solve((x * ((p * (1 - p) + 1e-6) * counts)[:, None]).T @ x + np.diag(penalty), x.T @ ((p - y) * counts) + penalty * w)
         w -= np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-6:
             break
@@ -139,7 +157,9 @@ def training_sample(labels: DataFrame) -> DataFrame:
     usable = materialize(usable, "tox-labels")
     n = usable.count()
     share = min(1.0, SAMPLE_ROWS / max(n, 1))
-    return usable.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20)))
+    sample = usable.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20)))
+    sample._turnengine_path = usable._turnengine_path
+    return sample
 
 
 def learn_lexicon(train: DataFrame) -> list[str]:
@@ -170,7 +190,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     ship(docs.sparkSession)
     sample = training_sample(labels)
     # the sample's rows are bounded by SAMPLE_ROWS, so its broadcast is too
-    train = materialize(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic").dropDuplicates(), "tox-train")
+    train = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic").dropDuplicates()
+    # what follows explodes words, so the few rows are dealt to all cores
+    train = materialize(train.repartition(4 * docs.sparkSession.sparkContext.defaultParallelism, "text"), "tox-train")
     lexicon = learn_lexicon(train)
     index = {w: i for i, w in enumerate(lexicon)}
 
@@ -178,21 +200,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(features(t, index).tobytes(), 1) for t in batch.column(0).to_pylist()], pa.binary()), batch.column(1).cast(pa.int32())], names=["x", "toxic"])
 
-    rows = train.mapInArrow(run, "x binary, toxic int").toArrow()  # SAMPLE_ROWS rows at most, mostly zeros
+    rows = train.mapInArrow(run, "x binary, toxic int").groupBy("x").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).toArrow()  # SAMPLE_ROWS rows at most, mostly zeros
+    drop_materialized(train)
+    drop_materialized(sample)
     x = np.frombuffer(b"".join(map(zlib.decompress, rows.column(0).to_pylist())), np.float32).reshape(-1, len(lexicon) + len(PATTERNS))
-    y = rows.column(1).to_numpy().astype(np.float64)
+    counts = rows.column(1).to_numpy().astype(np.float64)
     if not len(x):
         return ToxicityModel(tuple(lexicon), (0.0,) * (len(lexicon) + len(PATTERNS)) + (-2.0,))
-    post, _, _ = label_model(votes(x, len(lexicon)), float(y.mean()))
-    w = logistic(x, post)
-    raw = x @ w[:-1] + w[-1]
-    n = len(lexicon)
-    fit = logistic(np.column_stack([raw, x[:, n:]]), y, ridge=0.3)
-    if fit[0] <= 0:  # too few labels to tell
-        fit = np.array([1.0, *[0.0] * len(PATTERNS), np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))])
-    w *= fit[0]
-    w[n:] += fit[1:]
-    return ToxicityModel(tuple(lexicon), tuple(w.tolist()))
+    post, _, _ = label_model(votes(x, len(lexicon)), counts, float(rows.column(2).to_numpy().sum() / counts.sum()))
+    return ToxicityModel(tuple(lexicon), tuple(logistic(x, post, counts).tolist()))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
