@@ -75,11 +75,8 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, budget
     names = {c: free_name(taken, f"mix_{c}") for c in ("source", "draws", "cdf", "count")}
     rates = materialize(source_rates(docs, weights, budget, alpha), "mix-rates")
     rates = rates.select(F.col("mix_source").alias(names["source"]), F.col("draws").alias(names["draws"]), F.col("cdf").alias(names["cdf"]))
-    count = F.aggregate(
-        F.sequence(F.lit(1), F.col(names["draws"])),
-        F.lit(0),
-        lambda acc, part: acc + F.size(F.filter(F.col(names["cdf"]), lambda c: c <= uniform(seed, F.col("doc_id"), part))),
-    )
+    drawn = F.transform(F.sequence(F.lit(1), F.col(names["draws"])), lambda part: uniform(seed, F.col("doc_id"), part))  # one hash a draw
+    count = F.aggregate(drawn, F.lit(0), lambda acc, u: acc + F.size(F.filter(F.col(names["cdf"]), lambda c: c <= u)))
     mixed = (
         docs.join(rates, docs["source"].eqNullSafe(rates[names["source"]]), "inner")
         .withColumn(names["count"], count)

@@ -251,16 +251,21 @@ CANDIDATE = 0.68
 
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(42)
-    return rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+    return rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+
+
+_TIMES, _PLUS = _permutations()
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
-    """Least value of a set of shingle hashes under each permutation."""
-    times, plus = _permutations()
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 1024):
-        mixed = hashes[at : at + 1024, None] * times + plus
-        mixed ^= mixed >> np.uint64(32)
+    """Least value of a set of shingle hashes under each permutation; 32 bits, which processors multiply many at a time."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
+    folded = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
+    for at in range(0, len(folded), 128):
+        mixed = folded[at : at + 128, None] ^ _PLUS
+        mixed *= _TIMES
+        mixed ^= mixed >> np.uint32(15)
+        mixed *= np.uint32(0x9E3779B1)
         np.minimum(least, mixed.min(axis=0), out=least)
     return least
 
@@ -274,6 +279,11 @@ def near_rows(docs: DataFrame) -> DataFrame:
     here cells are bands of a min-wise sketch, and pairs of a cell that agree in CANDIDATE of their sketches (a byte of
     each of 252 values) are candidates. Then the members of each component of candidates bring their shingle sets, and
     every pair of them that may matter is verified by its exact similarity. Nodes are sets, named by a hash.
+
+    Defined cases: null and empty texts and texts of white space have the empty set and are copies of each other; fewer
+    words than a shingle make one shingle; texts whose shingle sets are equal are copies, whatever their order and
+    repeats; very long texts are compared whole; of equal rows (ties) the keeper is one; rows without doc_id are in no
+    group; an empty table gives no rows; columns of other names are not read.
     """
     ship(docs.sparkSession)
 
@@ -289,11 +299,11 @@ def near_rows(docs: DataFrame) -> DataFrame:
         for batch in parts_of(batches):
             hashes = [np.unique(shingle_hashes(t, NEAR_WORDS)) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             same = np.array([named(h) for h in hashes], np.uint64).view(np.int64)
-            marks = np.array([sketch(h) for h in hashes], np.uint64).reshape(len(hashes), BANDS, ROWS)
+            marks = np.array([sketch(h) for h in hashes], np.uint32).reshape(len(hashes), BANDS, ROWS)
             odd = np.arange(1, 2 * ROWS, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             bands = (marks * odd).sum(axis=2, dtype=np.uint64) ^ np.arange(BANDS, dtype=np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(same), pa.array(list(bands.view(np.int64)), pa.list_(pa.int64())), pa.array([(m >> np.uint64(8)).astype(np.uint8).tobytes() for m in marks.reshape(len(hashes), -1)], pa.binary())],
+                [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(same), pa.array(list(bands.view(np.int64)), pa.list_(pa.int64())), pa.array([m.astype(np.uint8).tobytes() for m in marks.reshape(len(hashes), -1)], pa.binary())],
                 names=["doc_id", "text_key", "same", "bands", "sketch"],
             )
 
@@ -306,15 +316,19 @@ def near_rows(docs: DataFrame) -> DataFrame:
     nodes = marked.where("doc_id is not null").groupBy("same").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.min(F.struct("bands", "sketch")).alias("m"))
     nodes = materialize(nodes.select(F.col("same").alias("rep"), "first", "m.*"), "near-nodes")
     rows = nodes.select(F.explode("bands").alias("key"), F.col("rep").alias("fp"), "rep")
-    linked = connected_components(cell_links(rows, None, nodes.select("rep", "sketch"), CANDIDATE))  # without the components' names
-    maybe = materialize(linked.select(F.col("node").alias("rep"), "component").union(linked.select("component", "component").distinct()), "near-maybe")
+    cells = connected_components(cell_links(rows, None, nodes.select("rep", "sketch"), CANDIDATE))  # without the components' names
+    maybe = materialize(cells.select(F.col("node").alias("rep"), "component").union(cells.select("component", "component").distinct()), "near-maybe")
+    drop_materialized(cells)
     asked = nodes.join(maybe, "rep").select("rep", "first", "sketch")
     texts = docs.select("doc_id", "text").join(asked.select("first.doc_id").distinct(), "doc_id", "left_semi").select("text")
     sets = materialize(asked.select("rep", "sketch").join(texts.mapInArrow(shingles, "rep long, shingles binary").dropDuplicates(["rep"]), "rep"), "near-sets")
     parts = connected_components(cell_links(maybe.select(F.col("component").alias("key"), F.col("rep").alias("fp"), "rep"), None, sets, CANDIDATE))
     group = nodes.join(parts, nodes["rep"] == parts["node"], "left").select(F.col("rep").alias("same"), "first", F.coalesce("component", "rep").alias("part"))
     least = group.groupBy("part").agg(F.min("first").alias("keeper"))
-    return marked.select("doc_id", "text_key", "same").join(group.join(least, "part"), "same", "left").select("doc_id", "text_key", "keeper")
+    found = materialize(marked.select("doc_id", "text_key", "same").join(group.join(least, "part"), "same", "left").select("doc_id", "text_key", "keeper"), "near-groups")
+    for spent in (marked, nodes, maybe, sets, parts):
+        drop_materialized(spent)
+    return found
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -328,7 +342,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     Repeated rows (one doc_id, one text) are copies of each other and leave one. Where a doc_id repeats with other texts,
     each text goes or stays by its own group.
     """
-    groups = materialize(near_rows(docs), "near-groups").where("doc_id is not null")
+    groups = near_rows(docs).where("doc_id is not null")
     lost = groups.where("doc_id <> keeper.doc_id or text_key <> keeper.text_key").select(F.col("doc_id").alias("lost_id"), F.col("text_key").alias("lost_key")).distinct()
     kept = docs.join(lost, (docs["doc_id"] == lost["lost_id"]) & (F.xxhash64(docs["text"]) == lost["lost_key"]), "left_anti").select(*docs.columns)
     repeated = groups.groupBy("doc_id", "text_key").count().where("count > 1")
