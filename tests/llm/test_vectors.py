@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from turnengine.llm import embed_forest as E
+from turnengine.llm import entries
 from turnengine.llm import pivot_topk as P
 
 SCHEMA = "vec_id long, embedding array<float>, label int, rep long, cells string, score string"
@@ -81,6 +82,14 @@ def test_forest_planted_pairs_and_growth(n):
     assert rows <= 1.8 * n**0.2
 
 
+def test_planted_vectors_have_links(spark):
+    base = frame(spark, [(i, v, i % 3) for i, v in enumerate(np.random.default_rng(9).standard_normal((200, 48)).tolist())]).select("vec_id", "label", "embedding")
+    rows = {r.vec_id: (r.n_links, r.component_id) for r in E.near_vectors(entries.planted_vectors(base)).collect()}
+    links, _ = plain_links(np.array([r.embedding for r in entries.planted_vectors(base).orderBy("vec_id").collect()]), np.tile(np.arange(200) % 3, 2))
+    assert [rows[i][0] for i in sorted(rows)] == links.tolist() and 200 < links.sum() < 400
+    assert all(rows[i + 1_000_000] == rows[i] for i in range(200) if i % 5 < 2)
+
+
 def test_forest_odd_rows(spark):
     rows = sorted((r.vec_id, r.n_links, r.component_id) for r in E.near_vectors(frame(spark, odd())).collect())
     alone = [(i, 0, i) for i in (1, 2, 3, 4, 5, 6, 7, 10)]

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from turnengine.llm import embed_forest, mixing, ngram_lm, packing, pfor, pivot_topk, secret_scan, simhash, tool_chat, toxicity
-from turnengine.llm.common import table
+from turnengine.llm.common import materialize, table
 from turnengine.llm.tokens import public_path
 
 
@@ -21,7 +22,9 @@ def op2_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_lm.score_corpus(table(spark, sf_dir, "documents"))
+    """Scores to four places, so that the order in which logs are added does not show."""
+    scores = ngram_lm.score_corpus(table(spark, sf_dir, "documents"))
+    return scores.select("doc_id", "n_tokens", *[F.round(c, 4).alias(c) for c in ("mean_log_score", "log_score")])
 
 
 def op4_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +35,24 @@ def op5_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_forest.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def planted_vectors(embeddings: DataFrame) -> DataFrame:
+    """Every vector and a copy of it (vec_id + 1,000,000), whose components are scaled by 1 - f, 1 and 1 + f in turn, with
+    f from 0.2 to 0.6 by vec_id; copies of f up to 0.4 are within the limit of their vector."""
+    f = F.lit(0.2) + F.lit(0.1) * (F.col("vec_id") % 5)
+    copy = F.transform("embedding", lambda x, i: (x.cast("double") * (F.lit(1.0) + f * (i % 3 - 1))).cast("float"))
+    return embeddings.select("vec_id", "label", "embedding").union(embeddings.select(F.col("vec_id") + 1_000_000, "label", copy))
+
+
+def near_vectors_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator of op5 on vectors that have near copies; the table's own vectors have none."""
+    return embed_forest.near_vectors(planted_vectors(table(spark, sf_dir, "embeddings")))
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op6, which SQL can check."""
+    return secret_scan.secret_digest(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digest(table(spark, sf_dir, "documents"))
 
@@ -48,6 +69,22 @@ def op9_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+PACKED = packing.Limits(max_tokens=1024, max_segments=6, max_loss=400)
+
+
+def packed_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as whole instruction examples under all three limits of op10's packer (the words of its texts as
+    tokens, those of assistant turns as loss-bearing): in how many sequences each lies, and whether that keeps the limits."""
+    words = F.size(F.filter(F.split("text", " "), lambda w: w != ""))
+    by = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("example_id"))
+    examples = materialize(by.agg(F.sum(words).alias("n_tokens"), F.sum(F.when(F.col("role") == "assistant", words).otherwise(0)).alias("loss_tokens")), "examples")
+    fitting = examples.where((F.col("n_tokens") <= PACKED.max_tokens) & (F.col("loss_tokens") <= PACKED.max_loss))
+    placed = materialize(packing.pack_examples(fitting, PACKED), "packed").join(examples, "example_id")
+    full = placed.groupBy("sequence_id").agg(F.sum("n_tokens").alias("t"), F.sum("loss_tokens").alias("l"), F.count("*").alias("s"))
+    kept = (F.col("t") <= PACKED.max_tokens) & (F.col("l") <= PACKED.max_loss) & (F.col("s") <= PACKED.max_segments)
+    return placed.join(full, "sequence_id").groupBy("example_id", "n_tokens", "loss_tokens").agg(F.count("*").alias("sequences"), F.bool_and(kept).alias("within_limits"))
+
+
 def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"), "bare", end_id=1)
 
@@ -99,15 +136,51 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
 """
 
-OP5_SQL = """
-WITH RECURSIVE good AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+_NEAR_SQL = """
+WITH RECURSIVE {given} good AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM {table}
               WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.93),
-reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a),
+reach(a, b) AS (SELECT vec_id, vec_id FROM {table} UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a),
 part AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
 degree AS (SELECT a AS vec_id, count(*) AS n FROM pairs GROUP BY a)
 SELECT e.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, p.component_id, e.vec_id = p.component_id AS kept
-FROM embeddings e JOIN part p USING (vec_id) LEFT JOIN degree d USING (vec_id)
+FROM {table} e JOIN part p USING (vec_id) LEFT JOIN degree d USING (vec_id)
+"""
+OP5_SQL = _NEAR_SQL.format(given="", table="embeddings")
+PLANTED_SQL = _NEAR_SQL.format(
+    given="""planted AS (SELECT vec_id, label, embedding FROM embeddings UNION ALL SELECT vec_id + 1000000, label,
+    list_transform(embedding, lambda x, i: CAST(CAST(x AS DOUBLE) * (1 + (CAST(0.2 AS DOUBLE) + CAST(0.1 AS DOUBLE) * (vec_id % 5)) * ((i - 1) % 3 - 1)) AS FLOAT)) FROM embeddings),""",
+    table="planted",
+)
+
+OP3_SQL = """
+WITH rows_ AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\v\\f\\r]+'), lambda w: w <> '') AS ws FROM documents),
+tokens AS (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM rows_),
+grams AS (SELECT r, i, n, array_to_string(ws[i - n + 1 : i], ' ') AS g FROM tokens, (VALUES (1), (2), (3)) AS o(n) WHERE i >= n),
+every_ AS (SELECT n, g, count(*) AS c FROM grams GROUP BY ALL),
+own AS (SELECT r, n, g, count(*) AS m FROM grams GROUP BY ALL),
+others AS (SELECT x.r, x.i, x.n, e.c - o.m AS k FROM grams x JOIN every_ e USING (n, g) JOIN own o USING (r, n, g)),
+wide AS (SELECT r, i, max(k) FILTER (n = 1) AS c1, max(k) FILTER (n = 2) AS c2, max(k) FILTER (n = 3) AS c3 FROM others GROUP BY r, i),
+behind AS (SELECT *, lag(c1) OVER (PARTITION BY r ORDER BY i) AS x1, lag(c2) OVER (PARTITION BY r ORDER BY i) AS x2 FROM wide),
+rest AS (SELECT r, doc_id, len(ws) AS size, (SELECT sum(len(ws)) FROM rows_) - len(ws) AS n FROM rows_),
+logs AS (SELECT b.r, CASE WHEN c3 > 0 THEN ln(c3) - ln(x2) WHEN c2 > 0 THEN ln(c2) - ln(x1) + CASE WHEN i > 2 THEN ln(0.4) ELSE 0 END
+    ELSE CASE WHEN c1 > 0 THEN ln(c1) - ln(n) ELSE -ln(n + 1) END + least(i - 1, 2) * ln(0.4) END AS s FROM behind b JOIN rest USING (r))
+SELECT doc_id, CAST(size AS BIGINT) AS n_tokens, round(coalesce(sum(s), 0) / greatest(size, 1), 4) AS mean_log_score, round(coalesce(sum(s), 0), 4) AS log_score
+FROM rest LEFT JOIN logs USING (r) GROUP BY r, doc_id, size
+"""
+
+PACKED_SQL = """
+WITH turns AS (SELECT conv_id, role, len(list_filter(string_split(text, ' '), lambda w: w <> '')) AS n FROM conversations),
+examples AS (SELECT conv_id AS example_id, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(sum(CASE WHEN role = 'assistant' THEN n ELSE 0 END) AS BIGINT) AS loss_tokens FROM turns GROUP BY conv_id)
+SELECT example_id, n_tokens, loss_tokens, CAST(1 AS BIGINT) AS sequences, true AS within_limits FROM examples WHERE n_tokens <= 1024 AND loss_tokens <= 400
+"""
+
+SECRETS_SQL = """
+SELECT doc_id,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 8)) AS n_assign,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16)) AS n_access,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 32)) AS n_hex
+FROM documents
 """
 
 
@@ -123,8 +196,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_groups": op8_simhash_groups,
         "op9_pivot_topk": op9_pivot_topk,
         "op10_vector_packing": op10_vector_packing,
+        "near_vectors_planted": near_vectors_planted,
+        "secret_counts": secret_counts,
+        "packed_examples": packed_examples,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_tool_calls": OP1_SQL, "op5_projection_forest": OP5_SQL, "op7_poisson_mix": OP7_SQL, "op9_pivot_topk": OP9_SQL}
+    return {
+        "op1_tool_calls": OP1_SQL, "op3_stupid_backoff": OP3_SQL, "op5_projection_forest": OP5_SQL, "op7_poisson_mix": OP7_SQL, "op9_pivot_topk": OP9_SQL,
+        "near_vectors_planted": PLANTED_SQL, "secret_counts": SECRETS_SQL, "packed_examples": PACKED_SQL,
+    }

@@ -85,4 +85,5 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, budget
         .drop(*names.values())
     )
     key = F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col(copy_col))), 1, 16)
-    return mixed.withColumn(key_col, key).repartition(F.col(key_col)).sortWithinPartitions(key_col)
+    own = F.xxhash64("text")  # rows without doc_id share a key; their texts still spread them
+    return mixed.withColumn(key_col, key).repartition(F.col(key_col), own).sortWithinPartitions(F.col(key_col), own)

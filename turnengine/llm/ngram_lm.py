@@ -1,22 +1,31 @@
 """Stupid-backoff language-model scores from n-gram count tables partitioned by hash.
 
-Every document is scored by the counts of all other documents: an n-gram's count is its count in the whole corpus
-less that in the document itself, so that a text does not vouch for itself and backing off is not idle.
-
     S(w | context of k words) = c(context w) / c(context)          if c(context w) > 0
                                 ALPHA * S(w | context of k - 1)    otherwise
-    S(w) = c(w) / N, and 1 / (N + 1) for a word no other document has; N: tokens of the other documents
+    S(w) = c(w) / N, and 1 / (N + 1) for a word that is not counted; N: tokens counted
 
 The score of a document is the sum of the natural logs over its tokens (words by ASCII white space, A-Z lowered).
-
-Plan: documents are dealt into chunks by a hash. A chunk explodes its n-grams of all orders and sends each distinct
-one once, with its count in the chunk, to the bucket its hash belongs to (buckets are the partitions of the count
-tables; their number follows the size of the corpus). A bucket adds up counts and joins them back to the chunks'
-requests; the answers return to the chunk, which looks every n-gram up and sums per document. A frequent n-gram is
-one request per chunk, so no bucket is hot. The empty n-gram is counted like any other: its count is N.
-Requests are sorted, so they travel as gaps of about 30 bits, and counts deflate to a fraction of a byte.
-Requests hold 40 bits of a hash inside a bucket of about BUCKET n-grams: the chance that two n-grams share a key is
-about 2e-6 at any corpus size. The texts cross the network once (both uses share one exchange).
+By default every document is scored by the counts of all other documents: an n-gram's count is its count in the
+whole corpus less that in the document itself, so that a text does not vouch for itself and backing off is not idle.
+With leave_out=False the counts are those of the whole corpus.
+
+As a relation: the exploded n-grams (chunk, key, n) are aggregated to a count table (key, sum of n) and joined back to
+it, and the scores are summed per document; relational_scores() is written so. score_corpus() runs the same plan with
+the rows of one chunk and one partition of the count table packed into one: a row of the relation costs some 16 bytes
+in a shuffle, and nearly every n-gram of a chunk is one row, which makes seven times the input; packed it is four bytes.
+
+1. Documents are dealt into chunks of about CHUNK characters by a hash of the row and its place, so repeated rows and
+   rows without doc_id spread. The texts cross the network once; both uses share that exchange.
+2. A chunk explodes its n-grams of all orders and sends each distinct one once, with its count in the chunk, to the
+   bucket that the first bits of its hash name. Buckets are the partitions of the count table, of about BUCKET n-grams
+   each. A frequent n-gram is one entry per chunk, so no bucket is hot. The empty n-gram is counted like any other: its
+   count is N. There are never more rows than distinct n-grams of chunks, however many buckets there are.
+3. A bucket adds up the counts and joins them back to the requests; the answers return to the chunk, which looks every
+   n-gram up and sums per document.
+
+Requests are sorted, so they travel as gaps of about 30 bits, and counts deflate to a fraction of a byte. They hold 40
+bits of a hash below those that name the bucket (fewer once the bucket takes more than 24): the chance that two n-grams
+share a key is about 2e-6. The number of partitions follows the size of the texts, so a task's share does not grow.
 
 Defined cases: null and empty texts have no tokens and score 0; with no other document every word is unseen; a
 repeated row is a document of its own; a null doc_id stays null; an empty table gives no rows; very long texts are
@@ -26,19 +35,22 @@ scored whole; extra columns are not read.
 from __future__ import annotations
 
 import zlib
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnengine.llm.common import ship
+from turnengine.llm.common import materialize, ship, shuffle_partitions
 
 ALPHA, ORDER = 0.4, 3
-#: Documents of a chunk, n-grams of a bucket (64 buckets at least).
-CHUNK, BUCKET = 1024, 2_000_000
-_LOW40 = np.uint64((1 << 40) - 1)
+#: Characters of a chunk, n-grams of a bucket (64 buckets at least).
+CHUNK, BUCKET = 3_000_000, 2_000_000
+#: Characters of a partition's chunks, while there are no more partitions than this or spark.sql.shuffle.partitions.
+PARTITION, PARTITIONS = 4_000_000, 4096
 _EMPTY = np.uint64(0x9E3779B97F4A7C15)
+SCORED = "doc_id long, n_tokens long, mean_log_score double, log_score double"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -75,19 +87,29 @@ def ngrams(texts: list[bytes | None], order: int) -> tuple[np.ndarray, np.ndarra
     return doc, place, hashes
 
 
-def requests(hashes: list[np.ndarray], place: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket * 2**40 + key, count) of the distinct n-grams of a chunk, ascending; the empty one included."""
-    whole = [np.repeat(_EMPTY, len(place)), *(h[place >= n] for n, h in enumerate(hashes))]
-    keys, counts = np.unique(locate(np.concatenate(whole), n_buckets), return_counts=True)
-    return keys, counts
+def distinct(hashes: list[np.ndarray], place: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(keys, counts, ranks): the distinct n-grams of a chunk in ascending order, the empty one included, how often each
+    occurs, and for each order the rank of the n-gram that ends at each token."""
+    if not len(place):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), [np.zeros(0, np.int64) for _ in hashes]
+    keys, inverse = np.unique(np.concatenate([*hashes, [_EMPTY]]), return_inverse=True)
+    ranks = np.split(inverse[:-1], len(hashes))
+    counts = np.bincount(np.concatenate([rank[place >= n] for n, rank in enumerate(ranks)]), minlength=len(keys))
+    counts[inverse[-1]] = len(place)
+    return keys, counts, ranks
 
 
-def locate(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
-    return ((hashes >> np.uint64(40)) % np.uint64(n_buckets)) << np.uint64(40) | (hashes & _LOW40)
+def bucket_runs(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket of each run, start of each run and the end, low bits of each key) of ascending keys."""
+    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    width = min(40, 64 - bits)
+    low = (keys >> np.uint64(64 - bits - width)) & np.uint64((1 << width) - 1)
+    return bucket[starts], np.append(starts, len(keys)), low
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Ascending 40-bit keys as gaps: their low 24 bits as they are, the 16 above them deflated."""
+    """Ascending keys of up to 40 bits as gaps: their low 24 bits as they are, the 16 above them deflated."""
     gaps = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
     return np.uint32(len(keys)).tobytes() + np.ascontiguousarray(gaps[:, :3]).tobytes() + zlib.compress(np.ascontiguousarray(gaps[:, 3:5]).tobytes(), 1)
 
@@ -115,17 +137,18 @@ def unpack_counts(raw: bytes) -> np.ndarray:
     return counts
 
 
-def backoff(doc: np.ndarray, place: np.ndarray, hashes: list[np.ndarray], sizes: np.ndarray, counts: list[np.ndarray], total: int, alpha: float = ALPHA) -> np.ndarray:
-    """Score of each document; counts[n - 1][i]: the corpus's count of the n-gram that ends at token i."""
-    order = len(hashes)
+def backoff(doc: np.ndarray, place: np.ndarray, ranks: list[np.ndarray], sizes: np.ndarray, counts: list[np.ndarray], total: int, alpha: float = ALPHA, leave_out: bool = True) -> np.ndarray:
+    """Score of each document; counts[n - 1][i]: the corpus's count of the n-gram that ends at token i; ranks: distinct()."""
+    order = len(ranks)
     if not len(doc):
         return np.zeros(len(sizes))
-    salt = _mix(doc.astype(np.uint64) + np.uint64(77))
     others = []
-    for h, c in zip(hashes, counts, strict=True):
-        _, inverse, own = np.unique(h ^ salt, return_inverse=True, return_counts=True)
-        others.append(c.astype(np.int64) - own[inverse])
-    rest = (total - sizes)[doc]
+    for rank, c in zip(ranks, counts, strict=True):
+        if leave_out:
+            _, inverse, own = np.unique(rank * len(sizes) + doc, return_inverse=True, return_counts=True)
+            c = c - own[inverse]
+        others.append(c)
+    rest = (total - sizes * leave_out)[doc]
     seen = others[0] > 0
     score = np.where(seen, np.log(np.maximum(others[0], 1)) - np.log(np.maximum(rest, 1)), -np.log(rest + 1.0))
     for n in range(2, order + 1):
@@ -137,25 +160,24 @@ def backoff(doc: np.ndarray, place: np.ndarray, hashes: list[np.ndarray], sizes:
     return np.bincount(doc, score, minlength=len(sizes))
 
 
-def score_corpus(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFrame:
-    """doc_id, n_tokens, log_score, mean_log_score (0 without tokens) of every row."""
+def score_corpus(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, leave_out: bool = True) -> DataFrame:
+    """doc_id, n_tokens, mean_log_score (0 without tokens), log_score of every row."""
     ship(docs.sparkSession)
-    stats = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.char_length("text")), F.lit(0)).alias("chars")).first()
-    n_chunks = max(1, -(-stats["n"] // CHUNK))
-    n_buckets = max(64, -(-stats["chars"] * order // (6 * BUCKET)))
-    if n_buckets > 1 << 23:
-        raise ValueError("more buckets than the hash can name; raise BUCKET")
-    chunked = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).alias("chunk")).repartition("chunk")
+    chars = docs.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0)).alias("chars")).first()["chars"]
+    n_chunks = max(1, -(-chars // CHUNK))
+    bits = max(6, (chars * order // (6 * BUCKET)).bit_length())
+    parts = max(1, min(-(-chars // PARTITION), max(shuffle_partitions(docs.sparkSession), PARTITIONS)))
+    chunk = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(n_chunks)).alias("chunk")
+    chunked = docs.select("doc_id", F.col("text").cast("binary").alias("text"), chunk).repartition(parts, "chunk")
 
     def ask(block: pa.Table) -> pa.Table:
         _, place, hashes = ngrams(block.column("text").to_pylist(), order)
-        keys, counts = requests(hashes, place, n_buckets)
-        bucket = (keys >> np.uint64(40)).astype(np.int64)
-        cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(keys)] if len(keys) else [0]
-        parts = list(zip(cuts, cuts[1:], strict=False))
+        keys, counts, _ = distinct(hashes, place)
+        buckets, cuts, low = bucket_runs(keys, bits)
+        runs = list(zip(cuts.tolist(), cuts[1:].tolist(), strict=False)) if len(keys) else []
         return pa.table({
-            "chunk": pa.array([block.column("chunk")[0].as_py()] * len(parts), pa.int64()), "bucket": pa.array([int(bucket[a]) for a, _ in parts], pa.int64()),
-            "keys": pa.array([pack_keys(keys[a:b] & _LOW40) for a, b in parts], pa.binary()), "counts": pa.array([pack_counts(counts[a:b]) for a, b in parts], pa.binary()),
+            "chunk": pa.array([block.column("chunk")[0].as_py()] * len(runs), pa.int64()), "bucket": pa.array(buckets[: len(runs)], pa.int64()),
+            "keys": pa.array([pack_keys(low[a:b]) for a, b in runs], pa.binary()), "counts": pa.array([pack_counts(counts[a:b]) for a, b in runs], pa.binary()),
         })
 
     def answer(block: pa.Table) -> pa.Table:
@@ -168,17 +190,47 @@ def score_corpus(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> D
 
     def look_up(block: pa.Table, answers: pa.Table) -> pa.Table:
         doc, place, hashes = ngrams(block.column("text").to_pylist(), order)
-        keys, _ = requests(hashes, place, n_buckets)
+        keys, _, ranks = distinct(hashes, place)
         by_bucket = sorted(zip(answers.column("bucket").to_pylist(), answers.column("totals").to_pylist(), strict=True))
         totals = np.concatenate([np.zeros(0, np.int64), *(unpack_counts(t) for _, t in by_bucket)])
         if len(totals) != len(keys):
             raise RuntimeError("a chunk's answers do not match its requests")
-        counts = [totals[np.searchsorted(keys, locate(h, n_buckets))] if len(keys) else h.astype(np.int64) for h in hashes]
-        n = int(totals[np.searchsorted(keys, locate(np.array([_EMPTY]), n_buckets)[0])]) if len(keys) else 0
+        n = int(totals[np.searchsorted(keys, _EMPTY)]) if len(keys) else 0
         sizes = np.bincount(doc, minlength=block.num_rows)
-        score = backoff(doc, place, hashes, sizes, counts, n, alpha)
-        return pa.table({"doc_id": block.column("doc_id").cast(pa.int64()), "n_tokens": pa.array(sizes.astype(np.int64)), "log_score": pa.array(score), "mean_log_score": pa.array(score / np.maximum(sizes, 1))})
+        score = backoff(doc, place, ranks, sizes, [totals[r] for r in ranks], n, alpha, leave_out)
+        return pa.table({"doc_id": block.column("doc_id").cast(pa.int64()), "n_tokens": pa.array(sizes.astype(np.int64)), "mean_log_score": pa.array(score / np.maximum(sizes, 1)), "log_score": pa.array(score)})
 
     asked = chunked.groupBy("chunk").applyInArrow(ask, "chunk long, bucket long, keys binary, counts binary")
-    answered = asked.groupBy("bucket").applyInArrow(answer, "chunk long, bucket long, totals binary")
-    return chunked.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(look_up, "doc_id long, n_tokens long, log_score double, mean_log_score double")
+    answered = asked.repartition(parts, "bucket").groupBy("bucket").applyInArrow(answer, "chunk long, bucket long, totals binary")
+    answered = answered.repartition(parts, "chunk")
+    return chunked.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(look_up, SCORED)
+
+
+def relational_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, leave_out: bool = True) -> DataFrame:
+    """The same rows from DataFrame joins alone: exploded n-grams, a count table per order, and a sum per document.
+
+    Plain and linear in rows, but it shuffles every n-gram of every document for every join; for corpora of which a
+    shuffle of some fifty times the size is affordable.
+    """
+    white = r"[ \t\n\x0b\f\r]+"
+    words = F.filter(F.split(F.translate(F.coalesce("text", F.lit("")), ascii_uppercase, ascii_lowercase), white), lambda w: w != "")
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), words.alias("words")), "lm-rows")
+    tokens = rows.select("row", F.posexplode("words").alias("at", "w"), "words")
+    total = rows.agg(F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("n")).first()["n"]
+    score = None
+    own = F.lit(1 if leave_out else 0)
+    for n in range(1, order + 1):
+        gram = tokens.where(F.col("at") >= n - 1).select("row", "at", F.slice("words", F.col("at") - n + 2, F.lit(n)).alias("g"))
+        table = gram.groupBy("g").agg(F.count("*").alias("c"))
+        mine = gram.groupBy("row", "g").agg(F.count("*").alias("m"))
+        gram = gram.join(table, "g").join(mine, ["row", "g"]).select("row", "at", (F.col("c") - F.col("m") * own).alias(f"c{n}"))
+        score = gram if score is None else score.join(gram, ["row", "at"], "left").join(gram.select("row", (F.col("at") + 1).alias("at"), F.col(f"c{n}").alias(f"x{n}")), ["row", "at"], "left")
+        if n == 1:
+            score = score.join(gram.select("row", (F.col("at") + 1).alias("at"), F.col("c1").alias("x1")), ["row", "at"], "left")
+    rest = F.lit(total) - F.col("size") * own
+    value = F.when(F.col("c1") > 0, F.log("c1") - F.log(rest)).otherwise(-F.log(rest + 1.0))
+    for n in range(2, order + 1):
+        value = F.when(F.col(f"c{n}") > 0, F.log(f"c{n}") - F.log(f"x{n - 1}")).when(F.col("at") >= n - 1, value + F.log(F.lit(alpha))).otherwise(value)
+    sized = rows.select("row", "doc_id", F.size("words").cast("bigint").alias("size"))
+    summed = sized.join(score, "row", "left").groupBy("row", "doc_id", "size").agg(F.coalesce(F.sum(F.when(F.col("at").isNotNull(), value)), F.lit(0.0)).alias("log_score"))
+    return summed.select("doc_id", F.col("size").alias("n_tokens"), (F.col("log_score") / F.greatest("size", F.lit(1))).alias("mean_log_score"), "log_score")

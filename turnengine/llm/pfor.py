@@ -17,7 +17,7 @@ n_ids, data): Spark's committer makes the files appear whole or not at all, any
 lost executor's shard is written again. Shards are ranges of doc_id in ascending order, chunks run through a shard.
 
 Defined cases: null text is empty and yields the end id alone; a null doc_id sorts first; rows with equal doc_id
-are ordered by text; an empty table gives an empty store; extra columns are not read.
+are ordered by a hash of the text and then as they come; an empty table gives an empty store; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -202,7 +202,10 @@ def write_store(docs: DataFrame, tokenizer_path: str, kind: str = "spaced", end_
         if doc_ids:
             yield close()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    # ties are told apart, so that many rows without doc_id, or of one text, do not fall into one shard
+    order = ["doc_id", "tie", "place"]
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("place"))
+    ordered = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order).select("doc_id", "text")
     return materialize(ordered.mapInArrow(run, STORE_SCHEMA), "pfor")
 
 
