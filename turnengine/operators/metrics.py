@@ -9,13 +9,16 @@ sentence and for sums over a corpus.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnengine.functions.text import tokens_13a, words, words_chrf
+from turnengine.operators.align import KEY
 
 CHAR_ORDER, BLEU_ORDER, BETA = 6, 4, 2.0
 #: Weights of the composite, in the order they are added up (fixed values).
@@ -36,13 +39,44 @@ def _overlap(a, b, order: int) -> list[int]:  # noqa: ANN001
     return left + right + both
 
 
+def _char_keys(texts: list[str], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order up to order: (keys, owners) of the n-grams of all texts; a key tells n-grams and owners apart."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    salt = (owner.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    rolled = np.zeros(len(codes), np.uint64)
+    for n in range(1, order + 1):
+        rolled[1:] = rolled[:-1].copy()
+        rolled[:1] = 0
+        rolled = (rolled + codes + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        rolled ^= rolled >> np.uint64(32)
+        own = place >= n - 1
+        yield (rolled ^ salt)[own], owner[own]
+
+
+def _char_overlaps(hyp: list[str], ref: list[str], order: int) -> np.ndarray:
+    """_overlap of every pair of a batch, by sorting the 64-bit hashes of their n-grams."""
+    out = np.zeros((len(hyp), 3 * order), np.int64)
+    for n, ((a, of_a), (b, of_b)) in enumerate(zip(_char_keys(hyp, order), _char_keys(ref, order), strict=True)):
+        keys, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
+        least = np.minimum(np.bincount(inverse[: len(a)], minlength=len(keys)), np.bincount(inverse[len(a) :], minlength=len(keys)))
+        owner = np.zeros(len(keys), np.int64)
+        owner[inverse] = np.concatenate([of_a, of_b])
+        for k, found in enumerate((np.bincount(of_a, minlength=len(hyp)), np.bincount(of_b, minlength=len(hyp)), np.bincount(owner, least, minlength=len(hyp)))):
+            out[:, n + k * order] = found
+    return out
+
+
 _LONGS = T.ArrayType(T.LongType())
 
 
 @F.pandas_udf(_LONGS)
 def char_counts(hyp: pd.Series, ref: pd.Series) -> pd.Series:
     """Character n-grams without white space: 6 counts of hyp, 6 of ref, 6 matches."""
-    return pd.Series([_overlap("".join((h or "").split()), "".join((r or "").split()), CHAR_ORDER) for h, r in zip(hyp, ref, strict=True)])
+    bare = [["".join((t or "").split()) for t in side] for side in (hyp, ref)]
+    return pd.Series(list(_char_overlaps(*bare, CHAR_ORDER)))
 
 
 @F.pandas_udf(_LONGS)
@@ -133,7 +167,14 @@ def similarity(chrf: Column, bleu: Column, rouge: Column, bertscore: Column | No
 
 
 def score_pairs(pairs: DataFrame, word_order: int = 0) -> DataFrame:
-    """pairs with count arrays c_chrf, c_words (chrF++ only), c_bleu, c_rouge."""
+    """pairs with count arrays c_chrf, c_words (chrF++ only), c_bleu, c_rouge.
+
+    Counting is work for the processor, not for the network: pairs are dealt to all cores, where few bytes would
+    otherwise be merged into few tasks.
+    """
+    if set(KEY) <= set(pairs.columns):
+        spark = pairs.sparkSession
+        pairs = pairs.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *KEY)
     hyp, ref = F.col("gemma"), F.col("golden")
     counts = chrf_counts(hyp, ref, word_order)
     out = pairs.withColumn("c_chrf", counts[0])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -20,6 +22,7 @@ def ship(spark: SparkSession) -> None:
     if os.getcwd() == str(root) or str(root) in known or context.applicationId in _SHIPPED:
         return
     target = Path(tempfile.mkdtemp(prefix="turnengine-")) / "turnengine.zip"
+    atexit.register(shutil.rmtree, target.parent, True)
     with zipfile.ZipFile(target, "w") as archive:
         for source in sorted((root / "turnengine").rglob("*.py")):
             archive.write(source, source.relative_to(root))
