@@ -65,6 +65,19 @@ def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def sign_fingerprints(embeddings: DataFrame) -> DataFrame:
+    """(doc_id, fp): bit i is the sign of component i of a vector; and a copy of each (doc_id + 1,000,000) in which the bits
+    7 id, 7 id + 13, ... (modulo 64) differ, as many as id mod 5."""
+    signs = F.expr("aggregate(sequence(0, 63), 0L, (a, i) -> a | if(get(embedding, i) > 0, shiftleft(1L, i), 0L))")
+    flips = F.expr("aggregate(sequence(0, 4), 0L, (a, j) -> a | if(j < vec_id % 5, shiftleft(1L, int((7 * vec_id + 13 * j) % 64)), 0L))")
+    return embeddings.select(F.col("vec_id").alias("doc_id"), signs.alias("fp")).union(embeddings.select(F.col("vec_id") + 1_000_000, signs.bitwiseXOR(flips)))
+
+
+def fingerprint_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid join and the components of op8 from fingerprints that SQL can make, too."""
+    return simhash.fingerprint_components(materialize(sign_fingerprints(table(spark, sf_dir, "embeddings")), "signs"))
+
+
 def op9_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -175,6 +188,15 @@ examples AS (SELECT conv_id AS example_id, CAST(sum(n) AS BIGINT) AS n_tokens, C
 SELECT example_id, n_tokens, loss_tokens, CAST(1 AS BIGINT) AS sequences, true AS within_limits FROM examples WHERE n_tokens <= 1024 AND loss_tokens <= 400
 """
 
+SIGNS_SQL = """
+WITH RECURSIVE signs AS (SELECT vec_id, CAST(list_sum(list_transform(range(0, 64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN CAST(pow(2, i) AS HUGEINT) ELSE 0 END)) AS UBIGINT) AS fp,
+  CAST(list_sum(list_transform(range(0, 5), lambda j: CASE WHEN j < vec_id % 5 THEN CAST(pow(2, (7 * vec_id + 13 * j) % 64) AS HUGEINT) ELSE 0 END)) AS UBIGINT) AS flips FROM embeddings),
+given AS (SELECT vec_id AS doc_id, fp FROM signs UNION ALL SELECT vec_id + 1000000, xor(fp, flips) FROM signs),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM given a JOIN given b ON a.doc_id <> b.doc_id AND bit_count(CAST(CAST(xor(a.fp, b.fp) AS HUGEINT) AS BIT)) <= 3),
+reach(a, b) AS (SELECT doc_id, doc_id FROM given UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a)
+SELECT doc_id, lpad(lower(to_hex(fp)), 16, '0') AS fingerprint, (SELECT min(b) FROM reach WHERE a = doc_id) AS component_id FROM given
+"""
+
 SECRETS_SQL = """
 SELECT doc_id,
   len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 8)) AS n_assign,
@@ -198,6 +220,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_vector_packing": op10_vector_packing,
         "near_vectors_planted": near_vectors_planted,
         "secret_counts": secret_counts,
+        "fingerprint_groups": fingerprint_groups,
         "packed_examples": packed_examples,
     }
 
@@ -205,5 +228,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_tool_calls": OP1_SQL, "op3_stupid_backoff": OP3_SQL, "op5_projection_forest": OP5_SQL, "op7_poisson_mix": OP7_SQL, "op9_pivot_topk": OP9_SQL,
-        "near_vectors_planted": PLANTED_SQL, "secret_counts": SECRETS_SQL, "packed_examples": PACKED_SQL,
+        "near_vectors_planted": PLANTED_SQL, "secret_counts": SECRETS_SQL, "fingerprint_groups": SIGNS_SQL, "packed_examples": PACKED_SQL,
     }

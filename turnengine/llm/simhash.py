@@ -225,12 +225,16 @@ def cell_links(rows: DataFrame, radius: int | None, sketches: DataFrame | None =
 
 
 def simhash_components(docs: DataFrame, size: int = 3) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row: fingerprints link at RADIUS or fewer differing bits.
+    """(doc_id, fingerprint, component_id) of every row: fingerprints link at RADIUS or fewer differing bits."""
+    return fingerprint_components(materialize(fingerprints(docs, size), "simhash"))
+
+
+def fingerprint_components(fps: DataFrame) -> DataFrame:
+    """simhash_components of given fingerprints (doc_id, fp).
 
     The graph's nodes are fingerprints, so those of rows without doc_id link others too; a component is then named
     by the smallest doc_id among its fingerprints.
     """
-    fps = materialize(fingerprints(docs, size), "simhash")
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     rows = nodes.select(F.explode(grid_cells(F.col("fp"))).alias("key"), "fp", F.col("fp").alias("rep"))
     parts = connected_components(cell_links(rows, RADIUS))
