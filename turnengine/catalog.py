@@ -449,7 +449,7 @@ _QUERIES: dict[str, tuple[Query, str | None]] = {
     "fixed_file": (exchange.fixed_file, f"WITH {CORRECTIONS} SELECT t.conversazione, t.turn_index, coalesce(s.text, t.italiano) AS napoletano FROM turns t LEFT JOIN status s USING ({KEY})"),
     "built_file": (
         exchange.built_file,
-        f"WITH {BUILT} SELECT CAST(CASE conversazione WHEN '7' THEN 1 WHEN '3' THEN 2 ELSE 3 END AS INTEGER) AS place, built.* REPLACE (CAST(turn_index AS VARCHAR) AS turn_index) FROM built WHERE conversazione IN ('7', '3', '10')",
+        f"WITH {BUILT} SELECT CAST(dense_rank() OVER (ORDER BY CASE conversazione WHEN '7' THEN 1 WHEN '3' THEN 2 ELSE 3 END) AS INTEGER) AS place, built.* REPLACE (CAST(turn_index AS VARCHAR) AS turn_index) FROM built WHERE conversazione IN ('7', '3', '10')",
     ),
     "similarity_with_bertscore": (
         similarity_with_bertscore,

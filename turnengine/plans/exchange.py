@@ -6,6 +6,8 @@ The folder is the one that the session shares between driver and executors, sinc
 from __future__ import annotations
 
 import atexit
+import contextlib
+import io
 import os
 import shutil
 import tempfile
@@ -39,6 +41,12 @@ def folder(spark: SparkSession) -> str:
     return path
 
 
+def _command(spark: SparkSession, *words: str) -> None:
+    """A command of the command line, without what it prints."""
+    with contextlib.redirect_stdout(io.StringIO()):
+        cli.run(spark, cli.parser().parse_args(words))
+
+
 def review(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviewed turns: the source text as translation, with a leading apostrophe where k = 7 conv_id + turn is divisible
     by 11, and a note where 3 divides k."""
@@ -119,7 +127,7 @@ def final_files(spark: SparkSession, sf_dir: str, scored: DataFrame) -> DataFram
     sinks.write_scores(scored, f"{path}/scores.csv")
     sinks.write_samples(build.nest(data.structure(spark, sf_dir)), f"{path}/structure.json")
     for name, options in (("with", []), ("without", ["--no-source"])):
-        cli.run(spark, cli.parser().parse_args(["merge", "--decisions", f"{path}/scores.csv", "--structure", f"{path}/structure.json", "--out", f"{path}/{name}", *options]))
+        _command(spark, "merge", "--decisions", f"{path}/scores.csv", "--structure", f"{path}/structure.json", "--out", f"{path}/{name}", *options)
         rows = read_csv(spark, f"{path}/{name}.csv")
         parts.append(rows.select(F.lit(name).alias("kind"), *[F.col(c) if c in rows.columns else F.lit("").alias(c) for c in FINAL_COLUMNS]))
     json = build.flatten(files.read_samples(spark, f"{path}/with.json"))
@@ -140,7 +148,7 @@ def workbook_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, parts = folder(spark), []
     sinks.write_samples(build.nest(review(spark, sf_dir)), f"{path}/in.json")
     for kind, options in (("single", []), ("split", ["--split"])):
-        cli.run(spark, cli.parser().parse_args(["export", "--json", f"{path}/in.json", "--xlsx", f"{path}/{kind}.xlsx", *options]))
+        _command(spark, "export", "--json", f"{path}/in.json", "--xlsx", f"{path}/{kind}.xlsx", *options)
         parts.append(workbook.read_workbook(spark, f"{path}/{kind}.xlsx").withColumn("kind", F.lit(kind)))
     return parts[0].union(parts[1])
 
@@ -151,7 +159,7 @@ def import_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = review(spark, sf_dir)
     sinks.write_samples(build.nest(turns), f"{path}/in.json")
     sinks.write_workbook(turns, f"{path}/w.xlsx")
-    cli.run(spark, cli.parser().parse_args(["import", "--xlsx", f"{path}/w.xlsx", "--csv", f"{path}/out.csv", "--json", f"{path}/out.json", "--source", f"{path}/in.json"]))
+    _command(spark, "import", "--xlsx", f"{path}/w.xlsx", "--csv", f"{path}/out.csv", "--json", f"{path}/out.json", "--source", f"{path}/in.json")
     json = build.flatten(files.read_samples(spark, f"{path}/out.json"))
     return read_csv(spark, f"{path}/out.csv").withColumn("kind", F.lit("csv")).unionByName(json.select(*[F.col(c).cast("string").alias(c) for c in FLAT_COLUMNS], F.lit("json").alias("kind")))
 
@@ -175,7 +183,7 @@ def fixed_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark)
     sinks.write_samples(build.nest(data.structure(spark, sf_dir).withColumn("napoletano", F.col("italiano"))), f"{path}/in.json")
     data.corrections(spark, sf_dir).write.csv(f"{path}/corrections", header=True)
-    cli.run(spark, cli.parser().parse_args(["fix", "--json", f"{path}/in.json", "--corrections", f"{path}/corrections", "--apply"]))
+    _command(spark, "fix", "--json", f"{path}/in.json", "--corrections", f"{path}/corrections", "--apply")
     return build.flatten(files.read_samples(spark, f"{path}/in.json")).select("conversazione", "turn_index", "napoletano")
 
 
@@ -190,7 +198,7 @@ def built_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(f"{path}/in/conversations.tsv", "w", encoding="utf-8") as f:
         f.write("code\tcollection-region\tmacro-region\tlanguages\n")
         f.writelines(f"{r.code}\t{r.regione}\t{r.macro_regione}\t{r.languages}\n" for r in data.metadata(spark, sf_dir).toPandas().itertuples())
-    cli.run(spark, cli.parser().parse_args(["build", "--corpus", f"{path}/in", "--out", f"{path}/out", "--conversations", "7", "3", "10"]))
+    _command(spark, "build", "--corpus", f"{path}/in", "--out", f"{path}/out", "--conversations", "7", "3", "10")
     csv = read_csv(spark, f"{path}/out.csv").withColumn("at", F.monotonically_increasing_id())
     places = csv.groupBy("conversazione").agg(F.min("at").alias("at"))  # three rows
     places = places.select("conversazione", F.row_number().over(Window.orderBy("at")).alias("place"))
