@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnengine.llm import embed_forest, mixing, ngram_lm, packing, pfor, pivot_topk, secret_scan, simhash, tool_chat, toxicity
+from turnengine.llm import elkan_codes, embed_forest, html_main, jacobi_whiten, mixing, ngram_lm, packing, pfor, pivot_topk, secret_scan, simhash, tool_chat, toxicity
 from turnengine.llm.common import materialize, table
 from turnengine.llm.tokens import public_path
 
@@ -102,6 +102,25 @@ def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json"), "bare", end_id=1)
 
 
+def op11_elkan_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elkan_codes.product_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_jacobi_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jacobi_whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def whitening_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can check of op12: the fit list's size and every row's deviation, how many components a row has, and that
+    whitening gives the identity."""
+    rows = jacobi_whiten.whiten(table(spark, sf_dir, "embeddings"))
+    return rows.groupBy("vec_id", "n", "deviation").agg(F.count("*").alias("components"), F.bool_and(F.col("identity_error") <= 1e-4).alias("is_identity"))
+
+
+def op13_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract_main(table(spark, sf_dir, "pages"))
+
+
 OP7_SQL = """
 WITH stats AS (SELECT source, CAST(sum(coalesce(length(text), 0)) AS DOUBLE) AS chars FROM documents GROUP BY source),
 weighted AS (SELECT *, CASE WHEN chars > 0 THEN pow(chars, 0.5) ELSE 0.0 END AS weight FROM stats),
@@ -205,6 +224,45 @@ SELECT doc_id,
 FROM documents
 """
 
+WHITENING_SQL = """
+WITH usable AS (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(64 * CAST(c AS DOUBLE)) AS BIGINT) + 1000000) AS x FROM embeddings
+                WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+fit AS (SELECT DISTINCT x FROM usable),
+cells AS (SELECT unnest(x) AS v, unnest(range(1, len(x) + 1)) AS i FROM fit),
+sums AS (SELECT list(s ORDER BY i) AS s, (SELECT count(*) FROM fit) AS n FROM (SELECT i, sum(v) AS s FROM cells GROUP BY i))
+SELECT vec_id, n, CAST(list_sum(list_transform(list_zip(x, s), lambda p: (n * p[1] - p[2]) * (n * p[1] - p[2]))) AS BIGINT) AS deviation, CAST(16 AS BIGINT) AS components, true AS is_identity
+FROM usable, sums
+"""
+
+#: The article of these pages, which have one template, by patterns.
+PAGES_SQL = """
+WITH bodies AS (SELECT page_id, url, replace(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '<br>', ' ') AS body FROM pages),
+pieces AS (SELECT page_id, url, list_transform(string_split_regex(body, '</?(p|h1)>'), lambda b: regexp_replace(b, '<[^>]*>', '', 'g')) AS blocks FROM bodies),
+plain AS (SELECT page_id, url, list_transform(blocks, lambda b: regexp_replace(replace(replace(replace(regexp_replace(b, '&quot;?', '"', 'g'), '&#x27;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g')) AS blocks FROM pieces),
+texts AS (SELECT page_id, url, coalesce(array_to_string(list_filter(list_transform(blocks, lambda b: trim(regexp_replace(b, '\\s+', ' ', 'g'))), lambda b: b <> ''), chr(10)), '') AS text FROM plain)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM texts
+"""
+
+
+def _lloyd_sql(rounds: int = 6) -> str:
+    """Plain Lloyd rounds in SQL, one expression after the other."""
+    nearest = """nearest{r} AS (SELECT vec_id, label, part, x, min(struct_pack(d := d, entry := entry)) AS found FROM (
+  SELECT c.vec_id, c.label, c.part, c.x, b.entry, CAST(list_sum(list_transform(list_zip(c.x, b.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM cut c JOIN books{r} b ON c.part = b.part) GROUP BY ALL)"""
+    moved = """cells{r} AS (SELECT part, found.entry AS entry, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS i FROM nearest{r}),
+means{r} AS (SELECT part, entry, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM (SELECT part, entry, i, sum(v) AS s, count(*) AS n FROM cells{r} GROUP BY ALL) GROUP BY ALL),
+books{n} AS (SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM books{r} b LEFT JOIN means{r} m ON b.part = m.part AND b.entry = m.entry)"""
+    steps = [x.format(r=r, n=r + 1) for r in range(rounds) for x in (nearest, moved)] + [nearest.format(r=rounds)]
+    return f"""
+WITH usable AS (SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(4096 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+                WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+cut AS (SELECT vec_id, label, part, x[part * (len(x) // 8) + 1 : (part + 1) * (len(x) // 8)] AS x FROM usable, range(8) AS r(part)),
+books0 AS (SELECT part, CAST(row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS INTEGER) AS entry, x FROM cut QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= 16),
+{", ".join(steps)},
+coded AS (SELECT vec_id, label, string_agg(lpad(to_hex(found.entry), 2, '0'), '' ORDER BY part) AS code, CAST(sum(found.d) AS BIGINT) AS error FROM nearest{rounds} GROUP BY vec_id, label)
+SELECT vec_id, lower(code) AS code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM books{rounds}) AS codebooks_sha256 FROM coded
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -218,6 +276,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_groups": op8_simhash_groups,
         "op9_pivot_topk": op9_pivot_topk,
         "op10_vector_packing": op10_vector_packing,
+        "op11_elkan_codes": op11_elkan_codes,
+        "op12_jacobi_whiten": op12_jacobi_whiten,
+        "op13_html_main": op13_html_main,
+        "whitening_facts": whitening_facts,
         "near_vectors_planted": near_vectors_planted,
         "secret_counts": secret_counts,
         "fingerprint_groups": fingerprint_groups,
@@ -229,4 +291,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_tool_calls": OP1_SQL, "op3_stupid_backoff": OP3_SQL, "op5_projection_forest": OP5_SQL, "op7_poisson_mix": OP7_SQL, "op9_pivot_topk": OP9_SQL,
         "near_vectors_planted": PLANTED_SQL, "secret_counts": SECRETS_SQL, "fingerprint_groups": SIGNS_SQL, "packed_examples": PACKED_SQL,
+        "op11_elkan_codes": _lloyd_sql(), "whitening_facts": WHITENING_SQL, "op13_html_main": PAGES_SQL,
     }
