@@ -24,13 +24,27 @@ def whole(kind, text):
 
 
 @pytest.mark.parametrize("kind", ["spaced", "bare"])
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=600, deadline=None)
 @given(st.lists(st.sampled_from(["a", "Then,", "x.", "don't", "'s", " ", "  ", "\n", "\t", "\r", "é", "ΣΑΣ", "İ", "1", "23", "!", "<|endoftext|>", "日本", "\xa0", "\x1c", "́", "á.", "ﬁ", "words,", "ß."]), max_size=14))
 def test_words_equal_whole(kind, parts):
     text = "".join(parts)
     assert np.frombuffer(OPEN[kind].encode([text])[0], "<u4").tolist() == whole(kind, text)
 
 
+@pytest.mark.parametrize("kind", ["spaced", "bare"])
+def test_every_latin_letter_before_every_mark(kind):
+    letters = [chr(c) for c in (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x250))]
+    marks = [chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum()]
+    texts = [f"{before}{a}{m}{after}" for a in letters for m in marks for before, after in (("", ""), ("VAL", "x"))]
+    fresh = FRESH[kind].encode_batch_fast(texts, add_special_tokens=False)
+    assert [np.frombuffer(b, "<u4").tolist() for b in OPEN[kind].encode(texts)] == [e.ids for e in fresh]
+
+
+def test_turkish_capitals():
+    for text in ("ANKARA VAL\u0130L\u0130\u011e\u0130. Sonra", "VAL\u0130S\u0130: B\u00dcY\u00dcK"):
+        assert np.frombuffer(OPEN["bare"].encode([text])[0], "<u4").tolist() == whole("bare", text)
+
+
 def test_added_tokens_are_cut_out_as_the_library_does():
     assert np.frombuffer(OPEN["spaced"].encode(["a <|endoftext|> b"])[0], "<u4").tolist() == whole("spaced", "a <|endoftext|> b") == [64, 220, 50256, 275]
     assert np.frombuffer(OPEN["bare"].encode(["A <|endoftext|> b"])[0], "<u4").tolist() == whole("bare", "A <|endoftext|> b")

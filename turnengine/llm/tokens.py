@@ -9,7 +9,7 @@ result equals encoding the whole text at once:
   with a run at their end, are encoded whole, as are texts that begin with any other white space.
 - "bare" (white space dropped, case ignored): a split at spaces and newlines; other white space stays inside the words.
 
-Both kinds also split Latin letters from the punctuation that follows. Words are found and told apart in one pass of
+Both kinds also split Latin letters (but U+0130) from the punctuation that follows. Words are found and told apart in one pass of
 numpy over the bytes of many texts; new words of letters alone are encoded together as one text, whose ids are cut
 apart again at the signs of a word's start or end. Texts that hold the string of an added token (which the library cuts out first) are encoded whole.
 
@@ -179,12 +179,13 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def word_starts(signs: np.ndarray) -> np.ndarray:
-    """Where words begin: at spaces and newlines, and at punctuation behind a letter of ASCII or U+00C0 to U+023F."""
+    """Where words begin: at spaces and newlines, and at punctuation behind a letter of ASCII or U+00C0 to U+023F but U+0130."""
     begins = (signs == 32) | (signs == 10)
     mark = np.flatnonzero(_MARK[signs])
     mark = mark[mark >= 2]
     before, lead = signs[mark - 1], signs[mark - 2]
     latin = (lead >= 0xC3) & (lead <= 0xC8) & (before >= 0x80) & ~((lead == 0xC3) & ((before == 0x97) | (before == 0xB7)))
+    latin &= ~((lead == 0xC4) & (before == 0xB0))  # U+0130, whose lower case ends in a combining dot that keeps what follows
     begins[mark[_LETTER[before] | latin]] = True
     return np.flatnonzero(begins)
 
