@@ -100,6 +100,15 @@ def test_store(make_docs, odd_rows, monkeypatch):
     assert pfor.read_store(pfor.write_store(docs.limit(0), public_path("byte_bpe_50k.json"))).count() == 0
 
 
+def test_shards_follow_the_size_of_texts(make_docs, monkeypatch):
+    docs = make_docs([(i, f"text number {i} " * 20) for i in range(60)] + [(None, "same " * 40)] * 40)
+    few = pfor.read_store(pfor.write_store(docs, public_path("byte_bpe_50k.json"))).collect()
+    monkeypatch.setattr(pfor, "SHARD", 1000)
+    store = pfor.write_store(docs, public_path("byte_bpe_50k.json"))
+    assert pfor.shards(docs) > 20 and store.select("shard").distinct().count() > 15
+    assert sorted(map(str, pfor.read_store(store).collect())) == sorted(map(str, few))
+
+
 def check_pieces(pieces, docs, limits):
     """All ids in exactly one piece, sequences gapless, within limits, of full length or a power of two."""
     by_doc, by_sequence = {}, {}

@@ -37,6 +37,8 @@ from turnengine.llm.tokens import open_tokenizer
 MAGIC, BLOCK, PERCENTILE = b"PFR1", 128, 0.9
 #: A chunk is closed once it has this many ids; one longer document makes one longer chunk.
 CHUNK_IDS = 1 << 17
+#: Characters of a shard, beyond spark.sql.shuffle.partitions shards.
+SHARD = 1 << 28
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
@@ -168,6 +170,12 @@ def read_range(data: bytes, start: int, stop: int) -> np.ndarray:
 STORE_SCHEMA = "shard long, chunk long, shard_start long, n_ids long, data binary"
 
 
+def shards(docs: DataFrame) -> int:
+    """How many shards texts are dealt to: by their size, so that a task's share of the sort does not grow."""
+    chars = docs.agg(F.sum(F.char_length("text")).alias("n")).first()["n"] or 0
+    return max(shuffle_partitions(docs.sparkSession), -(-chars // SHARD))
+
+
 def write_store(docs: DataFrame, tokenizer_path: str, kind: str = "spaced", end_id: int = 0) -> DataFrame:
     """Encode every whole text, append end_id, write the store, and return it as read back."""
     ship(docs.sparkSession)
@@ -205,7 +213,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, kind: str = "spaced", end_
     # ties are told apart, so that many rows without doc_id, or of one text, do not fall into one shard
     order = ["doc_id", "tie", "place"]
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("place"))
-    ordered = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order).select("doc_id", "text")
+    ordered = rows.repartitionByRange(shards(docs), *order).sortWithinPartitions(*order).select("doc_id", "text")
     return materialize(ordered.mapInArrow(run, STORE_SCHEMA), "pfor")
 
 
@@ -226,7 +234,7 @@ def read_store(store: DataFrame) -> DataFrame:
                 )
 
     rows = store.select("shard", "shard_start", "data").mapInArrow(run, "shard long, doc_id long, own_start long, n_tokens long, ids_crc32 long")
-    # one row per shard, so never more than spark.sql.shuffle.partitions: that bounds both the driver's list and the broadcast
+    # one row per shard, of which there is one per SHARD characters: that bounds both the driver's list and the broadcast
     totals = sorted((r["shard"], r["n"]) for r in store.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect())
     bases, before = [], 0
     for shard, n in totals:
