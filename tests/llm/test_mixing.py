@@ -41,3 +41,15 @@ def test_order_is_mixed(make_docs):
     out = mixing.poisson_mix(make_docs([(i, "x", "ab"[i // 500]) for i in range(1000)]))
     keys = [[r.shuffle_key for r in part] for part in out.rdd.glom().collect()]
     assert all(k == sorted(k) for k in keys)
+
+
+def test_rows_that_repeat_are_spread(spark, make_docs):
+    docs = make_docs([(None, None)] * 4000 + [(1, "a b")])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        mixed = mixing.poisson_mix(docs, weights={"s": 1.0}, seed="mix-3")
+        assert mixed.columns == [*docs.columns, "copy_no", "shuffle_key"]
+        spread = [r["count"] for r in mixed.where("doc_id is null").groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(spread) == 4 and max(spread) < 0.4 * sum(spread)

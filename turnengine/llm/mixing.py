@@ -72,18 +72,19 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, budget
     """
     copy_col, key_col = free_name(docs.columns, copy_col), free_name(docs.columns, key_col)
     taken = [*docs.columns, copy_col, key_col]
-    names = {c: free_name(taken, f"mix_{c}") for c in ("source", "draws", "cdf", "count")}
+    names = {c: free_name(taken, f"mix_{c}") for c in ("source", "draws", "cdf", "count", "place")}
     rates = materialize(source_rates(docs, weights, budget, alpha), "mix-rates")
     rates = rates.select(F.col("mix_source").alias(names["source"]), F.col("draws").alias(names["draws"]), F.col("cdf").alias(names["cdf"]))
     drawn = F.transform(F.sequence(F.lit(1), F.col(names["draws"])), lambda part: uniform(seed, F.col("doc_id"), part))  # one hash a draw
     count = F.aggregate(drawn, F.lit(0), lambda acc, u: acc + F.size(F.filter(F.col(names["cdf"]), lambda c: c <= u)))
+    placed = docs.withColumn(names["place"], F.monotonically_increasing_id())
     mixed = (
-        docs.join(rates, docs["source"].eqNullSafe(rates[names["source"]]), "inner")
+        placed.join(rates, placed["source"].eqNullSafe(rates[names["source"]]), "inner")
         .withColumn(names["count"], count)
         .where(F.col(names["count"]) > 0)
         .withColumn(copy_col, F.explode(F.sequence(F.lit(0), F.col(names["count"]) - 1)))
-        .drop(*names.values())
+        .drop(*[n for c, n in names.items() if c != "place"])
     )
     key = F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col(copy_col))), 1, 16)
-    own = F.xxhash64("text")  # rows without doc_id share a key; their texts still spread them
-    return mixed.withColumn(key_col, key).repartition(F.col(key_col), own).sortWithinPartitions(F.col(key_col), own)
+    # rows that repeat, above all those without doc_id, share a key; their place in the input still spreads them
+    return mixed.withColumn(key_col, key).repartition(key_col, names["place"]).sortWithinPartitions(key_col, names["place"]).drop(names["place"])
