@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 
 from turnengine.llm import toxicity as T
@@ -71,6 +72,27 @@ def test_copies_make_no_lexicon(spark, make_docs):
     assert "nastix" in model.lexicon and "strange" not in model.lexicon
 
 
+def test_lexicon_has_no_cap_and_the_fit_is_bounded_by_rows(spark, make_docs, monkeypatch):
+    rng = np.random.default_rng(2)
+    filler = [f"plain{i}" for i in range(200)]
+    rows, labels = [], []
+    for i in range(1200):
+        toxic = i % 3 == 0
+        words = list(rng.choice(filler, 20))
+        for k in range(12 if toxic else 0):
+            words.insert(int(rng.integers(0, len(words))), f"bad{(i // 3 * 12 + k) % 300}")
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(toxic)))
+    docs, labels = make_docs(rows), spark.createDataFrame(labels, LABEL)
+    whole = T.fit_toxicity(docs, labels)
+    assert len(whole.lexicon) > 256
+    monkeypatch.setattr(T, "SAMPLE_CELLS", 40_000)
+    some = T.fit_toxicity(docs, labels)
+    assert set(some.lexicon) == set(whole.lexicon)
+    told = T.score_toxicity(docs, some).join(labels, "doc_id").select((F.col("predicted") == F.col("toxic")).alias("right")).collect()
+    assert sum(r.right for r in told) > 0.95 * len(told)
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(0)
     y = rng.random(6000) < 0.2

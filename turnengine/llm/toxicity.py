@@ -15,7 +15,8 @@
    labels themselves choose the words of step 2 and give the share of step 4; no weight is fitted to them.
 
 Rows with the same features are one row with a count before they reach the driver, and every sum of the fit is over
-those counts. The bounds of the fit are SAMPLE_ROWS and MAX_WORDS.
+those counts. The fit is bounded by its labelled rows alone: SAMPLE_ROWS for the lexicon, and for what follows SAMPLE_CELLS, rows
+times features; the lexicon holds every word with enough evidence.
 
 The score reads the text alone: not labels, lang, source or doc_id. Defined cases: null and empty texts score as
 texts without words; a null doc_id is not held out; labels that are null or of unknown documents are ignored;
@@ -38,8 +39,8 @@ from pyspark.sql import functions as F
 
 from turnengine.llm.common import drop_materialized, materialize, ship
 
-#: Bounds of the fit: labelled rows taken, and voters made from words.
-SAMPLE_ROWS, MAX_WORDS = 40_000, 256
+#: Bounds of the fit: labelled rows taken, and of these times features where the label model and the classifier see them.
+SAMPLE_ROWS, SAMPLE_CELLS = 40_000, 12_000_000
 #: A lexicon word has at least this support, and support times the log of how much likelier it is in
 #: toxic rows; and it is at least so many times likelier there.
 MIN_SUPPORT, MIN_EVIDENCE, MIN_ODDS = 3, 14.0, 8.0
@@ -163,7 +164,7 @@ def training_sample(labels: DataFrame) -> DataFrame:
 
 
 def learn_lexicon(train: DataFrame) -> list[str]:
-    """At most MAX_WORDS words of train (text, toxic), the strongest first."""
+    """Words of train (text, toxic) that mark toxic rows, the strongest first: as many as have the evidence."""
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 1)
     toxic = F.col("toxic") > 0
     size = F.greatest(F.size("words") - 1, F.lit(0))
@@ -182,8 +183,8 @@ def learn_lexicon(train: DataFrame) -> list[str]:
     )
     seen = train.agg(F.count_if(toxic).alias("tox"), F.count_if(~toxic).alias("clean")).first()
     odds = ((F.col("pos") + 0.5) / float(seen["tox"] + 1)) / ((F.col("neg") + 0.5) / float(seen["clean"] + 1))
-    best = found.withColumn("evidence", F.col("support") * F.log(odds)).where(F.col("evidence") >= MIN_EVIDENCE).where(odds >= MIN_ODDS).orderBy(F.col("evidence").desc(), "w").limit(MAX_WORDS)
-    return [r["w"] for r in best.collect()]  # MAX_WORDS rows at most
+    best = found.withColumn("evidence", F.col("support") * F.log(odds)).where(F.col("evidence") >= MIN_EVIDENCE).where(odds >= MIN_ODDS).orderBy(F.col("evidence").desc(), "w")
+    return [r["w"] for r in best.collect()]  # words of SAMPLE_ROWS rows at most, each with its evidence in them
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
@@ -200,7 +201,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(features(t, index).tobytes(), 1) for t in batch.column(0).to_pylist()], pa.binary()), batch.column(1).cast(pa.int32())], names=["x", "toxic"])
 
-    rows = train.mapInArrow(run, "x binary, toxic int").groupBy("x").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).toArrow()  # SAMPLE_ROWS rows at most, mostly zeros
+    n = train.count()
+    if n * (len(lexicon) + len(PATTERNS)) > SAMPLE_CELLS:
+        train_share = SAMPLE_CELLS / (n * (len(lexicon) + len(PATTERNS)))
+        some = train.where(F.pmod(F.xxhash64("text", F.lit("cells")), F.lit(1 << 20)) < int(train_share * (1 << 20)))
+    else:
+        some = train
+    rows = some.mapInArrow(run, "x binary, toxic int").groupBy("x").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).toArrow()  # SAMPLE_ROWS rows at most, mostly zeros
     drop_materialized(train)
     drop_materialized(sample)
     x = np.frombuffer(b"".join(map(zlib.decompress, rows.column(0).to_pylist())), np.float32).reshape(-1, len(lexicon) + len(PATTERNS))
