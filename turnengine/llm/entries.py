@@ -87,7 +87,9 @@ PACKED = packing.Limits(max_tokens=1024, max_segments=6, max_loss=400)
 
 def packed_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as whole instruction examples under all three limits of op10's packer (the words of its texts as
-    tokens, those of assistant turns as loss-bearing): in how many sequences each lies, and whether that keeps the limits."""
+    tokens, those of assistant turns as loss-bearing): in how many sequences each lies (0 if it is over a limit by itself
+    and may not be cut), whether those keep the limits, and, the same in every row, the least number of sequences that
+    the sums of the examples allow and whether the packer used no more than a quarter above it and one a partition."""
     words = F.size(F.filter(F.split("text", " "), lambda w: w != ""))
     by = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("example_id"))
     examples = materialize(by.agg(F.sum(words).alias("n_tokens"), F.sum(F.when(F.col("role") == "assistant", words).otherwise(0)).alias("loss_tokens")), "examples")
@@ -95,7 +97,13 @@ def packed_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = materialize(packing.pack_examples(fitting, PACKED), "packed").join(examples, "example_id")
     full = placed.groupBy("sequence_id").agg(F.sum("n_tokens").alias("t"), F.sum("loss_tokens").alias("l"), F.count("*").alias("s"))
     kept = (F.col("t") <= PACKED.max_tokens) & (F.col("l") <= PACKED.max_loss) & (F.col("s") <= PACKED.max_segments)
-    return placed.join(full, "sequence_id").groupBy("example_id", "n_tokens", "loss_tokens").agg(F.count("*").alias("sequences"), F.bool_and(kept).alias("within_limits"))
+    per = placed.join(full, "sequence_id").groupBy("example_id").agg(F.count("*").alias("sequences"), F.bool_and(kept).alias("within_limits"))
+    least = F.greatest(*[F.ceil(F.sum(c) / F.lit(limit)) for c, limit in (("t", PACKED.max_tokens), ("l", PACKED.max_loss), ("s", PACKED.max_segments))])
+    parts = F.count_distinct(F.shiftright("sequence_id", 32))
+    packed = full.agg(F.coalesce(least, F.lit(0)).alias("least_sequences"), (F.count("*") <= 1.25 * F.coalesce(least, F.lit(0)) + parts).alias("packed_well"))  # one row
+    return examples.join(per, "example_id", "left").join(F.broadcast(packed)).select(
+        "example_id", "n_tokens", "loss_tokens", F.coalesce("sequences", F.lit(0)).alias("sequences"), F.coalesce("within_limits", F.lit(False)).alias("within_limits"), "least_sequences", "packed_well",
+    )
 
 
 def op10_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,7 +212,9 @@ FROM rest LEFT JOIN logs USING (r) GROUP BY r, doc_id, size
 PACKED_SQL = """
 WITH turns AS (SELECT conv_id, role, len(list_filter(string_split(text, ' '), lambda w: w <> '')) AS n FROM conversations),
 examples AS (SELECT conv_id AS example_id, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(sum(CASE WHEN role = 'assistant' THEN n ELSE 0 END) AS BIGINT) AS loss_tokens FROM turns GROUP BY conv_id)
-SELECT example_id, n_tokens, loss_tokens, CAST(1 AS BIGINT) AS sequences, true AS within_limits FROM examples WHERE n_tokens <= 1024 AND loss_tokens <= 400
+SELECT example_id, n_tokens, loss_tokens, CAST(CASE WHEN fits THEN 1 ELSE 0 END AS BIGINT) AS sequences, fits AS within_limits, least_sequences, true AS packed_well
+FROM (SELECT *, n_tokens <= 1024 AND loss_tokens <= 400 AS fits FROM examples),
+  (SELECT CAST(greatest(ceil(sum(n_tokens) / 1024.0), ceil(sum(loss_tokens) / 400.0), ceil(count(*) / 6.0)) AS BIGINT) AS least_sequences FROM examples WHERE n_tokens <= 1024 AND loss_tokens <= 400)
 """
 
 SIGNS_SQL = """
