@@ -5,18 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnengine.storage import materialize
+
 
 def with_ordinal(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """rows with name: their place, from 1, in the order of the columns.
+    """rows with name: their place, from 1, in the order of the columns; rows that tie are ordered by a hash.
 
-    Rows are dealt by range and sorted within partitions; a row's place is its place in its partition plus the rows
-    of the partitions before. Only one row per partition meets in one task. The number of partitions is fixed, so
-    that both uses of the exchange see the same ones (Spark runs it once).
+    Rows are dealt by range, sorted within partitions and written with their partition and place: range bounds come from
+    a sample, so two runs of one exchange may differ, and only what is written has bounds that every later step
+    shares. A row's number is its place plus the rows of the partitions before, which are counted from that table: one
+    number per partition meets in one task.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    dealt = dealt.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"))
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
+    dealt = rows.withColumn("_tie", tie).repartitionByRange(n, *order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie")
+    dealt = materialize(dealt.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_place")), "numbered")
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("n"))
     sizes = sizes.agg(F.map_from_entries(F.collect_list(F.struct("_part", "n"))).alias("sizes"))  # n entries at most
     before = F.aggregate(F.map_entries("sizes"), F.lit(0).cast("bigint"), lambda acc, e: acc + F.when(e["key"] < F.col("_part"), e["value"]).otherwise(F.lit(0)))
-    return dealt.join(F.broadcast(sizes)).select(*rows.columns, (before + F.col("_place") + 1).cast("int").alias(name))
+    starts = dealt.select("_part").distinct().join(F.broadcast(sizes)).select("_part", before.alias("_before"))  # a row per partition
+    return dealt.join(F.broadcast(starts), "_part").select(*rows.columns, (F.col("_before") + F.col("_place") + 1).alias(name))

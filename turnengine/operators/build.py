@@ -79,7 +79,7 @@ def select_conversations(known: DataFrame, everything: bool = False, conversatio
     not in known (code)."""
     spark = known.sparkSession
     if everything:
-        return with_ordinal(known.select("code").distinct(), ["code"], "conv_ord"), known.select("code").limit(0)
+        return with_ordinal(known.select("code").distinct(), ["code"], "conv_ord").withColumn("conv_ord", F.col("conv_ord").cast("int")), known.select("code").limit(0)
     codes = conversations or ([conversation] if conversation else DEFAULT_CONVERSATIONS)
     asked = spark.createDataFrame([(c, i) for i, c in enumerate(codes, 1)], "code string, conv_ord int")
     return asked.join(known.select("code").distinct(), "code", "left_semi"), asked.select("code").join(known, "code", "left_anti").distinct()

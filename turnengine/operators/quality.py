@@ -18,7 +18,7 @@ def classify(rows: DataFrame) -> DataFrame:
     problem: empty_conversation, bad_turn_index, duplicate_turn_index (all but the first), or null for valid rows.
     """
     index = F.when(F.col("turn_index").rlike(r"^\p{Nd}+$"), F.col("turn_index").try_cast("int"))
-    numbered = with_ordinal(rows, ["pos"], "data_row").withColumn("data_row", F.col("data_row") + 1).withColumn("turn_no", index)
+    numbered = with_ordinal(rows, ["pos"], "data_row").withColumn("data_row", (F.col("data_row") + 1).cast("int")).withColumn("turn_no", index)
     problem = F.when(null_to_empty(F.col("conversazione")) == "", "empty_conversation").when(F.col("turn_no").isNull(), "bad_turn_index")
     marked = numbered.withColumn("problem", problem)
     nth = F.row_number().over(Window.partitionBy("conversazione", "turn_no", F.col("problem").isNull()).orderBy("pos"))

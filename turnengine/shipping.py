@@ -15,11 +15,13 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers when neither PYTHONPATH nor the working directory has it."""
+    """Make this package importable in Python workers. Only those of a local master see the driver's PYTHONPATH and working
+    directory; executors elsewhere always get an archive."""
     root = Path(__file__).resolve().parents[1]
     known = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     context = spark.sparkContext
-    if os.getcwd() == str(root) or str(root) in known or context.applicationId in _SHIPPED:
+    at_hand = context.master.split("[")[0] == "local" and (os.getcwd() == str(root) or str(root) in known)
+    if at_hand or context.applicationId in _SHIPPED:
         return
     target = Path(tempfile.mkdtemp(prefix="turnengine-")) / "turnengine.zip"
     atexit.register(shutil.rmtree, target.parent, True)
