@@ -94,7 +94,7 @@ def sample_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    rows = files.read_csv(spark, path).drop("ord")
     return rows.select(*[null_to_empty(F.col(c)).alias(c) for c in rows.columns])
 
 
@@ -199,7 +199,7 @@ def built_file(spark: SparkSession, sf_dir: str) -> DataFrame:
         f.write("code\tcollection-region\tmacro-region\tlanguages\n")
         f.writelines(f"{r.code}\t{r.regione}\t{r.macro_regione}\t{r.languages}\n" for r in data.metadata(spark, sf_dir).toPandas().itertuples())
     _command(spark, "build", "--corpus", f"{path}/in", "--out", f"{path}/out", "--conversations", "7", "3", "10")
-    csv = read_csv(spark, f"{path}/out.csv").withColumn("at", F.monotonically_increasing_id())
+    csv = files.read_csv(spark, f"{path}/out.csv").withColumnRenamed("ord", "at").fillna("")
     places = csv.groupBy("conversazione").agg(F.min("at").alias("at"))  # three rows
     places = places.select("conversazione", F.row_number().over(Window.orderBy("at")).alias("place"))
     return csv.join(places, "conversazione").select("place", *FLAT_COLUMNS)

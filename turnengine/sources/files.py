@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from turnengine.functions.text import null_to_empty, strip_ws, to_bool
 from turnengine.operators.align import dedupe_last
 from turnengine.schema import DECISION_REQUIRED, META_HEADERS, SAMPLE, SCORE_COLUMNS, EngineError
+from turnengine.sources import splits
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -70,22 +71,33 @@ def is_json_lines(spark: SparkSession, path: str) -> bool:
 
 
 def read_samples(spark: SparkSession, path: str, lines: bool | None = None) -> DataFrame:
-    """Nested conversations of a JSON object, an array of objects, or JSON lines (splittable; use it for large data)."""
-    lines = is_json_lines(spark, path) if lines is None else lines
-    return spark.read.schema(SAMPLE).json(path, multiLine=not lines, mode="FAILFAST").withColumn("ord", F.monotonically_increasing_id())
+    """Nested conversations of a JSON object, an array of objects, or JSON lines, with ord, which rises in file order. Files of
+    every layout are read by as many tasks as they have splits."""
+    if is_json_lines(spark, path) if lines is None else lines:
+        return spark.read.schema(SAMPLE).json(path, mode="FAILFAST").withColumn("ord", F.monotonically_increasing_id())
+    rows = splits.read_records(spark, path, splits.JsonPieces())
+    return rows.select(F.from_json("record", SAMPLE, {"mode": "FAILFAST"}).alias("sample"), "ord").select("sample.*", "ord")
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of CSV files with a header, all text, with ord, which rises in file order; fields may hold line breaks, which
+    stay as they are. Columns are those of the first header; every file is read by as many tasks as it has splits."""
+    columns = [c.lstrip("\ufeff") for c in spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False, encoding="UTF-8").columns]
+    if not columns:
+        raise EngineError(f"{path} is empty")
+    schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in columns)
+    rows = splits.read_records(spark, path, splits.CsvPieces(), skip_first=True)
+    return rows.select(F.from_csv("record", schema, {"escape": '"', "multiLine": "true"}).alias("row"), "ord").select("row.*", "ord")
 
 
 def read_decisions(spark: SparkSession, path: str) -> DataFrame:
     """Decision rows of a score CSV, with ord; similarita and sostituire typed, text without edge white space."""
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False, encoding="UTF-8")
-    columns = [c.lstrip("﻿") for c in raw.columns]
-    if not columns:
-        raise EngineError(f"{path} is empty")
+    raw = read_csv(spark, path)
+    columns = raw.columns
     if lost := sorted(set(DECISION_REQUIRED) - set(columns)):
         raise EngineError(f"{path} lacks the columns {lost}")
-    raw = raw.toDF(*columns)
     texts = [null_to_empty(F.col(c)).alias(c) if c in columns else F.lit("").alias(c) for c in SCORE_COLUMNS if c not in ("turn_index", "similarita", "sostituire")]
-    return raw.select(*texts, strip_ws(F.col("turn_index")).try_cast(T.IntegerType()).alias("turn_index"), strip_ws(F.col("similarita")).try_cast(T.DoubleType()).alias("similarita"), to_bool(F.col("sostituire")).alias("sostituire"), F.monotonically_increasing_id().alias("ord"))
+    return raw.select(*texts, strip_ws(F.col("turn_index")).try_cast(T.IntegerType()).alias("turn_index"), strip_ws(F.col("similarita")).try_cast(T.DoubleType()).alias("similarita"), to_bool(F.col("sostituire")).alias("sostituire"), "ord")
 
 
 def load_key(path: str, variable: str) -> str:
