@@ -12,6 +12,7 @@ from turnengine import cli
 from turnengine.operators import bertscore, build, metrics, translate
 from turnengine.schema import EngineError
 from turnengine.sinks import files as sinks
+from turnengine.sinks.buckets import BucketStore
 from turnengine.sources import files, workbook
 from turnengine.sources.chat import ChatBackend
 from turnengine.streaming.translate import translate_stream
@@ -174,7 +175,7 @@ def test_chat_backend_raises_on_errors(chat_server):
         ChatBackend(chat_server[0], "m")([{"role": "user", "content": "refuse"}])
 
 
-def test_limit_counts_successes_and_saves_survive_an_interrupt(spark):
+def test_limit_counts_successes_and_saves_survive_an_interrupt(spark, tmp_path):
     turns = spark.createDataFrame([("a", i, i, f"t{i}", "") for i in range(6)], "conversazione string, turn_index int, turn_ord int, italiano string, napoletano string")
     saved = []
 
@@ -184,18 +185,19 @@ def test_limit_counts_successes_and_saves_survive_an_interrupt(spark):
             raise OSError("no")
         return text.upper()
 
-    keep = lambda done: saved.append([r.napoletano for r in done.orderBy("turn_ord").collect()])
-    _, n = translate.translate_in_steps(turns, 2, keep, limit=3, backend=backend)
-    assert n == 3 and saved[-1] == ["", "T1", "", "T3", "T4", ""] and len(saved) == 3
+    store = BucketStore(spark, str(tmp_path / "state"), buckets=4)
+    read = lambda: [r.napoletano for r in store.read().orderBy("conversazione", "turn_ord").collect()]
+    assert translate.translate_in_waves(turns, store, 2, limit=3, saved=lambda n: saved.append(read()), backend=backend) == 3
+    assert read() == ["", "T1", "", "T3", "T4", ""] and len(saved) == 3
 
-    def stop(done):
-        keep(done)
+    def stop(n):
+        saved.append(read())
         if len(saved) == 5:
             raise KeyboardInterrupt
 
     with pytest.raises(KeyboardInterrupt):
-        translate.translate_in_steps(turns, 2, stop, backend=backend)
-    assert saved[-1] == ["", "T1", "", "T3", "", ""]
+        translate.translate_in_waves(turns, store, 2, saved=stop, backend=backend)
+    assert saved[-1] == read() == ["", "T1", "", "T3", "", ""]
 
 
 def test_bertscore_through_a_stand_in(spark, tmp_path, monkeypatch):

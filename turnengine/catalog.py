@@ -298,7 +298,7 @@ def final_files(spark: SparkSession, d: str) -> DataFrame:
 
 def translated_file(spark: SparkSession, d: str) -> DataFrame:
     rows = _shown(spark, d).select("conversazione", F.lit("").alias("regione"), F.lit("").alias("macro_regione"), F.lit("").alias("languages"), "turn_index", "tu_id", "speaker", "italiano", "napoletano", F.lit("").alias("note"), "turn_ord")
-    return exchange.translated_file(spark, rows, PROMPT, 40, 25)
+    return exchange.translated_file(spark, rows, PROMPT, 40, 10)
 
 
 def quality_structural(spark: SparkSession, d: str) -> DataFrame:

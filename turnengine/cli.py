@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from turnengine.operators import align, bertscore, build, merge, metrics, patch, quality, translate
 from turnengine.schema import CORRECTION, EngineError
 from turnengine.sinks import files as sinks
+from turnengine.sinks.buckets import BucketStore
 from turnengine.sources import files, workbook
 from turnengine.sources.chat import ChatBackend
+from turnengine.storage import materialize
 
 
 def parser() -> argparse.ArgumentParser:
@@ -28,7 +30,7 @@ def parser() -> argparse.ArgumentParser:
     need = {"required": True}
     command("build", ("--corpus", need), ("--out", need), ("--conversations", {"nargs": "*"}), ("--conversation", {}), all="every conversation")
     command("fix", ("--json", need), ("--corrections", need), apply="write the result; otherwise only show it")
-    command("translate", ("--input", need), ("--output", need), ("--only", {"nargs": "*"}), ("--key-file", {"default": ".api_key"}), ("--key-env", {"default": "CHAT_API_KEY"}), ("--url", need), ("--model", need), ("--prompt-file", need), ("--context", {"type": int, "default": 4}), ("--limit", {"type": int}), ("--temperature", {"type": float, "default": 0.0}), ("--sleep", {"type": float, "default": 0.0}), ("--save-every", {"type": int, "default": 10, "help": "turns between saves, and turns worked on at once"}))
+    command("translate", ("--input", need), ("--output", need), ("--only", {"nargs": "*"}), ("--key-file", {"default": ".api_key"}), ("--key-env", {"default": "CHAT_API_KEY"}), ("--url", need), ("--model", need), ("--prompt-file", need), ("--context", {"type": int, "default": 4}), ("--limit", {"type": int}), ("--temperature", {"type": float, "default": 0.0}), ("--sleep", {"type": float, "default": 0.0}), ("--save-every", {"type": int, "default": 10, "help": "turns of a conversation between saves"}))
     command("export", ("--json", need), ("--xlsx", need), split="one sheet per conversation")
     command("import", ("--xlsx", need), ("--csv", need), ("--json", need), ("--source", {}), allow_source_edits="take workbooks whose source texts were edited")
     command("verify", ("--xlsx", need), ("--json", need))
@@ -96,7 +98,10 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         if a.apply and not status.where("status = 'modified'").isEmpty():
             sinks.write_samples(build.nest(patch.corrected(turns, table).drop("note")), a.json)
     elif a.command == "translate":
-        turns = _flat(spark, a.output if files.exists(spark, a.output) else a.input)
+        turns = materialize(_flat(spark, a.output if files.exists(spark, a.output) else a.input), "turns")  # the output is written anew
+        store = BucketStore(spark, f"{a.output}.state")
+        if store.exists():  # an earlier run was stopped before it wrote its output
+            turns = materialize(translate.resume(turns, store.read()), "turns")
         asked = _codes(spark, turns, a.only)
         work = turns if asked is None else turns.join(asked.select(F.col("code").alias("conversazione")), "conversazione", "left_semi")
         if build.todo_turns(work).isEmpty():
@@ -105,7 +110,12 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         backend = translate.with_retries(ChatBackend(a.url, a.model, files.load_key(a.key_file, a.key_env), a.temperature))
         with open(a.prompt_file, encoding="utf-8") as f:
             system = f.read()
-        _, n = translate.translate_in_steps(work, a.save_every, lambda done: sinks.save(translate.resume(turns, done), a.output), a.limit, backend=backend, system_prompt=system, context=a.context, pause=a.sleep)
+        try:
+            n = translate.translate_in_waves(work, store, a.save_every, a.limit, backend=backend, system_prompt=system, context=a.context, pause=a.sleep)
+        finally:
+            if store.exists():
+                sinks.save(translate.resume(turns, store.read()), a.output)
+                store.remove()
         print(f"translated: {n}")
     elif a.command == "export":
         sinks.write_workbook(_flat(spark, a.json), a.xlsx, a.split)

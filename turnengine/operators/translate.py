@@ -9,7 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnengine.functions.ordinal import running_sum
 from turnengine.functions.text import null_to_empty
+from turnengine.sinks.buckets import BucketStore
+from turnengine.storage import drop_materialized, materialize
 
 #: Turns before the one to translate that the prompt shows (a fixed value).
 CONTEXT = 4
@@ -107,31 +110,78 @@ def translate(turns: DataFrame, backend: Backend, system_prompt: str = "", conte
     return work.groupBy("conversazione").applyInPandas(run, TRANSLATED)
 
 
-def translate_in_steps(turns: DataFrame, step: int, save: Callable[[DataFrame], None], limit: int | None = None, **how: object) -> tuple[DataFrame, int]:
-    """(turns with their translations, number of new ones): at most step open turns are tried at a time, and save is
-    called with all turns after each step and, if a step is interrupted or fails, with what was done before it.
+TRIED = "conversazione string, turn_index int, turn_ord int, napoletano string, failed boolean"
 
-    limit: that many turns are translated; turns whose backend fails do not count and are passed over. The driver holds
-    the keys and texts that this run translated, as many as it then writes into one file. how: as for translate.
+
+def translate_wave(turns: DataFrame, backend: Backend, system_prompt: str = "", context: int = CONTEXT, per: int | None = None, remaining: int | None = None, pause: float = 0.0, titles: tuple[str, str] = TITLES) -> DataFrame:
+    """The turns (TRIED) that one wave tries: the next per open turns of every conversation at once, in order within each.
+
+    remaining: no open turn is tried that has so many open turns before it, over all conversations by (conversazione,
+    turn_ord). So a wave never makes a translation that working through the turns one by one would not have made, and yet all
+    conversations that the number reaches are worked on in parallel. turns: conversazione, turn_index, turn_ord, italiano,
+    napoletano, and failed (true: passed over). A task gets the turns it tries and their contexts, not whole conversations.
     """
-    spark, fresh, lost = turns.sparkSession, [], []
-    kept = "conversazione string, turn_index int, turn_ord int, napoletano string"
-    state = turns
+    order = Window.partitionBy("conversazione").orderBy("turn_ord")
+    open_ = (null_to_empty(F.col("napoletano")) == "") & ~F.col("failed")
+    work = turns.select("conversazione", "turn_index", F.col("turn_ord").cast("int").alias("turn_ord"), null_to_empty(F.col("italiano")).alias("italiano"), null_to_empty(F.col("napoletano")).alias("napoletano"), open_.alias("open"))
+    most = [F.lit(per)] if per is not None else []
+    if remaining is not None:
+        counts = work.where("open").groupBy("conversazione").agg(F.count("*").alias("n"))
+        quota = running_sum(counts, ["conversazione"], "n", "upto").select("conversazione", (F.lit(remaining) - F.col("upto") + F.col("n")).alias("quota")).where("quota > 0")
+        work = work.join(quota, "conversazione")
+        most.append(F.col("quota"))
+    nth = F.sum(F.col("open").cast("int")).over(order)
+    chosen = F.col("open") & (nth <= F.least(*most) if len(most) > 1 else nth <= most[0] if most else F.lit(True))
+    work = work.withColumn("place", F.row_number().over(order)).withColumn("chosen", chosen)
+    work = work.withColumn("needed", F.max("chosen").over(order.rowsBetween(0, max(context, 0)))).where("needed").select("conversazione", "turn_index", "turn_ord", "place", "italiano", "napoletano", "chosen")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        seen: dict[int, tuple[str, str]] = {}  # by place
+        tried = []
+        for row in pdf.sort_values("place").itertuples(index=False):
+            text = row.napoletano
+            if row.chosen:
+                before = [seen[k] for k in range(row.place - context, row.place) if k in seen]
+                text, failed = ask(backend, system_prompt, before, row.italiano, titles, pause)
+                tried.append((row.conversazione, row.turn_index, row.turn_ord, text, failed))
+            seen[row.place] = (row.italiano, text)
+        return pd.DataFrame(tried, columns=[c.split()[0] for c in TRIED.split(", ")])
+
+    return work.groupBy("conversazione").applyInPandas(run, TRIED)
+
+
+def ask(backend: Backend, system_prompt: str, before: list[tuple[str, str]], text: str, titles: tuple[str, str] = TITLES, pause: float = 0.0) -> tuple[str, bool]:
+    """(translation, whether the backend failed) of a text with its context."""
     try:
-        while limit is None or len(fresh) < limit:
-            n = step if limit is None else min(step, limit - len(fresh))
-            passed = spark.createDataFrame(lost, "conversazione string, turn_ord int") if lost else None
-            tried = translate(state, limit=n, passed=passed, **how).where("fresh or failed").collect()  # n rows at most
-            if not tried:
-                break
-            fresh += [(r["conversazione"], r["turn_index"], r["turn_ord"], r["napoletano"]) for r in tried if r["fresh"]]
-            lost += [(r["conversazione"], r["turn_ord"]) for r in tried if r["failed"]]
-            state = resume(turns, spark.createDataFrame(fresh, kept))
-            save(state)
-    except BaseException:
-        save(state)
-        raise
-    return state, len(fresh)
+        found, failed = backend([{"role": "system", "content": system_prompt}, {"role": "user", "content": prompt(before, text, titles)}]), False
+    except Exception:  # noqa: BLE001  a failed turn is skipped
+        found, failed = "", True
+    if pause:
+        time.sleep(pause)
+    return found, failed
+
+
+def translate_in_waves(turns: DataFrame, store: BucketStore, per: int, limit: int | None = None, saved: Callable[[int], None] | None = None, **how: object) -> int:
+    """Translate the open turns of turns, wave by wave, in a table that is saved after each; the number of new translations.
+
+    A save rewrites the buckets of the conversations that changed. limit: that many turns are translated, the first that
+    can be; turns whose backend fails do not count and are passed over. Whatever stops the run, store has what the
+    waves before made. saved is called after each save with the number so far. how: as for translate_wave.
+    """
+    store.create(turns.withColumn("failed", F.lit(False)))
+    made = 0
+    while limit is None or made < limit:
+        tried = materialize(translate_wave(store.read(), per=per, remaining=None if limit is None else limit - made, **how), "wave")
+        told = tried.agg(F.count("*").alias("tried"), F.count_if(~F.col("failed")).alias("made")).first()
+        if told["tried"]:
+            store.update(tried.drop("turn_index"), ["conversazione", "turn_ord"])
+        drop_materialized(tried)
+        if not told["tried"]:
+            break
+        made += told["made"]
+        if saved:
+            saved(made)
+    return made
 
 
 def resume(turns: DataFrame, earlier: DataFrame) -> DataFrame:

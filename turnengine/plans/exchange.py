@@ -23,6 +23,7 @@ from turnengine.operators import build, merge, metrics, quality, translate
 from turnengine.plans import adapters as data
 from turnengine.schema import FLAT_COLUMNS, FINAL_COLUMNS, EngineError
 from turnengine.sinks import files as sinks
+from turnengine.sinks.buckets import BucketStore
 from turnengine.sources import files, workbook
 
 
@@ -233,8 +234,10 @@ def refusing(messages: list[dict[str, str]]) -> str:
     return toy(messages)
 
 
-def translated_file(spark: SparkSession, turns: DataFrame, system_prompt: str, limit: int, step: int) -> DataFrame:
-    """A run of the translation command's loop, stopped at its limit: the file that its last save left."""
+def translated_file(spark: SparkSession, turns: DataFrame, system_prompt: str, limit: int, per: int) -> DataFrame:
+    """A run of the translation command's loop, stopped at its limit: the file made of its last save."""
     path = folder(spark)
-    translate.translate_in_steps(turns, step, lambda done: sinks.save(done, f"{path}/out.json"), limit, backend=refusing, system_prompt=system_prompt)
+    store = BucketStore(spark, f"{path}/state", buckets=8)
+    translate.translate_in_waves(turns, store, per, limit, backend=refusing, system_prompt=system_prompt)
+    sinks.save(store.read().drop("failed"), f"{path}/out.json")
     return build.flatten(files.read_samples(spark, f"{path}/out.json")).select("conversazione", "turn_index", "napoletano")
