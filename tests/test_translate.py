@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnengine.operators import translate
 from turnengine.sinks.buckets import BucketStore
+from turnengine.streaming.translate import translate_turns
 
 TURN = "conversazione string, turn_index int, turn_ord int, italiano string, napoletano string"
 
@@ -99,3 +100,17 @@ def test_a_save_rewrites_one_bucket_and_survives_a_stop(spark, tmp_path, monkeyp
     assert list(map(tuple, read(again))) == [("c7", 1, "n3")] and len(list((tmp_path / "s").glob("manifest*"))) == 2 and len(list((tmp_path / "s").glob("v*"))) <= 3
     again.remove()
     assert not again.exists()
+
+
+def test_later_batches_see_their_context(spark, tmp_path):
+    rows = corpus(3, 6)
+    for k, part in enumerate(([r for r in rows if r[2] < 2], [r for r in rows if r[2] in (2, 5, 3, 4)], [r for r in rows if r[2] > 2])):  # the last repeats some
+        spark.createDataFrame(part, TURN).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(TURN).parquet(str(tmp_path / "in"))
+        query = translate_turns(stream, str(tmp_path / "out"), str(tmp_path / "cp"), backend)
+        query.awaitTermination()
+        assert query.exception() is None and k >= 0
+    expected, n = turn_by_turn(rows, None)
+    found = spark.read.parquet(str(tmp_path / "out"))
+    assert [(r.conversazione, r.turn_ord, r.napoletano) for r in found.orderBy("conversazione", "turn_ord").collect()] == expected
+    assert found.where("fresh").count() == n and found.where("failed").count() == sum(r[4] == "" for r in rows) - n

@@ -301,6 +301,10 @@ def translated_file(spark: SparkSession, d: str) -> DataFrame:
     return exchange.translated_file(spark, rows, PROMPT, 40, 10)
 
 
+def translated_stream(spark: SparkSession, d: str) -> DataFrame:
+    return exchange.translated_stream(spark, _shown(spark, d), PROMPT)
+
+
 def quality_structural(spark: SparkSession, d: str) -> DataFrame:
     return quality.structural(data.workbook_rows(spark, d))
 
@@ -464,6 +468,7 @@ _QUERIES: dict[str, tuple[Query, str | None]] = {
     "todo_counts": (lambda s, d: _shown(s, d).groupBy("conversazione").agg(F.count("*").alias("turns"), F.count_if(F.col("napoletano") == "").alias("todo")), f"WITH {TURNS} SELECT conversazione, count(*) AS turns, count(*) FILTER ((conv_id + turn) % 6 = 1) AS todo FROM turns GROUP BY ALL"),
     "flatten_roundtrip": (flatten_roundtrip, f"WITH {BUILT} SELECT * FROM built"),
     "notes_per_conversation": (lambda s, d: build.conversation_counts(data.golden(s, d)).select("conversazione", "notes"), f"WITH {SIDES} SELECT conversazione, count(*) FILTER (note <> '') AS notes FROM golden_all GROUP BY ALL"),
+    "translated_stream": (translated_stream, f"""{_toy("given = ''")} SELECT conversazione, turn_index, napoletano, fresh FROM steps WHERE i > 0"""),
     "translate_sequential": (translate_sequential, f"""{_toy("given = ''")} SELECT conversazione, turn_index, napoletano, fresh FROM steps WHERE i > 0"""),
 }
 
