@@ -24,6 +24,32 @@ def test_align(spark):
     assert [r.gemma for r in align.first_pairs(pairs, 1).collect()] == ["ciao"]
 
 
+def test_align_all_is_one_pass(spark, tmp_path):
+    """Pairs, both anti-joins and differing texts from one table, written with one exchange a side."""
+    from turnengine.storage import measured
+
+    draft = flat(spark, [("a", 1, "x", " ciao ", ""), ("a", 1, "x", "two", ""), ("a", 2, "y", None, ""), ("b", 1, "z", "only", ""), ("b", 1, "z", "again", "")])
+    golden = flat(spark, [("a", 1, "x", "old", "n1"), ("a", 1, "X", "ciao", "n2"), ("a", 2, "y", "g", None), ("c", 1, "z", "only golden", ""), ("c", 1, "z", "again", "")])
+    draft.write.parquet(str(tmp_path / "draft"))
+    golden.write.parquet(str(tmp_path / "golden"))
+    draft, golden = (spark.read.parquet(str(tmp_path / n)) for n in ("draft", "golden"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = align.align_all(draft, golden)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2 and plan.count("FullOuter") == 1
+        aligned, seen = measured(align.align_all(draft, golden), "aligned", **align.alignment_counts())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert seen == {"pairs": 3, "draft_only": 1, "golden_only": 1, "source_differs": 2}
+    pairs = align.pairs_of(aligned)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(pairs) == key(align.align_pairs(draft, golden)) and pairs.columns == align.align_pairs(draft, golden).columns
+    assert [key(x) for x in align.misaligned_of(aligned)] == [[("b", 1)], [("c", 1)]]
+    assert key(align.source_mismatch(pairs).select("ord")) == [(0,), (1,)]
+    only = spark.createDataFrame([("b",)], "code string")
+    assert align.pairs_of(aligned, only).isEmpty() and align.align_pairs(draft, golden, only).isEmpty()
+
+
 def _structure(spark):
     return flat(spark, [("a", 1, "x", "", ""), ("a", 2, "y", "", ""), ("b", 1, "z", "", "")]).withColumns({c: F.lit(c) for c in ("regione", "macro_regione", "languages")}).drop("ord")
 

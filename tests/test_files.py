@@ -5,6 +5,7 @@ import threading
 import zipfile
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +108,27 @@ def test_score_merge_fix_commands(spark, tmp_path):
         files.read_decisions(spark, p("bad.csv"))
 
 
+def test_a_score_run_scores_every_pair_once(spark, tmp_path, monkeypatch):
+    turn = lambda i, nap: {"turn_index": i, "tu_id": str(i), "speaker": "A", "italiano": f"t{i}", "napoletano": nap}
+    for name, shift in (("draft", 0), ("golden", 3)):
+        (tmp_path / f"{name}.json").write_text(json.dumps([{"id": f"c{c}", "turni": [turn(i + shift, f"some words {i + shift}") for i in range(20)]} for c in range(5)]))
+    scored = spark.sparkContext.accumulator(0)
+    counts = metrics._char_overlaps
+
+    @F.pandas_udf("array<long>")
+    def counting(hyp: pd.Series, ref: pd.Series) -> pd.Series:
+        scored.add(len(hyp))
+        bare = [["".join((t or "").split()) for t in side] for side in (hyp, ref)]
+        return pd.Series(list(counts(*bare, 6)))
+
+    monkeypatch.setattr(metrics, "char_counts", counting)
+    paths = {k: str(tmp_path / k) for k in ("draft.json", "golden.json", "report.txt", "scores.csv")}
+    cli.main(["score", "--draft", paths["draft.json"], "--golden", paths["golden.json"], "--out", paths["report.txt"], "--csv", paths["scores.csv"]])
+    assert scored.value == 85  # of 85 pairs, with report, summary, corpus scores and table
+    report = (tmp_path / "report.txt").read_text()
+    assert "pairs: 85" in report and "warnings: 30" in report and "identical: 85" in report and "corpus chrF: 100.00" in report
+
+
 def test_key(tmp_path, monkeypatch):
     path = tmp_path / "key"
     monkeypatch.setenv("K", "env")

@@ -283,9 +283,7 @@ def similarity_with_bertscore(spark: SparkSession, d: str) -> DataFrame:
 
 
 def score_report(spark: SparkSession, d: str) -> DataFrame:
-    pairs = _pairs(spark, d)
-    warned = [f"draft only {r['conversazione']} {r['turn_index']}" for r in align.misaligned(data.draft(spark, d), data.golden(spark, d))[0].orderBy(*align.KEY).limit(30).collect()]
-    return exchange.report_file(spark, pairs, _scored(spark, d).orderBy("ord"), warned, align.misaligned(data.draft(spark, d), data.golden(spark, d))[0].count())
+    return exchange.report_file(spark, data.draft(spark, d), data.golden(spark, d))
 
 
 def score_file(spark: SparkSession, d: str) -> DataFrame:

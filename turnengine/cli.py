@@ -13,7 +13,7 @@ from turnengine.sinks import files as sinks
 from turnengine.sinks.buckets import BucketStore
 from turnengine.sources import files, workbook
 from turnengine.sources.chat import ChatBackend
-from turnengine.storage import materialize
+from turnengine.storage import materialize, measured
 
 
 def parser() -> argparse.ArgumentParser:
@@ -47,21 +47,22 @@ def _flat(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("ord", F.struct("conv_ord", "turn_ord"))
 
 
-def _examples(rows: DataFrame, n: int, what: str) -> None:
+def _examples(rows: DataFrame, n: int, what: str, total: int | None = None) -> None:
     """The first n rows of a check that only warns, and how many there are."""
-    total = rows.count()
+    total = rows.count() if total is None else total
     if total:
         print(f"{what}: {total}")
         for r in rows.orderBy(*align.KEY).limit(n).collect():
             print("  " + " | ".join(map(str, r)))
 
 
-def merge_lines(final: DataFrame, rule: str, n: int) -> list[str]:
-    """Console summary of a merge: totals, shares of either source, and the riskiest kept drafts."""
-    counts, per = merge.source_counts(final).first(), final.groupBy("conversazione").count().orderBy("conversazione").limit(20).collect()
+def merge_lines(final: DataFrame, counts: dict, rule: str, n: int) -> list[str]:
+    """Console summary of a merge: totals, shares of either source, and the riskiest kept drafts. counts: what was seen when
+    final was written (source_aggregates, kept_apart)."""
+    per = final.groupBy("conversazione").count().orderBy("conversazione").limit(20).collect()
     lines = [f"turns: {counts['total']} ({', '.join(f'{r[0]} {r[1]}' for r in per)})", f"rule: {rule}"]
     lines += [f"  from {s}: {counts[s]} ({counts[f'{s}_pct'] or 0:.1f}%)" for s in (merge.GOLDEN, merge.DRAFT)]
-    if apart := merge.kept_apart(final).count():
+    if apart := counts["kept_apart"]:
         lines.append(f"kept drafts that differ from the golden text: {apart}; the most distant:")
         for r in merge.riskiest(final, n).collect():
             lines += [f"  [{r['conversazione']} t{r['turn_index']}] {r['similarita']:.1f}%", f"     kept: {r['gemma']}", f"     left: {r['golden']}"]
@@ -138,27 +139,35 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         if a.bertscore:
             bertscore.require()
         draft, golden = _flat(spark, a.draft), _flat(spark, a.golden)
-        pairs = align.align_pairs(draft, golden, _codes(spark, draft, a.only))
+        asked = _codes(spark, draft, a.only)
+        aligned, seen = measured(align.align_all(draft, golden), "aligned", **align.alignment_counts())
+        pairs = align.pairs_of(aligned, asked)
         pairs = align.first_pairs(pairs, a.limit) if a.limit else pairs
-        if pairs.isEmpty():
+        if not seen["pairs"] or pairs.isEmpty():
             raise EngineError("no aligned turns")
         pairs = bertscore.add_bertscore(pairs, a.bert_model, a.bert_batch) if a.bertscore else pairs
-        scored = metrics.decisions(pairs, a.threshold, a.chrf_word_order, F.col("bertscore") if a.bertscore else None).cache()
-        checks = [*zip(("draft only", "golden only"), align.misaligned(draft, golden), strict=True), ("source text differs", align.source_mismatch(pairs).select(*align.KEY))]
-        warned = [f"{what} {r['conversazione']} {r['turn_index']}" for what, rows in checks for r in rows.orderBy(*align.KEY).limit(sinks.SHOWN).collect()]
-        n_warned = sum(rows.count() for _, rows in checks)
+        decided = metrics.decisions(pairs, a.threshold, a.chrf_word_order, F.col("bertscore") if a.bertscore else None, keep_counts=True)
+        scored, summary, corpus = metrics.written_scores(decided, a.chrf_word_order)
+        differing = align.source_mismatch(pairs).select(*align.KEY)
+        n_differing = seen["source_differs"] if asked is None and not a.limit else differing.count()
+        checks = zip(("draft only", "golden only", "source text differs"), (*align.misaligned_of(aligned), differing), (seen["draft_only"], seen["golden_only"], n_differing), strict=True)
+        warned, n_warned = [], 0
+        for what, rows, n in checks:
+            n_warned += n
+            warned += [f"{what} {r['conversazione']} {r['turn_index']}" for r in rows.orderBy(*align.KEY).limit(sinks.SHOWN).collect()] if n else []
         about = sinks.About(a.draft, a.golden, a.threshold, a.chrf_word_order, a.bert_model if a.bertscore else None)
-        print("\n".join(sinks.write_report(scored, metrics.score_summary(scored), metrics.corpus_scores(pairs, a.chrf_word_order), about, warned, a.out, n_warned)))
+        print("\n".join(sinks.write_report(scored, summary, corpus, about, warned, a.out, n_warned)))
         sinks.write_scores(scored, a.csv)
     elif a.command == "merge":
         samples, structure, decided = files.read_samples(spark, a.structure), _flat(spark, a.structure), files.read_decisions(spark, a.decisions)
-        final = merge.merge(structure.drop("ord"), decided, a.threshold, a.golden_only).cache()
+        final, seen = measured(merge.merge(structure.drop("ord"), decided, a.threshold, a.golden_only), "final", **merge.source_aggregates(), kept_apart=F.count_if(merge.is_kept_apart()), mismatched=F.count_if(merge.is_mismatched()))
         _examples(merge.undecided(structure, decided), 5, "turns without a decision, left out")
-        _examples(merge.merged_mismatch(final), 5, "source texts that differ from the scored ones")
+        if seen["mismatched"]:
+            _examples(merge.merged_mismatch(final), 5, "source texts that differ from the scored ones", seen["mismatched"])
         sinks.write_final(final, f"{a.out}.csv", not a.no_source)
         sinks.write_samples(merge.regroup(samples, final.drop("note") if not a.no_source else final.drop("note", "fonte")), f"{a.out}.json")
         rule = "always golden" if a.golden_only else "the decisions' own" if a.threshold is None else f"golden below {a.threshold}"
-        print("\n".join(merge_lines(final, rule, a.preview)))
+        print("\n".join(merge_lines(final, seen, rule, a.preview)))
 
 
 def main(argv: list[str] | None = None) -> None:

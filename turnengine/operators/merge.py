@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnengine.functions.text import null_to_empty
@@ -42,13 +42,23 @@ def undecided(structure: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def merged_mismatch(final: DataFrame) -> DataFrame:
     """Merged turns whose source text differs from the one that was scored; they are kept."""
-    return final.where(~null_to_empty(F.col("italiano")).eqNullSafe(null_to_empty(F.col("decided_italiano")))).select(*KEY, "italiano", "decided_italiano")
+    return final.where(is_mismatched()).select(*KEY, "italiano", "decided_italiano")
 
 
-def source_counts(final: DataFrame) -> DataFrame:
-    """One row: total, and count and percentage of either source (null percentages on an empty merge)."""
+def is_mismatched() -> Column:
+    return ~null_to_empty(F.col("italiano")).eqNullSafe(null_to_empty(F.col("decided_italiano")))
+
+
+def source_aggregates() -> dict[str, Column]:
+    """Of a merge: total, and count and percentage of either source (null percentages on an empty one)."""
     n = F.count("*")
-    return final.agg(n.alias("total"), *[x for s in (GOLDEN, DRAFT) for x in (F.count_if(F.col("fonte") == s).alias(s), F.try_divide(F.count_if(F.col("fonte") == s) * 100.0, n).alias(f"{s}_pct"))])
+    per = {s: F.count_if(F.col("fonte") == s) for s in (GOLDEN, DRAFT)}
+    return {"total": n} | {k: v for s, c in per.items() for k, v in ((s, c), (f"{s}_pct", F.try_divide(c * 100.0, n)))}
+
+
+def source_counts(final: DataFrame) -> DataFrame:
+    """One row of source_aggregates."""
+    return final.agg(*[c.alias(n) for n, c in source_aggregates().items()])
 
 
 def all_conversations(structure: DataFrame, final: DataFrame) -> DataFrame:
@@ -66,7 +76,11 @@ def regroup(samples: DataFrame, final: DataFrame) -> DataFrame:
 
 def kept_apart(final: DataFrame) -> DataFrame:
     """Kept drafts that differ from the golden text."""
-    return final.where((F.col("fonte") == DRAFT) & (F.col("gemma") != F.col("golden")))
+    return final.where(is_kept_apart())
+
+
+def is_kept_apart() -> Column:
+    return (F.col("fonte") == DRAFT) & (F.col("gemma") != F.col("golden"))
 
 
 def riskiest(final: DataFrame, n: int = 10) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnengine.functions.text import tokens_13a, words, words_chrf
-from turnengine.operators.align import KEY
+from turnengine.storage import measured
 
 CHAR_ORDER, BLEU_ORDER, BETA = 6, 4, 2.0
 #: Weights of the composite, in the order they are added up (fixed values).
@@ -167,14 +167,7 @@ def similarity(chrf: Column, bleu: Column, rouge: Column, bertscore: Column | No
 
 
 def score_pairs(pairs: DataFrame, word_order: int = 0) -> DataFrame:
-    """pairs with count arrays c_chrf, c_words (chrF++ only), c_bleu, c_rouge.
-
-    Counting is work for the processor, not for the network: pairs are dealt to all cores, where few bytes would
-    otherwise be merged into few tasks.
-    """
-    if set(KEY) <= set(pairs.columns):
-        spark = pairs.sparkSession
-        pairs = pairs.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *KEY)
+    """pairs with count arrays c_chrf, c_words (chrF++ only), c_bleu, c_rouge; no shuffle: pairs stay where they are."""
     hyp, ref = F.col("gemma"), F.col("golden")
     counts = chrf_counts(hyp, ref, word_order)
     out = pairs.withColumn("c_chrf", counts[0])
@@ -183,35 +176,61 @@ def score_pairs(pairs: DataFrame, word_order: int = 0) -> DataFrame:
     return out.withColumn("c_bleu", bleu_counts(hyp, ref)).withColumn("c_rouge", lcs_counts(words(hyp), words(ref)))
 
 
-def sentence_scores(pairs: DataFrame, word_order: int = 0) -> DataFrame:
-    """pairs with chrf, bleu, rouge; 0 where either side is empty."""
+def sentence_scores(pairs: DataFrame, word_order: int = 0, keep_counts: bool = False) -> DataFrame:
+    """pairs with chrf, bleu, rouge; 0 where either side is empty. keep_counts: and the count arrays."""
     scored = score_pairs(pairs, word_order)
     both = (F.col("gemma") != "") & (F.col("golden") != "")
     chrf = chrf_score(F.col("c_chrf"), *([F.col("c_words")] if word_order == 2 else []))
     values = {"chrf": chrf, "bleu": bleu_score(F.col("c_bleu"), True), "rouge": rouge_score(F.col("c_rouge"))}
-    return scored.withColumns({k: F.when(both, v).otherwise(0.0) for k, v in values.items()}).drop("c_chrf", "c_words", "c_bleu", "c_rouge")
+    out = scored.withColumns({k: F.when(both, v).otherwise(0.0) for k, v in values.items()})
+    return out if keep_counts else out.drop("c_chrf", "c_words", "c_bleu", "c_rouge")
 
 
-def decisions(pairs: DataFrame, threshold: float = THRESHOLD, word_order: int = 0, bertscore: Column | None = None) -> DataFrame:
+def decisions(pairs: DataFrame, threshold: float = THRESHOLD, word_order: int = 0, bertscore: Column | None = None, keep_counts: bool = False) -> DataFrame:
     """sentence_scores with similarita and sostituire (similarity below threshold, not rounded)."""
-    scored = sentence_scores(pairs, word_order)
+    scored = sentence_scores(pairs, word_order, keep_counts)
     scored = scored.withColumn("bertscore", bertscore if bertscore is not None else F.lit(0.0))
     value = similarity(F.col("chrf"), F.col("bleu"), F.col("rouge"), F.col("bertscore") if bertscore is not None else None)
     return scored.withColumn("similarita", value).withColumn("sostituire", F.col("similarita") < F.lit(float(threshold)))
 
 
+def _sizes(word_order: int) -> dict[str, int]:
+    return {"c_chrf": 3 * CHAR_ORDER, "c_bleu": 3 * BLEU_ORDER + 2} | ({"c_words": 6} if word_order == 2 else {})
+
+
+def _corpus_of(total: DataFrame, word_order: int) -> DataFrame:
+    return total.select(chrf_score(F.col("c_chrf"), *([F.col("c_words")] if word_order == 2 else [])).alias("corpus_chrf"), bleu_score(F.col("c_bleu"), False).alias("corpus_bleu"))
+
+
 def corpus_scores(pairs: DataFrame, word_order: int = 0) -> DataFrame:
     """One row: corpus chrF and BLEU of counts summed over all pairs, empty ones included."""
-    scored = score_pairs(pairs, word_order)
-    sums = {"c_chrf": 3 * CHAR_ORDER, "c_bleu": 3 * BLEU_ORDER + 2} | ({"c_words": 6} if word_order == 2 else {})
-    total = scored.agg(*[F.array(*[F.coalesce(F.sum(F.col(c)[i]), F.lit(0)) for i in range(n)]).alias(c) for c, n in sums.items()])
-    return total.select(chrf_score(F.col("c_chrf"), *([F.col("c_words")] if word_order == 2 else [])).alias("corpus_chrf"), bleu_score(F.col("c_bleu"), False).alias("corpus_bleu"))
+    total = score_pairs(pairs, word_order).agg(*[F.array(*[F.coalesce(F.sum(F.col(c)[i]), F.lit(0)) for i in range(n)]).alias(c) for c, n in _sizes(word_order).items()])
+    return _corpus_of(total, word_order)
+
+
+_MEANS = ("chrf", "bleu", "rouge", "similarita", "bertscore")
+
+
+def _summary() -> dict[str, Column]:
+    counts = {"pairs": F.count("*"), "to_replace": F.count_if("sostituire"), "identical": F.count_if(F.col("similarita") >= IDENTICAL)}
+    return counts | {f"mean_{c}": F.avg(c) for c in _MEANS}
 
 
 def score_summary(scored: DataFrame) -> DataFrame:
     """One row: pairs, to_replace, identical, and the mean of every score (zeros included)."""
-    means = [F.avg(c).alias(f"mean_{c}") for c in ("chrf", "bleu", "rouge", "similarita", "bertscore")]
-    return scored.agg(F.count("*").alias("pairs"), F.count_if("sostituire").alias("to_replace"), F.count_if(F.col("similarita") >= IDENTICAL).alias("identical"), *means)
+    return scored.agg(*[c.alias(n) for n, c in _summary().items()])
+
+
+def written_scores(scored: DataFrame, word_order: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(table, score_summary, corpus_scores) of decisions with keep_counts: both summaries are observed in the pass that
+    scores the pairs and writes them, so nothing is scored or read again for them."""
+    sizes = _sizes(word_order)
+    sums = {f"{c}_{i}": F.sum(F.col(c)[i]) for c, n in sizes.items() for i in range(n)}
+    table, seen = measured(scored, "scores", **_summary(), **sums)
+    spark = scored.sparkSession
+    head = spark.createDataFrame([tuple(seen[n] for n in _summary())], ", ".join(f"{n} {'long' if not n.startswith('mean') else 'double'}" for n in _summary()))
+    total = spark.createDataFrame([tuple([seen[f"{c}_{i}"] or 0 for i in range(n)] for c, n in sizes.items())], ", ".join(f"{c} array<long>" for c in sizes))
+    return table.drop("c_chrf", "c_words", "c_bleu", "c_rouge"), head, _corpus_of(total, word_order)
 
 
 def greedy_match(vectors: DataFrame) -> DataFrame:

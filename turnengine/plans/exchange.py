@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 
 from turnengine import cli
 from turnengine.functions.text import null_to_empty
-from turnengine.operators import build, merge, metrics, quality, translate
+from turnengine.operators import align, build, merge, metrics, quality, translate
 from turnengine.plans import adapters as data
 from turnengine.schema import FLAT_COLUMNS, FINAL_COLUMNS, EngineError
 from turnengine.sinks import files as sinks
 from turnengine.sinks.buckets import BucketStore
 from turnengine.sources import files, workbook
-from turnengine.storage import shared_dir
+from turnengine.storage import measured, shared_dir
 from turnengine.streaming import translate as translate_stream
 
 
@@ -116,11 +116,14 @@ def score_file(spark: SparkSession, scored: DataFrame) -> DataFrame:
     return files.read_decisions(spark, f"{path}/scores.csv").drop("ord")
 
 
-def report_file(spark: SparkSession, pairs: DataFrame, scored: DataFrame, warnings: list[str], n_warnings: int) -> DataFrame:
-    """The paragraphs of a report."""
+def report_file(spark: SparkSession, draft: DataFrame, golden: DataFrame) -> DataFrame:
+    """The paragraphs of a report: alignment written once, scores written once, and what both passes saw."""
     path = folder(spark)
     about = sinks.About("draft.json", "golden.json", metrics.THRESHOLD)
-    sinks.write_report(scored, metrics.score_summary(scored), metrics.corpus_scores(pairs), about, warnings, f"{path}/report.txt", n_warnings)
+    aligned, seen = measured(align.align_all(draft, golden), "aligned", **align.alignment_counts())
+    scored, summary, corpus = metrics.written_scores(metrics.decisions(align.pairs_of(aligned), keep_counts=True))
+    warned = [f"draft only {r['conversazione']} {r['turn_index']}" for r in align.misaligned_of(aligned)[0].orderBy(*align.KEY).limit(sinks.SHOWN).collect()]
+    sinks.write_report(scored, summary, corpus, about, warned, f"{path}/report.txt", seen["draft_only"])
     return spark.read.text(f"{path}/report.txt", lineSep="\n\n").select(F.rtrim("value", F.lit("\n")).alias("paragraph"))
 
 

@@ -9,7 +9,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,6 +55,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return back
 
 
+def measured(df: DataFrame, tag: str, **aggregates: Column) -> tuple[DataFrame, dict]:
+    """materialize(), and aggregates of df taken in the pass that writes it."""
+    seen = Observation(f"{tag}-{uuid.uuid4().hex}")
+    return materialize(df.observe(seen, *[c.alias(n) for n, c in aggregates.items()]), tag), seen.get
+
+
 def drop_materialized(df: DataFrame) -> None:
     """Delete a table of materialize() that nothing reads any more."""
     path = getattr(df, "_turnengine_path", None)
