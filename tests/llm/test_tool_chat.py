@@ -68,6 +68,33 @@ def test_arguments_and_canonical_json(spark):
     assert calls["u"].arg_errors == "unknown_tool"
 
 
+def test_field_names_nested_schemas_and_whole_numbers(spark):
+    point = {"type": "object", "fields": {"x": ("number", True), "tag.s": ({"type": "string", "enum": ["a", "b c"]}, False)}}
+    tool = {"t": {
+        "user.name": ("string", True), "it's \"q\"?": ("integer", False), "n": ({"type": "integer", "min": 0, "max": 10}, False), "mode": ({"type": "string", "enum": ["on", "off"]}, False),
+        "points": ({"type": "array", "items": point}, False), "grid": ({"type": "array", "items": {"type": "array", "items": "integer"}}, False),
+    }}
+    cases = [
+        ({"user.name": "x"}, ""), ({"user": {"name": "x"}}, "missing:user.name,unknown:user"), ({"user.name": 1}, "type:user.name"), ({"user.name": "x", "it's \"q\"?": 3}, ""), ({"user.name": "x", "it's \"q\"?": "3"}, "type:it's \"q\"?"),
+        ('{"user.name": "x", "n": 1.0}', ""), ('{"user.name": "x", "n": 1e1}', ""), ('{"user.name": "x", "n": 1.5}', "type:n"), ({"user.name": "x", "n": 11}, "range:n"), ({"user.name": "x", "n": -1}, "range:n"), ({"user.name": "x", "n": 10}, ""),
+        ({"user.name": "x", "mode": "on"}, ""), ({"user.name": "x", "mode": "ON"}, "enum:mode"), ({"user.name": "x", "mode": None}, "type:mode"),
+        ({"user.name": "x", "points": []}, ""), ({"user.name": "x", "points": [{"x": 1}, {"x": 2.5, "tag.s": "b c"}]}, ""),
+        ({"user.name": "x", "points": [{"x": 1}, {"tag.s": "c"}, 7, {"x": "1", "y": 0}]}, "enum:points[].tag.s,missing:points[].x,type:points[],type:points[].x,unknown:points[].y"),
+        ({"user.name": "x", "grid": [[1, 2], [3.0]]}, ""), ({"user.name": "x", "grid": [[1], ["2"], 3]}, "type:grid[],type:grid[][]"),
+    ]
+    texts = [c if isinstance(c, str) else json.dumps(c) for c, _ in cases]
+    rows = link(spark, [(1, 0, "assistant", "", [call(str(k), "t", text) for k, text in enumerate(texts)], None)], tool)
+    found = {r.call_id: r for r in rows if r.node == "call"}
+    assert [found[str(k)].arg_errors for k in range(len(cases))] == [errors for _, errors in cases]
+    assert '{"n":1,"user.name":"x"}' in found["5"].canonical  # what is valid as an integer is written as one
+
+
+def test_rows_that_repeat_are_repeats(spark):
+    rows = [(1, 0, "assistant", "", [call("a"), call("a")], None)] * 3 + [(1, 1, "tool", "r", None, "a")] * 2
+    status = sorted((r.node, r.status) for r in link(spark, rows))
+    assert status == [("call", "linked")] + [("call", "repeated")] * 5 + [("message", "plain")] * 3 + [("result", "linked"), ("result", "repeated")]
+
+
 def test_levels_against_plain_search(spark):
     """Random graphs with chains, several dependencies and cycles, one long chain, and a very long text."""
     rng = random.Random(3)

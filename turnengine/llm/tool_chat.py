@@ -13,25 +13,32 @@ call a message answers, or null). Each message, call and result becomes a node:
   as many rounds as such calls on a path. What never resolves lies on or behind a cycle and is marked. There is no
   per-conversation task: a conversation of any length is spread over the cluster.
 - Arguments are parsed as JSON and checked against the tool's schema: an object, no field missing, none unknown, each
-  of its type. canonical is the node as compact JSON with keys in order and characters unescaped where JSON allows.
+  of its type, among its values, within its range, and so on into elements and fields. Whole numbers are integers however
+  they are written, as the canonical form writes them. canonical is the node as compact JSON with keys in order and characters unescaped where JSON allows.
 
 Defined cases: null content is an empty string, very long content is one string; a call without identifier cannot be
 linked; a null or malformed argument string, or one with anything but white space behind its object, is not an object;
 one that repeats a key is a duplicate_key (deeper down: not an object); the canonical form of these holds the raw
 string; a dependency on an unknown call is
 marked and ignored; a null conv_id is a conversation of its own; repeated messages are repeats of their calls and
-results; an empty table gives no rows; extra columns are not read.
+results, also where turn and place repeat (one row of equals is taken as the first); an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnengine.llm.common import drop_materialized, materialize
 
-#: Tool name: {field: (type, required)}; types are string, integer, number, boolean, array, object.
-Schemas = dict[str, dict[str, tuple[str, bool]]]
+#: A type (string, integer, number, boolean, array, object), or {type, enum: values, min, max, items: spec of every element,
+#: fields: those of an object}.
+Spec = str | dict
+#: Field: (spec, whether it is required), and those of each tool by its name.
+Fields = dict[str, tuple[Spec, bool]]
+Schemas = dict[str, Fields]
 
 _TYPES = {"string": "STRING", "integer": "BIGINT", "number": "(BIGINT|DOUBLE|DECIMAL.*|FLOAT)", "boolean": "BOOLEAN", "array": "ARRAY<.*", "object": "OBJECT<.*"}
 
@@ -61,24 +68,66 @@ def parse_arguments(arguments: Column) -> Column:
     return F.when(F.try_variant_get(both, "$[1]", "string") == seal, F.try_variant_get(both, "$[0]", "variant"))
 
 
+def _as(value: Column, kind: str) -> Column:
+    return F.try_variant_get(value, "$", kind)
+
+
+def _has_type(value: Column, kind: str) -> Column:
+    """Whether a variant is of a type. A number whose value is whole is an integer, however it is written (1.0, 1e3)."""
+    schema = F.schema_of_variant(value)
+    if kind == "integer":
+        number = _as(value, "double")
+        return F.coalesce(schema.rlike(f"^{_TYPES['integer']}$") | (schema.rlike(f"^{_TYPES['number']}$") & (number == F.floor(number))), F.lit(False))
+    return F.coalesce(schema.rlike(f"^{_TYPES[kind]}$"), F.lit(False))
+
+
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _value_errors(value: Column, spec: Spec, path: str) -> Column:
+    """Array of errors of a value: type, and if that is right enum, range, and those of items and fields."""
+    spec = {"type": spec} if isinstance(spec, str) else spec
+    deeper: list[Column] = []
+    if "enum" in spec:
+        allowed = [json.dumps(v, ensure_ascii=False, sort_keys=True, separators=(",", ":")) for v in spec["enum"]]
+        deeper.append(F.when(~F.to_json(value).isin(allowed), F.array(F.lit(f"enum:{path}"))))
+    low, high, number = spec.get("min"), spec.get("max"), _as(value, "double")
+    if low is not None or high is not None:
+        out = (number < low if low is not None else F.lit(False)) | (number > high if high is not None else F.lit(False))
+        deeper.append(F.when(F.coalesce(out, F.lit(False)), F.array(F.lit(f"range:{path}"))))
+    if "items" in spec:
+        each = F.transform(_as(value, "array<variant>"), lambda v: _value_errors(v, spec["items"], f"{path}[]"))
+        deeper.append(F.array_sort(F.array_distinct(F.flatten(each))))
+    if "fields" in spec:
+        deeper.append(_field_errors(value, F.json_object_keys(F.to_json(value)), spec["fields"], f"{path}."))
+    if not deeper:
+        return F.when(_has_type(value, spec["type"]), _none()).otherwise(F.array(F.lit(f"type:{path}")))
+    found = F.concat(*[F.coalesce(d.cast("array<string>"), _none()) for d in deeper])
+    return F.when(_has_type(value, spec["type"]), found).otherwise(F.array(F.lit(f"type:{path}")))
+
+
+def _field_errors(value: Column, keys: Column, fields: Fields, at: str = "") -> Column:
+    """Array of errors of an object's fields, in their order, then the unknown ones. Fields are looked up by name in a map, so
+    any name will do."""
+    values, errors = _as(value, "map<string,variant>"), []
+    for field, (spec, required) in sorted(fields.items()):
+        has = F.array_contains(keys, F.lit(field))
+        errors.append(F.when(has, _value_errors(F.try_element_at(values, F.lit(field)), spec, at + field)).otherwise(F.array(F.lit(f"missing:{at}{field}")) if required else _none()))
+    known = F.array(*[F.lit(f) for f in sorted(fields)]).cast("array<string>")
+    return F.concat(*errors, F.transform(F.array_sort(F.array_except(keys, known)), lambda k: F.concat(F.lit(f"unknown:{at}"), k)))
+
+
 def argument_errors(name: Column, arguments: Column, schemas: Schemas, parsed: Column) -> Column:
-    """Array of errors of a call's arguments: unknown_tool, not_an_object, duplicate_key, missing:f, type:f, unknown:f.
+    """Array of errors of a call's arguments: unknown_tool, not_an_object, duplicate_key, or, by field, missing:f, type:f,
+    enum:f, range:f, unknown:f; fields of objects are named f.g, elements of arrays f[].
 
     parsed: parse_arguments(arguments).
     """
     keys = F.json_object_keys(arguments)
     found = F.when(F.size(keys) > F.size(F.array_distinct(keys)), F.array(F.lit("duplicate_key"))).when(keys.isNull() | parsed.isNull(), F.array(F.lit("not_an_object")))
     for tool, fields in sorted(schemas.items()):
-        errors = []
-        for field, (kind, required) in sorted(fields.items()):
-            has = F.array_contains(keys, field)
-            value = F.schema_of_variant(F.try_variant_get(parsed, f"$.{field}", "variant"))
-            errors.append(F.when(has & ~F.coalesce(value.rlike(f"^{_TYPES[kind]}$"), F.lit(False)), F.lit(f"type:{field}")))
-            if required:
-                errors.append(F.when(~has, F.lit(f"missing:{field}")))
-        known = F.array(*[F.lit(f) for f in sorted(fields)]).cast("array<string>")
-        unknown = F.transform(F.array_sort(F.array_except(keys, known)), lambda k: F.concat(F.lit("unknown:"), k))
-        found = found.when(name == tool, F.concat(F.array_compact(F.array(*errors).cast("array<string>")), unknown))
+        found = found.when(name == tool, _field_errors(parsed, keys, fields))
     return found.otherwise(F.array(F.lit("unknown_tool")))
 
 
@@ -168,12 +217,13 @@ def link_tool_calls(messages: DataFrame, schemas: Schemas) -> DataFrame:
     unknown; of results linked, no_call, repeated.
     """
     conv = F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))
-    base = messages.select("conv_id", conv.alias("conv"), F.col("turn").cast("bigint").alias("turn"), "role", F.coalesce("content", F.lit("")).alias("content"), "calls", "result_of")
-    calls = base.select("conv_id", "conv", "turn", F.posexplode("calls").alias("place", "call")).select("conv_id", "conv", "turn", "place", "call.*")
+    # written once, so that a row is known by its number wherever it is used
+    base = materialize(messages.select(F.monotonically_increasing_id().alias("row"), "conv_id", conv.alias("conv"), F.col("turn").cast("bigint").alias("turn"), "role", F.coalesce("content", F.lit("")).alias("content"), "calls", "result_of"), "messages")
+    calls = base.select("row", "conv_id", "conv", "turn", F.posexplode("calls").alias("place", "call")).select("row", "conv_id", "conv", "turn", "place", "call.*")
     results = base.where("result_of is not null")
-    first_call = calls.where("call_id is not null").groupBy("conv", "call_id").agg(F.min(F.struct("turn", "place", "arguments", "name", F.coalesce("depends_on", F.array().cast("array<string>")).alias("depends_on"))).alias("f"), F.count("*").alias("n_calls"))
-    first_result = results.groupBy("conv", F.col("result_of").alias("call_id")).agg(F.min("turn").alias("result_turn"))
-    linked = materialize(first_call.join(first_result.hint("shuffle_hash"), ["conv", "call_id"], "left").select("conv", "call_id", F.col("f.turn").alias("call_turn"), F.col("f.place").alias("call_place"), F.col("f.depends_on").alias("depends_on"), "result_turn"), "calls-linked")
+    first_call = calls.where("call_id is not null").groupBy("conv", "call_id").agg(F.min(F.struct("turn", "place", "row", "arguments", "name", F.coalesce("depends_on", F.array().cast("array<string>")).alias("depends_on"))).alias("f"), F.count("*").alias("n_calls"))
+    first_result = results.groupBy("conv", F.col("result_of").alias("call_id")).agg(F.min(F.struct("turn", "row")).alias("r")).select("conv", "call_id", F.col("r.turn").alias("result_turn"), F.col("r.row").alias("result_row"))
+    linked = materialize(first_call.join(first_result.hint("shuffle_hash"), ["conv", "call_id"], "left").select("conv", "call_id", F.col("f.turn").alias("call_turn"), F.col("f.place").alias("call_place"), F.col("f.row").alias("call_row"), F.col("f.depends_on").alias("depends_on"), "result_turn", "result_row"), "calls-linked")
     levels = _levels(linked)
     known = materialize(linked.drop("depends_on").join(levels, ["conv", "call_id"]), "calls-known")
     drop_materialized(levels)
@@ -184,7 +234,7 @@ def link_tool_calls(messages: DataFrame, schemas: Schemas) -> DataFrame:
 
     errors = argument_errors(F.col("name"), F.col("arguments"), schemas, F.col("parsed"))
     arguments = F.when(F.col("parsed").isNotNull(), F.to_json("parsed")).otherwise(json_string(F.col("arguments")))
-    is_first = (F.col("turn") == F.col("call_turn")) & (F.col("place") == F.col("call_place"))
+    is_first = (F.col("row") == F.col("call_row")) & (F.col("place") == F.col("call_place"))
     call_status = (
         F.when(F.col("call_id").isNull(), "no_id").when(~is_first, "repeated").when(F.col("level").isNull(), "cycle").when(F.col("lost") > 0, "lost_dependency").when(F.col("result_turn").isNull(), "no_result").otherwise("linked")
     )
@@ -196,7 +246,7 @@ def link_tool_calls(messages: DataFrame, schemas: Schemas) -> DataFrame:
     )
     has_call = F.col("call_turn").isNotNull()
     result_rows = results.withColumnRenamed("result_of", "call_id").join(known.hint("shuffle_hash"), ["conv", "call_id"], "left").select(
-        "conv_id", "turn", F.lit(-1).alias("place"), F.lit("result").alias("node"), "call_id", F.when(~has_call, "no_call").when(F.col("turn") != F.col("result_turn"), "repeated").otherwise("linked").alias("status"), no.cast("boolean").alias("args_valid"), no.cast("string").alias("arg_errors"),
+        "conv_id", "turn", F.lit(-1).alias("place"), F.lit("result").alias("node"), "call_id", F.when(~has_call, "no_call").when(F.col("row") != F.col("result_row"), "repeated").otherwise("linked").alias("status"), no.cast("boolean").alias("args_valid"), no.cast("string").alias("arg_errors"),
         F.greatest("turn", F.coalesce("reach", "call_turn", "turn")).alias("topo_turn"), F.coalesce(F.col("level") + 1, F.when(has_call, F.lit(1)).otherwise(F.lit(0))).alias("topo_level"),
         json_object({"content": json_string(F.col("content")), "id": json_string(F.col("call_id")), "role": F.lit('"tool"'), "type": F.lit('"result"')}).alias("canonical"),
     )
