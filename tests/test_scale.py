@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from turnengine import shipping
 from turnengine.functions.ordinal import with_ordinal
-from turnengine.operators import build, quality
+from turnengine.functions import sequence
+from turnengine.operators import build, quality, translate
 
 
 @pytest.mark.parametrize("rows", [5_000_000, 0, 1])
@@ -53,3 +54,41 @@ def test_executors_elsewhere_always_get_the_package(monkeypatch, master, ships):
         import zipfile
 
         assert "turnengine/functions/ordinal.py" in zipfile.ZipFile(sent[0]).namelist()
+
+
+def test_a_hot_conversation_is_spread_over_tasks(spark, monkeypatch):
+    n = 1_000_000
+    turns = spark.range(n + 300).select(
+        F.when(F.col("id") < n, "hot").when(F.col("id") % 3 > 0, F.concat(F.lit("c"), F.col("id") % 7)).alias("conversazione"), (F.col("id") * 7_919 % 1_000_003).alias("turn_ord"), F.lit("A").alias("speaker"), F.col("id").cast("string").alias("italiano"), F.lit("").alias("napoletano"),
+    )
+    for key, value in (("spark.sql.shuffle.partitions", 16), ("spark.sql.adaptive.coalescePartitions.enabled", "false")):
+        spark.conf.set(key, value)
+    try:
+        told = translate.context_window(turns)
+        tasks = told.where("conversazione = 'hot'").groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.sum(F.size("context")).alias("shown")).collect()
+        assert len(tasks) >= 8 and max(r["n"] for r in tasks) < n / 3 and sum(r["shown"] for r in tasks) == 4 * n - 10
+        digest = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("conversazione", "turn_ord", F.to_json("context")).cast("decimal(38,0)"))).first()
+        spread = digest(told)
+        numbers = sequence.number_within(turns, "conversazione", ["turn_ord"], "i", sequence.hot_groups(turns, "conversazione"))
+        parts = numbers.where("conversazione = 'hot'").groupBy(F.spark_partition_id()).agg(F.sum("i")).count()
+        placed = numbers.agg(F.sum(F.xxhash64("conversazione", "turn_ord", "i").cast("decimal(38,0)"))).first()
+        monkeypatch.setattr(sequence, "HOT", 1 << 40)
+        assert digest(translate.context_window(turns)) == spread and spread[0] == n + 300
+        plain = sequence.number_within(turns, "conversazione", ["turn_ord"], "i", None)
+        assert plain.agg(F.sum(F.xxhash64("conversazione", "turn_ord", "i").cast("decimal(38,0)"))).first() == placed and parts >= 4
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_small_hot_limits_give_the_same_turns(spark, monkeypatch):
+    tokens = spark.range(900).select(F.concat(F.lit("c"), F.col("id") % 4).alias("conversazione"), F.col("id").alias("pos"), F.lit("S").alias("speaker"), (F.col("id") * 37 % 300).cast("string").alias("tu"), F.concat(F.lit("w"), "id").alias("form"), F.lit("linguistic").alias("type"), F.lit("none").alias("variation"), F.lit("_").alias("feats"))
+    meta = spark.createDataFrame([("c1", "r", "m", "l")], "code string, regione string, macro_regione string, languages string")
+    plain = sorted(map(tuple, build.build_turns(tokens, meta).collect()))
+    monkeypatch.setattr(sequence, "HOT", 200)
+    monkeypatch.setattr(sequence, "BLOCK", 7)
+    assert sorted(map(tuple, build.build_turns(tokens, meta).collect())) == plain
+    turns = build.build_turns(tokens, meta).withColumn("turn_ord", F.col("turn_index"))
+    spread = sorted(str(r) for r in translate.context_window(turns).collect())
+    monkeypatch.setattr(sequence, "HOT", 1 << 40)
+    assert sorted(str(r) for r in translate.context_window(turns).collect()) == spread

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnengine.functions.ordinal import with_ordinal
+from turnengine.functions.sequence import hot_groups, number_within
 from turnengine.functions.text import digits_or_zero, null_to_empty, strip_ws
 
 #: Token types that exclude their unit, and the one that makes text (fixed values).
@@ -61,8 +62,9 @@ def build_turns(tokens: DataFrame, meta: DataFrame, conversations: DataFrame | N
     asked = None if conversations is None else conversations.groupBy(F.col("code").alias("conversazione")).agg(F.min("conv_ord").alias("conv_ord"))
     if asked is not None:
         tokens = tokens.join(asked, "conversazione", "left_semi")
-    order = Window.partitionBy("conversazione").orderBy(digits_or_zero(F.col("tu_id")), "first_pos")
-    turns = kept_units(tokens).withColumn("turn_index", F.row_number().over(order))
+    # a conversation has no more units than tokens, which are cheaper to count
+    kept = kept_units(tokens).withColumn("_order", digits_or_zero(F.col("tu_id")))
+    turns = number_within(kept, "conversazione", ["_order", "first_pos"], "turn_index", hot_groups(tokens, "conversazione"))
     turns = add_metadata(turns, meta).select(
         "conversazione", "regione", "macro_regione", "languages", "turn_index", "tu_id", "speaker", F.col("text").alias("italiano"), F.lit("").alias("napoletano"), F.lit("").alias("note"),
     )

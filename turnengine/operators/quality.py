@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnengine.functions.ordinal import with_ordinal
+from turnengine.functions.sequence import hot_groups, number_within
 from turnengine.functions.text import null_to_empty
 from turnengine.schema import EngineError
 
@@ -62,8 +63,8 @@ def drift(turns: DataFrame, source: DataFrame) -> DataFrame:
 
 
 def _ith(turns: DataFrame, side: str) -> DataFrame:
-    order = Window.partitionBy("conversazione").orderBy("turn_ord")
-    return turns.select("conversazione", F.row_number().over(order).alias("i"), *[F.col(c).cast("string").alias(f"{side}_{c}") for c in FIELDS])
+    told = number_within(turns, "conversazione", ["turn_ord"], "i", hot_groups(turns, "conversazione"))
+    return told.select("conversazione", "i", *[F.col(c).cast("string").alias(f"{side}_{c}") for c in FIELDS])
 
 
 def verify(a: DataFrame, b: DataFrame) -> DataFrame:

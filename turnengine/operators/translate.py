@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnengine.functions.ordinal import running_sum
+from turnengine.functions.sequence import hot_groups, with_before
 from turnengine.functions.text import null_to_empty
 from turnengine.sinks.buckets import BucketStore
 from turnengine.storage import drop_materialized, materialize
@@ -26,8 +27,8 @@ def context_window(turns: DataFrame, n: int = CONTEXT) -> DataFrame:
     """turns (with turn_ord) plus context: the up to n turns before, by place in the conversation, in order."""
     if n <= 0:
         return turns.withColumn("context", F.array().cast("array<struct<speaker:string,italiano:string,napoletano:string>>"))
-    frame = Window.partitionBy("conversazione").orderBy("turn_ord").rowsBetween(-n, -1)
-    return turns.withColumn("context", F.collect_list(F.struct("speaker", "italiano", null_to_empty(F.col("napoletano")).alias("napoletano"))).over(frame))
+    shown = F.struct("speaker", "italiano", null_to_empty(F.col("napoletano")).alias("napoletano"))
+    return with_before(turns, "conversazione", ["turn_ord"], n, hot_groups(turns, "conversazione"), lambda rows, before: rows.withColumn("context", F.collect_list(shown).over(before)))
 
 
 def context_lines(context: Column) -> Column:
