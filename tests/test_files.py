@@ -113,13 +113,12 @@ def test_a_score_run_scores_every_pair_once(spark, tmp_path, monkeypatch):
     for name, shift in (("draft", 0), ("golden", 3)):
         (tmp_path / f"{name}.json").write_text(json.dumps([{"id": f"c{c}", "turni": [turn(i + shift, f"some words {i + shift}") for i in range(20)]} for c in range(5)]))
     scored = spark.sparkContext.accumulator(0)
-    counts = metrics._char_overlaps
+    sides, overlaps = metrics._characters, metrics._overlaps
 
     @F.pandas_udf("array<long>")
     def counting(hyp: pd.Series, ref: pd.Series) -> pd.Series:
         scored.add(len(hyp))
-        bare = [["".join((t or "").split()) for t in side] for side in (hyp, ref)]
-        return pd.Series(list(counts(*bare, 6)))
+        return pd.Series(list(overlaps(*[sides(["".join(t.split()) for t in side]) for side in (hyp, ref)], 6)))
 
     monkeypatch.setattr(metrics, "char_counts", counting)
     paths = {k: str(tmp_path / k) for k in ("draft.json", "golden.json", "report.txt", "scores.csv")}

@@ -1,7 +1,9 @@
 """Scores: identities, hand-made values and a plain implementation."""
 
 import random
+from collections import Counter
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -24,6 +26,16 @@ def test_lcs(a, b):
     assert metrics.lcs(a, b) == plain_lcs(a, b) == metrics.lcs(b, a)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.sampled_from("abc"), max_size=9), st.lists(st.sampled_from("abcd"), max_size=9)), min_size=1, max_size=6))
+def test_word_counts_of_a_batch(pairs):
+    lists = [pa.array(x, pa.list_(pa.string())) for x in zip(*pairs, strict=True)]
+    counted = metrics._overlaps(*metrics._words(*lists), 4)
+    for (a, b), found in zip(pairs, counted.tolist(), strict=True):
+        x, y = ([Counter(tuple(s[i : i + n]) for i in range(len(s) - n + 1)) for n in range(1, 5)] for s in (a, b))
+        assert found == [c.total() for c in x] + [c.total() for c in y] + [(c & d).total() for c, d in zip(x, y, strict=True)]
+
+
 def scores(spark, rows, **how):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, gemma string, golden string")
     return metrics.decisions(df, **how).orderBy("i").collect()

@@ -8,11 +8,11 @@ sentence and for sums over a corpus.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,23 +27,13 @@ WEIGHTS = {"chrf": 0.40, "bertscore": 0.30, "bleu": 0.15, "rouge": 0.15}
 THRESHOLD, IDENTICAL = 85.0, 99.995
 
 
-def _overlap(a, b, order: int) -> list[int]:  # noqa: ANN001
-    """n-gram counts of a, of b, and of both, for orders 1 to order; a and b are texts or lists."""
-    a, b = (a, b) if isinstance(a, str) else (tuple(a), tuple(b))
-    left, right, both = [], [], []
-    for n in range(1, order + 1):
-        x, y = (Counter(s[i : i + n] for i in range(len(s) - n + 1)) for s in (a, b))
-        left.append(x.total())
-        right.append(y.total())
-        both.append(sum(min(c, y[g]) for g, c in x.items() if g in y))
-    return left + right + both
-
-
-def _char_keys(texts: list[str], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order up to order: (keys, owners) of the n-grams of all texts; a key tells n-grams and owners apart."""
-    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    sizes = np.array([len(t) for t in texts], np.int64)
-    owner = np.repeat(np.arange(len(texts)), sizes)
+def _keys(codes: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order up to order: (keys, owners) of the n-grams of all texts; a key tells n-grams and owners apart.
+
+    codes: the numbers of all characters or words, text after text; sizes: how many each text has.
+    """
+    codes = codes.astype(np.uint64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
     place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     salt = (owner.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     rolled = np.zeros(len(codes), np.uint64)
@@ -56,42 +46,69 @@ def _char_keys(texts: list[str], order: int) -> Iterator[tuple[np.ndarray, np.nd
         yield (rolled ^ salt)[own], owner[own]
 
 
-def _char_overlaps(hyp: list[str], ref: list[str], order: int) -> np.ndarray:
-    """_overlap of every pair of a batch, by sorting the 64-bit hashes of their n-grams."""
-    out = np.zeros((len(hyp), 3 * order), np.int64)
-    for n, ((a, of_a), (b, of_b)) in enumerate(zip(_char_keys(hyp, order), _char_keys(ref, order), strict=True)):
+Side = tuple[np.ndarray, np.ndarray]
+
+
+def _overlaps(hyp: Side, ref: Side, order: int) -> np.ndarray:
+    """n-gram counts of hyp, of ref, and of both, for orders 1 to order, of every pair of a batch, by sorting the 64-bit hashes
+    of their n-grams. A side is (codes, sizes)."""
+    pairs = len(hyp[1])
+    out = np.zeros((pairs, 3 * order), np.int64)
+    for n, ((a, of_a), (b, of_b)) in enumerate(zip(_keys(*hyp, order), _keys(*ref, order), strict=True)):
         keys, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
         least = np.minimum(np.bincount(inverse[: len(a)], minlength=len(keys)), np.bincount(inverse[len(a) :], minlength=len(keys)))
         owner = np.zeros(len(keys), np.int64)
         owner[inverse] = np.concatenate([of_a, of_b])
-        for k, found in enumerate((np.bincount(of_a, minlength=len(hyp)), np.bincount(of_b, minlength=len(hyp)), np.bincount(owner, least, minlength=len(hyp)))):
+        for k, found in enumerate((np.bincount(of_a, minlength=pairs), np.bincount(of_b, minlength=pairs), np.bincount(owner, least, minlength=pairs))):
             out[:, n + k * order] = found
     return out
 
 
+def _characters(texts: list[str]) -> Side:
+    return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), np.array([len(t) for t in texts], np.int64)
+
+
+def _words(*sides: pa.Array) -> list[Side]:
+    """Lists of words as numbers, the same for the same word on every side."""
+    flat = pa.concat_arrays([s.flatten() for s in sides]).dictionary_encode()
+    codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    out = []
+    for s in sides:
+        sizes = pc.fill_null(pc.list_value_length(s), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        out.append((codes[: sizes.sum()], sizes))
+        codes = codes[sizes.sum() :]
+    return out
+
+
 _LONGS = T.ArrayType(T.LongType())
 
 
-@F.pandas_udf(_LONGS)
-def char_counts(hyp: pd.Series, ref: pd.Series) -> pd.Series:
+def _rows(counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * counts.shape[1]), pa.array(counts.ravel()))
+
+
+@F.arrow_udf(_LONGS)
+def char_counts(hyp: pa.Array, ref: pa.Array) -> pa.Array:
     """Character n-grams without white space: 6 counts of hyp, 6 of ref, 6 matches."""
-    bare = [["".join((t or "").split()) for t in side] for side in (hyp, ref)]
-    return pd.Series(list(_char_overlaps(*bare, CHAR_ORDER)))
+    bare = [_characters(["".join((t or "").split()) for t in side.to_pylist()]) for side in (hyp, ref)]
+    return _rows(_overlaps(*bare, CHAR_ORDER))
 
 
-@F.pandas_udf(_LONGS)
-def word_counts_2(hyp: pd.Series, ref: pd.Series) -> pd.Series:
-    return pd.Series([_overlap(h, r, 2) for h, r in zip(hyp, ref, strict=True)])
+@F.arrow_udf(_LONGS)
+def word_counts_2(hyp: pa.Array, ref: pa.Array) -> pa.Array:
+    return _rows(_overlaps(*_words(hyp, ref), 2))
 
 
-@F.pandas_udf(_LONGS)
-def word_counts_4(hyp: pd.Series, ref: pd.Series) -> pd.Series:
-    return pd.Series([_overlap(h, r, BLEU_ORDER) + [len(h), len(r)] for h, r in zip(hyp, ref, strict=True)])
+@F.arrow_udf(_LONGS)
+def word_counts_4(hyp: pa.Array, ref: pa.Array) -> pa.Array:
+    """Words up to four in a row, and the lengths."""
+    sides = _words(hyp, ref)
+    return _rows(np.column_stack([_overlaps(*sides, BLEU_ORDER), sides[0][1], sides[1][1]]))
 
 
-def lcs(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, by bit-parallel rows: one big-integer step per word of b."""
-    where: dict[str, int] = {}
+def lcs(a: list, b: list) -> int:
+    """Length of the longest common subsequence, by bit-parallel rows: one big-integer step per element of b."""
+    where: dict = {}
     for i, w in enumerate(a):
         where[w] = where.get(w, 0) | 1 << i
     full = (1 << len(a)) - 1
@@ -102,10 +119,13 @@ def lcs(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf(_LONGS)
-def lcs_counts(hyp: pd.Series, ref: pd.Series) -> pd.Series:
+@F.arrow_udf(_LONGS)
+def lcs_counts(hyp: pa.Array, ref: pa.Array) -> pa.Array:
     """Words of hyp, of ref, and of their longest common subsequence."""
-    return pd.Series([[len(h), len(r), lcs(list(h), list(r))] for h, r in zip(hyp, ref, strict=True)])
+    sides = _words(hyp, ref)
+    pieces = [np.split(codes, np.cumsum(sizes)[:-1]) for codes, sizes in sides]
+    common = [lcs(a.tolist(), b.tolist()) for a, b in zip(*pieces, strict=True)]
+    return _rows(np.column_stack([sides[0][1], sides[1][1], np.array(common, np.int64)]))
 
 
 def chrf_counts(hyp: Column, ref: Column, word_order: int = 0) -> list[Column]:
