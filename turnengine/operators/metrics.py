@@ -123,7 +123,7 @@ def lcs(a: list, b: list) -> int:
 def lcs_counts(hyp: pa.Array, ref: pa.Array) -> pa.Array:
     """Words of hyp, of ref, and of their longest common subsequence."""
     sides = _words(hyp, ref)
-    pieces = [np.split(codes, np.cumsum(sizes)[:-1]) for codes, sizes in sides]
+    pieces = [np.split(codes, np.cumsum(sizes))[:-1] for codes, sizes in sides]
     common = [lcs(a.tolist(), b.tolist()) for a, b in zip(*pieces, strict=True)]
     return _rows(np.column_stack([sides[0][1], sides[1][1], np.array(common, np.int64)]))
 
