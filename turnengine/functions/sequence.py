@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnengine.functions.ordinal import with_ordinal
-from turnengine.storage import materialize
+from turnengine.storage import drop_materialized, materialize
 
 #: Rows from which a group is dealt over tasks, and rows of a block.
 HOT, BLOCK = 500_000, 50_000
@@ -22,7 +22,10 @@ HOT, BLOCK = 500_000, 50_000
 def hot_groups(rows: DataFrame, group: str) -> DataFrame | None:
     """(group) of the groups over HOT rows, or None. One pass over one column; only sums per group are shuffled."""
     found = materialize(rows.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") > HOT).select(group), "hot-groups")
-    return None if found.isEmpty() else found
+    if found.isEmpty():
+        drop_materialized(found)
+        return None
+    return found
 
 
 def _apart(rows: DataFrame, group: str, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
