@@ -18,8 +18,13 @@ from turnengine.schema import FLAT_COLUMNS, META_SHEET, TURN_SHEET, EngineError
 SINGLE, CONVERSATIONS, MAX_TITLE = "Golden", "Conversazioni", 31
 #: Columns a reviewer may edit; the others are locked.
 EDITABLE = ("napoletano", "note")
-#: Columns of running text, and widths of the columns; the rest are narrow and centred.
-TEXTS, WIDE, NARROW = ("italiano", "napoletano", "note"), {"italiano": 60, "napoletano": 60, "note": 30}, 16
+#: Columns of running text; the rest are centred.
+TEXTS = ("italiano", "napoletano", "note")
+#: Fixed values, the look of a review workbook: fills of the header, of locked and of editable cells, colours of the header's
+#: text and of borders, widths of the columns (others get OTHER_WIDTH), the header's height.
+HEADER_FILL, LOCKED_FILL, EDIT_FILL, HEADER_TEXT, BORDER = "FF1F3864", "FFF2F2F2", "FFFFF9E6", "FFFFFFFF", "FFBFBFBF"
+WIDTHS = {"conversazione": 14, "regione": 16, "macro_regione": 14, "languages": 12, "turn_index": 11, "tu_id": 9, "speaker": 11, "italiano": 60, "napoletano": 60, "note": 30}
+OTHER_WIDTH, HEADER_HEIGHT = 16, 24
 #: Hint shown at the cells of a translation.
 HINT = ("Translation", "The turn in the dialect. Do not leave it empty.")
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -118,10 +123,10 @@ _LOCKED, _EDIT, _QUOTED, _HEADER, _LOCKED_TEXT = range(5)
 _CENTRE = '<alignment horizontal="center" vertical="top"/>'
 _WRAP = '<alignment vertical="top" wrapText="1"/>'
 _STYLES = (
-    f'<styleSheet xmlns="{_WB}"><fonts count="2"><font/><font><b/><color rgb="FFFFFFFF"/></font></fonts>'
+    f'<styleSheet xmlns="{_WB}"><fonts count="2"><font/><font><b/><color rgb="{HEADER_TEXT}"/></font></fonts>'
     '<fills count="5"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>'
-    + "".join(f'<fill><patternFill patternType="solid"><fgColor rgb="{c}"/></patternFill></fill>' for c in ("FFEFEFEF", "FFFFFBE8", "FF2F4A6D"))
-    + '</fills><borders count="2"><border/><border>' + "".join(f'<{side} style="thin"/>' for side in ("left", "right", "top", "bottom")) + "</border></borders>"
+    + "".join(f'<fill><patternFill patternType="solid"><fgColor rgb="{c}"/></patternFill></fill>' for c in (LOCKED_FILL, EDIT_FILL, HEADER_FILL))
+    + '</fills><borders count="2"><border/><border>' + "".join(f'<{side} style="thin"><color rgb="{BORDER}"/></{side}>' for side in ("left", "right", "top", "bottom")) + "</border></borders>"
     '<cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="5">'
     f'<xf fillId="2" borderId="1" applyFill="1" applyBorder="1" applyAlignment="1">{_CENTRE}</xf>'
     f'<xf fillId="3" borderId="1" applyFill="1" applyBorder="1" applyAlignment="1" applyProtection="1">{_WRAP}<protection locked="0"/></xf>'
@@ -147,7 +152,7 @@ def _cell(ref: str, value: object, field: str, header: bool) -> str:
 def _sheet(fields: list[str], rows: list[dict[str, object]]) -> str:
     """A worksheet: frozen header with a filter, widths, locked columns, and a hint at the translations."""
     last = _letters(len(fields) - 1)
-    lines = [f'<row r="1" ht="24" customHeight="1">{"".join(_cell(f"{_letters(k)}1", f, f, True) for k, f in enumerate(fields))}</row>']
+    lines = [f'<row r="1" ht="{HEADER_HEIGHT}" customHeight="1">{"".join(_cell(f"{_letters(k)}1", f, f, True) for k, f in enumerate(fields))}</row>']
     lines += [f'<row r="{n}">{"".join(_cell(f"{_letters(k)}{n}", row.get(f), f, False) for k, f in enumerate(fields))}</row>' for n, row in enumerate(rows, 2)]
     hint = ""
     if "napoletano" in fields:
@@ -158,7 +163,7 @@ def _sheet(fields: list[str], rows: list[dict[str, object]]) -> str:
         )
     return (
         f'<worksheet xmlns="{_WB}"><sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>'
-        f'<cols>{"".join(f"""<col min="{k}" max="{k}" width="{WIDE.get(f, NARROW)}" customWidth="1"/>""" for k, f in enumerate(fields, 1))}</cols><sheetData>{"".join(lines)}</sheetData>'
+        f'<cols>{"".join(f"""<col min="{k}" max="{k}" width="{WIDTHS.get(f, OTHER_WIDTH)}" customWidth="1"/>""" for k, f in enumerate(fields, 1))}</cols><sheetData>{"".join(lines)}</sheetData>'
         f'<sheetProtection sheet="1" autoFilter="0" sort="0" formatColumns="0" formatRows="0"/><autoFilter ref="A1:{last}1"/>{hint}</worksheet>'
     )
 
