@@ -4,8 +4,11 @@ from pathlib import Path
 import json
 import random
 
+import pytest
 
 from turnengine.llm import tool_chat as C
+from turnengine.llm.common import drop_materialized as drop_table
+from turnengine.llm.common import materialize as plain
 
 DATA = Path("/root/testdata")
 
@@ -110,6 +113,29 @@ def test_levels_against_plain_search(spark):
     assert {k: ("no_result", *known[k]) if k in known else ("cycle", 0, turns[k]) for k in deps} == found
 
 
+def ladder(levels: int, width: int) -> dict[str, list[str]]:
+    """Calls by level, each of which depends on all of the level before."""
+    return {f"{k}.{i}": [f"{k - 1}.{j}" for j in range(width)] if k else [] for k in range(levels) for i in range(width)}
+
+
+@pytest.mark.parametrize(("levels", "width", "rounds"), [(1000, 2, 20), (12, 12, 12)])
+def test_rounds_of_calls_with_several_dependencies(spark, monkeypatch, levels, width, rounds):
+    """A deep narrow graph takes few rounds; a wide one grows in none. Calls on and behind a cycle beside them."""
+    written = []
+    monkeypatch.setattr(C, "materialize", lambda df, tag: written.append((tag, plain(df, tag))) or written[-1][1])
+    monkeypatch.setattr(C, "drop_materialized", lambda df: None)  # until they are counted
+    deps = ladder(levels, width)
+    odd = {"x": ["y", "0.0"], "y": ["x", "0.1"], "z": ["x", f"{levels - 1}.0"]}
+    found = {r.call_id: r for r in link(spark, [(1, int(k.partition(".")[0]), "assistant", "", [call(k, deps=of)], None) for k, of in deps.items()] + [(1, 5, "assistant", "", [call(k, deps=of)], None) for k, of in odd.items()])}
+    assert all((found[k].topo_level, found[k].topo_turn) == (2 * int(k.partition(".")[0]), int(k.partition(".")[0])) for k in deps)
+    assert {found[k].status for k in odd} == {"cycle"}
+    assert sum(tag == "call-levels" for tag, _ in written) <= rounds + 2
+    edges = sum(len(of) for of in (*deps.values(), *odd.values()))
+    assert max(df.count() for tag, df in written if tag == "call-pending") <= C.WIDEST * edges
+    for _, df in written:
+        drop_table(df)
+
+
 def test_empty(spark):
     assert link(spark, []) == []
 

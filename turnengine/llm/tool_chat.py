@@ -9,9 +9,10 @@ call a message answers, or null). Each message, call and result becomes a node:
   longest such path before a node and topo_turn the largest turn on it; sorting by (topo_turn, topo_level, turn,
   place) is a topological order that keeps to the turns where it can. Chains of calls with one dependency each are
   contracted by pointer doubling, in as many rounds as the logarithm of their length. Calls with several dependencies
-  are peeled: a round resolves those whose dependencies are all resolved and rewrites only the rest, so there are
-  as many rounds as such calls on a path. What never resolves lies on or behind a cycle and is marked. There is no
-  per-conversation task: a conversation of any length is spread over the cluster.
+  are peeled: a round resolves those whose dependencies are all resolved and lets the rest jump over each other, which
+  halves their paths; a jump that would make over WIDEST rows an edge is left out, so that no round grows beyond the
+  edges, and such wide graphs take up to a round a level. What never resolves lies on or behind a cycle and is
+  marked. There is no per-conversation task: a conversation of any length is spread over the cluster.
 - Arguments are parsed as JSON and checked against the tool's schema: an object, no field missing, none unknown, each
   of its type, among its values, within its range, and so on into elements and fields. Whole numbers are integers however
   they are written, as the canonical form writes them. canonical is the node as compact JSON with keys in order and characters unescaped where JSON allows.
@@ -132,6 +133,8 @@ def argument_errors(name: Column, arguments: Column, schemas: Schemas, parsed: C
 
 
 _CALL = ["conv", "call_id"]
+#: Rows that a jump over calls with several dependencies may make, for each of their edges.
+WIDEST = 8
 
 
 def _chains(singles: DataFrame) -> DataFrame:
@@ -153,21 +156,25 @@ def _chains(singles: DataFrame) -> DataFrame:
     return chains
 
 
-def _peel(edges: DataFrame, done: DataFrame, calls: DataFrame) -> list[DataFrame]:
+def _peel(edges: DataFrame, done: DataFrame) -> list[DataFrame]:
     """done and, round by round, what it resolves: tables of (conv, call_id, level, after).
 
-    edges: conv, call_id, dep, dist, acc of calls with several dependencies. A round reads and writes only what is still
-    unresolved.
+    edges: conv, call_id, own, dep, dist, acc of calls with several dependencies. A round resolves the calls all of whose
+    paths end at resolved ones, drops them, and then lets the others jump: an edge to an open call gives way to that
+    call's own edges, the longest of each pair of ends, so that paths halve. Where calls fan out so widely that a jump
+    would make more than WIDEST rows an edge, the round goes without. If nothing is resolved, what is left is on or
+    behind a cycle.
     """
     resolved, latest = [done], done
     pending = materialize(edges.withColumns({"level": F.lit(None).cast("bigint"), "after": F.lit(None).cast("bigint")}), "call-pending")
+    most = WIDEST * pending.count()
     while not pending.isEmpty():
         ready = latest.select("conv", F.col("call_id").alias("dep"), F.col("level").alias("l"), F.col("after").alias("a"))
-        filled = pending.join(ready, ["conv", "dep"], "left").select("conv", "call_id", "dep", "dist", "acc", F.coalesce("level", F.col("l") + F.col("dist")).alias("level"), F.coalesce("after", F.when(F.col("l").isNotNull(), F.greatest("acc", "a"))).alias("after"))
-        filled = materialize(filled, "call-pending")
+        level, after = F.coalesce("level", F.col("l") + F.col("dist")), F.coalesce("after", F.when(F.col("l").isNotNull(), F.greatest("acc", "a")))
+        filled = materialize(pending.join(ready, ["conv", "dep"], "left").select(*_CALL, "own", F.when(level.isNull(), F.col("dep")).alias("dep"), "dist", "acc", level.alias("level"), after.alias("after")), "call-pending")
         drop_materialized(pending)
-        known = filled.groupBy(_CALL).agg(F.count_if(F.col("level").isNull()).alias("open"), F.max("level").alias("level"), F.max("after").alias("after")).where("open = 0")
-        latest = materialize(known.join(calls.select(*_CALL, "own"), _CALL).select(*_CALL, "level", F.greatest("own", "after").alias("after")), "call-levels")
+        known = filled.groupBy(_CALL).agg(F.count_if(F.col("level").isNull()).alias("open"), F.max("level").alias("level"), F.max(F.greatest("own", "after")).alias("after")).where("open = 0")
+        latest = materialize(known.select(*_CALL, "level", "after"), "call-levels")
         if latest.isEmpty():
             drop_materialized(filled)
             drop_materialized(latest)
@@ -175,9 +182,25 @@ def _peel(edges: DataFrame, done: DataFrame, calls: DataFrame) -> list[DataFrame
         resolved.append(latest)
         pending = materialize(filled.join(latest.select(_CALL), _CALL, "left_anti"), "call-pending")
         drop_materialized(filled)
+        fan = pending.groupBy("conv", F.col("call_id").alias("dep")).agg(F.count("*").alias("n"))
+        rows = pending.join(fan, ["conv", "dep"], "left").agg(F.sum(F.coalesce("n", F.lit(1)))).first()[0] or 0
+        if 0 < rows <= most:
+            jumped = materialize(_jump(pending), "call-pending")
+            drop_materialized(pending)
+            pending = jumped
     return resolved
 
 
+def _jump(pending: DataFrame) -> DataFrame:
+    """Edges of twice the reach. Those with a level are at their end (dep is null) and stay, one a call."""
+    onward = pending.select("conv", F.col("call_id").alias("dep"), F.col("dep").alias("next"), F.col("own").alias("o"), F.col("dist").alias("d"), F.col("acc").alias("c"), F.col("level").alias("l"), F.col("after").alias("a"), F.lit(True).alias("met"))
+    far = pending.join(onward, ["conv", "dep"], "left").select(
+        *_CALL, "own", F.when(F.col("met"), F.col("next")).otherwise(F.col("dep")).alias("dep"), (F.col("dist") + F.coalesce("d", F.lit(0))).alias("dist"), F.greatest("acc", "o", "c").alias("acc"),
+        F.coalesce("level", F.col("dist") + F.col("l")).alias("level"), F.coalesce("after", F.when(F.col("l").isNotNull(), F.greatest("acc", "o", "a"))).alias("after"),
+    )
+    return far.groupBy(*_CALL, "own", "dep").agg(*[F.max(c).alias(c) for c in ("dist", "acc", "level", "after")])
+
+
 def _levels(calls: DataFrame) -> DataFrame:
     """(conv, call_id, level, reach, lost): level and largest turn up to each first call; lost dependencies.
 
@@ -193,9 +216,9 @@ def _levels(calls: DataFrame) -> DataFrame:
     singles = fan.where("n = 1").join(calls.select(*_CALL, "own"), _CALL).select(*_CALL, "head", F.lit(2).cast("bigint").alias("dist"), F.col("own").alias("acc"))
     chains = _chains(singles)
     behind = chains.select("conv", F.col("call_id").alias("dep"), "head", F.col("dist").alias("d"), "acc")
-    several = edges.join(fan.where("n > 1").select(_CALL), _CALL, "left_semi").join(behind, ["conv", "dep"], "left").select(*_CALL, F.coalesce("head", "dep").alias("dep"), (F.coalesce("d", F.lit(0)) + 2).cast("bigint").alias("dist"), "acc")
+    several = edges.join(fan.where("n > 1").select(_CALL), _CALL, "left_semi").join(calls.select(*_CALL, "own"), _CALL).join(behind, ["conv", "dep"], "left").select(*_CALL, "own", F.coalesce("head", "dep").alias("dep"), (F.coalesce("d", F.lit(0)) + 2).cast("bigint").alias("dist"), "acc")
     roots = materialize(calls.join(fan.select(_CALL), _CALL, "left_anti").select(*_CALL, F.lit(0).cast("bigint").alias("level"), F.col("own").alias("after")), "call-levels")
-    parts = _peel(several, roots, calls)
+    parts = _peel(several, roots)
     done = parts[0]
     for part in parts[1:]:
         done = done.union(part)
