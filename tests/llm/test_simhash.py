@@ -154,3 +154,12 @@ def test_a_repeated_id_keeps_its_unique_text(make_docs):
     kept = S.drop_near_copies(make_docs(rows)).collect()
     assert sorted(r.doc_id for r in kept) == [1, 2, 3] and {r.text for r in kept if r.doc_id != 2} == {one, rows[5][1]}
     assert {r.text for r in kept if r.doc_id == 2} < {two, near}
+
+
+def test_of_repeats_from_other_sources_always_the_same_stays(make_docs):
+    one, two = "one two three four five six", "another text of seven words in all"
+    rows = [(1, one, s) for s in "cabc"] + [(2, one, "a"), (3, two, "z"), (3, two, None), (None, one, "b"), (None, one, "a")]
+    for order in (rows, rows[::-1]):
+        kept = S.drop_near_copies(make_docs(order, extra=True).repartition(4)).collect()
+        assert sorted((r.doc_id, r.source) for r in kept if r.doc_id) == [(1, "a"), (3, "z")]
+        assert sorted(r.source for r in kept if r.doc_id is None) == ["a", "b"]

@@ -343,11 +343,16 @@ def near_groups(docs: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """docs with one row of each near-duplicate group, that of the smallest doc_id; rows without doc_id all stay.
 
-    Repeated rows (one doc_id, one text) are copies of each other and leave one. Where a doc_id repeats with other texts,
-    each text goes or stays by its own group.
+    Repeated rows (one doc_id, one text) are copies of each other and leave one, that whose other columns come first as JSON.
+    Where a doc_id repeats with other texts, each text goes or stays by its own group.
     """
     groups = near_rows(docs).where("doc_id is not null")
     lost = groups.where("doc_id <> keeper.doc_id or text_key <> keeper.text_key").select(F.col("doc_id").alias("lost_id"), F.col("text_key").alias("lost_key")).distinct()
     kept = docs.join(lost, (docs["doc_id"] == lost["lost_id"]) & (F.xxhash64(docs["text"]) == lost["lost_key"]), "left_anti").select(*docs.columns)
     repeated = groups.groupBy("doc_id", "text_key").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.where("doc_id is null").union(kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
+    if repeated.isEmpty():
+        return kept
+    whole = F.struct(*[kept[c] for c in docs.columns])
+    others = F.to_json(F.struct(*[kept[c] for c in docs.columns if c != "text"]), {"ignoreNullFields": "false"})
+    one = kept.where("doc_id is not null").groupBy("doc_id", F.xxhash64("text").alias("text_key")).agg(F.min_by(whole, others).alias("whole"))
+    return kept.where("doc_id is null").union(one.select(*[F.col("whole").getField(c).alias(c) for c in docs.columns]))
