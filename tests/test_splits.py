@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import pyarrow as pa
+from turnengine.operators import build
 from turnengine.schema import FLAT_COLUMNS, SAMPLE, EngineError
 from turnengine.sources import files, splits
 
@@ -84,6 +85,14 @@ def test_several_files_and_records_over_many_splits(spark, tmp_path, cut):
     assert [(r.x, r.y or "") for r in flat] == [(str(i), x["turni"][0]["italiano"] if x["turni"] else "") for i in range(3) for x in made[i]]
 
 
+def test_fragments_are_not_parsed_by_a_filter_on_what_they_hold(spark, tmp_path, cut):
+    path = tmp_path / "a.json"
+    path.write_text(json.dumps(samples(14), indent=1))
+    cut(200)
+    rows = build.flatten(files.read_samples(spark, str(path), lines=False))  # Spark parses for its filter before it drops fragments
+    assert sorted((r.conversazione, r.italiano) for r in rows.collect()) == sorted((x["id"], t["italiano"]) for x in samples(14) for t in x["turni"])
+
+
 def test_bad_files(spark, tmp_path):
     (tmp_path / "cut.json").write_text('[{"id": "a"}, {"id": "b"')
     (tmp_path / "open.json").write_text('[{"id": "a"}, {"id": "b}')

@@ -222,8 +222,9 @@ def split_starts(spark: SparkSession, path: str, kind: JsonPieces | CsvPieces) -
     return starts
 
 
-_RECORD = "rank long, nth long, part long, whole boolean, first boolean, text string"
-_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string())
+#: text of whole records, fragment of others: Spark may parse a column before it filters by another, so no fragment stands in text.
+_RECORD = "rank long, nth long, part long, whole boolean, first boolean, text string, fragment string"
+_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string(), pa.string())
 
 
 def read_records(spark: SparkSession, path: str, kind: JsonPieces | CsvPieces, skip_first: bool = False) -> DataFrame:
@@ -241,9 +242,9 @@ def read_records(spark: SparkSession, path: str, kind: JsonPieces | CsvPieces, s
             """What is held is a record, or a fragment of one."""
             nonlocal nth, head
             if head:
-                out.append((split.owner, None, split.rank, False, False, kind.join(held)))
+                out.append((split.owner, None, split.rank, False, False, None, kind.join(held)))
             else:
-                out.append((split.rank, nth, split.rank, whole, split.first and nth == 0, kind.join(held)))
+                out.append((split.rank, nth, split.rank, whole, split.first and nth == 0, *((kind.join(held), None) if whole else (None, kind.join(held)))))
                 nth += 1
             head = False
             held.clear()
@@ -277,9 +278,9 @@ def read_records(spark: SparkSession, path: str, kind: JsonPieces | CsvPieces, s
     rows = _pieces(spark, path, kind).mapInArrow(run, _RECORD)
     order = F.col("rank") * F.lit(_ROOM)
     whole = rows.where("whole").select((order + F.col("nth")).alias("ord"), "first", "text")
-    parts = F.array_sort(F.collect_list(F.struct("part", "text")))  # the splits of one record
+    parts = F.array_sort(F.collect_list(F.struct("part", "fragment")))  # the splits of one record
     glued = rows.where("not whole").groupBy("rank").agg(F.max("nth").alias("nth"), F.bool_or("first").alias("first"), parts.alias("parts"))
-    glued = glued.select((order + F.col("nth")).alias("ord"), "first", F.array_join(F.transform("parts", lambda p: p["text"]), kind.glue).alias("text"))
+    glued = glued.select((order + F.col("nth")).alias("ord"), "first", F.array_join(F.transform("parts", lambda p: p["fragment"]), kind.glue).alias("text"))
     every = whole.unionByName(glued)
     every = every.where("not first") if skip_first else every
     return every.select("ord", kind.record(F.col("text")).alias("record")).where("record is not null")
