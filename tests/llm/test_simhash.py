@@ -163,3 +163,8 @@ def test_of_repeats_from_other_sources_always_the_same_stays(make_docs):
         kept = S.drop_near_copies(make_docs(order, extra=True).repartition(4)).collect()
         assert sorted((r.doc_id, r.source) for r in kept if r.doc_id) == [(1, "a"), (3, "z")]
         assert sorted(r.source for r in kept if r.doc_id is None) == ["a", "b"]
+
+
+def test_ids_are_not_broadcast(make_docs):
+    found = S.simhash_components(make_docs([(i, f"word{i} b c d") for i in range(20)]))
+    assert found.count() == 20 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()

@@ -2,8 +2,9 @@
 
 Each step groups edges by a node (minimum of its neighbours, combined map-side) and joins the minimum back; both
 sides of that join are plain shuffles, so AQE may split a node with very many neighbours. After every round the
-edges are written to the shared folder, which keeps lineage short and survives lost executors. Only a count and
-a checksum of the edges come to the driver.
+edges are written to the shared folder, which keeps lineage short and survives lost executors. Joins are merge joins
+by hint: Spark's threshold for broadcasts is in compressed bytes, of which ids take few, so that the driver would hold
+tables many times as large. Only a count and a checksum of the edges come to the driver.
 """
 
 from __future__ import annotations
@@ -39,10 +40,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         # large star: every larger neighbour of u goes to the smallest node of u's neighbourhood
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: u and its smaller neighbours go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
+        small = large.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         after_edges = materialize(small, "edges")
         drop_materialized(edges)
         edges, after = after_edges, _state(after_edges)

@@ -199,7 +199,7 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     at_cell = placed.select(F.explode("cells").alias("cell"), "cells", "embedding", "label", "rep", "copies")
     sizes = at_cell.groupBy("label", "cell").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    dealt = at_cell.join(sizes, ["label", "cell"]).withColumn("side", F.pmod(F.xxhash64("rep", F.lit(5)), blocks).cast("int"))
+    dealt = at_cell.join(sizes.hint("merge"), ["label", "cell"]).withColumn("side", F.pmod(F.xxhash64("rep", F.lit(5)), blocks).cast("int"))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     dealt = dealt.select("cell", F.xxhash64("label", "cell", F.least("side", "other"), F.greatest("side", "other")).alias("block"), "label", "cells", "embedding", "rep", "copies", "side", (F.col("side") != F.col("other")).alias("split"))
 
@@ -228,8 +228,8 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     links = found.where("n is not null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("links"))
     parts = connected_components(found.where("v is not null").select("u", "v"))
     known = (
-        nodes.join(links, "rep", "left")
-        .join(parts, nodes["rep"] == parts["node"], "left")
+        nodes.join(links.hint("merge"), "rep", "left")
+        .join(parts.hint("merge"), nodes["rep"] == parts["node"], "left")
         .select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )
     linked = good.join(known, ["label", "embedding"]).select("vec_id", "n_links", "component_id")

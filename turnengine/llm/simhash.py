@@ -10,7 +10,8 @@ pairs are first bounded by the Manhattan distance, then verified by the Hamming
 Scale: equal fingerprints are one node before anything else, so copies cost nothing. Cells with one member fall
 out in a count. Large cells are cut into blocks of about BLOCK members and only pairs of blocks meet in a task, so
 no task holds more than two blocks whatever the size of a group. A task does not emit pairs but a spanning forest
-of the links it found: at most one edge per member.
+of the links it found: at most one edge per member. Tables of ids are joined by merge joins, by hint: none is broadcast,
+so the driver's memory does not follow the input.
 
 Defined cases: null and empty texts, and texts of white space, have fingerprint zero and link like any other;
 fewer words than a shingle make one shingle; repeated rows are copies; a null doc_id is never a component's name
@@ -181,11 +182,11 @@ def cell_links(rows: DataFrame, radius: int | None, sketches: DataFrame | None =
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("fp", F.lit(7)), blocks).cast("int")
     others = F.transform(F.filter(F.sequence(F.lit(0), blocks - 1), lambda o: o != own), lambda o: F.xxhash64("key", F.least(own, o), F.greatest(own, o)))
-    dealt = rows.join(sizes, "key").select(F.explode(F.when(blocks == 1, F.array("key")).otherwise(others)).alias("cell"), "fp", "rep")
+    dealt = rows.join(sizes.hint("merge"), "key").select(F.explode(F.when(blocks == 1, F.array("key")).otherwise(others)).alias("cell"), "fp", "rep")
     with_sketch = sketches is not None
     with_sets = with_sketch and "shingles" in sketches.columns
     if with_sketch:
-        dealt = dealt.join(sketches, "rep").select("cell", "fp", *sketches.columns)
+        dealt = dealt.join(sketches.hint("merge"), "rep").select("cell", "fp", *sketches.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(t: pa.Table) -> pa.RecordBatch:
@@ -238,11 +239,11 @@ def fingerprint_components(fps: DataFrame) -> DataFrame:
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     rows = nodes.select(F.explode(grid_cells(F.col("fp"))).alias("key"), "fp", F.col("fp").alias("rep"))
     parts = connected_components(cell_links(rows, RADIUS))
-    linked = nodes.join(parts, nodes["fp"] == parts["node"], "left").select("fp", F.coalesce("component", "fp").alias("part"), "least")
-    named = materialize(linked.join(linked.groupBy("part").agg(F.min("least").alias("component_id")), "part").select("fp", "component_id"), "simhash-named")
+    linked = nodes.join(parts.hint("merge"), nodes["fp"] == parts["node"], "left").select("fp", F.coalesce("component", "fp").alias("part"), "least")
+    named = materialize(linked.join(linked.groupBy("part").agg(F.min("least").alias("component_id")).hint("merge"), "part").select("fp", "component_id"), "simhash-named")
     drop_materialized(nodes)
     drop_materialized(parts)
-    return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return fps.join(named.hint("merge"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 #: Stage on near copies: words of a shingle, and the least similarity (Jaccard, as a fraction) of two sets that link.
@@ -323,13 +324,13 @@ def near_rows(docs: DataFrame) -> DataFrame:
     cells = connected_components(cell_links(rows, None, nodes.select("rep", "sketch"), CANDIDATE))  # without the components' names
     maybe = materialize(cells.select(F.col("node").alias("rep"), "component").union(cells.select("component", "component").distinct()), "near-maybe")
     drop_materialized(cells)
-    asked = nodes.join(maybe, "rep").select("rep", "first", "sketch")
-    texts = docs.select("doc_id", "text").join(asked.select("first.doc_id").distinct(), "doc_id", "left_semi").select("text")
-    sets = materialize(asked.select("rep", "sketch").join(texts.mapInArrow(shingles, "rep long, shingles binary").dropDuplicates(["rep"]), "rep"), "near-sets")
+    asked = nodes.join(maybe.hint("merge"), "rep").select("rep", "first", "sketch")
+    texts = docs.select("doc_id", "text").join(asked.select("first.doc_id").distinct().hint("merge"), "doc_id", "left_semi").select("text")
+    sets = materialize(asked.select("rep", "sketch").join(texts.mapInArrow(shingles, "rep long, shingles binary").dropDuplicates(["rep"]).hint("merge"), "rep"), "near-sets")
     parts = connected_components(cell_links(maybe.select(F.col("component").alias("key"), F.col("rep").alias("fp"), "rep"), None, sets, CANDIDATE))
-    group = nodes.join(parts, nodes["rep"] == parts["node"], "left").select(F.col("rep").alias("same"), "first", F.coalesce("component", "rep").alias("part"))
+    group = nodes.join(parts.hint("merge"), nodes["rep"] == parts["node"], "left").select(F.col("rep").alias("same"), "first", F.coalesce("component", "rep").alias("part"))
     least = group.groupBy("part").agg(F.min("first").alias("keeper"))
-    found = materialize(marked.select("doc_id", "text_key", "same").join(group.join(least, "part"), "same", "left").select("doc_id", "text_key", "keeper"), "near-groups")
+    found = materialize(marked.select("doc_id", "text_key", "same").join(group.join(least.hint("merge"), "part").hint("merge"), "same", "left").select("doc_id", "text_key", "keeper"), "near-groups")
     for spent in (marked, nodes, maybe, sets, parts):
         drop_materialized(spent)
     return found
@@ -348,7 +349,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     """
     groups = near_rows(docs).where("doc_id is not null")
     lost = groups.where("doc_id <> keeper.doc_id or text_key <> keeper.text_key").select(F.col("doc_id").alias("lost_id"), F.col("text_key").alias("lost_key")).distinct()
-    kept = docs.join(lost, (docs["doc_id"] == lost["lost_id"]) & (F.xxhash64(docs["text"]) == lost["lost_key"]), "left_anti").select(*docs.columns)
+    kept = docs.join(lost.hint("merge"), (docs["doc_id"] == lost["lost_id"]) & (F.xxhash64(docs["text"]) == lost["lost_key"]), "left_anti").select(*docs.columns)
     repeated = groups.groupBy("doc_id", "text_key").count().where("count > 1")
     if repeated.isEmpty():
         return kept
