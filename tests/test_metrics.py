@@ -72,3 +72,19 @@ def test_greedy_kernel(spark):
     rows = [(1, "hyp", 0, [1.0, 0.0]), (1, "ref", 0, [2.0, 0.0]), (1, "ref", 1, [0.0, 1.0])]
     r = metrics.greedy_match(spark.createDataFrame(rows, "pair_id int, side string, pos int, embedding array<double>")).first()
     assert (r.precision, r.recall) == (100, 50) and abs(r.f1 - 200 / 3) < 1e-9
+
+
+def test_memory_of_counts_follows_neither_batch_nor_table():
+    import tracemalloc
+
+    def peak(n):
+        texts = pa.array([f"{i} some words of a turn, again and again " * 20 for i in range(n)])
+        words_ = pa.array([t.split() for t in texts.to_pylist()])
+        tracemalloc.start()
+        rows = metrics.char_counts.func(texts, texts), metrics.word_counts_4.func(words_, words_), metrics.lcs_counts.func(words_, words_)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most, [r.to_pylist() for r in rows]
+
+    (few, a), (many, b) = peak(1_500), peak(6_000)
+    assert many < 1.7 * few and [r[:1_500] for r in b] == a

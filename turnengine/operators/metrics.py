@@ -8,7 +8,7 @@ sentence and for sums over a corpus.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -81,29 +81,47 @@ def _words(*sides: pa.Array) -> list[Side]:
 
 
 _LONGS = T.ArrayType(T.LongType())
+#: Bytes or words of the texts that are counted at once; a batch's pairs are counted part by part, a larger pair alone.
+PART = 1 << 20
 
 
 def _rows(counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * counts.shape[1]), pa.array(counts.ravel()))
 
 
+def _by_parts(hyp: pa.Array, ref: pa.Array, count: Callable[[pa.Array, pa.Array], np.ndarray]) -> pa.Array:
+    """Counts of all pairs of a batch, of about PART of their texts at a time: memory follows neither batch nor table."""
+    length = pc.list_value_length if pa.types.is_list(hyp.type) else pc.binary_length
+    size = sum(pc.fill_null(length(side), 0).to_numpy(zero_copy_only=False).astype(np.int64) for side in (hyp, ref))
+    part = (np.cumsum(size) - size) // PART
+    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+    return _rows(np.concatenate([count(hyp.slice(a, b - a), ref.slice(a, b - a)) for a, b in zip(cuts, cuts[1:], strict=False)]))
+
+
 @F.arrow_udf(_LONGS)
 def char_counts(hyp: pa.Array, ref: pa.Array) -> pa.Array:
     """Character n-grams without white space: 6 counts of hyp, 6 of ref, 6 matches."""
-    bare = [_characters(["".join((t or "").split()) for t in side.to_pylist()]) for side in (hyp, ref)]
-    return _rows(_overlaps(*bare, CHAR_ORDER))
+
+    def count(hyp: pa.Array, ref: pa.Array) -> np.ndarray:
+        return _overlaps(*[_characters(["".join((t or "").split()) for t in side.to_pylist()]) for side in (hyp, ref)], CHAR_ORDER)
+
+    return _by_parts(hyp, ref, count)
 
 
 @F.arrow_udf(_LONGS)
 def word_counts_2(hyp: pa.Array, ref: pa.Array) -> pa.Array:
-    return _rows(_overlaps(*_words(hyp, ref), 2))
+    return _by_parts(hyp, ref, lambda a, b: _overlaps(*_words(a, b), 2))
 
 
 @F.arrow_udf(_LONGS)
 def word_counts_4(hyp: pa.Array, ref: pa.Array) -> pa.Array:
     """Words up to four in a row, and the lengths."""
-    sides = _words(hyp, ref)
-    return _rows(np.column_stack([_overlaps(*sides, BLEU_ORDER), sides[0][1], sides[1][1]]))
+
+    def count(hyp: pa.Array, ref: pa.Array) -> np.ndarray:
+        sides = _words(hyp, ref)
+        return np.column_stack([_overlaps(*sides, BLEU_ORDER), sides[0][1], sides[1][1]])
+
+    return _by_parts(hyp, ref, count)
 
 
 def lcs(a: list, b: list) -> int:
@@ -122,10 +140,14 @@ def lcs(a: list, b: list) -> int:
 @F.arrow_udf(_LONGS)
 def lcs_counts(hyp: pa.Array, ref: pa.Array) -> pa.Array:
     """Words of hyp, of ref, and of their longest common subsequence."""
-    sides = _words(hyp, ref)
-    pieces = [np.split(codes, np.cumsum(sizes))[:-1] for codes, sizes in sides]
-    common = [lcs(a.tolist(), b.tolist()) for a, b in zip(*pieces, strict=True)]
-    return _rows(np.column_stack([sides[0][1], sides[1][1], np.array(common, np.int64)]))
+
+    def count(hyp: pa.Array, ref: pa.Array) -> np.ndarray:
+        sides = _words(hyp, ref)
+        pieces = [np.split(codes, np.cumsum(sizes))[:-1] for codes, sizes in sides]
+        common = [lcs(a.tolist(), b.tolist()) for a, b in zip(*pieces, strict=True)]
+        return np.column_stack([sides[0][1], sides[1][1], np.array(common, np.int64)])
+
+    return _by_parts(hyp, ref, count)
 
 
 def chrf_counts(hyp: Column, ref: Column, word_order: int = 0) -> list[Column]:
