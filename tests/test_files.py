@@ -1,5 +1,6 @@
 """Readers, writers, workbook and command line, through real files."""
 
+import csv
 import json
 import threading
 import zipfile
@@ -256,3 +257,19 @@ def test_requested_order_is_kept(spark, corpus):
         (corpus / f"tsv/{code}.vert.tsv").write_text((corpus / "tsv/K1.b.vert.tsv").read_text(encoding="utf-8"), encoding="utf-8")
     cli.main(["build", "--corpus", str(corpus), "--conversations", "K5", "K1", "K0", "--out", str(corpus / "out")])
     assert [s["id"] for s in json.loads((corpus / "out.json").read_text(encoding="utf-8"))] == ["K5", "K1", "K0"]
+
+
+def test_exports_send_no_rows_to_the_driver(spark, tmp_path, monkeypatch):
+    """One file each, whatever the number of partitions: none, one and many rows; only tasks see them."""
+    from pyspark.sql import DataFrame
+
+    for name in ("toLocalIterator", "collect", "toPandas", "toArrow"):
+        monkeypatch.setattr(DataFrame, name, lambda *a, **k: pytest.fail("rows were sent to the driver"))
+    rows = spark.range(3000, numPartitions=5).selectExpr("cast(id as string) as id", "id as conv_ord", "'a\n  {\nb' as regione", "array(named_struct('turn_index', 1, 'italiano', 'x \"}')) as turni")
+    for n in (0, 1, 3000):
+        sinks.write_samples(rows.where(f"conv_ord < {n}"), str(tmp_path / "a.json"))
+        found = json.loads((tmp_path / "a.json").read_text())
+        assert ([found["id"]] if n == 1 else [x["id"] for x in found]) == [str(i) for i in range(n)]
+        sinks.write_csv(rows.where(f"conv_ord < {n}"), str(tmp_path / "a.csv"), ["id", "regione"], ["conv_ord"])
+        with open(tmp_path / "a.csv", encoding="utf-8-sig", newline="") as f:
+            assert list(csv.reader(f)) == [["id", "regione"], *([str(i), "a\n  {\nb"] for i in range(n))]

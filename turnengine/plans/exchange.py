@@ -1,6 +1,6 @@
 """Corpus files made of the test tables: written by the sinks, read back by the sources.
 
-The folder is the one that the session shares between driver and executors, since the sinks are driver-side writers.
+The folder is the one that the session shares between driver and executors.
 """
 
 from __future__ import annotations
@@ -12,8 +12,10 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,7 @@ from turnengine.operators import align, build, merge, metrics, quality, translat
 from turnengine.plans import adapters as data
 from turnengine.schema import FLAT_COLUMNS, FINAL_COLUMNS, EngineError
 from turnengine.sinks import files as sinks
+from turnengine.shipping import ship
 from turnengine.sinks.buckets import BucketStore
 from turnengine.sources import files, workbook
 from turnengine.storage import measured, shared_dir
@@ -58,19 +61,38 @@ def review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select(*FLAT_COLUMNS)
 
 
+def write_transcripts(spark: SparkSession, sf_dir: str, path: str, texts: Callable[[str, list[str]], dict[str, str]]) -> None:
+    """Transcripts, written by tasks to the shared folder: texts gives the files (name, text) of a conversation's code and lines."""
+    ship(spark)
+    line = F.concat_ws("\t", F.lit("0"), "speaker", "tu", F.lit("x"), "form", "type", "variation", "feats")
+    told = data.tokens(spark, sf_dir).groupBy("conversazione").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda t: t["line"]).alias("lines"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = 0
+            for code, lines in zip(batch.column(0), batch.column(1), strict=True):
+                for name, text in texts(code.as_py(), lines.as_py()).items():
+                    made = f"{path}/{name}.{uuid.uuid4().hex}"  # a task that runs again puts the same file in its place
+                    with open(made, "w", encoding="utf-8") as f:
+                        f.write(text)
+                    os.replace(made, f"{path}/{name}")
+                    n += 1
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    told.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcripts as files and back. Each has a header and, as its second line, one with too few fields; where conv_id
     mod 10 is 3 there is an older file with the same code, which the later name overrides."""
     path = folder(spark)
     os.mkdir(f"{path}/tsv")
-    line = F.concat_ws("\t", F.lit("0"), "speaker", "tu", F.lit("x"), "form", "type", "variation", "feats")
-    for r in data.tokens(spark, sf_dir).groupBy("conversazione").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda t: t["line"]).alias("lines")).toLocalIterator():
-        code, lines = r["conversazione"], r["lines"]
-        if int(code) % 10 == 3:
-            with open(f"{path}/tsv/{code}.a.vert.tsv", "w", encoding="utf-8") as f:
-                f.write("header\n" + "\t".join("older" * 8) + "\n")
-        with open(f"{path}/tsv/{code}.b.vert.tsv", "w", encoding="utf-8") as f:
-            f.write("\n".join(["header", lines[0], "short\tline", *lines[1:]]) + "\n")
+
+    def texts(code: str, lines: list[str]) -> dict[str, str]:
+        older = {f"{code}.a.vert.tsv": "header\n" + "\t".join("older" * 8) + "\n"} if int(code) % 10 == 3 else {}
+        return older | {f"{code}.b.vert.tsv": "\n".join(["header", lines[0], "short\tline", *lines[1:]]) + "\n"}
+
+    write_transcripts(spark, sf_dir, f"{path}/tsv", texts)
     return files.read_tokens(spark, files.find_transcripts(spark, path))
 
 
@@ -197,10 +219,7 @@ def built_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The build command over transcripts and metadata: conversations in the order asked for."""
     path = folder(spark)
     os.mkdir(f"{path}/in")
-    line = F.concat_ws("\t", F.lit("0"), "speaker", "tu", F.lit("x"), "form", "type", "variation", "feats")
-    for r in data.tokens(spark, sf_dir).groupBy("conversazione").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda t: t["line"]).alias("lines")).toLocalIterator():
-        with open(f"{path}/in/{r['conversazione']}.vert.tsv", "w", encoding="utf-8") as f:
-            f.write("\n".join(["header", *r["lines"]]))
+    write_transcripts(spark, sf_dir, f"{path}/in", lambda code, lines: {f"{code}.vert.tsv": "\n".join(["header", *lines])})
     with open(f"{path}/in/conversations.tsv", "w", encoding="utf-8") as f:
         f.write("code\tcollection-region\tmacro-region\tlanguages\n")
         f.writelines(f"{r.code}\t{r.regione}\t{r.macro_regione}\t{r.languages}\n" for r in data.metadata(spark, sf_dir).toPandas().itertuples())

@@ -1,5 +1,5 @@
-"""Single-file exports. Rows stream to the driver one partition at a time (a workbook is made in memory); files appear
-whole or not at all.
+"""Single-file exports. Tasks write the text of their rows to the shared folder, and the driver copies it into one file, so no row
+is sent to it (a workbook is made in its memory); files appear whole or not at all.
 
 These are hand-over formats for people, as large as a person can read. Data sets go to df.write instead.
 """
@@ -7,13 +7,15 @@ These are hand-over formats for people, as large as a person can read. Data sets
 from __future__ import annotations
 
 import csv
+import io
 import json
 import os
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 from typing import IO
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,11 +23,15 @@ from turnengine.operators.bertscore import bert_text
 from turnengine.operators.build import file_order, nest
 from turnengine.operators.metrics import WEIGHTS
 from turnengine.schema import FLAT_COLUMNS, META_SHEET, SCORE_COLUMNS, TURN_SHEET, EngineError
+from turnengine.shipping import ship
 from turnengine.sources.workbook import CONVERSATIONS, MAX_TITLE, SINGLE, render
+from turnengine.storage import shared_dir
 
 
 #: Warnings that a report lists (a fixed value).
 SHOWN = 30
+#: Rows that are rendered as one text.
+_BATCH = 1000
 
 
 def _whole(path: str, write: Callable[[IO], None], mode: str = "w", **how: object) -> None:
@@ -34,6 +40,50 @@ def _whole(path: str, write: Callable[[IO], None], mode: str = "w", **how: objec
     os.replace(f"{path}.tmp", path)
 
 
+def _assembled(texts: DataFrame, path: str, before: str, glue: str, finish: Callable[[IO], None] | None = None) -> None:
+    """before and the texts (one string column, in order), each with glue behind it, as one file. Tasks write the texts to the
+    shared folder; the driver copies their files one behind the other, a few MB at a time. finish gets the file, open at its end."""
+    spark = texts.sparkSession
+    made, target = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}", os.path.abspath(f"{path}.tmp")
+    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
+    parts = jvm.org.apache.hadoop.fs.Path(made)
+    files = parts.getFileSystem(hadoop)
+    try:
+        texts.write.option("lineSep", glue).text(made)
+        with open(target, "wb") as f:
+            f.write(before.encode())
+        out = jvm.java.io.FileOutputStream(target, True)
+        try:
+            for part in sorted((x.getPath() for x in files.listStatus(parts)), key=lambda x: x.getName()):
+                if part.getName().startswith("part-"):
+                    stream = files.open(part)
+                    try:
+                        jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 22, False)
+                    finally:
+                        stream.close()
+        finally:
+            out.close()
+    finally:
+        files.delete(parts, True)
+    if finish is not None:
+        with open(target, "r+b") as f:
+            f.seek(0, os.SEEK_END)
+            finish(f)
+    os.replace(target, path)
+
+
+def _rendered(rows: DataFrame, render_: Callable[[list[dict]], str]) -> DataFrame:
+    """A text for each batch of rows."""
+    ship(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _BATCH):
+                yield pa.RecordBatch.from_arrays([pa.array([render_(batch.slice(at, _BATCH).to_pylist())], pa.string())], names=["value"])
+
+    return rows.mapInArrow(run, "value string")
+
+
 def sample_text(sample: dict, indent: str = "") -> str:
     """A conversation as JSON: metadata one field a line, one compact turn a line."""
     dump = lambda x: json.dumps(x, ensure_ascii=False)
@@ -46,33 +96,46 @@ def sample_text(sample: dict, indent: str = "") -> str:
 def write_samples(samples: DataFrame, path: str, turn_fields: list[str] | None = None) -> None:
     """Nested conversations as JSON: one is an object, any other number an array; by conv_ord if there is one, else by id."""
     inner = ("ord", "conv_ord")
-    rows = samples.orderBy("conv_ord" if "conv_ord" in samples.columns else "id").toLocalIterator()
-    plain = ({k: v for k, v in r.asDict(recursive=True).items() if k not in inner} for r in rows)
-    found = (r | {"turni": [{k: v for k, v in t.items() if v is not None and (turn_fields is None or k in turn_fields)} for t in r["turni"] or []]} for r in plain)
-
-    def write(f: IO) -> None:
-        first, second = next(found, None), next(found, None)
-        if first is not None and second is None:
-            f.write(sample_text(first) + "\n")
+
+    def texts(rows: list[dict]) -> str:
+        plain = ({k: v for k, v in r.items() if k not in inner} for r in rows)
+        found = (r | {"turni": [{k: v for k, v in t.items() if v is not None and (turn_fields is None or k in turn_fields)} for t in r["turni"] or []]} for r in plain)
+        return ",\n".join(sample_text(r, "  ") for r in found)
+
+    rows = samples.orderBy("conv_ord" if "conv_ord" in samples.columns else "id")
+
+    def finish(f: IO) -> None:
+        if f.tell() == 2:
+            f.write(b"]\n")
+            return
+        f.seek(-2, os.SEEK_END)
+        f.truncate()
+        f.seek(0)
+        starts = (line for line in f if line == b"  {\n")  # the first line of a conversation, and no other
+        if next(starts) and next(starts, None):
+            f.seek(0, os.SEEK_END)
+            f.write(b"\n]\n")
             return
-        f.write("[\n")
-        for i, sample in enumerate(chain((x for x in (first, second) if x is not None), found)):
-            f.write((",\n" if i else "") + sample_text(sample, "  "))
-        f.write("\n]\n" if first is not None else "]\n")
+        f.seek(2)
+        text = f.read().decode()  # one conversation; its line breaks are those of sample_text
+        f.seek(0)
+        f.truncate()
+        f.write(("\n".join(line.removeprefix("  ") for line in text.split("\n")) + "\n").encode())
 
-    _whole(path, write, encoding="utf-8")
+    _assembled(_rendered(rows, texts), path, "[\n", ",\n", finish)
 
 
 def write_csv(rows: DataFrame, path: str, fields: list[str], order: list[str]) -> None:
     """CSV with a byte-order mark and a header; other columns are left out."""
 
-    def write(f: IO) -> None:
-        out = csv.writer(f)
-        out.writerow(fields)
-        for r in rows.orderBy(*order).select(*fields).toLocalIterator():
-            out.writerow(["" if v is None else v for v in r])
+    def lines(rows_: list[dict]) -> str:
+        out = io.StringIO(newline="")
+        csv.writer(out).writerows([["" if v is None else v for v in r.values()] for r in rows_])
+        return out.getvalue().removesuffix("\r\n")
 
-    _whole(path, write, encoding="utf-8-sig", newline="")
+    head = io.StringIO(newline="")
+    csv.writer(head).writerow(fields)
+    _assembled(_rendered(rows.orderBy(*order).select(*fields), lines), path, "\ufeff" + head.getvalue(), "\r\n")
 
 
 def write_flat(turns: DataFrame, path: str) -> None:
@@ -138,12 +201,11 @@ def write_report(scored: DataFrame, summary: DataFrame, corpus: DataFrame, about
         "conversazione", "turn_index", "tu_id", "speaker", "italiano", "gemma", "golden", "chrf", "bleu", F.col("rouge") / 100, bert_text(F.col("bertscore"), about.bert_model is not None), "similarita", F.when(F.col("sostituire"), "REPLACE").otherwise("keep"), note,
     )
 
-    def write(f: IO) -> None:
-        f.write("\n".join(head) + "\n")
-        for r in scored.orderBy("ord").select(block.alias("b")).toLocalIterator():
-            f.write("\n" + r["b"] + "\n")
+    def finish(f: IO) -> None:
+        f.seek(-1, os.SEEK_END)  # an empty line stands between blocks only
+        f.truncate()
 
-    _whole(path, write, encoding="utf-8")
+    _assembled(scored.orderBy("ord").select(block.alias("value")), path, "\n".join(head) + "\n\n", "\n\n", finish)
     return head
 
 
