@@ -90,6 +90,23 @@ def test_planted_vectors_have_links(spark):
     assert all(rows[i + 1_000_000] == rows[i] for i in range(200) if i % 5 < 2)
 
 
+@pytest.mark.parametrize("far", [8192, 90])
+def test_forest_misses_no_link(spark, monkeypatch, far):
+    """Trees without spill part many near pairs; these are found all the same, in one block and between blocks and tiles."""
+    monkeypatch.setattr(E, "SPILL", 0.0)
+    monkeypatch.setattr(E, "LEAF", 20)
+    monkeypatch.setattr(E, "KEPT", 0.0)
+    monkeypatch.setattr(E, "FAR", far)
+    monkeypatch.setattr(E, "TILE", 64)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((300, 24))
+    x = np.concatenate([x, x + 0.34 * rng.standard_normal((300, 24)), x[:40], x[0] + 0.3 * rng.standard_normal((60, 24))]).astype(np.float32)
+    labels = np.concatenate([np.tile(np.arange(300) % 2, 2), np.arange(40) % 2, np.zeros(60, int)])
+    got = {r.vec_id: (r.n_links, r.component_id) for r in E.near_vectors(frame(spark, [(i, v, int(l)) for i, (v, l) in enumerate(zip(x.tolist(), labels, strict=True))])).collect()}
+    links, part = plain_links(x.astype(np.float64), labels)
+    assert links.sum() > 400 and [got[i] for i in range(len(x))] == list(zip(links.tolist(), part.tolist(), strict=True))
+
+
 def test_forest_odd_rows(spark):
     rows = sorted((r.vec_id, r.n_links, r.component_id) for r in E.near_vectors(frame(spark, odd())).collect())
     alone = [(i, 0, i) for i in (1, 2, 3, 4, 5, 6, 7, 10)]

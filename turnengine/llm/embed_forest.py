@@ -14,6 +14,11 @@ about BLOCK vectors and all pairs of blocks meet, so a task holds two blocks at
 pair that meets in several leaves is counted in the first leaf common to both alone (every row carries its leaves), so
 link counts are exact without emitting pairs: a task returns one count per vector and a spanning forest of its links.
 
+What the forest misses: a pair that every tree parts, about one in a hundred at the limit on large labels. No spill that
+rules this out keeps vectors of random directions apart, so an exact pass follows: blocks of a label meet, at single
+precision less its rounding error, and pairs found there that share no leaf are checked as the others are. Its products
+grow with the square of a label; a vector goes to MOST_BLOCKS blocks at most, as long as these hold FAR_MOST vectors.
+
 Defined cases: a null label, and vectors that are null, empty, zero or hold null or non-finite components, link
 with nothing: no links, their own component; vectors of different length never link; repeated rows with one vec_id
 are rows each and one node of the graph; rows without vec_id are left out; an empty table gives no rows; extra
@@ -29,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnengine.llm.common import drop_materialized, materialize, ship
+from turnengine.llm.common import drop_materialized, materialize, ship, shuffle_partitions
 from turnengine.llm.components import connected_components
 from turnengine.llm.vectors import finite, matrix
 
@@ -41,6 +46,8 @@ LEAF, BLOCK, SAMPLE = 512, 1024, 20_000
 MEET, PARTED, MIN_TREES, MAX_TREES = 0.99, 0.045, 4, 31
 #: The least sample vectors of a node that is split.
 _LEAST = 16
+#: Vectors of a block of the exact pass at least and at most, blocks of a label until they are that large, and of a tile of products.
+FAR, FAR_MOST, MOST_BLOCKS, TILE = 8192, 65_536, 16, 1024
 #: Near pairs that the splits down to a leaf may leave together, and the sample vectors of a node they are counted on.
 KEPT, SEEN = 0.7, 512
 
@@ -169,6 +176,72 @@ def compare(ids: np.ndarray, counts: np.ndarray, x: np.ndarray, side: np.ndarray
     return ids[busy], links, spanning(near, ids[busy])
 
 
+def common_leaves(a: list[list[int]], b: list[list[int]]) -> np.ndarray:
+    """Which rows of a share a leaf with which rows of b."""
+    sides = [(np.repeat(np.arange(len(s)), [len(c) for c in s]), np.array([c for own in s for c in own], np.int64), len(s)) for s in (a, b)]
+    both = np.intersect1d(sides[0][1], sides[1][1])
+    met = np.zeros((len(a), len(b)), bool)
+    for at in range(0, len(both), 2048):
+        some, held = both[at : at + 2048], []
+        for row, flat, size in sides:
+            column = np.minimum(np.searchsorted(some, flat), len(some) - 1)
+            own = some[column] == flat
+            share = np.zeros((size, len(some)), np.float32)
+            share[row[own], column[own]] = 1
+            held.append(share)
+        met |= held[0] @ held[1].T > 0
+    return met
+
+
+def missed(ids: np.ndarray, counts: np.ndarray, x: np.ndarray, side: np.ndarray, split: bool, cells: pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]]:
+    """Links of one block, or between two (split), of rows that share no leaf: (ids, links of each, spanning edges) of each tile that has any."""
+    first = np.flatnonzero(side == side.min())
+    second = np.flatnonzero(side != side.min()) if split else first
+    single, least = x.astype(np.float32), np.float32(COSINE - (x.shape[1] + 8) * 1.2e-7)
+    for p in range(0, len(first), TILE):
+        for q in range(0 if split else p, len(second), TILE):
+            a, b = first[p : p + TILE], second[q : q + TILE]
+            near = single[a] @ single[b].T >= least
+            if not split and p == q:
+                np.fill_diagonal(near, False)
+            if not near.any():
+                continue
+            a, b = a[near.any(axis=1)], b[near.any(axis=0)]
+            near = (x[a] @ x[b].T >= COSINE) & (a[:, None] != b[None]) & ~common_leaves(cells.take(pa.array(a)).to_pylist(), cells.take(pa.array(b)).to_pylist())
+            a, b, near = a[near.any(axis=1)], b[near.any(axis=0)], near[np.ix_(near.any(axis=1), near.any(axis=0))]
+            if not len(a):
+                continue
+            links = (near @ counts[b].astype(np.int64), counts[a].astype(np.int64) @ near)
+            whole = np.zeros((len(a) + len(b),) * 2, bool)
+            whole[: len(a), len(a) :], whole[len(a) :, : len(a)] = near, near.T
+            edges = [(u, v) for u, v in spanning(whole, np.concatenate([ids[a], ids[b]])) if u != v]
+            if not split and p == q:  # both sides are the same rows
+                yield ids[a], links[0], edges
+            else:
+                yield np.concatenate([ids[a], ids[b]]), np.concatenate(links), edges
+
+
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each block, of batches sorted by block."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([rest, table]) if rest is not None else table
+        keys = table.column("block").to_numpy()
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist()]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield table.slice(a, b - a)
+        rest = table.slice(cuts[-1]) if len(keys) else None
+    if rest is not None:
+        yield rest
+
+
+def _rows(ids: np.ndarray, links: np.ndarray, edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    linked = [(i, None, n) for i, n in zip(ids.tolist(), links.tolist(), strict=True) if n]
+    u, v, n = zip(*linked, *[(a, b, None) for a, b in edges], strict=True) if linked or edges else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (u, v, n)], names=["u", "v", "n"])
+
+
 def near_vectors(vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     ship(vectors.sparkSession)
@@ -204,27 +277,27 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     dealt = dealt.select("cell", F.xxhash64("label", "cell", F.least("side", "other"), F.greatest("side", "other")).alias("block"), "label", "cells", "embedding", "rep", "copies", "side", (F.col("side") != F.col("other")).alias("split"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(t: pa.Table) -> pa.RecordBatch:
-            ids, links, edges = compare(
+        for t in runs(batches):
+            yield _rows(*compare(
                 t.column("rep").to_numpy(), t.column("copies").to_numpy(), _unit(matrix(t.column("embedding"), width)), t.column("side").to_numpy(), t.column("split")[0].as_py(), t.column("cells").to_pylist(), t.column("cell")[0].as_py(),
-            )
-            linked = [(i, None, n) for i, n in zip(ids.tolist(), links.tolist(), strict=True) if n]
-            u, v, n = zip(*linked, *[(a, b, None) for a, b in edges], strict=True) if linked or edges else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (u, v, n)], names=["u", "v", "n"])
-
-        rest: pa.Table | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([rest, table]) if rest is not None else table
-            keys = table.column("block").to_numpy()
-            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist()]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                yield done(table.slice(a, b - a))
-            rest = table.slice(cuts[-1]) if len(keys) else None
-        if rest is not None:
-            yield done(rest)
-
-    found = materialize(dealt.repartition("block").sortWithinPartitions("block", "label", "cell", "split").mapInArrow(meet, "u long, v long, n long"), "forest-links")
+            ))
+
+    def meet_far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches):
+            if t.num_rows > 1:
+                for found_here in missed(t.column("rep").to_numpy(), t.column("copies").to_numpy(), _unit(matrix(t.column("embedding"), width)), t.column("side").to_numpy(), t.column("split")[0].as_py(), t.column("cells")):
+                    yield _rows(*found_here)
+
+    at_leaves = dealt.repartition("block").sortWithinPartitions("block", "label", "cell", "split").mapInArrow(meet, "u long, v long, n long")
+    if depth:  # else one leaf holds all
+        # labels of over FAR vectors, of which there are few, so that this join may be a broadcast and does not follow the labels' sizes
+        big = nodes.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > FAR)
+        big = big.select("label", F.greatest(F.ceil(F.col("n") / FAR_MOST), F.least(F.ceil(F.col("n") / FAR), F.lit(MOST_BLOCKS))).cast("int").alias("blocks"))
+        far = placed.join(F.broadcast(big), "label", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        far = far.withColumn("side", F.pmod(F.xxhash64("rep", F.lit(11)), F.col("blocks")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        far = far.select(F.xxhash64("label", F.least("side", "other"), F.greatest("side", "other")).alias("block"), "cells", "embedding", "rep", "copies", "side", (F.col("side") != F.col("other")).alias("split"))
+        at_leaves = at_leaves.union(far.repartition(shuffle_partitions(vectors.sparkSession), "block").sortWithinPartitions("block").mapInArrow(meet_far, "u long, v long, n long"))
+    found = materialize(at_leaves, "forest-links")
     links = found.where("n is not null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("links"))
     parts = connected_components(found.where("v is not null").select("u", "v"))
     known = (
