@@ -146,6 +146,17 @@ def test_near_groups_are_exact_around_the_threshold(make_docs, monkeypatch):
     assert min(shares) < 0.78 and max(shares) > 0.82
 
 
+def test_near_copies_are_found_by_fingerprints(make_docs, monkeypatch):
+    """Where no two sets share a band, pairs within RADIUS bits are found all the same, and verified."""
+    monkeypatch.setattr(S, "sketch", lambda h: np.random.default_rng(int(h.sum() >> np.uint64(1))).integers(0, 1 << 32, S.BANDS * S.ROWS, dtype=np.uint32))
+    monkeypatch.setattr(S, "CANDIDATE", 0.0)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(words), " ".join([*words[:-1], "x"]), " ".join(["y", *words[1:]]), " ".join(words[150:] + ["z"] * 150), "one two three", "one two four"]
+    assert all((S.majority(S.shingle_hashes(a.encode(), 3)) ^ S.majority(S.shingle_hashes(texts[0].encode(), 3))).bit_count() <= S.RADIUS for a in texts[1:3])
+    got = {r.doc_id: r.component_id for r in S.near_groups(make_docs(list(enumerate(texts)))).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5}
+
+
 def test_a_repeated_id_keeps_its_unique_text(make_docs):
     rng = random.Random(2)
     one, two = (" ".join(f"{c}{rng.randrange(10**6)}" for _ in range(200)) for c in "ab")

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from turnengine.llm.common import drop_materialized, materialize, ship
 from turnengine.llm.components import connected_components
 
+WORDS = 3
 RADIUS = 3
 GROUPS = 6
 BLOCK = 256
@@ -63,7 +64,7 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, size: int = WORDS) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed 64-bit integer."""
     ship(docs.sparkSession)
 
@@ -225,7 +226,19 @@ def cell_links(rows: DataFrame, radius: int | None, sketches: DataFrame | None =
     return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long")
 
 
-def simhash_components(docs: DataFrame, size: int = 3) -> DataFrame:
+def grid_links(nodes: DataFrame) -> DataFrame:
+    """Spanning edges (u, v) of the links at RADIUS among nodes (fp, rep), found by the grid."""
+    return cell_links(nodes.select(F.explode(grid_cells(F.col("fp"))).alias("key"), "fp", "rep"), RADIUS)
+
+
+def fingerprint_links(rows: DataFrame) -> DataFrame:
+    """Edges (u, v) that join all reps of rows (fp, rep) whose fingerprints link at RADIUS or fewer differing bits."""
+    least = rows.groupBy("fp").agg(F.min("rep").alias("least"))
+    equal = rows.join(least.hint("merge"), "fp").where("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v"))
+    return equal.union(grid_links(least.select("fp", F.col("least").alias("rep"))))
+
+
+def simhash_components(docs: DataFrame, size: int = WORDS) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row: fingerprints link at RADIUS or fewer differing bits."""
     return fingerprint_components(materialize(fingerprints(docs, size), "simhash"))
 
@@ -237,8 +250,7 @@ def fingerprint_components(fps: DataFrame) -> DataFrame:
     by the smallest doc_id among its fingerprints.
     """
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    rows = nodes.select(F.explode(grid_cells(F.col("fp"))).alias("key"), "fp", F.col("fp").alias("rep"))
-    parts = connected_components(cell_links(rows, RADIUS))
+    parts = connected_components(grid_links(nodes.select("fp", F.col("fp").alias("rep"))))
     linked = nodes.join(parts.hint("merge"), nodes["fp"] == parts["node"], "left").select("fp", F.coalesce("component", "fp").alias("part"), "least")
     named = materialize(linked.join(linked.groupBy("part").agg(F.min("least").alias("component_id")).hint("merge"), "part").select("fp", "component_id"), "simhash-named")
     drop_materialized(nodes)
@@ -280,10 +292,12 @@ def near_rows(docs: DataFrame) -> DataFrame:
 
     text_key is Spark's hash of the text; keeper (doc_id, text_key) is the smallest row of the group that has a doc_id.
 
-    A 64-bit SimHash of such texts differs in up to 25 bits, and no grid over 64 bits is selective at that radius. So
-    here cells are bands of a min-wise sketch, and pairs of a cell that agree in CANDIDATE of their sketches (a byte of
-    each of 252 values) are candidates. Then the members of each component of candidates bring their shingle sets, and
-    every pair of them that may matter is verified by its exact similarity. Nodes are sets, named by a hash.
+    The method is that of simhash_components: texts whose fingerprints (of WORDS-word shingles) differ in at most RADIUS bits
+    are found by the grid, the Manhattan bound and the Hamming distance, and are candidates. Texts that are alike at 0.8 may
+    differ in up to 25 bits, and no grid over 64 bits is selective at that radius. So for what the grid cannot reach, cells are
+    also bands of a min-wise sketch, and pairs of a cell that agree in CANDIDATE of their sketches (a byte of each of 252
+    values) are candidates, too. Then the members of each component of candidates bring their shingle sets, and every pair of
+    them that may matter is verified by its exact similarity. Nodes are sets, named by a hash.
 
     Defined cases: null and empty texts and texts of white space have the empty set and are copies of each other; fewer
     words than a shingle make one shingle; texts whose shingle sets are equal are copies, whatever their order and
@@ -304,12 +318,13 @@ def near_rows(docs: DataFrame) -> DataFrame:
         for batch in parts_of(batches):
             hashes = [np.unique(shingle_hashes(t, NEAR_WORDS)) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             same = np.array([named(h) for h in hashes], np.uint64).view(np.int64)
+            found = np.array([majority(shingle_hashes(t, WORDS)) for t in batch.column(1).cast(pa.binary()).to_pylist()], np.uint64)
             marks = np.array([sketch(h) for h in hashes], np.uint32).reshape(len(hashes), BANDS, ROWS)
             odd = np.arange(1, 2 * ROWS, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             bands = (marks * odd).sum(axis=2, dtype=np.uint64) ^ np.arange(BANDS, dtype=np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(same), pa.array(list(bands.view(np.int64)), pa.list_(pa.int64())), pa.array([m.astype(np.uint8).tobytes() for m in marks.reshape(len(hashes), -1)], pa.binary())],
-                names=["doc_id", "text_key", "same", "bands", "sketch"],
+                [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(same), pa.array(found.view(np.int64)), pa.array(list(bands.view(np.int64)), pa.list_(pa.int64())), pa.array([m.astype(np.uint8).tobytes() for m in marks.reshape(len(hashes), -1)], pa.binary())],
+                names=["doc_id", "text_key", "same", "fp", "bands", "sketch"],
             )
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,11 +332,12 @@ def near_rows(docs: DataFrame) -> DataFrame:
             hashes = [np.unique(shingle_hashes(t, NEAR_WORDS)) for t in batch.column(0).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.array([named(h) for h in hashes], np.uint64).view(np.int64)), pa.array([h.astype("<u8").tobytes() for h in hashes], pa.binary())], names=["rep", "shingles"])
 
-    marked = materialize(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "doc_id long, text_key long, same long, bands array<long>, sketch binary"), "near-marks")
+    marked = materialize(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "doc_id long, text_key long, same long, fp long, bands array<long>, sketch binary"), "near-marks")
     nodes = marked.where("doc_id is not null").groupBy("same").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.min(F.struct("bands", "sketch")).alias("m"))
     nodes = materialize(nodes.select(F.col("same").alias("rep"), "first", "m.*"), "near-nodes")
     rows = nodes.select(F.explode("bands").alias("key"), F.col("rep").alias("fp"), "rep")
-    cells = connected_components(cell_links(rows, None, nodes.select("rep", "sketch"), CANDIDATE))  # without the components' names
+    banded = cell_links(rows, None, nodes.select("rep", "sketch"), CANDIDATE)
+    cells = connected_components(fingerprint_links(marked.where("doc_id is not null").select("fp", F.col("same").alias("rep"))).union(banded))  # without the components' names
     maybe = materialize(cells.select(F.col("node").alias("rep"), "component").union(cells.select("component", "component").distinct()), "near-maybe")
     drop_materialized(cells)
     asked = nodes.join(maybe.hint("merge"), "rep").select("rep", "first", "sketch")
