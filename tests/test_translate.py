@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnengine.operators import translate
+from turnengine.plans import exchange
 from turnengine.sinks.buckets import BucketStore
 from turnengine.streaming.translate import translate_turns
 
@@ -114,3 +115,13 @@ def test_later_batches_see_their_context(spark, tmp_path):
     found = spark.read.parquet(str(tmp_path / "out"))
     assert [(r.conversazione, r.turn_ord, r.napoletano) for r in found.orderBy("conversazione", "turn_ord").collect()] == expected
     assert found.where("fresh").count() == n and found.where("failed").count() == sum(r[4] == "" for r in rows) - n
+
+
+def test_deliveries_of_the_stream_are_dealt(spark, tmp_path, monkeypatch):
+    """No task writes a delivery whole, and each is one micro-batch all the same."""
+    monkeypatch.setattr(exchange, "shared_dir", lambda _: str(tmp_path))
+    rows = corpus(4, 9)
+    found = exchange.translated_stream(spark, spark.createDataFrame(rows, TURN.replace("turn_ord int", "turn_ord long")).repartition(3, "turn_index"), "P")
+    assert found.count() == len(rows) and found.where("fresh").count() == sum(r[4] == "" for r in rows)
+    (path,) = tmp_path.iterdir()
+    assert len(list(path.glob("in/*.parquet"))) > 4 and len([f for f in (path / "checkpoint" / "offsets").iterdir() if f.name.isdigit()]) == 4

@@ -268,16 +268,17 @@ def translated_file(spark: SparkSession, turns: DataFrame, system_prompt: str, l
 
 
 def translated_stream(spark: SparkSession, turns: DataFrame, system_prompt: str) -> DataFrame:
-    """Turns that arrive in four files, the next part of every conversation in each, one micro-batch a file; the stream is
-    stopped after each and taken up from its checkpoint. The last file also holds turns that came before."""
+    """Turns that arrive in four deliveries, the next part of every conversation in each, one micro-batch a delivery; the stream
+    is stopped after each and taken up from its checkpoint. The last also holds turns that came before. A delivery has a file
+    for each part of the table, so that no task reads or writes it whole."""
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = "conversazione string, turn_index int, turn_ord long, italiano string, napoletano string"
     rows = turns.select("conversazione", "turn_index", "turn_ord", "italiano", "napoletano")
     quarter = F.least(F.floor(F.col("turn_ord") / 2), F.lit(3))
     for k in range(4):
         again = rows.where((quarter < k) & (F.lit(k) == 3) & (F.col("turn_ord") % 3 == 0))
-        rows.where(quarter == k).union(again).coalesce(1).write.mode("append").parquet(f"{path}/in")
-        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        rows.where(quarter == k).union(again).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{path}/in")
         query = translate_stream.translate_turns(stream, f"{path}/out", f"{path}/checkpoint", toy, system_prompt)
         query.awaitTermination()
     return spark.read.parquet(f"{path}/out").select("conversazione", "turn_index", "napoletano", "fresh")
