@@ -1,9 +1,11 @@
 """Readers, writers, workbook and command line, through real files."""
 
 import csv
+import io
 import json
 import threading
 import zipfile
+import zlib
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pandas as pd
@@ -14,6 +16,7 @@ from turnengine import cli
 from turnengine.operators import bertscore, build, metrics, translate
 from turnengine.schema import EngineError
 from turnengine.sinks import files as sinks
+from turnengine.sinks import zipped
 from turnengine.sinks.buckets import BucketStore
 from turnengine.sources import files, workbook
 from turnengine.sources.chat import ChatBackend
@@ -273,3 +276,55 @@ def test_exports_send_no_rows_to_the_driver(spark, tmp_path, monkeypatch):
         sinks.write_csv(rows.where(f"conv_ord < {n}"), str(tmp_path / "a.csv"), ["id", "regione"], ["conv_ord"])
         with open(tmp_path / "a.csv", encoding="utf-8-sig", newline="") as f:
             assert list(csv.reader(f)) == [["id", "regione"], *([str(i), "a\n  {\nb"] for i in range(n))]
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_workbooks_send_no_rows_to_the_driver(spark, tmp_path, monkeypatch, split):
+    """More rows than a piece has and more sheets than a part has, in partitions of another order than the workbook's."""
+    from pyspark.sql import DataFrame
+
+    turns = spark.range(2500, -1, -1, numPartitions=5).selectExpr(
+        "cast(id % 300 as string) as conversazione", "'r' as regione", "'m' as macro_regione", "'l' as languages", "cast(id div 300 + 1 as int) as turn_index",
+        "cast(id as string) as tu_id", "'A' as speaker", "concat('<&> è ', id) as italiano", "concat(\"'\", id) as napoletano", "'' as note", "300 - id % 300 as conv_ord", "id div 300 as turn_ord",
+    )
+    want = [{c: r[c] for c in workbook.FLAT_COLUMNS} for r in turns.orderBy("conv_ord", "turn_ord").collect()]
+    collect, most = DataFrame.collect, [0]
+
+    def counted(df):
+        rows = collect(df)
+        most[0] = max(most[0], len(rows))
+        return rows
+
+    monkeypatch.setattr(DataFrame, "collect", counted)
+    for name in ("toLocalIterator", "toPandas", "toArrow"):
+        monkeypatch.setattr(DataFrame, name, lambda *a, **k: pytest.fail("rows were sent to the driver"))
+    sinks.write_workbook(turns, str(tmp_path / "w.xlsx"), split)
+    back = workbook.read_workbook(spark, str(tmp_path / "w.xlsx"))
+    assert most[0] < 50
+    monkeypatch.undo()
+    assert [r.asDict() for r in back.orderBy("pos").collect()] == [{k: str(v) for k, v in r.items()} | {"pos": i} for i, r in enumerate(want)]
+    with zipfile.ZipFile(tmp_path / "w.xlsx") as z:
+        assert z.testzip() is None
+        if not split:  # what a small workbook made in memory holds
+            with zipfile.ZipFile(io.BytesIO(workbook.render({"Golden": (workbook.FLAT_COLUMNS, want)}))) as small:
+                assert {n: z.read(n) for n in z.namelist()} == {n: small.read(n) for n in small.namelist()}
+        else:
+            assert z.read("xl/worksheets/sheet2.xml").count(b"<row ") == 9 and b'name="299"' in z.read("xl/workbook.xml")
+
+
+def test_archives_of_pieces_and_of_many_entries():
+    texts = [b"a" * 100_000, b"", "è".encode() * 7]
+    assert zipped.joined_crc([(zlib.crc32(t), len(t)) for t in texts]) == zlib.crc32(b"".join(texts))
+    blob = b"".join(map(zipped.deflated, texts)) + zipped.LAST
+    assert zlib.decompress(blob, -15) == b"".join(texts)
+    entries = [zipped.Entry(f"{i}", zlib.crc32(b"x"), len(zipped.deflated(b"x")) + 2, 1) for i in range(70_000)]  # more than the plain format counts
+    body, listed = bytearray(), bytearray()
+    for e in entries:
+        listed += e.listed(len(body))
+        body += e.header() + zipped.deflated(b"x") + zipped.LAST
+    raw = bytes(body + listed) + zipped.end(len(entries), len(listed), len(body))
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        assert len(z.namelist()) == 70_000 and z.read("69999") == b"x"
+    wide = zipped.Entry("w", 1, 5 << 30, 6 << 30)  # sizes and places over 4 GB
+    with zipfile.ZipFile(io.BytesIO(wide.listed(7 << 30) + zipped.end(1, len(wide.listed(7 << 30)), 0))) as z:
+        assert (z.infolist()[0].compress_size, z.infolist()[0].file_size, z.infolist()[0].header_offset) == (5 << 30, 6 << 30, 7 << 30)

@@ -16,7 +16,7 @@ def _dealt(rows: DataFrame, order: list[str]) -> DataFrame:
     return materialize(dealt.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_place")), "numbered")
 
 
-def _starts(dealt: DataFrame, amount: Column) -> DataFrame:
+def starts(dealt: DataFrame, amount: Column) -> DataFrame:
     """(_part, _before): the amounts of the partitions before each; a row per partition."""
     sizes = dealt.groupBy("_part").agg(amount.alias("n"))
     sizes = sizes.agg(F.map_from_entries(F.collect_list(F.struct("_part", "n"))).alias("sizes"))  # an entry per partition
@@ -33,13 +33,12 @@ def with_ordinal(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     number per partition meets in one task.
     """
     dealt = _dealt(rows, order)
-    starts = _starts(dealt, F.count("*"))
-    return dealt.join(F.broadcast(starts), "_part").select(*rows.columns, (F.col("_before") + F.col("_place") + 1).alias(name))
+    return dealt.join(F.broadcast(starts(dealt, F.count("*"))), "_part").select(*rows.columns, (F.col("_before") + F.col("_place") + 1).alias(name))
 
 
 def running_sum(rows: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
     """rows with name: the sum of a column of whole numbers over this row and those before, in the order of the columns."""
     dealt = _dealt(rows, order)
-    starts = _starts(dealt, F.sum(value).cast("bigint"))
+    before = starts(dealt, F.sum(value).cast("bigint"))
     own = F.sum(value).over(Window.partitionBy("_part").orderBy("_place"))  # a partition is one range's share of the rows
-    return dealt.withColumn("_own", own).join(F.broadcast(starts), "_part").select(*rows.columns, (F.col("_before") + F.col("_own")).alias(name))
+    return dealt.withColumn("_own", own).join(F.broadcast(before), "_part").select(*rows.columns, (F.col("_before") + F.col("_own")).alias(name))
