@@ -328,3 +328,59 @@ def test_archives_of_pieces_and_of_many_entries():
     wide = zipped.Entry("w", 1, 5 << 30, 6 << 30)  # sizes and places over 4 GB
     with zipfile.ZipFile(io.BytesIO(wide.listed(7 << 30) + zipped.end(1, len(wide.listed(7 << 30)), 0))) as z:
         assert (z.infolist()[0].compress_size, z.infolist()[0].file_size, z.infolist()[0].header_offset) == (5 << 30, 6 << 30, 7 << 30)
+
+
+def test_rows_of_a_sheet_are_read_as_they_are_asked_for():
+    """The first row comes before most of a large sheet is read, and damage shows at the end."""
+    rows = [{"turn_index": i, "tu_id": f"{i * 2_654_435_761 % 1_000_003}"} for i in range(20_000)]
+    raw = workbook.render({"Golden": (workbook.FLAT_COLUMNS, rows)})
+
+    class Counted(io.BytesIO):
+        taken = 0
+
+        def read(self, n=-1):
+            out = super().read(n)
+            self.taken += len(out)
+            return out
+
+    f = Counted(raw)
+    places = workbook.Places(f)
+    ((title, place, meta),) = workbook.turn_sheets(f, places, list)
+    f.taken = 0
+    found = workbook.turn_rows(f, place, title, meta, list)
+    assert next(found)["turn_index"] == "0" and f.taken < place.size / 3
+    assert sum(1 for _ in found) == 19_999
+    with pytest.raises(EngineError, match="damaged"):
+        list(workbook.turn_rows(f, place._replace(crc=place.crc ^ 1), title, meta, list))
+
+
+def test_workbooks_of_other_programs_and_stores(spark, tmp_path):
+    """Shared texts, stored files, cells without a name, blank rows, and a store that only Spark reads."""
+    texts = [*workbook.FLAT_COLUMNS, "a", "ciao"]
+    cell = lambda i: f'<c t="s"><v>{i}</v></c>'
+    sheet = f'<row>{"".join(map(cell, range(10)))}</row><row/><row r="3">{cell(10)}<c r="E3"><v>1</v></c><c r="H3" t="s"><v>11</v></c></row>'
+    spaces = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "w.xlsx", "w", zipfile.ZIP_STORED) as z:
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {spaces}><sheetData>{sheet}</sheetData></worksheet>")
+        z.writestr("xl/sharedStrings.xml", f"<sst {spaces}>{''.join(f'<si><r><t>{t[:1]}</t></r><r><t>{t[1:]}</t></r></si>' for t in texts)}</sst>")
+        for name, head, line, tail in workbook.LISTS:
+            z.writestr(name, head + line(1, "Golden") + tail)
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.store.link./w", tmp_path.as_uri())
+    want = ("a", "", "", "", "1", "", "", "ciao", "", "", 0)
+    for path in (str(tmp_path / "w.xlsx"), "viewfs://store/w/w.xlsx"):
+        assert [tuple(r) for r in workbook.read_workbook(spark, path).collect()] == [want]
+
+
+def test_a_workbook_is_parsed_once_for_an_import(spark, tmp_path, monkeypatch):
+    turns = spark.createDataFrame([("a", "r", "m", "l", i, f"{i}", "A", f"t{i}", "x", "") for i in range(1, 6)], TURNS)
+    sinks.write_workbook(turns, str(tmp_path / "w.xlsx"))
+    read = workbook.read_workbook
+
+    def gone(*args):
+        rows = read(*args)
+        (tmp_path / "w.xlsx").unlink()
+        return rows
+
+    monkeypatch.setattr(workbook, "read_workbook", gone)
+    cli.main(["import", "--xlsx", str(tmp_path / "w.xlsx"), "--csv", str(tmp_path / "i.csv"), "--json", str(tmp_path / "i.json")])
+    assert [t["turn_index"] for t in json.loads((tmp_path / "i.json").read_text())["turni"]] == [1, 2, 3, 4, 5]
